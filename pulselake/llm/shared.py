@@ -8,6 +8,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,7 +104,7 @@ def small_batches(batches, column: str = "text", limit: int = 4 << 20):
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
         group = (np.cumsum(sizes.to_numpy(zero_copy_only=False)) - 1) // limit
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in itertools.pairwise(cuts):
@@ -112,7 +113,7 @@ def small_batches(batches, column: str = "text", limit: int = 4 << 20):
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its rows; a null is an empty text."""
-    column = pa.compute.fill_null(column, "").cast(pa.large_binary())
+    column = pc.fill_null(column, "").cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
@@ -194,3 +195,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
