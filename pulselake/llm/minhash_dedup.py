@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, connected_components, documents, groups, materialize, mix, mix_int, slices, small_batches, utf8, word_hashes, words
+from .shared import LOWER, connected_components, documents, groups, materialize, mix, mix_int, observed, slices, small_batches, utf8, word_hashes, words
 
 POSITIONS = 32
 _SEEDS = np.random.default_rng(9).integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -77,10 +77,11 @@ def _signatures(k: int):
 
 def _children(level: int, second: float):
     """The children of each (node, document): one position always, another with chance ``second``."""
-    schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64())])
+    schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("early", pa.bool_())])
 
     def run(batches):
         for batch in batches:
+            early = batch.column(3).to_numpy(zero_copy_only=False)
             node = batch.column(0).to_numpy().view(np.uint64)
             doc = batch.column(1).to_numpy()
             minima = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, POSITIONS)
@@ -89,7 +90,7 @@ def _children(level: int, second: float):
                 at = (mix(draw + np.uint64(turn)) % np.uint64(POSITIONS)).astype(np.int64)
                 value = minima[np.arange(len(node)), at].astype(np.uint64)
                 child = mix(mix(node * np.uint64(31) + at.astype(np.uint64)) + value)
-                yield slices({"node": child[chosen].view(np.int64), "doc_id": doc[chosen]}, schema)
+                yield slices({"node": child[chosen].view(np.int64), "doc_id": doc[chosen], "early": early[chosen]}, schema)
 
     return run
 
@@ -165,30 +166,19 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
     classes = materialize(signed.where("n_shingles > 0").join(classes, ["set_a", "set_b"]).select("doc_id", "class_id", "minima"))
     unique = classes.where("doc_id = class_id").select("doc_id", "minima")
 
-    edges, known = None, None
-    for chosen in (range(2), range(2, max(trees, 3))):
-        roots = F.explode(F.array(*[F.lit(mix_int(seed * 1000 + t) - (1 << 63)) for t in chosen]))
-        level = unique.select(roots.alias("node"), "doc_id", "minima").mapInArrow(_children(0, second), "node long, doc_id long")
-        leaves: list[DataFrame] = []
-        for at in range(1, depth + 1):
-            level = materialize(_label(level.distinct(), known))
-            sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "node")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
-            sized = level.join(sizes.where("n > 1 and low < high").drop("low", "high"), "node")
-            leaves.append(sized.where(F.col("n") <= leaf).select("node", "doc_id", "component"))
-            large = materialize(sized.where(F.col("n") > leaf).select("node", "doc_id", "component", "n", "hub"))
-            if large.isEmpty():
-                break
-            leaves.append(_with_hub(large, leaf))
-            if at < depth:
-                level = large.join(unique, "doc_id").select("node", "doc_id", "minima").mapInArrow(_children(at, second), "node long, doc_id long")
-            elif known is not None:
-                leaves.append(_blocks(large, leaf))
-        every = leaves[0]
-        for more in leaves[1:]:
-            every = every.unionByName(more)
-        new = materialize(_edges(every, texts, k, percent))
-        edges = new if edges is None else edges.unionByName(new)
-        known = connected_components(edges)
+    first = range(min(2, trees))
+    early, late, never_small = _grow(unique, range(trees), first, leaf, depth, second, seed)
+    known, edges = None, []
+    for leaves, large in ((early, None), (late, never_small)):
+        rows = _label(leaves, known)
+        if large is not None:
+            rows = rows.unionByName(_blocks(_label(large, known), leaf))
+        edges.append(materialize(_edges(rows, texts, k, percent)))
+        if known is None:
+            known = connected_components(edges[0])
+    joined = edges[1].select(F.col("a").alias("id"), "b").join(known.withColumnRenamed("component", "ca"), "id", "left").select(F.coalesce("ca", "id").alias("a"), F.col("b").alias("id"))
+    joined = joined.join(known.withColumnRenamed("component", "cb"), "id", "left").select("a", F.coalesce("cb", "id").alias("b"))
+    known = _merge(known, connected_components(joined))
 
     found = classes.select("doc_id", "class_id")
     found = found.join(known.withColumnRenamed("id", "class_id"), "class_id", "left").select("doc_id", F.coalesce("component", "class_id").alias("component_id"))
@@ -197,14 +187,41 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def _grow(unique: DataFrame, trees: range, first: range, leaf: int, depth: int, second: float, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All trees at once, level by level: the leaves of the ``first`` trees, those of the others, and the nodes
+    that are still large at the end."""
+    tag = F.create_map(*[x for t in trees for x in (F.lit(mix_int(seed * 1000 + t) - (1 << 63)), F.lit(t in first))])
+    roots = F.explode(F.array(*[F.lit(mix_int(seed * 1000 + t) - (1 << 63)) for t in trees]))
+    level = unique.select(roots.alias("node"), "doc_id", "minima").withColumn("early", F.element_at(tag, F.col("node")))
+    grown, large = [], level
+    for at in range(depth):
+        level = materialize(large.select("node", "doc_id", "minima", "early").mapInArrow(_children(at, second), "node long, doc_id long, early boolean").distinct())
+        sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "node")).alias("hub")).where("n > 1")
+        sized, state = observed(level.join(sizes, "node"), F.count_if(F.col("n") > leaf).alias("large"))
+        grown.append(sized.where(F.col("n") <= leaf).select("node", "doc_id", "early"))
+        large = sized.where(F.col("n") > leaf)
+        if not state["large"]:
+            break
+        grown.append(_with_hub(large, leaf))
+        if at + 1 < depth:
+            large = large.join(unique, "doc_id")
+    every = grown[0]
+    for more in grown[1:]:
+        every = every.unionByName(more)
+    return every.where("early").drop("early"), every.where("not early").drop("early"), large.select("node", "doc_id", "n")
+
+
+def _merge(known: DataFrame, more: DataFrame) -> DataFrame:
+    """Components of components: ``more`` joins ids that are roots in ``known`` or not in it at all."""
+    over = known.join(more.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    return over.unionByName(more.join(known, "id", "left_anti").select("id", "component"))
+
+
 def _with_hub(large: DataFrame, leaf: int) -> DataFrame:
     """A large node's documents in parts of about ``leaf``, each beside the node's hub."""
     part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.ceil(F.col("n") / leaf))
-    rows = large.select(F.xxhash64("node", part).alias("part"), "node", "doc_id", "component", "hub")
-    hubs = large.where("doc_id = hub").select("node", F.col("component").alias("hub_component"))
-    hubs = rows.select("part", "node", "hub").distinct().join(hubs, "node")
-    hubs = hubs.select(F.col("part").alias("node"), F.col("hub").alias("doc_id"), F.col("hub_component").alias("component"))
-    return rows.select(F.col("part").alias("node"), "doc_id", "component").unionByName(hubs)
+    rows = large.select(F.xxhash64("node", part).alias("node"), "doc_id", "early", "hub")
+    return rows.select("node", "doc_id", "early").unionByName(rows.select("node", F.col("hub").alias("doc_id"), "early").distinct())
 
 
 def _blocks(large: DataFrame, leaf: int) -> DataFrame:
@@ -212,7 +229,7 @@ def _blocks(large: DataFrame, leaf: int) -> DataFrame:
     component, in blocks, against all blocks of the node."""
     counts = large.groupBy("node", "component").agg(F.count("*").alias("c"))
     main = counts.groupBy("node").agg(F.max_by("component", F.struct("c", "component")).alias("main"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0")
-    rows = materialize(large.join(main, "node"))
+    rows = large.join(main, "node")
     blocks, outside = F.ceil(F.col("n") / leaf).cast("int"), F.ceil(F.col("others") / leaf).cast("int")
     own, odd = F.pmod(F.xxhash64("doc_id", F.lit(5)), blocks), F.pmod(F.xxhash64("doc_id", F.lit(7)), outside)
     every = rows.select("node", own.alias("block"), F.explode(F.sequence(F.lit(0), outside - 1)).alias("odd"), "doc_id", "component")

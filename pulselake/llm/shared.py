@@ -9,7 +9,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Spark SQL's spelling of a word: anything between the six ASCII white space characters.
@@ -38,6 +38,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, *metrics) -> tuple[DataFrame, dict]:
+    """``materialize`` with aggregates that the write itself yields, so no second query is needed."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *metrics))
+    return out, seen.get
+
+
 def release(spark: SparkSession) -> None:
     """Delete what ``materialize`` wrote in this application."""
     jvm = spark.sparkContext._jvm
@@ -182,8 +189,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        e, state = observed(small, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
         if state == seen:
             break
         seen = state
