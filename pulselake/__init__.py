@@ -1,0 +1 @@
+"""Spark-native analysis of long, multi-sensor biosignal recordings."""
