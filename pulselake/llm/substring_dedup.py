@@ -6,9 +6,9 @@ name is computed from the names it stands for alone, so it is the same in every
 without a dictionary. Equal stretches of words get equal symbols but for a few at their ends.
 
 For every window of ``window`` words the symbols are found that its own words determine (whatever stands around
-it), and of these the one with the smallest hash at the highest level that has any: the window's anchor. Equal
-windows have equal anchors at equal offsets, and neighbouring windows mostly share theirs, so one row stands for
-some twenty words. Anchors that occur in one document only are done with: no window of theirs is repeated.
+it), and of these, at the highest level that has two, the neighbours whose common name is smallest: the window's
+anchor. Equal windows have equal anchors at equal offsets, and neighbouring windows mostly share theirs, so one row
+stands for some twenty words. Of texts that are equal as a whole only the first goes further; the others go. Anchors that occur in one document only are done with: no window of theirs is repeated.
 Where an anchor occurs in several documents, its windows are compared by full fingerprints among the anchor's
 occurrences, and a window is marked if the smallest document with it is another, smaller one.
 
@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 
 from .shared import WORD_POWERS, documents, fresh, groups, materialize, mix, mix_int, slices, small_batches, utf8, word_hashes, words
 
-ROUNDS = 5
-RUN_ROUNDS = (0, 3)
+ROUNDS = 3
+RUN_ROUNDS = (0,)
+WHOLE = 1 << 30
 
 
 def _name_runs(symbols, starts, breaks, a, b):
@@ -103,13 +104,15 @@ def anchors(hashed: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndar
         symbols, starts, breaks, a, b = _name_pairs(symbols, starts, breaks, a, b, np.uint64(mix_int(i + 77)))
         levels.append((symbols, starts, a, b))
     left = np.arange(total)
-    for i in range(ROUNDS, -1, -1):  # a window without a symbol of its own at one level has one further down
+    for i in range(ROUNDS, -1, -1):  # a window without two symbols of its own at one level has them further down
         symbols, starts, a, b = levels[i]
-        own = left[b[left] > a[left]]
+        both = mix(mix(symbols[:-1] + np.uint64(i)) ^ symbols[1:])
+        has = b[left] > a[left] + 1
+        own = left[has]
         if len(own):
-            chosen = _smallest(mix(symbols + np.uint64(1)), a[own], b[own])
-            key[own], at[own] = mix(symbols[chosen] + np.uint64(i)), starts[chosen]
-        left = left[b[left] <= a[left]]
+            chosen = _smallest(both, a[own], b[own] - 1)
+            key[own], at[own] = both[chosen], starts[chosen]
+        left = left[~has]
         if not len(left):
             break
     return place, key, at
@@ -213,11 +216,15 @@ def repeated_windows(docs: DataFrame, window: int = 50, hot: int = 4096) -> Data
     rows = identified(docs)
     found = materialize(rows.mapInArrow(_anchor_rows(window), "anchor long, doc_id long, text_id long, first int, n int"))
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("rows")).where("low < high")
-    hits = found.join(shared.select("anchor", "rows"), "anchor")
+    hits = found.join(materialize(shared.select("anchor", "rows")), "anchor")
     parts = F.ceil(F.col("rows") / hot)
     part = F.xxhash64("anchor", F.pmod(F.xxhash64("doc_id"), parts))
     hits = hits.select("doc_id", "text_id", F.struct("first", "n", part.alias("part"), (F.col("rows") > hot).alias("hot")).alias("r"))
     hits = hits.groupBy("doc_id", "text_id").agg(F.collect_list("r").alias("ranges"))
+    equal = rows.select("doc_id", "text_id", F.hash("text").alias("h"), F.length("text").alias("n"))
+    first = equal.groupBy("text_id", "h", "n").agg(F.min("doc_id").alias("low"))
+    firsts = first.select(F.col("low").alias("doc_id"), "text_id").distinct()
+    hits = hits.join(firsts, ["doc_id", "text_id"], "left_semi")
     prints = rows.join(hits, ["doc_id", "text_id"]).select("doc_id", "text_id", "text", "ranges")
     prints = prints.mapInArrow(_fingerprints(window), "part long, hot boolean, doc_id long, text_id long, first int, prints binary")
     compared = prints.repartition("part").sortWithinPartitions("part").mapInArrow(_compare(), "doc_id long, text_id long, first int, n int, print long")
@@ -226,15 +233,18 @@ def repeated_windows(docs: DataFrame, window: int = 50, hot: int = 4096) -> Data
     low = smallest.groupBy("print").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("print", "low")
     again = smallest.join(low, "print").where("low < doc_id").select("doc_id", "text_id", "first", "n")
     marked = compared.where("print is null").select("doc_id", "text_id", "first", "n").unionByName(again)
-    return marked.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("first", "n")).alias("ranges"))
+    marked = marked.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("first", "n")).alias("ranges"))
+    whole = F.array(F.struct(F.lit(0).alias("first"), F.lit(WHOLE).alias("n")))
+    again = equal.join(first, ["text_id", "h", "n"]).where("low < doc_id").select("doc_id", "text_id").distinct()
+    return marked.unionByName(again.withColumn("ranges", whole))
 
 
 def covered(n_words: int, ranges, window: int) -> np.ndarray:
-    """Words of one text that lie in a repeated window."""
+    """Words of one text that lie in a repeated window; a range of ``WHOLE`` windows is all of them."""
     change = np.zeros(n_words + 1, np.int64)
-    for r in ranges or ():
+    for r in ranges if ranges and n_words >= window else ():
         change[r["first"]] += 1
-        change[r["first"] + r["n"] + window - 1] -= 1
+        change[min(r["first"] + r["n"] + window - 1, n_words)] -= 1
     return np.cumsum(change[:-1]) > 0
 
 
