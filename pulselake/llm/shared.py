@@ -17,6 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _COUNTER = itertools.count()
 _OWN: dict[str, str] = {}
+_STAGE: list[str] | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,15 +30,37 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{where.rstrip('/')}/pulselake-{app}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor
-    costs nothing that was already written."""
+    costs nothing that was already written. With ``keep`` it outlives ``begin_stage``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{next(_COUNTER):06d}"
     df.write.mode("overwrite").parquet(path)
+    if _STAGE is not None and not keep:
+        _STAGE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def begin_stage(spark: SparkSession) -> None:
+    """Delete what the stage before this one materialized. Its result is written by now, so nothing reads that
+    any more; whatever was materialized outside stages stays."""
+    global _STAGE
+    done, _STAGE = _STAGE or [], []
+    for path in done:
+        _delete(spark, path)
+
+
+def end_stages(spark: SparkSession) -> None:
+    global _STAGE
+    begin_stage(spark)
+    _STAGE = None
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def observed(df: DataFrame, *metrics) -> tuple[DataFrame, dict]:
     """``materialize`` with aggregates that the write itself yields, so no second query is needed."""
     seen = Observation()
@@ -47,9 +70,7 @@ def observed(df: DataFrame, *metrics) -> tuple[DataFrame, dict]:
 
 def release(spark: SparkSession) -> None:
     """Delete what ``materialize`` wrote in this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))
 
 
 # --- fingerprints -------------------------------------------------------------------------------
