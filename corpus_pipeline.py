@@ -9,31 +9,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pulselake.llm import decontaminate, minhash_dedup, mixing, quality, substring_dedup
-from pulselake.llm.shared import documents, materialize
+from pulselake.llm.shared import begin_stage, documents, end_stages, materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    begin_stage(spark)
     return quality.keep_good(docs, quality.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays (five-word shingles, similarity 0.8 or more)."""
+    begin_stage(spark)
     return minhash_dedup.keep_one(docs, k=5, percent=80)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that repeat 50 words or more of an earlier document go."""
+    begin_stage(spark)
     return substring_dedup.remove_repeats(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    begin_stage(spark)
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture of the sources takes it."""
+    begin_stage(spark)
     return mixing.mix(docs)
 
 
@@ -52,5 +57,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = materialize(stage(spark, docs, sf_dir), keep=True)
+    end_stages(spark)
     return docs
