@@ -211,7 +211,7 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text").where("doc_id is not null")
 
 
-def repeated_windows(docs: DataFrame, window: int = 50, hot: int = 4096) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = 50, hot: int = 32768) -> DataFrame:
     """``(doc_id, text_id, ranges)``: stretches ``(first, n)`` of windows that a smaller document has too."""
     rows = identified(docs)
     found = materialize(rows.mapInArrow(_anchor_rows(window), "anchor long, doc_id long, text_id long, first int, n int"))
