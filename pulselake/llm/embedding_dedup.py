@@ -40,7 +40,8 @@ SEED = 64
 def rotations(dim: int, count: int) -> np.ndarray:
     """``count`` random orthonormal matrices, one below the other."""
     rng = np.random.default_rng([SEED, dim])
-    return np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(count)])
+    made = [np.linalg.qr(rng.normal(size=(dim, dim))) for _ in range(count)]
+    return np.concatenate([q * np.where(np.diag(r) < 0, -1.0, 1.0) for q, r in made])  # without the signs not uniform
 
 
 class Layout:
