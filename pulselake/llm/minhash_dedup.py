@@ -6,11 +6,17 @@ collapse to one representative, so a group of exact copies of any size is one ro
 
 Every tree draws, at each of its nodes, one minwise position and with a small probability a second
 one, and sends each document to the children named by its minimum there: a pair of similarity s stays
-together in 1.18 * s children on average. A node with one document ends; a node with at most
-``leaf`` documents is compared exhaustively on full shingle sets; a larger one branches again and,
-since that costs one comparison a document, also compares all its documents with one of them.
+together in 1.18 * s children on average. A level takes ``STEPS`` such steps at once. A node with one
+document ends; a node with at most ``leaf`` documents is compared exhaustively; a larger one branches
+again and, since that costs one comparison a document, also compares all its documents with one of them.
 Nodes that are still large after ``depth`` levels get an exact way: only documents that are not yet
 known to be connected matter, and these are compared with the whole node, block by block.
+
+A node's documents are first compared exhaustively by their minima, which travel with them as 16 bits a
+position: the number of equal ones is binomial, so a pair at the threshold falls below ``least_equal``
+with a probability of at most one in a million. Texts move only for documents that have a partner left
+in their node; links are decided on full shingle sets.
+
 Documents that are known to be connected are never compared with each other, so a group of n near
 copies costs about n comparisons and never n * n rows.
 
@@ -20,6 +26,8 @@ table gives an empty table; extra columns are ignored by ``near_duplicates`` and
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +36,7 @@ from pyspark.sql import functions as F
 from .shared import LOWER, connected_components, documents, groups, materialize, mix, mix_int, observed, slices, small_batches, utf8, word_hashes, words
 
 POSITIONS = 32
+STEPS = 2
 _SEEDS = np.random.default_rng(9).integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, minima binary"
 
@@ -61,12 +70,12 @@ def _signatures(k: int):
             hashes, begin = shingle_hashes(data, offsets, k)
             n = len(begin) - 1
             size, a, b = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            minima = np.zeros((n, POSITIONS), np.uint32)
+            minima = np.zeros((n, POSITIONS), np.uint16)
             full = np.flatnonzero(np.diff(begin))
             if len(full):
                 at = begin[:-1][full]
                 for j, seed in enumerate(_SEEDS):
-                    minima[full, j] = np.minimum.reduceat(hashes * seed, at) >> np.uint64(32)
+                    minima[full, j] = mix(np.minimum.reduceat(hashes * seed, at)) >> np.uint64(48)
                 for i in full:
                     own = np.unique(hashes[begin[i] : begin[i + 1]])
                     size[i], a[i], b[i] = len(own), own.sum(), (own * (own >> np.uint64(7) | np.uint64(1))).sum()
@@ -75,22 +84,60 @@ def _signatures(k: int):
     return run
 
 
+def _unpack(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, POSITIONS)
+
+
 def _children(level: int, second: float):
-    """The children of each (node, document): one position always, another with chance ``second``."""
-    schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("early", pa.bool_())])
+    """The children of each (node, document) after ``STEPS`` steps, each with one position always and another with chance ``second``."""
+    schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("minima", pa.binary()), ("early", pa.bool_())])
 
     def run(batches):
         for batch in batches:
-            early = batch.column(3).to_numpy(zero_copy_only=False)
-            node = batch.column(0).to_numpy().view(np.uint64)
-            doc = batch.column(1).to_numpy()
-            minima = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, POSITIONS)
-            draw = mix(node + np.uint64(mix_int(level)))
-            for turn, chosen in ((1, np.ones(len(node), bool)), (2, (draw >> np.uint64(40)).astype(float) / (1 << 24) < second)):
-                at = (mix(draw + np.uint64(turn)) % np.uint64(POSITIONS)).astype(np.int64)
-                value = minima[np.arange(len(node)), at].astype(np.uint64)
-                child = mix(mix(node * np.uint64(31) + at.astype(np.uint64)) + value)
-                yield slices({"node": child[chosen].view(np.int64), "doc_id": doc[chosen], "early": early[chosen]}, schema)
+            minima = _unpack(batch.column(2))
+            row, node = np.arange(batch.num_rows), batch.column(0).to_numpy().view(np.uint64)
+            for step in range(STEPS):
+                draw = mix(node + np.uint64(mix_int(level * STEPS + step)))
+                one, other = ((mix(draw + np.uint64(turn)) % np.uint64(POSITIONS)).astype(np.int64) for turn in (1, 2))
+                twice = ((draw >> np.uint64(40)).astype(float) / (1 << 24) < second) & (one != other)
+                row, at = np.concatenate([row, row[twice]]), np.concatenate([one, other[twice]])
+                node = np.concatenate([node, node[twice]])
+                node = mix(mix(node * np.uint64(31) + at.astype(np.uint64)) + minima[row, at].astype(np.uint64))
+            rest = batch.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *rest.columns[1:]], schema=schema)
+
+    return run
+
+
+def least_equal(percent: int, miss: float = 1e-6) -> int:
+    """The largest number of equal minima that a pair of similarity ``percent`` / 100 falls short of with a chance of at most ``miss``."""
+    s, below = percent / 100, 0.0
+    for equal in range(POSITIONS + 1):
+        below += math.comb(POSITIONS, equal) * s**equal * (1 - s) ** (POSITIONS - equal)
+        if below > miss:
+            return equal
+    return POSITIONS
+
+
+def _partners(least: int):
+    """The documents of each node that may be linked with another one of it to which they are not yet connected."""
+    schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("component", pa.int64())])
+
+    def run(batches):
+        for table in groups(batches, "node"):
+            minima = _unpack(table.column("minima").combine_chunks())
+            known = table.column("component").to_numpy()
+            keep = np.zeros(len(known), bool)
+            for a in range(0, len(known), 256):
+                part = slice(a, a + 256)
+                near = known[part, None] != known
+                equal = np.zeros(near.shape, np.uint8)
+                for j in range(POSITIONS):
+                    equal += minima[part, j, None] == minima[:, j]
+                keep[part] = (near & (equal >= least)).any(axis=1)
+            if keep.any():
+                chosen = table.select(schema.names).filter(pa.array(keep)).combine_chunks()
+                yield from (pa.RecordBatch.from_arrays(b.columns, schema=schema) for b in chosen.to_batches())
 
     return run
 
@@ -142,20 +189,21 @@ def _label(rows: DataFrame, known: DataFrame | None) -> DataFrame:
 
 
 def _edges(leaves: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links found in ``leaves (node, doc_id, component)``. Nodes whose documents are all connected
-    already, and nodes with the same documents as another, are left out before any text moves."""
-    leaves = materialize(leaves.distinct())
+    """Links found in ``leaves (node, doc_id, minima, component)``. Nodes whose documents are all connected already,
+    nodes with the same documents as another, and documents without a partner are left out before any text moves."""
+    leaves = materialize(leaves.dropDuplicates(["node", "doc_id", "minima"]))
     nodes = leaves.groupBy("node").agg(
         F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"),
         F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64(F.col("doc_id") + 1)).alias("y"),
     )
     nodes = nodes.where("n > 1 and low < high").groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node")
-    rows = materialize(leaves.join(nodes, "node").select("node", "doc_id", "component")).join(texts, "doc_id")
-    rows = rows.select("node", "doc_id", "component", "text").repartition("node").sortWithinPartitions("node", "doc_id")
+    rows = leaves.join(nodes, "node").select("node", "doc_id", "minima", "component").repartition("node").sortWithinPartitions("node", "doc_id")
+    rows = materialize(rows.mapInArrow(_partners(least_equal(percent)), "node long, doc_id long, component long").distinct())
+    rows = rows.join(texts, "doc_id").select("node", "doc_id", "component", "text").repartition("node").sortWithinPartitions("node", "doc_id")
     return rows.mapInArrow(_compare(k, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int = 8, leaf: int = 64, depth: int = 6, second: float = 0.18, seed: int = 17) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int = 8, leaf: int = 64, depth: int = 3, second: float = 0.18, seed: int = 17) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row for each row of ``docs (doc_id, text)``.
 
     Documents are linked when 100 * |intersection| >= ``percent`` * |union|, confirmed on full sets.
@@ -195,20 +243,18 @@ def _grow(unique: DataFrame, trees: range, first: range, leaf: int, depth: int,
     level = unique.select(roots.alias("node"), "doc_id", "minima").withColumn("early", F.element_at(tag, F.col("node")))
     grown, large = [], level
     for at in range(depth):
-        level = materialize(large.select("node", "doc_id", "minima", "early").mapInArrow(_children(at, second), "node long, doc_id long, early boolean").distinct())
+        level = materialize(large.select("node", "doc_id", "minima", "early").mapInArrow(_children(at, second), "node long, doc_id long, minima binary, early boolean"))
         sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", "node")).alias("hub")).where("n > 1")
         sized, state = observed(level.join(sizes, "node"), F.count_if(F.col("n") > leaf).alias("large"))
-        grown.append(sized.where(F.col("n") <= leaf).select("node", "doc_id", "early"))
+        grown.append(sized.where(F.col("n") <= leaf).select("node", "doc_id", "minima", "early"))
         large = sized.where(F.col("n") > leaf)
         if not state["large"]:
             break
         grown.append(_with_hub(large, leaf))
-        if at + 1 < depth:
-            large = large.join(unique, "doc_id")
     every = grown[0]
     for more in grown[1:]:
         every = every.unionByName(more)
-    return every.where("early").drop("early"), every.where("not early").drop("early"), large.select("node", "doc_id", "n")
+    return every.where("early").drop("early"), every.where("not early").drop("early"), large.select("node", "doc_id", "minima", "n")
 
 
 def _merge(known: DataFrame, more: DataFrame) -> DataFrame:
@@ -220,8 +266,9 @@ def _merge(known: DataFrame, more: DataFrame) -> DataFrame:
 def _with_hub(large: DataFrame, leaf: int) -> DataFrame:
     """A large node's documents in parts of about ``leaf``, each beside the node's hub."""
     part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.ceil(F.col("n") / leaf))
-    rows = large.select(F.xxhash64("node", part).alias("node"), "doc_id", "early", "hub")
-    return rows.select("node", "doc_id", "early").unionByName(rows.select("node", F.col("hub").alias("doc_id"), "early").distinct())
+    rows = large.select("doc_id", "minima", "early", "n", F.xxhash64("node", part).alias("part"), F.col("node").alias("whole"), "hub")
+    hubs = rows.where("doc_id = hub").select(F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / leaf) - 1), lambda p: F.xxhash64("whole", p))).alias("node"), "doc_id", "minima", "early")
+    return rows.select(F.col("part").alias("node"), "doc_id", "minima", "early").unionByName(hubs)
 
 
 def _blocks(large: DataFrame, leaf: int) -> DataFrame:
@@ -232,9 +279,9 @@ def _blocks(large: DataFrame, leaf: int) -> DataFrame:
     rows = large.join(main, "node")
     blocks, outside = F.ceil(F.col("n") / leaf).cast("int"), F.ceil(F.col("others") / leaf).cast("int")
     own, odd = F.pmod(F.xxhash64("doc_id", F.lit(5)), blocks), F.pmod(F.xxhash64("doc_id", F.lit(7)), outside)
-    every = rows.select("node", own.alias("block"), F.explode(F.sequence(F.lit(0), outside - 1)).alias("odd"), "doc_id", "component")
-    others = rows.where("component <> main").select("node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), odd.alias("odd"), "doc_id", "component")
-    return every.unionByName(others).select(F.xxhash64("node", "block", "odd").alias("node"), "doc_id", "component")
+    every = rows.select("node", own.alias("block"), F.explode(F.sequence(F.lit(0), outside - 1)).alias("odd"), "doc_id", "minima", "component")
+    others = rows.where("component <> main").select("node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), odd.alias("odd"), "doc_id", "minima", "component")
+    return every.unionByName(others).select(F.xxhash64("node", "block", "odd").alias("node"), "doc_id", "minima", "component")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
