@@ -14,8 +14,10 @@ known to be connected matter, and these are compared with the whole node, block
 
 A node's documents are first compared exhaustively by their minima, which travel with them as 16 bits a
 position: the number of equal ones is binomial, so a pair at the threshold falls below ``least_equal``
-with a probability of at most one in a million. Texts move only for documents that have a partner left
-in their node; links are decided on full shingle sets.
+with a probability of at most one in a million. Documents that have a partner left in their node are
+compared again by ``WIDE`` further minima of 8 bits, which leave far fewer pairs below the threshold
+(chance values only ever make minima equal, so the bound on a lost pair holds again). Texts move only
+for documents that still have a partner; links are decided on full shingle sets.
 
 Documents that are known to be connected are never compared with each other, so a group of n near
 copies costs about n comparisons and never n * n rows.
@@ -36,9 +38,10 @@ from pyspark.sql import functions as F
 from .shared import LOWER, connected_components, documents, groups, materialize, mix, mix_int, observed, slices, small_batches, utf8, word_hashes, words
 
 POSITIONS = 32
+WIDE = 128
 STEPS = 2
-_SEEDS = np.random.default_rng(9).integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, minima binary"
+_SEEDS = np.random.default_rng(9).integers(1, 1 << 63, POSITIONS + WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, minima binary, wide binary"
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,28 +67,32 @@ def distinct_sets(hashes: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
 
 def _signatures(k: int):
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("minima", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("minima", pa.binary()), ("wide", pa.binary())])
         for batch in small_batches(batches):
             data, offsets = utf8(batch.column(1))
             hashes, begin = shingle_hashes(data, offsets, k)
             n = len(begin) - 1
             size, a, b = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            minima = np.zeros((n, POSITIONS), np.uint16)
+            minima, wide = np.zeros((n, POSITIONS), np.uint16), np.zeros((n, WIDE), np.uint8)
             full = np.flatnonzero(np.diff(begin))
             if len(full):
                 at = begin[:-1][full]
                 for j, seed in enumerate(_SEEDS):
-                    minima[full, j] = mix(np.minimum.reduceat(hashes * seed, at)) >> np.uint64(48)
+                    low = mix(np.minimum.reduceat(hashes * seed, at))
+                    if j < POSITIONS:
+                        minima[full, j] = low >> np.uint64(48)
+                    else:
+                        wide[full, j - POSITIONS] = low >> np.uint64(56)
                 for i in full:
                     own = np.unique(hashes[begin[i] : begin[i + 1]])
                     size[i], a[i], b[i] = len(own), own.sum(), (own * (own >> np.uint64(7) | np.uint64(1))).sum()
-            yield slices({"doc_id": batch.column(0), "n_shingles": size, "set_a": mix(a).view(np.int64), "set_b": mix(b).view(np.int64), "minima": [x.tobytes() for x in minima]}, schema)
+            yield slices({"doc_id": batch.column(0), "n_shingles": size, "set_a": mix(a).view(np.int64), "set_b": mix(b).view(np.int64), "minima": [x.tobytes() for x in minima], "wide": [x.tobytes() for x in wide]}, schema)
 
     return run
 
 
-def _unpack(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, POSITIONS)
+def _unpack(column: pa.Array, kind: type = np.uint16, positions: int = POSITIONS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, positions)
 
 
 def _children(level: int, second: float):
@@ -109,30 +116,30 @@ def _children(level: int, second: float):
     return run
 
 
-def least_equal(percent: int, miss: float = 1e-6) -> int:
+def least_equal(percent: int, positions: int = POSITIONS, miss: float = 1e-6) -> int:
     """The largest number of equal minima that a pair of similarity ``percent`` / 100 falls short of with a chance of at most ``miss``."""
     s, below = percent / 100, 0.0
-    for equal in range(POSITIONS + 1):
-        below += math.comb(POSITIONS, equal) * s**equal * (1 - s) ** (POSITIONS - equal)
+    for equal in range(positions + 1):
+        below += math.comb(positions, equal) * s**equal * (1 - s) ** (positions - equal)
         if below > miss:
             return equal
-    return POSITIONS
+    return positions
 
 
-def _partners(least: int):
-    """The documents of each node that may be linked with another one of it to which they are not yet connected."""
+def _partners(least: int, column: str = "minima", kind: type = np.uint16, positions: int = POSITIONS):
+    """By the minima in ``column``, the documents of each node that may be linked with another one of it to which they are not yet connected."""
     schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("component", pa.int64())])
 
     def run(batches):
         for table in groups(batches, "node"):
-            minima = _unpack(table.column("minima").combine_chunks())
+            minima = _unpack(table.column(column).combine_chunks(), kind, positions)
             known = table.column("component").to_numpy()
             keep = np.zeros(len(known), bool)
             for a in range(0, len(known), 256):
                 part = slice(a, a + 256)
                 near = known[part, None] != known
                 equal = np.zeros(near.shape, np.uint8)
-                for j in range(POSITIONS):
+                for j in range(positions):
                     equal += minima[part, j, None] == minima[:, j]
                 keep[part] = (near & (equal >= least)).any(axis=1)
             if keep.any():
@@ -188,18 +195,40 @@ def _label(rows: DataFrame, known: DataFrame | None) -> DataFrame:
     return rows.withColumn("component", F.coalesce("component", "doc_id"))
 
 
-def _edges(leaves: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links found in ``leaves (node, doc_id, minima, component)``. Nodes whose documents are all connected already,
-    nodes with the same documents as another, and documents without a partner are left out before any text moves."""
-    leaves = materialize(leaves.dropDuplicates(["node", "doc_id", "minima"]))
-    nodes = leaves.groupBy("node").agg(
+def _only(rows: DataFrame, ids: DataFrame, bits: int = 1 << 21) -> DataFrame:
+    """The rows whose doc_id may be in ``ids``, before they are shuffled for the join with it. A bitmap of ``bits``
+    hashed places is broadcast: ``bits`` / 8 bytes at any size of ``ids``. If it fills up, more rows pass and none is lost."""
+
+    def place(df: DataFrame) -> DataFrame:
+        return df.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
+
+    maps = place(ids).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("map"))
+    near = place(rows).withColumn("bucket", F.bitmap_bucket_number("place")).join(F.broadcast(maps), "bucket")
+    byte = "cast(conv(hex(substring(map, cast(bitmap_bit_position(place) div 8 as int) + 1, 1)), 16, 10) as int)"
+    return near.where(f"bit_get({byte}, cast(bitmap_bit_position(place) % 8 as int)) = 1").select(rows.columns)
+
+
+def _needed(rows: DataFrame) -> DataFrame:
+    """The nodes of ``rows (node, doc_id, component)`` whose documents are not all connected already; of nodes with
+    the same documents, as different trees often make them, only one."""
+    nodes = rows.groupBy("node").agg(
         F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"),
         F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64(F.col("doc_id") + 1)).alias("y"),
     )
-    nodes = nodes.where("n > 1 and low < high").groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node")
-    rows = leaves.join(nodes, "node").select("node", "doc_id", "minima", "component").repartition("node").sortWithinPartitions("node", "doc_id")
+    return nodes.where("n > 1 and low < high").groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node")
+
+
+def _edges(leaves: DataFrame, texts: DataFrame, wide: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links found in ``leaves (node, doc_id, minima, component)``. Nodes that are not needed
+    and documents without a partner are left out before any text moves."""
+    leaves = materialize(leaves.dropDuplicates(["node", "doc_id", "minima"]))
+    rows = leaves.join(_needed(leaves), "node").select("node", "doc_id", "minima", "component").repartition("node").sortWithinPartitions("node", "doc_id")
     rows = materialize(rows.mapInArrow(_partners(least_equal(percent)), "node long, doc_id long, component long").distinct())
-    rows = rows.join(texts, "doc_id").select("node", "doc_id", "component", "text").repartition("node").sortWithinPartitions("node", "doc_id")
+    rows = rows.join(_only(wide, rows), "doc_id").select("node", "doc_id", "component", "wide").repartition("node").sortWithinPartitions("node", "doc_id")
+    by_wide = _partners(least_equal(percent, WIDE), "wide", np.uint8, WIDE)
+    rows = materialize(rows.mapInArrow(by_wide, "node long, doc_id long, component long").distinct())
+    rows = materialize(rows.join(_needed(rows), "node").select(rows.columns))
+    rows = rows.join(_only(texts, rows), "doc_id").select("node", "doc_id", "component", "text").repartition("node").sortWithinPartitions("node", "doc_id")
     return rows.mapInArrow(_compare(k, percent), "a long, b long")
 
 
@@ -214,6 +243,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
     classes = materialize(signed.where("n_shingles > 0").join(classes, ["set_a", "set_b"]).select("doc_id", "class_id", "minima"))
     unique = classes.where("doc_id = class_id").select("doc_id", "minima")
 
+    wide = signed.where("n_shingles > 0").select("doc_id", "wide")
+
     first = range(min(2, trees))
     early, late, never_small = _grow(unique, range(trees), first, leaf, depth, second, seed)
     known, edges = None, []
@@ -221,7 +252,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
         rows = _label(leaves, known)
         if large is not None:
             rows = rows.unionByName(_blocks(_label(large, known), leaf))
-        edges.append(materialize(_edges(rows, texts, k, percent)))
+        edges.append(materialize(_edges(rows, texts, wide, k, percent)))
         if known is None:
             known = connected_components(edges[0])
     joined = edges[1].select(F.col("a").alias("id"), "b").join(known.withColumnRenamed("component", "ca"), "id", "left").select(F.coalesce("ca", "id").alias("a"), F.col("b").alias("id"))
