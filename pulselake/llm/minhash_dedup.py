@@ -24,6 +24,9 @@ copies costs about n comparisons and never n * n rows.
 
 Defined results: null text = no words; repeated and tied rows each keep their own row; an empty
 table gives an empty table; extra columns are ignored by ``near_duplicates`` and kept by ``keep_one``.
+Exactly one row of each group is kept: that of the smallest doc_id (null comes after all others, and names
+a group only if the group has no other id), of equal doc_ids that of the smallest fingerprint of the text, of
+rows that agree in both any one. Rows without words are all kept. A doc_id with several texts may be in several groups.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ POSITIONS = 32
 WIDE = 128
 STEPS = 2
 _SEEDS = np.random.default_rng(9).integers(1, 1 << 63, POSITIONS + WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, minima binary, wide binary"
+_SCHEMA = "doc_id long, print long, n_shingles long, set_a long, set_b long, minima binary, wide binary"
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,9 +70,9 @@ def distinct_sets(hashes: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
 
 def _signatures(k: int):
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("minima", pa.binary()), ("wide", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("minima", pa.binary()), ("wide", pa.binary())])
         for batch in small_batches(batches):
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(2))
             hashes, begin = shingle_hashes(data, offsets, k)
             n = len(begin) - 1
             size, a, b = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
@@ -86,7 +89,7 @@ def _signatures(k: int):
                 for i in full:
                     own = np.unique(hashes[begin[i] : begin[i + 1]])
                     size[i], a[i], b[i] = len(own), own.sum(), (own * (own >> np.uint64(7) | np.uint64(1))).sum()
-            yield slices({"doc_id": batch.column(0), "n_shingles": size, "set_a": mix(a).view(np.int64), "set_b": mix(b).view(np.int64), "minima": [x.tobytes() for x in minima], "wide": [x.tobytes() for x in wide]}, schema)
+            yield slices({"doc_id": batch.column(0), "print": batch.column(1), "n_shingles": size, "set_a": mix(a).view(np.int64), "set_b": mix(b).view(np.int64), "minima": [x.tobytes() for x in minima], "wide": [x.tobytes() for x in wide]}, schema)
 
     return run
 
@@ -126,9 +129,10 @@ def least_equal(percent: int, positions: int = POSITIONS, miss: float = 1e-6) ->
     return positions
 
 
-def _partners(least: int, column: str = "minima", kind: type = np.uint16, positions: int = POSITIONS):
-    """By the minima in ``column``, the documents of each node that may be linked with another one of it to which they are not yet connected."""
-    schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("component", pa.int64())])
+def _partners(least: int, column: str = "minima", kind: type = np.uint16, positions: int = POSITIONS, more: tuple[str, ...] = ()):
+    """By the minima in ``column``, the documents of each node that may be linked with another one of it to which they are not
+    yet connected. ``more`` columns travel along."""
+    schema = pa.schema([(c, pa.int64()) for c in ("node", "doc_id", "component", *more)])
 
     def run(batches):
         for table in groups(batches, "node"):
@@ -195,12 +199,12 @@ def _label(rows: DataFrame, known: DataFrame | None) -> DataFrame:
     return rows.withColumn("component", F.coalesce("component", "doc_id"))
 
 
-def _only(rows: DataFrame, ids: DataFrame, bits: int = 1 << 21) -> DataFrame:
-    """The rows whose doc_id may be in ``ids``, before they are shuffled for the join with it. A bitmap of ``bits``
+def _only(rows: DataFrame, ids: DataFrame, on: str = "doc_id", bits: int = 1 << 21) -> DataFrame:
+    """The rows whose value of ``on`` may be in ``ids``, before they are shuffled for the join with it. A bitmap of ``bits``
     hashed places is broadcast: ``bits`` / 8 bytes at any size of ``ids``. If it fills up, more rows pass and none is lost."""
 
     def place(df: DataFrame) -> DataFrame:
-        return df.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
+        return df.withColumn("place", F.pmod(F.xxhash64(on), F.lit(bits)))
 
     maps = place(ids).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("map"))
     near = place(rows).withColumn("bucket", F.bitmap_bucket_number("place")).join(F.broadcast(maps), "bucket")
@@ -224,26 +228,51 @@ def _edges(leaves: DataFrame, texts: DataFrame, wide: DataFrame, k: int, percent
     leaves = materialize(leaves.dropDuplicates(["node", "doc_id", "minima"]))
     rows = leaves.join(_needed(leaves), "node").select("node", "doc_id", "minima", "component").repartition("node").sortWithinPartitions("node", "doc_id")
     rows = materialize(rows.mapInArrow(_partners(least_equal(percent)), "node long, doc_id long, component long").distinct())
-    rows = rows.join(_only(wide, rows), "doc_id").select("node", "doc_id", "component", "wide").repartition("node").sortWithinPartitions("node", "doc_id")
-    by_wide = _partners(least_equal(percent, WIDE), "wide", np.uint8, WIDE)
-    rows = materialize(rows.mapInArrow(by_wide, "node long, doc_id long, component long").distinct())
+    rows = rows.join(_only(wide, rows), "doc_id").select("node", "doc_id", "component", "name", "print", "wide").repartition("node").sortWithinPartitions("node", "doc_id")
+    by_wide = _partners(least_equal(percent, WIDE), "wide", np.uint8, WIDE, ("name", "print"))
+    rows = materialize(rows.mapInArrow(by_wide, "node long, doc_id long, component long, name long, print long").distinct())
     rows = materialize(rows.join(_needed(rows), "node").select(rows.columns))
-    rows = rows.join(_only(texts, rows), "doc_id").select("node", "doc_id", "component", "text").repartition("node").sortWithinPartitions("node", "doc_id")
+    # rows that agree in doc_id and text are combined before they move, so a row that stands m times comes once
+    once = _only(texts, rows, "print").groupBy("name", "print").agg(F.any_value("text").alias("text"))
+    rows = rows.join(once, ["name", "print"]).select("node", "doc_id", "component", "text").repartition("node").sortWithinPartitions("node", "doc_id")
     return rows.mapInArrow(_compare(k, percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int = 8, leaf: int = 64, depth: int = 3, second: float = 0.18, seed: int = 17) -> DataFrame:
+def _identified(docs: DataFrame) -> DataFrame:
+    """``docs`` with the identity of a row, ``(name, print)``: doc_id, and a fingerprint of the text and of a missing doc_id."""
+    name = F.col("doc_id").cast("long")
+    return docs.withColumns({"name": F.coalesce(name, F.lit(0).cast("long")), "print": F.xxhash64(name.isNull(), "text")})
+
+
+def _set_id(sets: DataFrame) -> F.Column:
+    """An id of (set_a, set_b) in 64 bits: salted anew in the unlikely case that two of the distinct ``sets`` share one."""
+    for salt in range(20):
+        out = F.xxhash64(F.lit(salt), "set_a", "set_b")
+        if sets.groupBy(out.alias("id")).count().where("count > 1").isEmpty():
+            return out
+    raise RuntimeError("no ids without a collision")
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row for each row of ``docs (doc_id, text)``.
 
     Documents are linked when 100 * |intersection| >= ``percent`` * |union|, confirmed on full sets.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(texts.mapInArrow(_signatures(k), _SCHEMA))
-    classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("class_id"))
-    classes = materialize(signed.where("n_shingles > 0").join(classes, ["set_a", "set_b"]).select("doc_id", "class_id", "minima"))
-    unique = classes.where("doc_id = class_id").select("doc_id", "minima")
-
-    wide = signed.where("n_shingles > 0").select("doc_id", "wide")
+    return _judged(docs, **how).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, k: int = 3, percent: int = 85, trees: int = 8, leaf: int = 64, depth: int = 3, second: float = 0.18, seed: int = 17) -> DataFrame:
+    """``near_duplicates`` with the ``print`` of each row."""
+    texts = _identified(docs.select("doc_id", "text"))
+    signed = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "print", "text").mapInArrow(_signatures(k), _SCHEMA)
+    signed = materialize(signed.withColumn("row", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "print", "row")).alias("first")
+    sets = materialize(signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(first, F.any_value("minima").alias("minima"), F.any_value("wide").alias("wide")))
+    set_id = _set_id(sets)
+    # from here to the components, doc_id is the id of a set: one row for all rows of equal sets
+    unique = sets.select(set_id.alias("doc_id"), "minima")
+    wide = sets.select(set_id.alias("doc_id"), "wide", F.coalesce("first.doc_id", F.lit(0).cast("long")).alias("name"), "first.print")
+    texts = texts.select("name", "print", "text")
 
     first = range(min(2, trees))
     early, late, never_small = _grow(unique, range(trees), first, leaf, depth, second, seed)
@@ -259,11 +288,11 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
     joined = joined.join(known.withColumnRenamed("component", "cb"), "id", "left").select("a", F.coalesce("cb", "id").alias("b"))
     known = _merge(known, connected_components(joined))
 
-    found = classes.select("doc_id", "class_id")
-    found = found.join(known.withColumnRenamed("id", "class_id"), "class_id", "left").select("doc_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    found = sets.select(set_id.alias("id"), "first").join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component"), "first")
+    found = found.select("id", "component").join(found.groupBy("component").agg(F.min("first").alias("first")), "component").select("id", "first")
+    out = signed.select("doc_id", "print", "n_shingles", "row", F.when(F.col("n_shingles") > 0, set_id).alias("id")).join(found, "id", "left")
+    component = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return out.select("doc_id", "print", "n_shingles", component.alias("component_id"), F.coalesce(F.col("row") == F.col("first.row"), F.lit(True)).alias("kept"))
 
 
 def _grow(unique: DataFrame, trees: range, first: range, leaf: int, depth: int, second: float, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -316,9 +345,17 @@ def _blocks(large: DataFrame, leaf: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its group, columns unchanged."""
-    kept = near_duplicates(docs, **how).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The one row of each group of ``docs`` that is kept, columns unchanged."""
+    judged = _judged(docs, **how)
+    keys = judged.groupBy(F.coalesce("doc_id", F.lit(0).cast("long")).alias("name"), "print").agg(F.max("kept").alias("kept"), ((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("repeated"))
+    keys, state = observed(keys.where("kept").select("name", "print", "repeated"), F.count_if("repeated").alias("repeated"))
+    packed = _identified(docs.select("doc_id", "text", F.struct("*").alias("whole"))).select("name", "print", "whole")
+    out = packed.join(keys.where("not repeated"), ["name", "print"], "left_semi")
+    if state["repeated"]:
+        more = keys.where("repeated")
+        one = _only(packed, more, "print").join(more, ["name", "print"], "left_semi").groupBy("name", "print").agg(F.first("whole").alias("whole"))
+        out = out.unionByName(one)
+    return out.select("whole.*")
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

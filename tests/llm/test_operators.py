@@ -261,6 +261,26 @@ def test_near_duplicates_against_brute_force(spark):
     assert minhash_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_repeated_and_null_ids_keep_one_row_a_group(spark):
+    one, other, third, alone = prose(60, 900), prose(60, 901), prose(60, 902), prose(60, 903)
+    near = " ".join([*one.split()[:-1], "end"])
+    rows = [(5, one, "a")] * 4 + [(5, other, "b"), (2, other, "c"), (5, third, "d"), (9, near, "e"), (None, one, "f"), (None, alone, "g"), (None, alone, "g"), (7, None, "h"), (7, "", "i"), (7, "", "i"), (0, alone + " more", "j")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, extra string")
+    got = minhash_dedup.near_duplicates(table).collect()
+    assert len(got) == len(rows)
+    pairs = sorted(((r.doc_id, r.component_id) for r in got), key=repr)
+    assert pairs == sorted([(5, 5)] * 4 + [(5, 2), (2, 2), (5, 5), (9, 5), (None, 5), (None, 0), (None, 0), (7, 7), (7, 7), (7, 7), (0, 0)], key=repr)
+    kept = minhash_dedup.keep_one(table)
+    assert kept.columns == table.columns
+    assert sorted(kept.collect(), key=repr) == sorted([(5, one, "a"), (2, other, "c"), (5, third, "d"), (7, None, "h"), (7, "", "i"), (7, "", "i"), (0, alone + " more", "j")], key=repr)
+    assert sum(r.kept for r in got) == kept.count()
+    nulls = spark.createDataFrame([(None, alone), (None, alone), (None, other)], "doc_id long, text string")
+    assert sorted(r.text for r in minhash_dedup.keep_one(nulls).collect()) == sorted([alone, other])
+    many = spark.createDataFrame([(1, one)] * 300 + [(1, near)] * 300 + [(2, other)], "doc_id long, text string")
+    assert minhash_dedup.near_duplicates(many).count() == 601
+    assert sorted(r.doc_id for r in minhash_dedup.keep_one(many).collect()) == [1, 2]
+
+
 def edit_distance(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item):
