@@ -4,9 +4,11 @@ A document's set holds its distinct ``k``-word shingles (A-Z lower-cased; a text
 one shingle; a text without words has an empty set and is linked with nothing). Sets that are equal
 collapse to one representative, so a group of exact copies of any size is one row from here on.
 
-Every tree draws, at each of its nodes, one minwise position and with a small probability a second
+Every tree draws, at each of its nodes, one minwise position and with probability ``second`` another
 one, and sends each document to the children named by its minimum there: a pair of similarity s stays
-together in 1.18 * s children on average. A level takes ``STEPS`` such steps at once. A node with one
+together in (1 + second) * s children on average, which is 1 at the threshold. A level takes ``STEPS`` such
+steps at once. Two trees share the positions they draw from, the next two have others (``BANKS`` times), and there are
+as many trees as ``tree_recall`` asks for at full depth. A node with one
 document ends; a node with at most ``leaf`` documents is compared exhaustively; a larger one branches
 again and, since that costs one comparison a document, also compares all its documents with one of them.
 Nodes that are still large after ``depth`` levels get an exact way: only documents that are not yet
@@ -42,6 +44,7 @@ from .shared import LOWER, connected_components, documents, groups, materialize,
 
 POSITIONS = 32
 WIDE = 128
+BANKS = (POSITIONS + WIDE) // POSITIONS
 STEPS = 2
 _SEEDS = np.random.default_rng(9).integers(1, 1 << 63, POSITIONS + WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SCHEMA = "doc_id long, print long, n_shingles long, set_a long, set_b long, minima binary, wide binary"
@@ -68,7 +71,14 @@ def distinct_sets(hashes: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
     return [np.unique(hashes[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
 
 
-def _signatures(k: int):
+def _bank(tree: int) -> int:
+    """Which ``POSITIONS`` of the seeds a tree draws from."""
+    return tree // 2 % BANKS
+
+
+def _signatures(k: int, banks: int):
+    """Sizes, fingerprints and minima of each row: 16 bits a position of the first ``banks`` banks, and ``WIDE`` of 8 bits."""
+
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("minima", pa.binary()), ("wide", pa.binary())])
         for batch in small_batches(batches):
@@ -76,15 +86,15 @@ def _signatures(k: int):
             hashes, begin = shingle_hashes(data, offsets, k)
             n = len(begin) - 1
             size, a, b = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-            minima, wide = np.zeros((n, POSITIONS), np.uint16), np.zeros((n, WIDE), np.uint8)
+            minima, wide = np.zeros((n, POSITIONS * banks), np.uint16), np.zeros((n, WIDE), np.uint8)
             full = np.flatnonzero(np.diff(begin))
             if len(full):
                 at = begin[:-1][full]
                 for j, seed in enumerate(_SEEDS):
                     low = mix(np.minimum.reduceat(hashes * seed, at))
-                    if j < POSITIONS:
+                    if j < POSITIONS * banks:
                         minima[full, j] = low >> np.uint64(48)
-                    else:
+                    if j >= POSITIONS:
                         wide[full, j - POSITIONS] = low >> np.uint64(56)
                 for i in full:
                     own = np.unique(hashes[begin[i] : begin[i + 1]])
@@ -129,6 +139,28 @@ def least_equal(percent: int, positions: int = POSITIONS, miss: float = 1e-6) ->
     return positions
 
 
+def tree_recall(percent: int, trees: int, depth: int, second: float) -> float:
+    """The chance that a pair of similarity ``percent`` / 100 meets in a node of some tree after ``depth`` levels. Trees of a
+    bank see the same number of equal minima, which is binomial; chance values and hubs, which only add, are left out."""
+
+    def meets(s: float) -> float:
+        out = 1.0
+        for _ in range(depth * STEPS):
+            out = 1 - (1 - s * out) * (1 - second * (1 - 1 / POSITIONS) * s * out)
+        return out
+
+    s, miss = percent / 100, 1.0
+    for bank in range(BANKS):
+        own = sum(_bank(t) == bank for t in range(trees))
+        miss *= sum(math.comb(POSITIONS, e) * s**e * (1 - s) ** (POSITIONS - e) * (1 - meets(e / POSITIONS)) ** own for e in range(POSITIONS + 1))
+    return 1 - miss
+
+
+def trees_for(percent: int, recall: float, depth: int, second: float) -> int:
+    """The smallest even number of trees with that recall, and 200 where none has it."""
+    return next((t for t in range(2, 200, 2) if tree_recall(percent, t, depth, second) >= recall), 200)
+
+
 def _partners(least: int, column: str = "minima", kind: type = np.uint16, positions: int = POSITIONS, more: tuple[str, ...] = ()):
     """By the minima in ``column``, the documents of each node that may be linked with another one of it to which they are not
     yet connected. ``more`` columns travel along."""
@@ -261,10 +293,13 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     return _judged(docs, **how).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _judged(docs: DataFrame, k: int = 3, percent: int = 85, trees: int = 8, leaf: int = 64, depth: int = 3, second: float = 0.18, seed: int = 17) -> DataFrame:
-    """``near_duplicates`` with the ``print`` of each row."""
+def _judged(docs: DataFrame, k: int = 3, percent: int = 85, trees: int | None = None, leaf: int = 64, depth: int = 3, second: float | None = None, seed: int = 17, recall: float = 0.995) -> DataFrame:
+    """``near_duplicates`` with the ``print`` of each row. ``second`` and ``trees`` follow from ``percent`` and ``recall`` unless given."""
+    second = min(100 / percent - 1, 1.0) if second is None else second
+    trees = trees_for(percent, recall, depth, second) if trees is None else trees
+    banks = max(map(_bank, range(trees))) + 1
     texts = _identified(docs.select("doc_id", "text"))
-    signed = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "print", "text").mapInArrow(_signatures(k), _SCHEMA)
+    signed = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "print", "text").mapInArrow(_signatures(k, banks), _SCHEMA)
     signed = materialize(signed.withColumn("row", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "print", "row")).alias("first")
     sets = materialize(signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(first, F.any_value("minima").alias("minima"), F.any_value("wide").alias("wide")))
@@ -298,9 +333,9 @@ def _judged(docs: DataFrame, k: int = 3, percent: int = 85, trees: int = 8, leaf
 def _grow(unique: DataFrame, trees: range, first: range, leaf: int, depth: int, second: float, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All trees at once, level by level: the leaves of the ``first`` trees, those of the others, and the nodes
     that are still large at the end."""
-    tag = F.create_map(*[x for t in trees for x in (F.lit(mix_int(seed * 1000 + t) - (1 << 63)), F.lit(t in first))])
-    roots = F.explode(F.array(*[F.lit(mix_int(seed * 1000 + t) - (1 << 63)) for t in trees]))
-    level = unique.select(roots.alias("node"), "doc_id", "minima").withColumn("early", F.element_at(tag, F.col("node")))
+    size = 2 * POSITIONS
+    roots = [F.struct(F.lit(mix_int(seed * 1000 + t) - (1 << 63)).alias("node"), F.substring("minima", 1 + size * _bank(t), size).alias("minima"), F.lit(t in first).alias("early")) for t in trees]
+    level = unique.select("doc_id", F.explode(F.array(*roots)).alias("root")).select("root.node", "doc_id", "root.minima", "root.early")
     grown, large = [], level
     for at in range(depth):
         level = materialize(large.select("node", "doc_id", "minima", "early").mapInArrow(_children(at, second), "node long, doc_id long, minima binary, early boolean"))

@@ -281,6 +281,24 @@ def test_repeated_and_null_ids_keep_one_row_a_group(spark):
     assert sorted(r.doc_id for r in minhash_dedup.keep_one(many).collect()) == [1, 2]
 
 
+def test_trees_follow_from_threshold_and_recall():
+    for percent in (80, 85, 90):
+        second = 100 / percent - 1
+        trees = minhash_dedup.trees_for(percent, 0.995, 3, second)
+        assert minhash_dedup.tree_recall(percent, trees, 3, second) >= 0.995 > minhash_dedup.tree_recall(percent, trees - 2, 3, second)
+
+
+def test_recall_of_pairs_in_large_groups(spark):
+    shared, texts = prose(240, 7000), []
+    for i in range(120):
+        private = prose(30, 8000 + i)
+        texts += [f"{shared} {private} {prose(33, 9000 + 2 * i + j)}" for j in (0, 1)]
+    sets = [shingles(t, 5) for t in texts]
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs(spark, texts), k=5, percent=80, leaf=16).collect()}
+    assert len(links) == 120 and sum(got[i] == got[j] for i, j in links) >= 0.99 * len(links)
+
+
 def edit_distance(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item):
