@@ -62,7 +62,18 @@ def head(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, 1 / (1 + np.exp(-np.clip(h @ model["w2"] + model["b2"], -30, 30)))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, sample_chunks: int = 8, epochs: int = 10, rate: float = 0.01) -> dict:
+def sampled(text: bytes, sample_chunks: int = 8) -> tuple[int, bytes]:
+    """The size of a text and those of its chunks that the fit uses, each with the bytes that filters reach beyond it."""
+    starts = chunk_starts(len(text))
+    starts = starts[np.unique(np.linspace(0, len(starts) - 1, sample_chunks).astype(int))]
+    return len(text), b"".join(text[a : a + CHUNK + WIDTH - 1].ljust(CHUNK + WIDTH - 1, b"\0") for a in starts.tolist())
+
+
+def fit(texts: list[bytes], labels: np.ndarray, sample_chunks: int = 8, **how) -> dict:
+    return fit_sampled([sampled(t, sample_chunks) for t in texts], labels, sample_chunks, **how)
+
+
+def fit_sampled(texts: list[tuple[int, bytes]], labels: np.ndarray, sample_chunks: int = 8, epochs: int = 10, rate: float = 0.01) -> dict:
     """Adam on the log loss; only the places of the largest responses pass gradients to the filters."""
     rng = np.random.default_rng(SEED)
     wide = 3 * FILTERS + 2
@@ -71,15 +82,13 @@ def fit(texts: list[bytes], labels: np.ndarray, sample_chunks: int = 8, epochs:
         "w1": rng.normal(0, wide**-0.5, (wide, HIDDEN)).astype(np.float32), "b1": np.zeros(HIDDEN, np.float32), "w2": rng.normal(0, 0.25, HIDDEN).astype(np.float32), "b2": np.zeros(1, np.float32),
     }
     chunks, beyond, counts = [], [], []
-    for text in texts:
-        data = np.frombuffer(text, np.uint8)
-        starts = chunk_starts(len(data))
+    for size, data in texts:
+        starts = chunk_starts(size)
         starts = starts[np.unique(np.linspace(0, len(starts) - 1, sample_chunks).astype(int))]
-        padded = np.concatenate([data, np.zeros(CHUNK + WIDTH, np.uint8)])
-        chunks.append(padded[starts[:, None] + np.arange(CHUNK + WIDTH - 1)])
-        beyond.append(starts[:, None] + np.arange(CHUNK) >= max(len(data), 1))
+        chunks.append(np.frombuffer(data, np.uint8).reshape(-1, CHUNK + WIDTH - 1))
+        beyond.append(starts[:, None] + np.arange(CHUNK) >= max(size, 1))
         counts.append(len(starts))
-    sizes = np.array([len(t) for t in texts], np.float32)
+    sizes = np.array([size for size, _ in texts], np.float32)
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items()}
     t = 0
     for epoch in range(epochs):
@@ -159,24 +168,26 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str("" if doc_id is None else doc_id).encode()) % 5 == 0
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, most_bytes: int = 48 << 20, **how) -> dict | float:
-    """The network fitted on ``sample_rows`` labelled rows that are not held out, chosen by a hash; texts beyond
-    ``most_bytes`` in all are left out of the fit. A constant where the labels are all of one kind."""
+def fit_on(docs: DataFrame, labels: DataFrame, sample_rows: int = 3000, **how) -> dict | float:
+    """The network fitted on ``sample_rows`` labelled rows that are not held out, chosen by a hash; of each text
+    only the chunks that the fit uses come to the driver, about 4 KB. A constant where the labels are all of one kind."""
     rule = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & rule).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most sample_rows rows
-    texts, marks, held = [], [], 0
-    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator():
-        text = (r.text or "").encode()
-        held += len(text)
-        if held > most_bytes:
-            break
-        texts.append(text)
-        marks.append(r.quality)
+    schema = pa.schema([("quality", pa.int32()), ("size", pa.int64()), ("chunks", pa.binary())])
+
+    def run(batches):
+        for batch in small_batches(batches):
+            cut = [sampled((t or "").encode(), how.get("sample_chunks", 8)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in cut], pa.int64()), pa.array([c for _, c in cut], pa.binary())], schema=schema)
+
+    ordered = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").select(F.col("quality").cast("int").alias("quality"), "text")
+    got = list(ordered.mapInArrow(run, "quality int, size long, chunks binary").toLocalIterator())
+    texts, marks = [(r.size, bytes(r.chunks)) for r in got], [r.quality for r in got]
     if len(set(marks)) < 2:
         return float(np.mean(marks)) if marks else 0.5
-    return fit(texts, np.array(marks, np.float32), **how)
+    return fit_sampled(texts, np.array(marks, np.float32), **how)
 
 
 def _scores(model: dict | float, column: pa.Array) -> np.ndarray:

@@ -59,6 +59,15 @@ def test_quality_network_scores_whole_texts_and_learns(spark):
     assert quality.fit_on(frame, labels.where("false")) == 0.5
 
 
+def test_quality_fit_keeps_the_rows_beside_a_very_long_text(spark):
+    texts = ["word " * (10 << 20), *[prose(20, i) for i in range(20)], *[prose(20, i).upper() for i in range(20)]]
+    rows = spark.createDataFrame([(1, texts[0])] * 1 + [(i + 2, t) for i, t in enumerate(texts[1:])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i + 1, int(i < 21)) for i in range(41)], "doc_id long, quality int").where("doc_id > 0")
+    first = labels.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0).orderBy(F.xxhash64("doc_id")).first().doc_id
+    rows = rows.withColumn("doc_id", F.when(F.col("doc_id") == 1, first).when(F.col("doc_id") == first, 1).otherwise(F.col("doc_id")))
+    assert isinstance(quality.fit_on(rows, labels, epochs=1), dict)
+
+
 def test_quality_scan_equals_place_by_place():
     model = quality.fit([b"abc" * 200, b"xyz" * 90], np.array([1, 0], np.float32), epochs=2)
     for size in (0, 1, 4, 127, 128, 129, 512, 513, 1500):
