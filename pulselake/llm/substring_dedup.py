@@ -7,12 +7,13 @@ without a dictionary. Equal stretches of words get equal symbols but for a few a
 
 For every window of ``window`` words the symbols are found that its own words determine (whatever stands around
 it), and of these, at the highest level that has two, the neighbours whose common name is smallest: the window's
-anchor. Equal windows have equal anchors at equal offsets, and neighbouring windows mostly share theirs, so one row
-stands for some twenty words. Of texts that are equal as a whole only the first goes further; the others go. Anchors that occur in one document only are done with: no window of theirs is repeated.
-Where an anchor occurs in several documents, its windows are compared by full fingerprints among the anchor's
-occurrences, and a window is marked if the smallest document with it is another, smaller one.
+anchor. Equal windows have equal anchors, and neighbouring windows mostly share theirs, so one row stands for all
+windows in a row that have the same anchor: some thirty words, and a whole stretch of text that repeats itself.
+Of texts that are equal as a whole only the first goes further; the others go. Anchors that occur in one document only are done with: no window of theirs is repeated.
+Where an anchor occurs in several documents, its windows are compared by two full fingerprints (128 bits) among the
+anchor's occurrences, and a window is marked if the smallest document with it is another, smaller one.
 
-Hot anchors (more than ``hot`` rows) are compared in salted parts first; what is the smallest of its part then goes
+Hot anchors (more than ``hot`` windows) are compared in salted parts first; what is the smallest of its part then goes
 on by single window, so a passage in a third of all documents is reduced before it meets in one place.
 
 Defined results: null and empty texts have no words; windows are judged on the input; a row is identified by doc_id
@@ -33,11 +34,10 @@ from pyspark.sql import functions as F
 from .shared import WORD_POWERS, documents, fresh, groups, materialize, mix, mix_int, slices, small_batches, utf8, word_hashes, words
 
 ROUNDS = 3
-RUN_ROUNDS = (0,)
 WHOLE = 1 << 30
 
 
-def _name_runs(symbols, starts, breaks, a, b):
+def _name_runs(symbols, breaks, a, b):
     """One symbol for each run of equal symbols; the outer runs of a window may go on outside it."""
     new = np.append(True, symbols[1:] != symbols[:-1])
     new[breaks[breaks < len(symbols)]] = True
@@ -47,10 +47,10 @@ def _name_runs(symbols, starts, breaks, a, b):
     run = np.cumsum(new) - 1
     low = run[np.minimum(a, len(symbols) - 1)] + 1
     high = np.where(b > 0, run[np.maximum(b - 1, 0)], 0)
-    return named, starts[at], np.append(run, len(at))[breaks], low, np.maximum(high, low)
+    return named, np.append(run, len(at))[breaks], low, np.maximum(high, low)
 
 
-def _name_pairs(symbols, starts, breaks, a, b, seed):
+def _name_pairs(symbols, breaks, a, b, seed):
     """Pairs across the split become one symbol; a window's outer symbols may pair with one outside."""
     right = (mix(symbols ^ seed) & np.uint64(1)).astype(bool)
     into = np.zeros(len(symbols) + 1, bool)
@@ -65,7 +65,7 @@ def _name_pairs(symbols, starts, breaks, a, b, seed):
     low = a + right[np.minimum(a, last)]
     high = b - ~right[np.clip(b - 1, 0, last)]
     low = before[np.minimum(low, len(symbols))]
-    return named, starts[at], before[breaks], low, np.maximum(before[np.clip(high, 0, len(symbols))], low)
+    return named, before[breaks], low, np.maximum(before[np.clip(high, 0, len(symbols))], low)
 
 
 def _smallest(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -87,35 +87,33 @@ def _smallest(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarr
     return out
 
 
-def anchors(hashed: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of all rows: first word, anchor name and the anchor's first word."""
+def anchors(hashed: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of all rows: first word and anchor name."""
     count = np.maximum(np.diff(first) - window + 1, 0)
     total = int(count.sum())
     place = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(total)
     if not total:
-        return place, np.zeros(0, np.uint64), place
-    symbols, starts, breaks = hashed, np.arange(len(hashed)), first
+        return place, np.zeros(0, np.uint64)
+    symbols, breaks = hashed, first
     a, b = place, place + window
-    key, at = np.zeros(total, np.uint64), np.zeros(total, np.int64)
-    levels = [(symbols, starts, a, b)]
+    key = np.zeros(total, np.uint64)
+    levels = [(symbols, a, b)]
     for i in range(ROUNDS):
-        if i in RUN_ROUNDS:
-            symbols, starts, breaks, a, b = _name_runs(symbols, starts, breaks, a, b)
-        symbols, starts, breaks, a, b = _name_pairs(symbols, starts, breaks, a, b, np.uint64(mix_int(i + 77)))
-        levels.append((symbols, starts, a, b))
+        symbols, breaks, a, b = _name_runs(symbols, breaks, a, b)
+        symbols, breaks, a, b = _name_pairs(symbols, breaks, a, b, np.uint64(mix_int(i + 77)))
+        levels.append((symbols, a, b))
     left = np.arange(total)
     for i in range(ROUNDS, -1, -1):  # a window without two symbols of its own at one level has them further down
-        symbols, starts, a, b = levels[i]
+        symbols, a, b = levels[i]
         both = mix(mix(symbols[:-1] + np.uint64(i)) ^ symbols[1:])
         has = b[left] > a[left] + 1
         own = left[has]
         if len(own):
-            chosen = _smallest(both, a[own], b[own] - 1)
-            key[own], at[own] = both[chosen], starts[chosen]
+            key[own] = both[_smallest(both, a[own], b[own] - 1)]
         left = left[~has]
         if not len(left):
             break
-    return place, key, at
+    return place, key
 
 
 def _parse(column: pa.Array):
@@ -130,12 +128,11 @@ def _anchor_rows(window: int):
     def run(batches):
         for batch in small_batches(batches):
             *_, first, hashed = _parse(batch.column(2))
-            place, key, at = anchors(hashed, first, window)
+            place, key = anchors(hashed, first, window)
             if not len(place):
                 continue
             row = np.searchsorted(first, place, side="right") - 1
-            new = np.append(True, (at[1:] != at[:-1]) | (key[1:] != key[:-1]) | (row[1:] != row[:-1]))
-            new = np.flatnonzero(new)
+            new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])))
             row = row[new]
             ids, texts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             yield slices({"anchor": key[new].view(np.int64), "doc_id": ids[row], "text_id": texts[row], "first": place[new] - first[row], "n": np.diff(np.append(new, len(place)))}, schema)
@@ -144,7 +141,7 @@ def _anchor_rows(window: int):
 
 
 def _fingerprints(window: int):
-    """Fingerprints of the windows of each shared anchor: ``(part, doc_id, text_id, first, prints)``."""
+    """Fingerprints of the windows of each shared anchor, 128 bits a window: ``(part, doc_id, text_id, first, prints)``."""
     schema = pa.schema([("part", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("text_id", pa.int64()), ("first", pa.int32()), ("prints", pa.binary())])
 
     def run(batches):
@@ -152,7 +149,7 @@ def _fingerprints(window: int):
             *_, first, hashed = _parse(batch.column(2))
             if not len(hashed):
                 continue
-            prefix = WORD_POWERS[0].prefix(hashed)
+            prefixes = [p.prefix(hashed) for p in WORD_POWERS]
             ids, texts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             ranges = batch.column(3)
             flat = ranges.flatten()
@@ -162,10 +159,10 @@ def _fingerprints(window: int):
             n = np.minimum(n, first[row + 1] - first[row] - window + 1 - begin).clip(0)
             total = np.concatenate([[0], np.cumsum(n)])
             at = np.repeat(first[row] + begin - total[:-1], n) + np.arange(total[-1])
-            prints = WORD_POWERS[0].ranges(prefix, at, at + window)
+            prints = np.stack([p.ranges(prefix, at, at + window) for p, prefix in zip(WORD_POWERS, prefixes, strict=True)], axis=1)
             some = np.flatnonzero(n)
             raw = prints.tobytes()
-            yield slices({"part": part[some], "hot": hot[some].astype(bool), "doc_id": ids[row[some]], "text_id": texts[row[some]], "first": begin[some], "prints": [raw[8 * total[i] : 8 * total[i + 1]] for i in some]}, schema)
+            yield slices({"part": part[some], "hot": hot[some].astype(bool), "doc_id": ids[row[some]], "text_id": texts[row[some]], "first": begin[some], "prints": [raw[16 * total[i] : 16 * total[i + 1]] for i in some]}, schema)
 
     return run
 
@@ -179,30 +176,50 @@ def _runs(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + 1
 
 
+_RANGES = "array<struct<first:int,n:int>>"
+
+
+def _ranges(first: np.ndarray, n: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Lists of ``(first, n)``, the next ``size`` of them in each."""
+    flat = pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(n, pa.int32())], ["first", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), flat)
+
+
 def _compare():
-    """Rows of one part (all its occurrences) in; stretches of repeated windows out, and for hot parts the windows
-    that are the smallest of theirs (``print`` not null)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_id", pa.int64()), ("first", pa.int32()), ("n", pa.int32()), ("print", pa.int64())])
+    """Rows of one part (all its occurrences) in; stretches of repeated windows out, and for hot parts the windows that
+    are the smallest of theirs, one row for each text and fingerprint (``print`` not null)."""
+    ranges = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("text_id", pa.int64()), ("ranges", ranges), ("print", pa.int64()), ("other", pa.int64())])
 
     def run(batches):
         for table in groups(batches, "part"):
-            prints = [np.frombuffer(p, np.uint64) for p in table.column("prints").to_pylist()]
+            prints = [np.frombuffer(p, np.uint64).reshape(-1, 2) for p in table.column("prints").to_pylist()]
             count = np.array([len(p) for p in prints])
             owner = np.repeat(np.arange(len(prints)), count)
             value = np.concatenate(prints)
             ids, texts, first = (table.column(c).to_numpy() for c in ("doc_id", "text_id", "first"))
-            _, inverse = np.unique(value, return_inverse=True)
+            order = np.lexsort((value[:, 1], value[:, 0]))
+            inverse = np.empty(len(order), np.int64)
+            inverse[order] = np.cumsum(np.append(0, (value[order[1:]] != value[order[:-1]]).any(axis=1)))
             low = np.full(int(inverse.max()) + 1, np.iinfo(np.int64).max)
             np.minimum.at(low, inverse, ids[owner])
             repeated = low[inverse] < ids[owner]
             place = first[owner] + np.arange(len(value)) - np.repeat(np.cumsum(count) - count, count)
             a, b = _runs(repeated, owner)
             if len(a):
-                yield slices({"doc_id": ids[owner[a]], "text_id": texts[owner[a]], "first": place[a], "n": b - a, "print": [None] * len(a)}, schema)
-            if table.column("hot")[0].as_py():
-                rest = np.flatnonzero(~repeated)
-                o = owner[rest]
-                yield slices({"doc_id": ids[o], "text_id": texts[o], "first": place[rest], "n": np.ones(len(rest), np.int32), "print": value[rest].view(np.int64)}, schema)
+                new = np.flatnonzero(np.append(True, owner[a[1:]] != owner[a[:-1]]))
+                o = owner[a[new]]
+                found = _ranges(place[a], b - a, np.diff(np.append(new, len(a))))
+                yield slices({"doc_id": ids[o], "text_id": texts[o], "ranges": found, "print": [None] * len(o), "other": [None] * len(o)}, schema)
+            rest = np.flatnonzero(~repeated) if table.column("hot")[0].as_py() else a[:0]
+            if len(rest):
+                text = np.unique(texts, return_inverse=True)[1]
+                rest = rest[np.lexsort((place[rest], text[owner[rest]], inverse[rest]))]
+                key = np.stack([inverse[rest], text[owner[rest]]])
+                new = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+                o, v = owner[rest[new]], value[rest[new]].view(np.int64)
+                found = _ranges(place[rest], np.ones(len(rest), np.int32), np.diff(np.append(new, len(rest))))
+                yield slices({"doc_id": ids[o], "text_id": texts[o], "ranges": found, "print": v[:, 0], "other": v[:, 1]}, schema)
 
     return run
 
@@ -211,15 +228,15 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text").where("doc_id is not null")
 
 
-def repeated_windows(docs: DataFrame, window: int = 50, hot: int = 32768) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = 50, hot: int = 1 << 16) -> DataFrame:
     """``(doc_id, text_id, ranges)``: stretches ``(first, n)`` of windows that a smaller document has too."""
     rows = identified(docs)
     found = materialize(rows.mapInArrow(_anchor_rows(window), "anchor long, doc_id long, text_id long, first int, n int"))
-    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("rows")).where("low < high")
-    hits = found.join(materialize(shared.select("anchor", "rows")), "anchor")
-    parts = F.ceil(F.col("rows") / hot)
+    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n").alias("windows")).where("low < high")
+    hits = found.join(materialize(shared.select("anchor", "windows")), "anchor")
+    parts = F.ceil(F.col("windows") / hot)
     part = F.xxhash64("anchor", F.pmod(F.xxhash64("doc_id"), parts))
-    hits = hits.select("doc_id", "text_id", F.struct("first", "n", part.alias("part"), (F.col("rows") > hot).alias("hot")).alias("r"))
+    hits = hits.select("doc_id", "text_id", F.struct("first", "n", part.alias("part"), (F.col("windows") > hot).alias("hot")).alias("r"))
     hits = hits.groupBy("doc_id", "text_id").agg(F.collect_list("r").alias("ranges"))
     equal = rows.select("doc_id", "text_id", F.hash("text").alias("h"), F.length("text").alias("n"))
     first = equal.groupBy("text_id", "h", "n").agg(F.min("doc_id").alias("low"))
@@ -227,13 +244,13 @@ def repeated_windows(docs: DataFrame, window: int = 50, hot: int = 32768) -> Dat
     hits = hits.join(firsts, ["doc_id", "text_id"], "left_semi")
     prints = rows.join(hits, ["doc_id", "text_id"]).select("doc_id", "text_id", "text", "ranges")
     prints = prints.mapInArrow(_fingerprints(window), "part long, hot boolean, doc_id long, text_id long, first int, prints binary")
-    compared = prints.repartition("part").sortWithinPartitions("part").mapInArrow(_compare(), "doc_id long, text_id long, first int, n int, print long")
+    compared = prints.repartition("part").sortWithinPartitions("part").mapInArrow(_compare(), f"doc_id long, text_id long, ranges {_RANGES}, print long, other long")
     compared = materialize(compared)
     smallest = compared.where("print is not null")
-    low = smallest.groupBy("print").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("print", "low")
-    again = smallest.join(low, "print").where("low < doc_id").select("doc_id", "text_id", "first", "n")
-    marked = compared.where("print is null").select("doc_id", "text_id", "first", "n").unionByName(again)
-    marked = marked.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("first", "n")).alias("ranges"))
+    low = smallest.groupBy("print", "other").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("print", "other", "low")
+    again = smallest.join(low, ["print", "other"]).where("low < doc_id").select("doc_id", "text_id", "ranges")
+    marked = compared.where("print is null").select("doc_id", "text_id", "ranges").unionByName(again)
+    marked = marked.groupBy("doc_id", "text_id").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     whole = F.array(F.struct(F.lit(0).alias("first"), F.lit(WHOLE).alias("n")))
     again = equal.join(first, ["text_id", "h", "n"]).where("low < doc_id").select("doc_id", "text_id").distinct()
     return marked.unionByName(again.withColumn("ranges", whole))
