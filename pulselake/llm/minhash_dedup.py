@@ -9,17 +9,21 @@ one, and sends each document to the children named by its minimum there: a pair
 together in (1 + second) * s children on average, which is 1 at the threshold. A level takes ``STEPS`` such
 steps at once. Two trees share the positions they draw from, the next two have others (``BANKS`` times), and there are
 as many trees as ``tree_recall`` asks for at full depth. A node with one
-document ends; a node with at most ``leaf`` documents is compared exhaustively; a larger one branches
-again and, since that costs one comparison a document, also compares all its documents with one of them.
+document ends; a node with at most ``leaf`` documents is compared exhaustively; a larger one branches again.
 Nodes that are still large after ``depth`` levels get an exact way: only documents that are not yet
-known to be connected matter, and these are compared with the whole node, block by block.
+known to be connected matter, and these are compared with the whole node, in blocks of ``block`` documents.
+
+The first two trees come first, and in them the large nodes too, in parts of ``leaf`` documents with one hub that all
+parts share: that connects most of a group of near copies before any other node is looked at. In the trees
+after them the large nodes only branch: the recall is that of leaves alone.
 
 A node's documents are first compared exhaustively by their minima, which travel with them as 16 bits a
 position: the number of equal ones is binomial, so a pair at the threshold falls below ``least_equal``
 with a probability of at most one in a million. Documents that have a partner left in their node are
 compared again by ``WIDE`` further minima of 8 bits, which leave far fewer pairs below the threshold
 (chance values only ever make minima equal, so the bound on a lost pair holds again). Texts move only
-for documents that still have a partner; links are decided on full shingle sets.
+for documents that still have a partner; links are decided on full shingle sets. A node whose texts have more than
+``most_shingles`` shingles is cut into parts that meet in pairs, so no task holds more than two of them.
 
 Documents that are known to be connected are never compared with each other, so a group of n near
 copies costs about n comparisons and never n * n rows.
@@ -209,9 +213,13 @@ def _compare(k: int, percent: int):
                 sets += distinct_sets(*shingle_hashes(data, offsets, k))
             size = np.array([len(s) for s in sets])
             label = np.unique(known, return_inverse=True)[1]
+            side = table.column("side").to_numpy()
+            one_part = side.min() == side.max()  # of two parts only pairs across: those within a part meet in its own cell
             found: list[tuple[int, int]] = []
             for i in range(len(ids)):
-                near = np.flatnonzero((label[i + 1 :] != label[i]) & (100 * np.minimum(size[i + 1 :], size[i]) >= percent * np.maximum(size[i + 1 :], size[i]))) + i + 1
+                after = slice(i + 1, None)
+                near = (label[after] != label[i]) & (100 * np.minimum(size[after], size[i]) >= percent * np.maximum(size[after], size[i])) & (one_part | (side[after] != side[i]))
+                near = np.flatnonzero(near) + i + 1
                 for j in near:
                     if label[i] != label[j] and _linked(sets[i], sets[j], percent):
                         found.append((i, int(j)))
@@ -231,9 +239,10 @@ def _label(rows: DataFrame, known: DataFrame | None) -> DataFrame:
     return rows.withColumn("component", F.coalesce("component", "doc_id"))
 
 
-def _only(rows: DataFrame, ids: DataFrame, on: str = "doc_id", bits: int = 1 << 21) -> DataFrame:
-    """The rows whose value of ``on`` may be in ``ids``, before they are shuffled for the join with it. A bitmap of ``bits``
-    hashed places is broadcast: ``bits`` / 8 bytes at any size of ``ids``. If it fills up, more rows pass and none is lost."""
+def _only(rows: DataFrame, ids: DataFrame, on: str = "doc_id", most_bits: int = 1 << 28) -> DataFrame:
+    """The rows whose value of ``on`` may be in ``ids``, before they are shuffled for the join with it. A bitmap with eight
+    hashed places for each of ``ids`` is broadcast, ``most_bits`` / 8 bytes (32 MB) at most. If it fills up, more rows pass and none is lost."""
+    bits = min(most_bits, 1 << max(21, (8 * ids.count()).bit_length()))
 
     def place(df: DataFrame) -> DataFrame:
         return df.withColumn("place", F.pmod(F.xxhash64(on), F.lit(bits)))
@@ -254,19 +263,29 @@ def _needed(rows: DataFrame) -> DataFrame:
     return nodes.where("n > 1 and low < high").groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node")
 
 
-def _edges(leaves: DataFrame, texts: DataFrame, wide: DataFrame, k: int, percent: int) -> DataFrame:
+def _in_cells(rows: DataFrame, most_shingles: int) -> DataFrame:
+    """``rows (node, doc_id, size, ...)`` dealt to cells (``node``, ``side``): a node is one cell, or where its sizes sum to more
+    than ``most_shingles``, one for each two of its parts."""
+    sizes = rows.groupBy("node").agg(F.ceil(F.sum("size") / most_shingles).cast("int").alias("parts"))
+    side = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.col("parts")).cast("int")
+    rows = rows.join(sizes, "node").withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cell = F.when(F.col("parts") > 1, F.xxhash64("node", F.least("side", "other"), F.greatest("side", "other"))).otherwise(F.col("node"))
+    return rows.withColumn("node", cell).drop("parts", "other", "size")
+
+
+def _edges(leaves: DataFrame, texts: DataFrame, wide: DataFrame, k: int, percent: int, most_shingles: int) -> DataFrame:
     """Links found in ``leaves (node, doc_id, minima, component)``. Nodes that are not needed
     and documents without a partner are left out before any text moves."""
     leaves = materialize(leaves.dropDuplicates(["node", "doc_id", "minima"]))
     rows = leaves.join(_needed(leaves), "node").select("node", "doc_id", "minima", "component").repartition("node").sortWithinPartitions("node", "doc_id")
     rows = materialize(rows.mapInArrow(_partners(least_equal(percent)), "node long, doc_id long, component long").distinct())
-    rows = rows.join(_only(wide, rows), "doc_id").select("node", "doc_id", "component", "name", "print", "wide").repartition("node").sortWithinPartitions("node", "doc_id")
-    by_wide = _partners(least_equal(percent, WIDE), "wide", np.uint8, WIDE, ("name", "print"))
-    rows = materialize(rows.mapInArrow(by_wide, "node long, doc_id long, component long, name long, print long").distinct())
-    rows = materialize(rows.join(_needed(rows), "node").select(rows.columns))
+    rows = rows.join(_only(wide, rows), "doc_id").select("node", "doc_id", "component", "name", "print", "size", "wide").repartition("node").sortWithinPartitions("node", "doc_id")
+    by_wide = _partners(least_equal(percent, WIDE), "wide", np.uint8, WIDE, ("name", "print", "size"))
+    rows = materialize(rows.mapInArrow(by_wide, "node long, doc_id long, component long, name long, print long, size long").distinct())
+    rows = materialize(_in_cells(rows.join(_needed(rows), "node").select(rows.columns), most_shingles))
     # rows that agree in doc_id and text are combined before they move, so a row that stands m times comes once
     once = _only(texts, rows, "print").groupBy("name", "print").agg(F.any_value("text").alias("text"))
-    rows = rows.join(once, ["name", "print"]).select("node", "doc_id", "component", "text").repartition("node").sortWithinPartitions("node", "doc_id")
+    rows = rows.join(once, ["name", "print"]).select("node", "side", "doc_id", "component", "text").repartition("node").sortWithinPartitions("node", "doc_id")
     return rows.mapInArrow(_compare(k, percent), "a long, b long")
 
 
@@ -293,7 +312,7 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     return _judged(docs, **how).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _judged(docs: DataFrame, k: int = 3, percent: int = 85, trees: int | None = None, leaf: int = 64, depth: int = 3, second: float | None = None, seed: int = 17, recall: float = 0.995) -> DataFrame:
+def _judged(docs: DataFrame, k: int = 3, percent: int = 85, trees: int | None = None, leaf: int = 64, depth: int = 3, second: float | None = None, seed: int = 17, recall: float = 0.995, block: int = 1024, most_shingles: int = 1 << 21) -> DataFrame:
     """``near_duplicates`` with the ``print`` of each row. ``second`` and ``trees`` follow from ``percent`` and ``recall`` unless given."""
     second = min(100 / percent - 1, 1.0) if second is None else second
     trees = trees_for(percent, recall, depth, second) if trees is None else trees
@@ -302,11 +321,11 @@ def _judged(docs: DataFrame, k: int = 3, percent: int = 85, trees: int | None =
     signed = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "print", "text").mapInArrow(_signatures(k, banks), _SCHEMA)
     signed = materialize(signed.withColumn("row", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "print", "row")).alias("first")
-    sets = materialize(signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(first, F.any_value("minima").alias("minima"), F.any_value("wide").alias("wide")))
+    sets = materialize(signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(first, F.first("n_shingles").alias("size"), F.any_value("minima").alias("minima"), F.any_value("wide").alias("wide")))
     set_id = _set_id(sets)
     # from here to the components, doc_id is the id of a set: one row for all rows of equal sets
     unique = sets.select(set_id.alias("doc_id"), "minima")
-    wide = sets.select(set_id.alias("doc_id"), "wide", F.coalesce("first.doc_id", F.lit(0).cast("long")).alias("name"), "first.print")
+    wide = sets.select(set_id.alias("doc_id"), "wide", F.coalesce("first.doc_id", F.lit(0).cast("long")).alias("name"), "first.print", "size")
     texts = texts.select("name", "print", "text")
 
     first = range(min(2, trees))
@@ -315,8 +334,8 @@ def _judged(docs: DataFrame, k: int = 3, percent: int = 85, trees: int | None =
     for leaves, large in ((early, None), (late, never_small)):
         rows = _label(leaves, known)
         if large is not None:
-            rows = rows.unionByName(_blocks(_label(large, known), leaf))
-        edges.append(materialize(_edges(rows, texts, wide, k, percent)))
+            rows = rows.unionByName(_blocks(_label(large, known), block))
+        edges.append(materialize(_edges(rows, texts, wide, k, percent, most_shingles)))
         if known is None:
             known = connected_components(edges[0])
     joined = edges[1].select(F.col("a").alias("id"), "b").join(known.withColumnRenamed("component", "ca"), "id", "left").select(F.coalesce("ca", "id").alias("a"), F.col("b").alias("id"))
@@ -331,8 +350,8 @@ def _judged(docs: DataFrame, k: int = 3, percent: int = 85, trees: int | None =
 
 
 def _grow(unique: DataFrame, trees: range, first: range, leaf: int, depth: int, second: float, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All trees at once, level by level: the leaves of the ``first`` trees, those of the others, and the nodes
-    that are still large at the end."""
+    """All trees at once, level by level: the leaves of the ``first`` trees and the parts of their large nodes, the leaves of
+    the other trees, and the nodes that are still large at the end."""
     size = 2 * POSITIONS
     roots = [F.struct(F.lit(mix_int(seed * 1000 + t) - (1 << 63)).alias("node"), F.substring("minima", 1 + size * _bank(t), size).alias("minima"), F.lit(t in first).alias("early")) for t in trees]
     level = unique.select("doc_id", F.explode(F.array(*roots)).alias("root")).select("root.node", "doc_id", "root.minima", "root.early")
@@ -345,7 +364,7 @@ def _grow(unique: DataFrame, trees: range, first: range, leaf: int, depth: int,
         large = sized.where(F.col("n") > leaf)
         if not state["large"]:
             break
-        grown.append(_with_hub(large, leaf))
+        grown.append(_with_hub(large.where("early"), leaf))
     every = grown[0]
     for more in grown[1:]:
         every = every.unionByName(more)
@@ -366,13 +385,13 @@ def _with_hub(large: DataFrame, leaf: int) -> DataFrame:
     return rows.select(F.col("part").alias("node"), "doc_id", "minima", "early").unionByName(hubs)
 
 
-def _blocks(large: DataFrame, leaf: int) -> DataFrame:
-    """The exact way for nodes that never got small: documents outside the node's largest known
-    component, in blocks, against all blocks of the node."""
+def _blocks(large: DataFrame, block: int) -> DataFrame:
+    """The exact way for nodes that never got small: documents outside the node's largest known component, in blocks of
+    ``block``, against all blocks of the node. Minima alone travel, so a block of a thousand is some 64 KB."""
     counts = large.groupBy("node", "component").agg(F.count("*").alias("c"))
     main = counts.groupBy("node").agg(F.max_by("component", F.struct("c", "component")).alias("main"), (F.sum("c") - F.max("c")).alias("others")).where("others > 0")
     rows = large.join(main, "node")
-    blocks, outside = F.ceil(F.col("n") / leaf).cast("int"), F.ceil(F.col("others") / leaf).cast("int")
+    blocks, outside = F.ceil(F.col("n") / block).cast("int"), F.ceil(F.col("others") / block).cast("int")
     own, odd = F.pmod(F.xxhash64("doc_id", F.lit(5)), blocks), F.pmod(F.xxhash64("doc_id", F.lit(7)), outside)
     every = rows.select("node", own.alias("block"), F.explode(F.sequence(F.lit(0), outside - 1)).alias("odd"), "doc_id", "minima", "component")
     others = rows.where("component <> main").select("node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), odd.alias("odd"), "doc_id", "minima", "component")
