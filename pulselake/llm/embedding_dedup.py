@@ -10,14 +10,15 @@ vectors, so keys stay selective, and tables are added until a pair at the thresh
 Where two vectors meet, the estimate decides: a pair whose upper confidence bound is below the threshold is
 dropped, all others are recomputed exactly in double precision. A pair counts in the first table in which it meets.
 Keys with many vectors are cut into blocks that meet pairwise in cells of their own, so no task holds a hot key,
-and only counts and a spanning forest leave a cell, never its pairs.
+and only counts and a spanning forest leave a cell, never its pairs. A key of n vectors moves each n / ``block`` times.
 
 Equal vectors are one class from the start and are linked with each other.
 
 Defined results: null, empty and zero vectors and those with null or non-finite components have no links and are
-their own component; vectors of different lengths have no cosine and are not linked; a repeated vec_id is one
-vector id whose rows share its component; a null vec_id is never linked; extra columns are ignored; an empty
-table gives an empty one.
+their own component; vectors of different lengths have no cosine and are not linked; rows with the same vec_id are
+vectors of their own, linked by what they hold, and may be in several components, each named by its smallest vec_id;
+a null vec_id is never linked; a cosine just at the threshold is decided as double precision rounds it; extra
+columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import connected_components, groups, materialize, mix, mix_int, slices
+from .shared import connected_components, groups, hashed_id, materialize, mix, mix_int, slices
 
 SEED = 64
 
@@ -65,6 +66,7 @@ class Layout:
 
 def unit_rows(column: pa.Array, dim: int) -> np.ndarray:
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very small or large components would be lost
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -162,7 +164,7 @@ def _meet(layout: Layout):
     return run
 
 
-def near_vectors(rows: DataFrame, threshold: float = 0.9, recall: float = 0.995, block: int = 512) -> DataFrame:
+def near_vectors(rows: DataFrame, threshold: float = 0.9, recall: float = 0.995, block: int = 2048) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for each row of ``rows (vec_id, embedding)``."""
     kind = rows.schema["embedding"].dataType.simpleString()
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
@@ -170,7 +172,9 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, recall: float = 0.995,
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = F.col("vec_id").isNotNull() & F.coalesce((F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     good = rows.where(usable)
-    classes = materialize(good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
+    classes = materialize(good.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
+    class_id = hashed_id(classes, "embedding")
+    classes = classes.withColumn("id", class_id)
     layout = Layout(classes.count(), threshold, recall)
 
     coded = materialize(classes.select("id", "embedding").mapInArrow(_encode_rows(layout), "id long, bucket array<long>, code binary, factors array<float>"))
@@ -187,9 +191,10 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, recall: float = 0.995,
 
     links = met.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "id")
     parts = connected_components(met.where("a <> b").select("a", "b"))
-    found = classes.join(links, "id", "left").join(parts, "id", "left")
-    found = found.select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = good.join(found, "embedding").select("vec_id", "n_links", "component_id")
+    found = classes.select("id", "vec_id", "copies").join(links, "id", "left").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = found.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    found = found.join(named, "component").select("id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = good.select("vec_id", class_id.alias("id")).join(found, "id").select("vec_id", "n_links", "component_id")
     out = out.unionByName(rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

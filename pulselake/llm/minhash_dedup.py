@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, connected_components, documents, groups, materialize, mix, mix_int, observed, slices, small_batches, utf8, word_hashes, words
+from .shared import LOWER, connected_components, documents, groups, hashed_id, materialize, mix, mix_int, observed, slices, small_batches, utf8, word_hashes, words
 
 POSITIONS = 32
 WIDE = 128
@@ -295,15 +295,6 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"name": F.coalesce(name, F.lit(0).cast("long")), "print": F.xxhash64(name.isNull(), "text")})
 
 
-def _set_id(sets: DataFrame) -> F.Column:
-    """An id of (set_a, set_b) in 64 bits: salted anew in the unlikely case that two of the distinct ``sets`` share one."""
-    for salt in range(20):
-        out = F.xxhash64(F.lit(salt), "set_a", "set_b")
-        if sets.groupBy(out.alias("id")).count().where("count > 1").isEmpty():
-            return out
-    raise RuntimeError("no ids without a collision")
-
-
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row for each row of ``docs (doc_id, text)``.
 
@@ -322,7 +313,7 @@ def _judged(docs: DataFrame, k: int = 3, percent: int = 85, trees: int | None =
     signed = materialize(signed.withColumn("row", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "print", "row")).alias("first")
     sets = materialize(signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(first, F.first("n_shingles").alias("size"), F.any_value("minima").alias("minima"), F.any_value("wide").alias("wide")))
-    set_id = _set_id(sets)
+    set_id = hashed_id(sets, "set_a", "set_b")
     # from here to the components, doc_id is the id of a set: one row for all rows of equal sets
     unique = sets.select(set_id.alias("doc_id"), "minima")
     wide = sets.select(set_id.alias("doc_id"), "wide", F.coalesce("first.doc_id", F.lit(0).cast("long")).alias("name"), "first.print", "size")

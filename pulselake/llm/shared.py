@@ -3,13 +3,14 @@ fingerprints of whole Arrow batches, and connected components of a link table.""
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import tempfile
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Spark SQL's spelling of a word: anything between the six ASCII white space characters.
@@ -17,43 +18,47 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _COUNTER = itertools.count()
 _OWN: dict[str, str] = {}
-_STAGE: list[str] | None = None
+_WRITTEN: list[str] | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a folder of our own only
-    where the setting is missing, as in a local session."""
+    """The folder that all executors share (``spark.checkpoint.dir``). Where the setting is missing, a local session
+    gets a folder of its own; on a cluster that is an error, since executors would not see each other's files."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         where = _OWN.setdefault(app, tempfile.mkdtemp(prefix="pulselake-"))
     return f"{where.rstrip('/')}/pulselake-{app}"
 
 
-def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor
-    costs nothing that was already written. With ``keep`` it outlives ``begin_stage``."""
+    costs nothing that was already written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{next(_COUNTER):06d}"
     df.write.mode("overwrite").parquet(path)
-    if _STAGE is not None and not keep:
-        _STAGE.append(path)
+    if _WRITTEN is not None:
+        _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def begin_stage(spark: SparkSession) -> None:
-    """Delete what the stage before this one materialized. Its result is written by now, so nothing reads that
-    any more; whatever was materialized outside stages stays."""
-    global _STAGE
-    done, _STAGE = _STAGE or [], []
-    for path in done:
-        _delete(spark, path)
+@contextlib.contextmanager
+def written_tables():
+    """Collects the paths of all tables that ``materialize`` writes in the block, for ``drop_tables``."""
+    global _WRITTEN
+    outer, _WRITTEN = _WRITTEN, []
+    try:
+        yield _WRITTEN
+    finally:
+        _WRITTEN = outer
 
 
-def end_stages(spark: SparkSession) -> None:
-    global _STAGE
-    begin_stage(spark)
-    _STAGE = None
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more, and forget them."""
+    while paths:
+        _delete(spark, paths.pop())
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -68,11 +73,6 @@ def observed(df: DataFrame, *metrics) -> tuple[DataFrame, dict]:
     return out, seen.get
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what ``materialize`` wrote in this application."""
-    _delete(spark, shared_dir(spark))
-
-
 # --- fingerprints -------------------------------------------------------------------------------
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -225,6 +225,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def hashed_id(distinct: DataFrame, *columns: str) -> Column:
+    """An id in 64 bits of the values of ``columns``: salted anew in the unlikely case that two of the ``distinct`` rows share one."""
+    for salt in range(20):
+        out = F.xxhash64(F.lit(salt), *columns)
+        if distinct.groupBy(out.alias("id")).count().where("count > 1").isEmpty():
+            return out
+    raise RuntimeError("no ids without a collision")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have yet, whatever the case."""
     taken = {c.lower() for c in df.columns}
