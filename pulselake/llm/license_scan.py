@@ -13,8 +13,9 @@ Templates are a fixed list held by every task. Nothing is shuffled but the match
 to one row for each document and template.
 
 Defined results: null and empty texts match nothing; a match is reported once for each document and
-template with its first word and its number of places; repeated rows (same doc_id) are reported as
-one document; documents without a match have no row; extra columns are ignored; empty gives empty.
+template with its first word and its number of places; repeated rows (same doc_id, null among them) are
+reported as one document; a share of exactly 0.8 matches; of equal shares the first place counts; documents
+without a match have no row; a template of fewer than five words is an error; extra columns are ignored; empty gives empty.
 """
 
 from __future__ import annotations
@@ -46,6 +47,13 @@ TEMPLATES = {
     "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "cc-by-4": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa-4": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "mit-full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+    '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, '
+    "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+    "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 _EDGE = np.zeros(256, bool)
@@ -54,14 +62,14 @@ SHINGLE = 5
 
 
 def trimmed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word bounds without outer punctuation; a word of punctuation alone stays as it is."""
-    starts, ends = starts.copy(), ends.copy()
-    first, last = starts.copy(), ends.copy()
-    for _ in range(8):
-        starts += (starts < ends) & _EDGE[data[np.minimum(starts, len(data) - 1)]]
-        ends -= (ends > starts) & _EDGE[data[np.maximum(ends - 1, 0)]]
-    gone = starts >= ends
-    return np.where(gone, first, starts), np.where(gone, last, ends)
+    """Word bounds without outer punctuation, however much of it; a word of punctuation alone stays as it is."""
+    core = np.flatnonzero(~_EDGE[data])
+    if not len(core):
+        return starts, ends
+    first = core[np.minimum(np.searchsorted(core, starts), len(core) - 1)]
+    last = core[np.maximum(np.searchsorted(core, ends) - 1, 0)] + 1
+    bare = (first < starts) | (first >= ends)
+    return np.where(bare, starts, first), np.where(bare, ends, last)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,8 +115,9 @@ def load(templates: dict[str, str], containment: float, miss: float) -> list[Gro
     for i, text in enumerate(templates.values()):
         data, offsets = utf8(pa.array([text]))
         own = np.unique(shingles(data, offsets)[0])
-        if len(own):
-            by.setdefault(2 ** math.ceil(math.log2(len(own))), []).append((i, own))
+        if not len(own):
+            raise ValueError(f"a template needs at least {SHINGLE} words: {text!r}")
+        by.setdefault(2 ** math.ceil(math.log2(len(own))), []).append((i, own))
     return [Group(m, own, containment, miss) for m, own in sorted(by.items())]
 
 
@@ -120,7 +129,6 @@ def _scan(templates: dict[str, str], containment: float, miss: float):
         for batch in small_batches(batches):
             data, offsets = utf8(batch.column(1))
             hashes, begin, _ = shingles(data, offsets)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             if not len(hashes):
                 continue
             for group in groups:
@@ -154,10 +162,10 @@ def _scan(templates: dict[str, str], containment: float, miss: float):
                     share = len(np.unique(part[inside])) / len(wanted)
                     if share >= containment:
                         at = a + int(np.argmax(inside)) - int(begin[row[window]])
-                        out.append((ids[row[window]], which, at, share))
+                        out.append((row[window], which, at, share))
                 if out:
-                    d, t, w, s = zip(*out, strict=True)
-                    yield slices({"doc_id": d, "template": t, "first_word": w, "share": s}, schema)
+                    r, t, w, s = zip(*out, strict=True)
+                    yield slices({"doc_id": batch.column(0).take(pa.array(r)), "template": t, "first_word": w, "share": s}, schema)
 
     return run
 
