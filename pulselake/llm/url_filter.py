@@ -1,24 +1,30 @@
 """URL filters over a sorted digest array.
 
-The index is one file: a header, the 64-bit xxhash digests of all keys in ascending order, the ends of
-the keys' bytes and the bytes. Tasks memory-map it, probe it with a vectorised binary search for all
+The index holds, in ascending order, the 64-bit xxhash digests of all keys, then the ends of the keys' bytes and the
+bytes. It is a file that tasks memory-map; they probe it with a vectorised binary search for all
 candidates of a batch, and compare the stored full strings, so an equal digest of another string is
 no hit. Every key is ``host + path prefix``; a URL's candidates are its host and parent domains, alone
 and with each prefix of its path of a length that occurs among the keys of the index.
 
 The longest fitting rule decides; without one, the host is looked up among the blocked hosts.
 
-The file is built on the driver only while the keys are at most ``max_bytes`` (documented bound, 64
-MB); a larger list is matched by an equi-join of the candidates on the full strings instead.
+Lists are tables. If their keys fit into ``shard_bytes`` (16 MB), the index is one file that every task holds, and nothing
+is shuffled. Larger lists are cut into shards by digest, each an array of its own of about that size: the distinct
+candidates of all URLs are dealt to the shards, each task maps the shards it meets one after the other, and the few
+candidates that are stored go back to their URLs. Both ways probe and confirm alike.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and is
-allowed; repeated rows are judged alike; extra columns are ignored; empty tables give empty results.
+allowed; repeated rows and rows with a null page_id are judged alike and all returned; a rule that is listed twice, or with
+two verdicts, counts once and then blocks; null rules, hosts and verdicts are ignored; extra columns are ignored; empty tables
+give empty results, and an empty list allows everything.
 """
 
 from __future__ import annotations
 
+import atexit
 import mmap
 import os
+import shutil
 import tempfile
 
 import numpy as np
@@ -28,6 +34,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import materialize
+
 #: Fixed values: (host, path, verdict). A rule fits the host and all its subdomains.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Hosts whose pages are blocked where no rule fits.
@@ -43,12 +51,11 @@ def write_index(keys: list[tuple[str, str, str]], path: str) -> None:
     """Keys ``(host + path, rule, verdict)``, sorted by digest, into one file."""
     rows = sorted((_digest(k), k, rule, verdict) for k, rule, verdict in keys)
     texts = ["\0".join(r[1:]).encode() for r in rows]
-    ends = np.cumsum([len(t) for t in texts], dtype=np.uint64)
     with open(path, "wb") as f:
         f.write(np.array([len(rows)], np.uint64).tobytes())
         f.write(np.array([r[0] for r in rows], np.uint64).tobytes())
-        f.write(ends.tobytes())
-        f.write(b"".join(texts))
+        f.write(np.cumsum([len(t) for t in texts], dtype=np.uint64).tobytes())
+        f.writelines(texts)
 
 
 class Index:
@@ -88,9 +95,11 @@ def _candidates(host: str, path: str, lengths: list[int]) -> list[str]:
     return [f"{name}{path[:n]}" for name in names for n in lengths if n <= len(path)]
 
 
-def _keys(rules, blocked) -> tuple[list[tuple[str, str, str]], list[int]]:
-    keys = [(f"{h}{p}", f"{h}{p}", v) for h, p, v in rules] + [(f"!{h}", "", "block") for h in blocked]
-    return keys, sorted({len(p) for _, p, _ in rules}, reverse=True)
+def _keys(rules: DataFrame, blocked: DataFrame) -> DataFrame:
+    """``(key, rule, verdict)`` of all rules ``(host, path, verdict)`` and blocked hosts ``(host)``, each key once."""
+    one = rules.where("host is not null and path is not null and verdict is not null").select(F.concat("host", "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict")
+    every = one.unionByName(blocked.where("host is not null").select(F.concat(F.lit("!"), "host").alias("key"), F.lit("").alias("rule"), F.lit("block").alias("verdict")))
+    return every.groupBy("key").agg(F.max("rule").alias("rule"), F.max("verdict").alias("verdict"))
 
 
 def _judge(name: str, lengths: list[int]):
@@ -129,32 +138,95 @@ def split_urls(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", host.alias("host"), path.alias("path"))
 
 
-def judge_urls(pages: DataFrame, rules=RULES, blocked=BLOCKED_HOSTS, max_bytes: int = 64 << 20) -> DataFrame:
-    """``(page_id, host, path, rule, verdict)`` for each row of ``pages (page_id, url)``."""
+def _table(spark: SparkSession, rows, schema: str) -> DataFrame:
+    return rows if isinstance(rows, DataFrame) else spark.createDataFrame(list(rows), schema)
+
+
+def judge_urls(pages: DataFrame, rules=RULES, blocked=BLOCKED_HOSTS, shard_bytes: int = 16 << 20) -> DataFrame:
+    """``(page_id, host, path, rule, verdict)`` for each row of ``pages (page_id, url)``. Lists are tables ``rules (host,
+    path, verdict)`` and ``blocked (host)``, or short Python lists of the same."""
     spark = pages.sparkSession
-    keys, lengths = _keys(rules, blocked)
-    if sum(len(k) + len(r) + 32 for k, r, _ in keys) > max_bytes:
-        return judge_by_join(pages, rules, blocked)
+    rules = _table(spark, rules, "host string, path string, verdict string")
+    blocked = _table(spark, blocked if isinstance(blocked, DataFrame) else [(h,) for h in blocked], "host string")
+    keys = materialize(_keys(rules, blocked))
+    size = keys.agg(F.coalesce(F.sum(F.octet_length("key") + F.octet_length("rule") + 32), F.lit(0))).first()[0]
+    lengths = [r.n for r in rules.select(F.length("path").alias("n")).where("n is not null").distinct().orderBy(F.desc("n")).collect()]  # a URL's path has no more prefixes
+    if size > shard_bytes:
+        return judge_by_shards(pages, keys, lengths, -(-size // shard_bytes))
     folder = tempfile.mkdtemp(prefix="urls-")
+    atexit.register(shutil.rmtree, folder, True)
     path = os.path.join(folder, f"{os.path.basename(folder)}.idx")
-    write_index(keys, path)
+    write_index([tuple(r) for r in keys.collect()], path)  # at most ``shard_bytes``
     spark.sparkContext.addFile(path)  # Spark serves it to every executor's own folder, replacements included
     return split_urls(pages).mapInArrow(_judge(os.path.basename(path), lengths), "page_id long, host string, path string, rule string, verdict string")
 
 
-def judge_by_join(pages: DataFrame, rules, blocked) -> DataFrame:
-    """The same for lists over the bound: candidates joined with the keys on their full strings."""
-    spark = pages.sparkSession
-    keys, lengths = _keys(rules, blocked)
-    table = spark.createDataFrame([(k, r, v) for k, r, v in keys], "key string, rule string, verdict string")
-    urls = split_urls(pages).withColumn("row", F.monotonically_increasing_id())
+def _digests(shards: int):
+    """Each row of ``(key, rule, verdict)`` with the shard of its digest."""
+    schema = pa.schema([("shard", pa.int64()), ("is_index", pa.bool_()), ("key", pa.string()), ("rule", pa.string()), ("verdict", pa.string())])
+
+    def run(batches):
+        for batch in batches:
+            digests = [_digest(k) * shards >> 64 for k in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), *batch.columns], schema=schema)
+
+    return run
+
+
+def _probe():
+    """In each shard the stored keys come first: they become its index, which the candidates after them are probed with."""
+    schema = pa.schema([("key", pa.string()), ("rule", pa.string()), ("verdict", pa.string())])
+
+    def run(batches):
+        shard, stored, index = None, [], None
+        folder = tempfile.TemporaryDirectory(prefix="urls-")  # the task's own; gone with it
+        path = os.path.join(folder.name, "shard.idx")
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            wanted: list[str] = []
+
+            def found():
+                nonlocal index, stored
+                if index is None and stored:
+                    if os.path.exists(path):
+                        os.remove(path)  # what is mapped of the shard before stays readable until it is let go
+                    write_index(stored, path)
+                    index, stored = Index(path), []
+                hits = [(k, *h) for k, h in zip(wanted, index.find(wanted) if index and wanted else [], strict=False) if h]
+                wanted.clear()
+                return hits
+
+            hits: list[tuple[str, str, str]] = []
+            for at, is_index, key, rule, verdict in rows:
+                if at != shard:
+                    hits += found()
+                    shard, stored, index = at, [], None
+                if is_index:
+                    stored.append((key, rule, verdict))
+                else:
+                    wanted.append(key)
+            hits += found() if wanted else []
+            if hits:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*hits, strict=True)], schema=schema)
+
+    return run
+
+
+def judge_by_shards(pages: DataFrame, keys: DataFrame, lengths: list[int], shards: int) -> DataFrame:
+    """The same for lists of more than one shard. Hosts and paths are judged once, however many rows have them."""
+    urls = split_urls(pages)
+    places = urls.select("host", "path").distinct()
     parts = F.split("host", r"\.")
     names = F.when(F.col("host") != "", F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).otherwise(F.array().cast("array<string>"))
-    prefixes = F.array_distinct(F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda x: x.isNotNull()))
+    prefixes = F.array_distinct(F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]).cast("array<string>"), lambda x: x.isNotNull()))
     every = F.concat(F.flatten(F.transform(names, lambda h: F.transform(prefixes, lambda p: F.concat(h, p)))), F.transform(names, lambda h: F.concat(F.lit("!"), h)))
-    hits = urls.select("row", F.explode(every).alias("key")).join(table, "key")
-    best = hits.groupBy("row").agg(F.max(F.struct((~F.col("key").startswith("!")).alias("real"), F.length("key").alias("n"), F.when(F.col("rule") != "", F.col("rule")).alias("rule"), "verdict")).alias("b"))
-    return urls.join(best, "row", "left").select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit("allow")).alias("verdict"))
+    candidates = places.select("host", "path", F.explode(every).alias("key"))
+    asked = candidates.select(F.lit(False).alias("is_index"), "key", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict")).distinct()
+    dealt = keys.select(F.lit(True).alias("is_index"), "key", "rule", "verdict").unionByName(asked).mapInArrow(_digests(shards), "shard long, is_index boolean, key string, rule string, verdict string")
+    hits = dealt.repartition("shard").sortWithinPartitions("shard", F.desc("is_index")).mapInArrow(_probe(), "key string, rule string, verdict string")
+    best = candidates.join(hits, "key").groupBy("host", "path").agg(
+        F.max(F.struct((~F.col("key").startswith("!")).alias("real"), F.length("key").alias("n"), F.when(F.col("rule") != "", F.col("rule")).alias("rule"), "verdict")).alias("b"))
+    return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit("allow")).alias("verdict"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
