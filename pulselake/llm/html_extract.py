@@ -4,12 +4,16 @@ A page becomes a sequence of tags and stretches of text. Words score by where th
 plain text, less in links, headings or lists), tags by their name (negative); both weights are log odds
 learned from labelled pages, which are pages that mark their own article. One linear scan finds the
 contiguous region with the largest sum. Menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments are known by element or by class, id or role, score negative and never count as text
-even within the region.
+reader comments are asides: known by element, or by the sum of what their class, id and role words weigh. A word
+weighs its log odds of standing within labelled articles on top of what the prior of ``ASIDE_WORDS`` says; the labelled
+pages can outweigh that. An aside costs its opening tag once, and nothing in an article that its page marks; its words cost nothing and are
+never text, so one in the middle of an article does not cut it. Tags that the labelled pages do not show cost next to nothing.
 
 Defined results: null html is an empty page; a page without words has an empty text; character
 references are decoded; white space within a block becomes one space and blocks are joined by one;
-repeated rows each give their own row; extra columns are ignored; an empty table gives an empty one.
+an element that its page never closes ends with the page, but head, button, select, object and canvas swallow nothing
+then; repeated rows and rows with a null page_id each give their own row; of two regions with the same sum the first is
+taken; extra columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,13 +29,15 @@ from pyspark.sql import functions as F
 from .shared import small_batches
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|textarea|iframe|svg|head|object|canvas|select|button)\b.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|title|noscript|template|textarea|iframe|svg)\b.*?(?:</\1\s*>|\Z)"
+    r"|<(head)\b.*?(?:</head\s*>|(?=<body\b))|<(object|canvas|select|button)\b.*?</\3\s*>"
     r"|<[a-zA-Z/!?](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|<[a-zA-Z/!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 NAME = re.compile(r"</?\s*([a-zA-Z][\w:-]*)")
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-#: Elements, and words of class, id or role, that stand for something else than the article.
+#: Elements that stand for something else than the article, words of class, id or role that do so where
+#: labelled pages say nothing about them, and words that turn such a word's meaning round.
 ASIDE_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 ASIDE_WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner banners nav navbar navigation menu menus breadcrumb breadcrumbs "
@@ -39,20 +45,36 @@ ASIDE_WORDS = set(
     "newsletter subscribe subscription signup login search share sharing social related recommended widget toolbar pagination pager copyright disclaimer alert "
     "complementary contentinfo dialog".split()
 )
+NEGATIONS = {"no", "not", "non", "has", "have", "with", "without", "free", "less", "none", "off"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MARKS = {"article", "main"}
 
 #: Weights where nothing is labelled: words by place, then tags by name.
-DEFAULT = {"text": 1.0, "link": -0.5, "heading": 0.6, "list": 0.4, "aside": -2.0, "tag": -0.8, "tag:p": -0.3, "tag:br": -0.3, "tag:inline": -0.1, "tag:aside": -4.0}
+DEFAULT = {"text": 1.0, "link": -0.5, "heading": 0.6, "list": 0.4, "aside": 0.0, "tag": -0.1, "tag:inline": -0.05, "tag:aside": -2.0, "tag:inside": 0.0}
+#: An element is an aside if its class, id and role words weigh this much together; a word of the prior weighs -2.
+ASIDE_AT = -1.5
 
 
-def tokens(page: str) -> list[tuple[str, str, bool]]:
+def attributes(tag: str) -> list[str]:
+    """The words of a tag's class, id, role and label, as they stand between white space."""
+    return " ".join("".join(g) for g in ATTRIBUTE.findall(tag)).lower().split()
+
+
+def prior(word: str, marked: bool) -> float:
+    """What a class, id or role word weighs before any page is seen: its parts between hyphens and the like decide."""
+    parts = set(re.findall(r"[a-z]+", word))
+    if marked:
+        parts -= {"header", "masthead"}  # an article may have a head of its own
+    return -2.0 if parts & ASIDE_WORDS and not parts & NEGATIONS else 0.0
+
+
+def tokens(page: str, weights: dict[str, float]) -> list[tuple[str, str, bool]]:
     """``(kind, text, in the page's own article)``: kinds are places of words and names of tags. The
     text of a tag is a space if it ends a block and empty otherwise."""
     out: list[tuple[str, str, bool]] = []
-    open_tags: list[tuple[str, bool]] = []
+    open_tags: list[tuple[str, str]] = []  # with how it is known as an aside: by name, by word or not at all
     aside = link = heading = listed = marked = 0
     end = 0
 
@@ -66,9 +88,9 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
         end = m.end()
         tag = m.group()
         named = NAME.match(tag)
-        if not named or m.group(1):
+        if not named or any(m.groups()):
             if not tag.startswith("<!--"):
-                out.append(("tag", " ", False))
+                out.append(("tag:inside", " ", False))
             continue
         name = named[1].lower()
         space = "" if name in INLINE else " "
@@ -78,24 +100,32 @@ def tokens(page: str) -> list[tuple[str, str, bool]]:
             del open_tags[len(open_tags) - len(closed) :]
             was = bool(aside)
             for other, off in closed:
-                aside -= off
+                aside -= bool(off)
                 link -= other == "a"
                 heading -= other in HEADINGS
                 listed -= other in ("ul", "ol", "table", "dl")
                 marked -= other in MARKS
-            kind = "tag:aside" if was and not aside else f"tag:/{name}" if name in MARKS else "tag:inline" if name in INLINE else f"tag:{name}"
+            kind = "tag:inside" if was else f"tag:/{name}" if name in MARKS else "tag:inline" if name in INLINE else f"tag:{name}"
             out.append((kind, space, marked > 0 and not aside))
             continue
-        words = set(re.findall(r"[a-z]+", " ".join("".join(g) for g in ATTRIBUTE.findall(tag)).lower()))
-        off = name in ASIDE_TAGS or (name == "header" and not marked) or (bool(words & ASIDE_WORDS) and name not in MARKS | {"body", "html"})
-        off = off or (name == "article" and any(t == "article" for t, _ in open_tags))
-        out.append(("tag:aside" if off else "tag:inline" if name in INLINE else f"tag:{name}", space, marked > 0 and not aside))
+        by_word = False
+        if name in MARKS and not marked:  # what holds the article is no aside, whatever it is called
+            for i, (other, off) in enumerate(open_tags):
+                if off == "word":
+                    open_tags[i] = (other, "")
+                    aside -= 1
+        elif name not in ("body", "html"):
+            by_word = sum(weights.get(f"attr:{w}", 0.0) + prior(w, marked > 0) for w in attributes(tag)) <= ASIDE_AT
+        by_name = name in ASIDE_TAGS or (name == "header" and not marked) or (name == "article" and any(t == "article" for t, _ in open_tags))
+        off = "name" if by_name else "word" if by_word else ""
+        kind = "tag:inside" if aside or off and marked else "tag:aside" if off else "tag:inline" if name in INLINE else f"tag:{name}"
+        out.append((kind, space, marked > 0 and not aside))
         if name in VOID or tag.endswith("/>"):
             continue
-        if name in ("p", "li", "td", "tr", "option") and open_tags and open_tags[-1] == (name, False):
+        if name in ("p", "li", "td", "tr", "option") and open_tags and open_tags[-1] == (name, ""):
             open_tags.pop()  # these end where the next begins
         open_tags.append((name, off))
-        aside += off
+        aside += bool(off)
         link += name == "a"
         heading += name in HEADINGS
         listed += name in ("ul", "ol", "table", "dl")
@@ -120,41 +150,80 @@ def best_region(scores: np.ndarray) -> tuple[int, int]:
 
 
 def extract(page: str, weights: dict[str, float]) -> str:
-    found = tokens(page)
+    found = tokens(page, weights)
     start, end = best_region(_score(found, weights))
     return " ".join("".join(text if kind != "aside" else " " for kind, text, _ in found[start:end]).split())
 
 
+def _log_odds(inside: int, outside: int) -> float:
+    return float(np.log((inside + 0.5) / (outside + 0.5)))
+
+
+def word_weights(pages: list[str]) -> dict[str, float]:
+    """Log odds of each class, id or role word: elements within a labelled article against elements beside it. Elements that
+    hold an article say nothing."""
+    counts: dict[str, list[int]] = {}
+    for page in pages:
+        stack: list[list] = []  # name, words, holds an article, stands within one
+        marked = 0
+
+        def leave(closed: list[list]) -> None:
+            for _, found, holds, within in closed:
+                for w in () if holds else found:
+                    counts.setdefault(w, [0, 0])[0 if within else 1] += 1
+
+        for m in TOKEN.finditer(page):
+            named = NAME.match(m.group())
+            if not named or any(m.groups()):
+                continue
+            name = named[1].lower()
+            if m.group()[1] == "/":
+                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), len(stack))
+                marked -= sum(x[0] in MARKS for x in stack[at:])
+                leave(stack[at:])
+                del stack[at:]
+                continue
+            if name in MARKS:
+                for x in stack:
+                    x[2] = True
+            entry = [name, set(attributes(m.group())), name in MARKS, marked > 0]
+            if name in VOID or m.group().endswith("/>"):
+                leave([entry])
+            else:
+                stack.append(entry)
+                marked += name in MARKS
+        leave(stack)
+    return {f"attr:{w}": float(np.clip(_log_odds(*c), -4.0, 4.0)) for w, c in counts.items()}
+
+
 def fit(pages: list[str]) -> dict[str, float]:
-    """Log odds of each kind within the labelled article against elsewhere; words of plain text never
-    score below 0.2 and tags never above -0.05."""
+    """Log odds of each class or id word, then of each kind within the labelled article against elsewhere, asides left
+    out: words of plain text score at least 0.2, tags at most -0.05."""
+    weights = DEFAULT | word_weights(pages)
     inside: dict[str, int] = {}
     outside: dict[str, int] = {}
     for page in pages:
-        for kind, text, label in tokens(page):
+        for kind, text, label in tokens(page, weights):
             side = inside if label else outside
             side[kind] = side.get(kind, 0) + (1 if kind.startswith("tag") else len(text.split()))
-    weights = dict(DEFAULT)
-    for kind in {*inside, *outside}:
-        odds = float(np.log((inside.get(kind, 0) + 0.5) / (outside.get(kind, 0) + 0.5)))
-        if kind == "text":
-            weights[kind] = float(np.clip(odds, 0.2, 1.0))
-        elif kind in ("heading", "list"):
-            weights[kind] = float(np.clip(odds, 0.1, 1.0))
-        elif kind in ("link", "aside"):
-            weights[kind] = float(np.clip(odds, -2.0, -0.1)) if kind == "aside" or outside.get(kind, 0) else weights[kind]
-        elif kind == "tag:inline":
-            weights[kind] = -0.05  # these stand within words' own blocks, in menus and articles alike
+    least = {"text": 0.2, "heading": 0.1, "list": 0.1, "link": -2.0}
+    for kind in {*inside, *outside} - {"aside", "tag", "tag:aside", "tag:inside", "tag:inline"}:
+        odds = _log_odds(inside.get(kind, 0), outside.get(kind, 0))
+        if kind in least:
+            weights[kind] = float(np.clip(odds, least[kind], 1.0 if kind != "link" else -0.1))
         else:
-            weights[kind] = float(np.clip(odds, -4.0, -0.05))
+            weights[kind] = float(np.clip(odds, -4.0 if kind.split(":")[1].strip("/") in MARKS else -0.5, -0.05))
     return weights
 
 
 def fit_on(pages: DataFrame, rows: int = 300, most_chars: int = 200_000) -> dict[str, float]:
-    """Weights from at most ``rows`` labelled pages of at most ``most_chars`` (both bounds documented)."""
-    labelled = pages.where(F.lower("html").contains("<article") & (F.length("html") <= most_chars)).select("html")
-    sample = labelled.orderBy(F.xxhash64("html"), "html").limit(rows).collect()
-    return fit([r.html for r in sample]) if sample else dict(DEFAULT)
+    """Weights from at most ``rows`` labelled pages of at most ``most_chars`` (both bounds documented): those with the
+    smallest hashes. The hashes are chosen first, so each task sends ``rows`` of them and only chosen pages travel."""
+    labelled = pages.where(F.lower("html").contains("<article") & (F.length("html") <= most_chars)).select(F.xxhash64("html").alias("hash"), "html")
+    chosen = labelled.select("hash").distinct().orderBy("hash").limit(rows)
+    found = labelled.join(F.broadcast(chosen), "hash").groupBy("hash").agg(F.min("html").alias("html"))  # at most ``rows`` hashes
+    sample = [r.html for r in found.orderBy("hash").collect()]
+    return fit(sample) if sample else dict(DEFAULT)
 
 
 def main_text(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
