@@ -11,8 +11,11 @@ so that the bound stays at least one.
 The benchmark is small beside the corpus: its items go to the tasks in blocks of at most ``block_chars``
 characters (documented bound), one pass over the texts for each block. Nothing is shuffled.
 
+A benchmark of B characters is one pass over the texts for each 4 MB of it: a thousand items of a few hundred characters
+are one pass, 4 GB would be a thousand.
+
 Defined results: null and empty texts match nothing; items that are null or shorter than q characters
-when normalised are ignored; repeated rows are reported one by one; the smallest distance, then the first
+when normalised are ignored; repeated rows are reported one by one, also those with a null doc_id; the smallest distance, then the first
 end, stands for a text and an item; extra columns pass through ``remove_contaminated``; empty tables give
 empty results.
 """
@@ -81,20 +84,37 @@ class Benchmark:
             at, slot = at[same], slot[same]
             if not len(at):
                 continue
-            times = self.first[slot + 1] - self.first[slot]
-            entry = np.repeat(self.first[slot] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-            item = self.item[entry]
-            width = self.budget[item] + 1
             shift = len(chars) + int(self.size.max())  # keeps bands above zero
-            band = (np.repeat(at, times) - self.place[entry] + int(self.size.max())) // width + 1
-            key = np.concatenate([item * shift * 2 + band, item * shift * 2 + band - 1])
-            key, count = np.unique(key, return_counts=True)
-            good = count >= self.bound[key // (shift * 2)]
-            if good.any():
-                key = key[good]
+            for key in self._reached(at, slot, shift):
                 found.append(np.stack([np.full(len(key), row), key // (shift * 2), key % (shift * 2)]))
         return np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
 
+    def _reached(self, at: np.ndarray, slot: np.ndarray, shift: int, most: int = 1 << 18):
+        """Keys ``item * 2 * shift + band`` of the bands that reach their item's bound, for one text whose places ``at`` hold
+        the known q-grams ``slot``. The text is counted in slices of about ``most`` shared q-grams; a band is judged once
+        the text is past it, so a text that repeats itself needs no more memory than any other."""
+        times = self.first[slot + 1] - self.first[slot]
+        before = np.concatenate([[0], np.cumsum(times)])
+        largest = int(self.size.max())
+        open_key, open_count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a = 0
+        while a < len(at):
+            b = max(int(np.searchsorted(before, before[a] + most, "right")) - 1, a + 1)
+            n = times[a:b]
+            entry = np.repeat(self.first[slot[a:b]] - (before[a:b] - before[a]), n) + np.arange(before[b] - before[a])
+            item = self.item[entry]
+            band = (np.repeat(at[a:b], n) - self.place[entry] + largest) // (self.budget[item] + 1) + 1
+            key, where = np.unique(np.concatenate([open_key, item * shift * 2 + band, item * shift * 2 + band - 1]), return_inverse=True)
+            count = np.bincount(where, np.concatenate([open_count, np.ones(2 * len(item), np.int64)]), len(key)).astype(np.int64)
+            item, band = key // (shift * 2), key % (shift * 2)
+            last = (band + 1) * (self.budget[item] + 1) - largest + self.size[item]  # beyond any place in the text that counts for the band
+            done = last < at[b] if b < len(at) else np.ones(len(key), bool)
+            good = key[done & (count >= self.bound[item])]
+            if len(good):
+                yield good
+            open_key, open_count = key[~done], count[~done]
+            a = b
+
     def align(self, rows: list[np.ndarray], regions: np.ndarray, at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """Smallest edit distance of each region's item within its band and where it ends in the text."""
         distance, ends = np.zeros(regions.shape[1], np.int64), np.zeros(regions.shape[1], np.int64)
