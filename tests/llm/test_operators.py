@@ -2,6 +2,7 @@
 
 import html
 import itertools
+import math
 import re
 import zlib
 
@@ -128,6 +129,39 @@ def test_licenses_are_found_wherever_they_stand(spark):
     assert {(i, n) for i, n in enumerate(names)} <= got
     assert all(d < len(names) for d, _ in got)
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
+    with pytest.raises(ValueError):
+        license_scan.load({"x": "only four words here"}, 0.8, 0.001)
+
+
+def plain_words(text):
+    """Words as the scan sees them, one by one."""
+    lower = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return [w.strip("\"'()[]{}.,;:!?*") or w for w in WORD.findall(lower)]
+
+
+def five(text):
+    w = plain_words(text)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_licenses_against_brute_force(spark):
+    r = np.random.default_rng(31)
+    texts = list(EDGES)
+    for i in range(400):
+        words = list(license_scan.TEMPLATES.values())[i % len(license_scan.TEMPLATES)].split()
+        for _ in range(int(r.integers(0, max(2, len(words) // 12)))):
+            words[int(r.integers(0, len(words)))] = f"edit{int(r.integers(0, 9))}"
+        if i % 3 == 0:
+            words = words[int(r.integers(0, 1 + len(words) // 5)) :]
+        if i % 5 == 0:
+            words[-1] += "." * 12
+        texts.append(f"{prose(int(r.integers(0, 90)), i)} {'((' if i % 7 == 0 else ''}{' '.join(words)} {prose(int(r.integers(0, 60)), i + 900)}")
+    wanted = {n: five(t) for n, t in license_scan.TEMPLATES.items()}
+    want = {(d, n) for d, t in enumerate(texts) for n, w in wanted.items() if 10 * len(five(t or "") & w) >= 8 * len(w)}
+    got = {(q.doc_id, q.license) for q in license_scan.scan_licenses(docs(spark, texts)).collect()}
+    assert got == want and 150 < len({d for d, _ in want}) < 400
+    twice = spark.createDataFrame([(None, texts[-1]), (None, texts[-1]), (7, texts[-1]), (7, texts[-1])], "doc_id long, text string")
+    assert len(license_scan.scan_licenses(twice).collect()) == 2 * len({n for d, n in got if d == len(texts) - 1})
 
 
 def brute_links(vectors, threshold):
@@ -170,6 +204,18 @@ def test_vectors_against_brute_force(spark, block):
     assert embedding_dedup.near_vectors(frame.where("false")).count() == 0
 
 
+def test_vectors_with_one_id_and_of_any_size(spark):
+    r = np.random.default_rng(12)
+    base = r.normal(size=16)
+    near = [(base + 0.01 * r.normal(size=16)).tolist() for _ in range(50)]
+    rows = [(i + 10, v) for i, v in enumerate(near)] + [(1, near[0]), (1, near[7]), (1, (-base).tolist()), (3, (-base).tolist())]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((q.vec_id, q.n_links, q.component_id) for q in got) == sorted([(i + 10, 51, 1) for i in range(50)] + [(1, 51, 1), (1, 51, 1), (1, 1, 1), (3, 1, 1)])
+    odd = [(1, [1e-200, 0.0]), (2, [1e200, 1e180]), (3, [-1.0, 0.0]), (4, [0.9, math.sqrt(1 - 0.81)])]
+    got = {q.vec_id: (q.n_links, q.component_id) for q in embedding_dedup.near_vectors(spark.createDataFrame(odd, "vec_id long, embedding array<double>"), block=2).collect()}
+    assert got[1][1] == got[2][1] == 1 and got[3] == (0, 3)
+
+
 def test_estimates_are_unbiased_and_bounded():
     r = np.random.default_rng(2)
     x = r.normal(size=(400, 64))
@@ -214,7 +260,25 @@ def test_urls(spark, monkeypatch):
     urls = [None, "nothing", "http://A.Example.ORG/es/x", "https://example.org/en/123?q", "https://sub.x.org/", "http://x.com/fr/1", "http://x.com/de/", "http://www.cheap-pills.example.net/en/", "ftp://x.com", "http://notexample.org/es/", "x://y://z/w#f"]
     frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     one = sorted(map(tuple, url_filter.judge_urls(frame).collect()))
-    assert one == sorted(map(tuple, url_filter.judge_by_join(frame, url_filter.RULES, url_filter.BLOCKED_HOSTS).collect()))
+    assert one == sorted(map(tuple, url_filter.judge_urls(frame, shard_bytes=200).collect()))
+    rules = spark.createDataFrame([*url_filter.RULES, ("org", "/", "allow"), (None, "/", "block")], "host string, path string, verdict string")
+    hosts = spark.createDataFrame([(h,) for h in (*url_filter.BLOCKED_HOSTS, None)], "host string")
+    for size in (200, 1 << 20):
+        assert one == sorted(map(tuple, url_filter.judge_urls(frame.withColumn("host", F.lit("x")), rules, hosts, size).collect()))
+        assert {r.verdict for r in url_filter.judge_urls(frame, [], [], size).collect()} == {"allow"}
+
+    def judged(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        host = host.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        fits = [(len(h + p), h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        bad = any(host == h or host.endswith("." + h) for h in url_filter.BLOCKED_HOSTS)
+        return host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else "block" if bad else "allow"
+
+    assert one == sorted((i, *judged(u)) for i, u in enumerate(urls))
+    repeated = spark.createDataFrame([(1, urls[2])] * 3 + [(None, urls[2]), (None, None)], "page_id long, url string")
+    assert sorted(r.verdict for r in url_filter.judge_urls(repeated, shard_bytes=200).collect()) == ["allow", *["block"] * 4]
     verdict = {r[0]: (r[3], r[4]) for r in one}
     assert verdict[0] == (None, "allow") and verdict[2] == ("example.org/es/", "block") and verdict[3] == ("example.org/en/1", "block")
     assert verdict[4] == ("org/", "allow") and verdict[6] == ("com/de/", "block") and verdict[7] == (None, "block") and verdict[9] == ("org/", "allow")
@@ -239,6 +303,38 @@ def test_pages(spark):
     assert html.unescape("&amp;") in got[1] and html_extract.main_text(frame.where("false"), dict(html_extract.DEFAULT)).count() == 0
 
 
+def test_pages_give_their_own_articles(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = {r.page_id: r.html for r in pages.collect()}
+    got = {r.page_id: r.text for r in html_extract.main_text(pages, html_extract.fit_on(pages)).collect()}
+    assert len(got) == len(rows) > 20
+    for i, page in rows.items():
+        article = re.search(r"<article>(.*)</article>", page, re.S)[1]
+        plain = re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", article))
+        assert got[i] == " ".join(html.unescape(plain).split())
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_articles_keep_all_their_blocks(spark, labelled):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()] if labelled else []
+    weights = html_extract.fit(pages) if pages else dict(html_extract.DEFAULT)
+    blocks = "<p>First one here.</p><ul><li>a b</li><li>c d</li></ul><blockquote>said so</blockquote><pre>x = 1\n  y</pre><table><tr><td>m</td><td>n</td></tr></table><figure><img src=x><figcaption>a caption</figcaption></figure><p>Last words.</p>"
+    text = "First one here. a b c d said so x = 1 y m n a caption Last words."
+    advert = f"<div class='ad-slot'>{'buy now ' * 60}</div>"
+    for page, want in (
+        (f"<body><article>{blocks}</article></body>", text),
+        (f"<body><article><p>An introduction.</p>{advert}{blocks}</article></body>", "An introduction. " + text),
+        (f"<div class='comment-free'>{blocks}</div>", text),
+        (f"<div class='page-header-wrap'><article>{blocks}</article></div>", text),
+        (f"<html><head><title>t</title><body>{blocks}", text),
+        (f"<body>{blocks}<button>never closed <p>More.</p>", text + " never closed More."),
+        (f"<article>{blocks}</article><div id=post-comments><p>{'a reader says so ' * 20}</p></div>", text),
+        (f"<article><header><h1>Head</h1></header>{blocks}</article>", "Head " + text),
+        (f"<p>{'long ' * 200000}</p>", " ".join(["long"] * 200000)),
+    ):
+        assert html_extract.extract(page, weights) == want
+
+
 def test_best_region_is_the_best():
     for seed in range(30):
         s = np.random.default_rng(seed).normal(size=12)
@@ -337,6 +433,7 @@ def test_contamination_against_full_alignment(spark):
             if m >= 8 and edit_distance(norm(item), norm(t)) <= min(int(m * 0.1), (m - 8) // 8):
                 want.add((d, i))
     frame = docs(spark, texts, extra=True)
+    assert decontaminate.find_contaminated(frame.withColumn("item_id", F.lit("x")), bench.withColumn("doc_id", F.lit(1)).withColumn("distance", F.lit("y"))).count() == len(want)
     for size in (4 << 20, 200):
         assert {(q.doc_id, q.item_id) for q in decontaminate.find_contaminated(frame, bench, block_chars=size).collect()} == want
     clean = decontaminate.remove_contaminated(frame, bench)
@@ -344,6 +441,59 @@ def test_contamination_against_full_alignment(spark):
     assert decontaminate.find_contaminated(docs(spark, []), bench).count() == 0
 
 
+def test_contamination_in_repetitive_texts_and_repeated_rows(spark):
+    item = "ab" * 100
+    known = decontaminate.Benchmark([(1, item)], 0.1)
+    assert known.hits(["ab" * 20000]) == [(0, 1, 0, 200)]
+    whole = decontaminate.Benchmark._reached
+    r = np.random.default_rng(4)
+    items = [(i, "".join(r.choice(list("abc "), int(n)))) for i, n in enumerate(r.integers(10, 90, 20))]
+    known = decontaminate.Benchmark(items, 0.1)
+    rows = [decontaminate.normalise("".join(r.choice(list("abc "), 400)) + items[int(k)][1] + "ab" * 50) for k in r.integers(0, 20, 20)]
+    at = [sorted(map(tuple, known.regions(rows).T.tolist()))]
+    for most in (5, 100):
+        known._reached = lambda *a, most=most: whole(known, *a, most=most)
+        at.append(sorted(map(tuple, known.regions(rows).T.tolist())))
+    assert at[0] == at[1] == at[2] and len(at[0]) >= 20
+    bench = spark.createDataFrame([(1, "a benchmark passage of some length")], "item_id long, text string")
+    text = prose(50, 1) + " a benchmark passage of some length " + prose(2000, 2)
+    table = spark.createDataFrame([(None, text), (5, text), (5, text), (6, None), (None, "clean")], "doc_id long, text string")
+    assert sorted((q.doc_id for q in decontaminate.find_contaminated(table, bench).collect()), key=repr) == [5, 5, None]
+    assert sorted(q.text or "" for q in decontaminate.remove_contaminated(table, bench).collect()) == ["", "clean"]
+
+
+def test_stages_with_nulls_repeats_clashing_names_and_nothing(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    good = [t for t in (r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("n_chars between 1500 and 4000").orderBy("doc_id").limit(3).collect())]
+    rows = [(None, good[0], "en", "s", 1), (None, None, "en", None, None), (4, good[1], "en", "s", 1), (4, good[1], "en", "s", 1), (5, None, "en", "s", 0), (6, "", None, "s", 0), (7, good[2] + " " + prose(20000, 5), "en", "t", 1)]
+    table = spark.createDataFrame(rows, DOCS)
+    for name in ("ranges", "copy", "node", "component", "print", "size", "side", "row", "first"):
+        table = table.withColumn(name, F.lit(name))
+    for _, work in corpus_pipeline.STAGES:
+        assert work(spark, table.where("false"), sf).count() == 0
+        out = work(spark, table, sf)
+        assert out.columns == table.columns and 0 < out.count() <= 2 * len(rows)
+        assert {r.text for r in out.collect()} - {None, ""}
+    kept = corpus_pipeline.near_duplicate_stage(spark, table, sf).collect()
+    assert sorted((r.doc_id for r in kept), key=repr) == [4, 5, 6, 7, None, None]
+
+
+def test_a_stage_that_fails_leaves_nothing_behind(spark):
+    table = docs(spark, [prose(60, i) for i in range(5)])
+
+    @corpus_pipeline.stage
+    def broken(spark, docs, sf_dir):
+        minhash_dedup.near_duplicates(docs)
+        raise KeyError("no")
+
+    with pytest.raises(KeyError):
+        broken(spark, table, "")
+    alive = minhash_dedup.near_duplicates(table)  # outside of any stage: the next one must not delete its tables
+    corpus_pipeline.near_duplicate_stage(spark, table, "").count()
+    corpus_pipeline.substring_stage(spark, table, "").count()
+    assert alive.count() == 5
+
+
 def test_pipeline_keeps_its_columns_and_reruns_agree(spark):
     sf = "/root/testdata/sf0.001"
     one, two = ([tuple(r) for r in corpus_pipeline.run(spark, sf).collect()] for _ in range(2))
