@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +13,11 @@ BEAT_SYMBOLS = ("N", "L", "R", "e", "j", "A", "a", "J", "S", "V", "E", "F", "/",
 BINS = ((1200, 60), (3600, 120), (7200, 300), (28800, 900), (108000, 3600))
 
 
+def is_beat(symbol: Column) -> Column:
+    """Whether an annotation's symbol stands for a beat; false for null."""
+    return F.coalesce(symbol.isin(*BEAT_SYMBOLS), F.lit(False))
+
+
 def finite(x: Column) -> Column:
     """False for null, NaN and the infinities."""
     return F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))
@@ -71,18 +74,8 @@ def median_of(a: Column) -> Column:
     return F.get(F.array_sort(a), F.floor(F.size(a) / 2).cast("int"))
 
 
-def centred_windows(a: Column, half: Column) -> Column:
-    """For each place of ``a`` the values within ``half`` of it; ends are replicated."""
-    last = F.size(a) - 1
-    return F.transform(a, lambda _, i: F.transform(F.sequence(i - half, i + half), lambda j: F.get(a, F.greatest(F.lit(0), F.least(last, j)))))
-
-
 def script_safe(json: Column) -> Column:
     """JSON that can stand inside a script element."""
     for bad, good in (("<", "\\\\u003c"), (">", "\\\\u003e"), ("&", "\\\\u0026")):
         json = F.regexp_replace(json, bad, good)
     return json
-
-
-def rounded(columns: Sequence[Column | str], digits: int = 6) -> list[Column]:
-    return [F.round(c, digits).alias(c) if isinstance(c, str) else c for c in columns]

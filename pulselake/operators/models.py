@@ -21,14 +21,22 @@ class BeatClassifier:
         self.scale: dict[str, tuple[float, float]] = {}
 
     def _vectors(self, rows: DataFrame, by: list[str]) -> DataFrame:
-        rows = impute(rows, self.columns, by)
+        return self._scaled(impute(rows, self.columns, by))
+
+    def _scaled(self, rows: DataFrame) -> DataFrame:
         for c in self.columns:
             mean, deviation = self.scale[c]
             rows = rows.withColumn(f"s_{c}", (F.col(c) - mean) / deviation)
         return VectorAssembler(inputCols=[f"s_{c}" for c in self.columns], outputCol="features").transform(rows)
 
     def fit(self, rows: DataFrame, by: list[str]) -> BeatClassifier:
-        clean = impute(rows.where(F.col("y").isNotNull()), self.columns, by)
+        clean = impute(rows.where(F.col("y").isNotNull()), self.columns, by).select("y", *self.columns).persist()  # three passes read it
+        try:
+            return self._fit(clean)
+        finally:
+            clean.unpersist()
+
+    def _fit(self, clean: DataFrame) -> BeatClassifier:
         stats = clean.agg(*[f(c).alias(f"{n}_{c}") for c in self.columns for n, f in (("m", F.avg), ("d", F.stddev_pop))]).first()
         self.scale = {c: (stats[f"m_{c}"] or 0.0, stats[f"d_{c}"] or 1.0) for c in self.columns}
         counts = {r.y: r["count"] for r in clean.groupBy("y").count().collect()}  # a row a class
@@ -39,7 +47,7 @@ class BeatClassifier:
         for k, w in weight.items():
             column = F.when(F.col("y") == k, w).otherwise(column)
         mass = sum(weight[k] * n for k, n in counts.items())
-        train = self._vectors(rows.where(F.col("y").isNotNull()), by).withColumn("weight", column).withColumn("label", F.col("y").cast("double"))
+        train = self._scaled(clean).withColumn("weight", column).withColumn("label", F.col("y").cast("double"))
         learner = LogisticRegression(weightCol="weight", regParam=1 / (self.c * mass), elasticNetParam=0.0, standardization=False, maxIter=self.most_iterations, family="multinomial" if max(counts) > 1 else "binomial")
         self.model = learner.fit(train)
         return self

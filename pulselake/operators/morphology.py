@@ -22,12 +22,50 @@ def extract_beats(signal: DataFrame, beats: DataFrame, before: int, after: int)
 
 def pearson(a: Column, b: Column) -> Column:
     """Correlation of two arrays of equal length, 0 where one of them does not vary."""
+    # sums first: nothing within a lambda depends on a whole array, so each array is walked a fixed number of times
     n = F.size(a).cast("double")
     add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    ma, mb = add(a) / n, add(b) / n
-    cov = add(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
-    va, vb = add(F.transform(a, lambda x: (x - ma) * (x - ma))), add(F.transform(b, lambda y: (y - mb) * (y - mb)))
-    return F.coalesce(ratio(cov, F.sqrt(va * vb)), F.lit(0.0))
+    square = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)
+    sa, sb, qa, qb = add(a), add(b), square(a), square(b)
+    cov, va, vb = add(F.zip_with(a, b, lambda x, y: x * y)) - sa * sb / n, qa - sa * sa / n, qb - sb * sb / n
+    varies = (va > 1e-12 * qa) & (vb > 1e-12 * qb)
+    return F.coalesce(F.when(varies, cov / F.sqrt(va * vb)), F.lit(0.0))
+
+
+#: Seconds of a beat's window, of its P wave and of its QRS complex around the peak, half the longest
+#: QRS complex, and the smoothing of the slope; the ten features in order, and those that the classifiers use.
+BEFORE_S, AFTER_S = 0.32, 0.35
+P_WAVE_S, QRS_S = (-0.28, -0.09), (-0.06, 0.10)
+LONGEST_HALF_S, SMOOTH_S = 0.12, 0.02
+FEATURES = ("template_corr", "qrs_width_ms", "r_amplitude", "qrs_energy", "pre_rr_ratio", "post_rr_ratio", "r_amp_ratio", "width_ratio", "p_energy_ratio", "p_corr")
+BINARY_FEATURES = ("template_corr", "qrs_energy", "r_amp_ratio", "width_ratio")
+MULTICLASS_FEATURES = ("template_corr", "qrs_energy", "r_amp_ratio", "width_ratio", "pre_rr_ratio", "post_rr_ratio", "p_energy_ratio", "p_corr")
+
+
+def beat_features(windows: DataFrame, rr: DataFrame, fs: float, before: int) -> DataFrame:
+    """``(sensor_id, beat_idx)`` and the ten ``FEATURES`` of each beat of ``windows (sensor_id, beat_idx, w)``, whose peak is
+    at ``before``; ``rr`` has ``local_median``. Shapes and sizes are relative to the sensor's own medians and templates,
+    intervals to the local median; what is undefined is null."""
+    place = lambda s: before + int(round(s * fs))
+    part = lambda span: F.slice("w", max(0, place(span[0])) + 1, place(span[1]) - max(0, place(span[0])))
+    square = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v)
+    beats = windows.select(F.col("sensor_id").alias("group"), F.col("beat_idx").alias("beat_id"), "w")
+    rows = with_width(beats, fs, before, max(1, int(round(LONGEST_HALF_S * fs))), max(1, int(round(SMOOTH_S * fs))))
+    rows = rows.withColumns({"p": part(P_WAVE_S), "qrs": part(QRS_S), "r": F.abs(F.get("w", F.lit(before)))}).drop("w")
+    rows = rows.withColumns({"p_energy": square("p"), "q_energy": square("qrs")})
+    mids = rows.groupBy("group").agg(*[F.percentile(c, 0.5).alias(f"m_{c}") for c in ("p_energy", "q_energy", "r", "width_s")])
+    for part_of in ("qrs", "p"):
+        mids = mids.join(templates(rows.select("group", "beat_id", F.col(part_of).alias("w"))).select("group", F.col("template").alias(f"t_{part_of}")), "group")
+    over = lambda c: F.when(F.col(f"m_{c}") > 0, F.col(c) / F.col(f"m_{c}"))
+    out = rows.join(mids, "group").select(
+        F.col("group").alias("sensor_id"), F.col("beat_id").alias("beat_idx"), pearson(F.col("qrs"), F.col("t_qrs")).alias("template_corr"), (F.col("width_s") * 1000).alias("qrs_width_ms"),
+        F.col("r").alias("r_amplitude"), F.coalesce(over("q_energy"), F.col("q_energy")).alias("qrs_energy"), over("r").alias("r_amp_ratio"), over("width_s").alias("width_ratio"),
+        F.coalesce(over("p_energy"), F.lit(0.0)).alias("p_energy_ratio"), pearson(F.col("p"), F.col("t_p")).alias("p_corr"),
+    )
+    relative = rr.select("sensor_id", "rr_idx", F.when(F.col("local_median") > 0, F.col("rr_s") / F.col("local_median")).alias("r"))
+    for name, shift in (("pre_rr_ratio", 1), ("post_rr_ratio", 0)):  # the interval that ends with the beat, and the one that starts with it
+        out = out.join(relative.select("sensor_id", (F.col("rr_idx") + shift).alias("beat_idx"), F.col("r").alias(name)), ["sensor_id", "beat_idx"], "left")
+    return out.select("sensor_id", "beat_idx", *FEATURES)
 
 
 def _median_shape(beats: DataFrame, name: str) -> DataFrame:
@@ -52,20 +90,26 @@ def correlations(beats: DataFrame, shapes: DataFrame) -> DataFrame:
 
 
 def widths(beats: DataFrame, fs: float, centre: int, bound: int, smooth: int, share: float = 0.15) -> DataFrame:
-    """Seconds around ``centre`` in which the smoothed squared slope stays over a share of its value there; null if it
-    is zero. Both edges are conditional extrema, no walk."""
-    w = F.col("w")
-    slope = F.transform(w, lambda v, i: F.when(i == 0, 0.0).otherwise(v - F.get(w, F.greatest(i - 1, F.lit(0)))))
-    rows = beats.withColumn("sq", F.transform(slope, lambda d: d * d))
-    sq, left, right = F.col("sq"), smooth // 2, (smooth - 1) // 2
-    around = lambda i: F.aggregate(F.sequence(i - left, i + right), F.lit(0.0), lambda s, j: s + F.when(j >= 0, F.coalesce(F.get(sq, j), F.lit(0.0))).otherwise(0.0))
-    rows = rows.withColumn("env", F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: around(i) / smooth))
+    return with_width(beats, fs, centre, bound, smooth, share).select("group", "beat_id", "width_s")
+
+
+def with_width(beats: DataFrame, fs: float, centre: int, bound: int, smooth: int, share: float = 0.15) -> DataFrame:
+    """``beats`` with ``width_s``: seconds around ``centre`` in which the smoothed squared slope stays over a share of its
+    value there, or of its largest where it is zero there; null if it is zero throughout. Both edges are conditional extrema, no walk."""
+    w, left, right = F.col("w"), smooth // 2, (smooth - 1) // 2
+    slope = lambda j: F.when(j > 0, F.coalesce(F.get(w, j) - F.get(w, F.greatest(j - 1, F.lit(0))), F.lit(0.0))).otherwise(0.0)
+    around = lambda i: sum((slope(i + d) * slope(i + d) for d in range(-left, right + 1)), F.lit(0.0))
+    env = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: around(i) / smooth)
+    # generated, so that the envelope is an array of the row and not an expression that each use below evaluates anew
+    rows = beats.select("*", F.inline(F.array(F.struct(env.alias("env")))))
     top = F.get(F.col("env"), F.lit(centre))
+    rows = rows.select("*", F.inline(F.array(F.struct(F.when(top > 0, top).otherwise(F.array_max("env")).alias("top")))))
+    top = F.col("top")
     low, high = max(0, centre - bound), F.least(F.size("w") - 1, F.lit(centre + bound))
     below = lambda a, b: F.filter(F.sequence(a, b), lambda i: F.get(F.col("env"), i) <= share * top)
     start = F.coalesce(F.array_max(below(F.lit(low), F.lit(centre))), F.lit(low))
     end = F.coalesce(F.array_min(below(F.lit(centre), high)), high)
-    return rows.select("group", "beat_id", F.when(top > 0, (end - start) / float(fs)).alias("width_s"))
+    return rows.withColumn("width_s", F.when(top > 0, (end - start) / float(fs))).drop("env", "top")
 
 
 def energy(w: Column, a: int, b: int) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.exprs import centred_windows, hr_bpm, median_of, ratio, unit
+from ..functions.exprs import hr_bpm, median_of, ratio, unit
 
 SHORTEST, LONGEST = 0.20, 2.50
 
@@ -52,12 +52,17 @@ def heart_rate_trend(rr: DataFrame, window_s: float = 60.0) -> DataFrame:
 
 def local_median(rr: DataFrame, k: int = 11) -> DataFrame:
     """``rr`` with the median of the k intervals around each, ends replicated; k shrinks to the longest odd series."""
-    series = rr.groupBy("sensor_id").agg(F.sort_array(F.collect_list(F.struct("rr_idx", "t_s", "rr_s", "valid"))).alias("r"))
-    n = F.size("r")
+    most = k // 2
+    n, at = F.count("*").over(Window.partitionBy("sensor_id")), F.row_number().over(by_rr()) - 1
+    near = F.collect_list("rr_s").over(by_rr().rowsBetween(-most, most))
+    rows = rr.withColumns({"n": n, "at": at, "near": near})
+    n, at, near = F.col("n"), F.col("at"), F.col("near")
     half = F.floor((F.least(F.lit(k), n - (1 - n % 2)) - 1) / 2).cast("int")
-    medians = F.transform(centred_windows(F.transform("r", lambda x: x["rr_s"]), half), median_of)
-    rows = series.select("sensor_id", F.inline(F.zip_with("r", medians, lambda x, m: F.struct(x["rr_idx"].alias("rr_idx"), x["t_s"].alias("t_s"), x["rr_s"].alias("rr_s"), x["valid"].alias("valid"), m.alias("local_median")))))
-    return rows
+    skip = F.greatest(F.lit(0), at - half) - F.greatest(F.lit(0), at - most)  # what the frame holds beyond the window
+    before, after = F.greatest(F.lit(0), half - at), F.greatest(F.lit(0), at + half - (n - 1)).cast("int")
+    inside = F.slice(near, (skip + 1).cast("int"), (2 * half + 1 - before - after).cast("int"))
+    window = F.concat(F.array_repeat(F.get(inside, F.lit(0)), before), inside, F.array_repeat(F.element_at(inside, -1), after))
+    return rows.withColumn("local_median", median_of(window)).drop("n", "at", "near")
 
 
 def ectopic_candidates(rr: DataFrame, prematurity: float = 0.80, compensation: float = 1.15) -> DataFrame:
@@ -120,12 +125,16 @@ def af_episodes(windows: DataFrame, window_s: float = 30.0, least_s: float = 30.
 
 
 def dedupe_peaks(peaks: DataFrame, refractory: int) -> DataFrame:
-    """Per sensor, peaks in order; one closer than ``refractory`` to the last kept one goes."""
+    """Per sensor, peaks in order; one closer than ``refractory`` to the last kept one goes. A gap of the refractory time
+    ends a run, whose last kept peak no later one is compared with, so runs are folded one by one."""
+    order = Window.partitionBy("sensor_id").orderBy("sample")
+    apart = F.coalesce(F.col("sample") - F.lag("sample").over(order) >= refractory, F.lit(True))
+    peaks = peaks.select("sensor_id", "sample", F.sum(apart.cast("long")).over(order).alias("run"))
     kept = F.aggregate(
         F.array_sort(F.collect_set("sample")), F.array().cast("array<bigint>"),
         lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= refractory), F.concat(acc, F.array(x))).otherwise(acc),
     )
-    return peaks.groupBy("sensor_id").agg(kept.alias("k")).select("sensor_id", F.explode("k").alias("sample"))
+    return peaks.groupBy("sensor_id", "run").agg(kept.alias("k")).select("sensor_id", F.explode("k").alias("sample"))
 
 
 def thin(rows: DataFrame, order: Column, most: int) -> DataFrame:

@@ -20,6 +20,20 @@ def event_histogram(events: DataFrame, durations: DataFrame, fs: float, bin_s: F
     return every.join(counts, ["sensor_id", "bin"], "left").select("sensor_id", "bin", "bin_s", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def bars(histogram: DataFrame) -> DataFrame:
+    """Each bin's centre and the width of its bar in minutes."""
+    return histogram.select("sensor_id", "bin", ((F.col("bin") + 0.5) * F.col("bin_s") / 60).alias("centre_min"), (0.86 * F.col("bin_s") / 60).alias("width_min"), "n")
+
+
+def on_recording_clock(channels: DataFrame) -> DataFrame:
+    """``channels (record_id, sensor_id, start_us, n_samples, fs, clock_offset_s)`` with corrected start and end, the seconds
+    from the recording's origin (its earliest corrected start) to the start, and ``uniform_rate``."""
+    shift = lambda s: F.round(s * 1e6).cast("long")
+    rows = channels.withColumn("start", F.col("start_us") + shift(F.col("clock_offset_s"))).withColumn("end", F.col("start") + shift(F.col("n_samples") / F.col("fs")))
+    whole = rows.groupBy("record_id").agg(F.min("start").alias("origin"), (F.min("fs") == F.max("fs")).alias("uniform_rate"))
+    return rows.join(whole, "record_id").select("record_id", "sensor_id", "start", "end", ((F.col("start") - F.col("origin")) / 1e6).alias("elapsed_s"), "uniform_rate")
+
+
 def busiest_bin(histogram: DataFrame) -> DataFrame:
     """The bin with most events, the last of equals."""
     return histogram.groupBy("sensor_id").agg(F.max(F.struct("n", "bin")).alias("b")).select("sensor_id", F.col("b.bin").alias("bin"), F.col("b.n").alias("n"))

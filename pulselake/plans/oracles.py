@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 BEATS = """beats AS (
   SELECT user_id AS sensor_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS beat_idx, event_id,
     (epoch_us(ts) - 1704067200000000) * 12 // 1000000000 AS sample,
@@ -116,6 +118,35 @@ HISTOGRAM = """sizes AS (SELECT sensor_id, greatest(1, ceil({scale} * max(sample
 ), hist AS (SELECT e.sensor_id, CAST(e.bin AS INT) AS bin, {bin} AS bin_s, coalesce(n, 0) AS n FROM every e LEFT JOIN counts c ON e.sensor_id = c.sensor_id AND e.bin = c.bin)"""
 
 
+def part_of(name: str, low: int, high: int) -> str:
+    """Energy, template and correlation of a stretch of every beat's window, as table ``name`` (beat_id, energy, corr)."""
+    names = {"sh", "pts", "t0", "t1", "c0", "c1", "use", "tem"}
+    sql = TEMPLATE.replace(SHAPES, f"sh AS (SELECT grp, beat_id, w[{low + 1}:{high}] AS w FROM win)") + ", " + corr_with("c1", "tem")
+    for n in names:
+        sql = re.sub(rf"\b{n}\b", f"{name}_{n}", sql)
+    return sql + f""", {name} AS (SELECT c.beat_id, corr, energy FROM {name}_c1 c JOIN (SELECT beat_id, sum(v * v) AS energy FROM {name}_pts GROUP BY beat_id) e ON c.beat_id = e.beat_id)"""
+
+
+FEATURES = f"""{RR}, {MEDIAN}, win AS (
+  SELECT b.sensor_id AS grp, b.event_id AS beat_id, b.beat_idx, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w
+  FROM beats b JOIN embeddings e ON e.vec_id = b.event_id % (SELECT max(vec_id) + 1 FROM embeddings)
+), {part_of("q", 25, 41)}, {part_of("p", 4, 22)}, wp AS (SELECT beat_id, unnest(w) AS v, unnest(range(0, len(w))) AS pos FROM win
+), sl AS (SELECT *, CASE WHEN pos = 0 THEN 0 ELSE v - lag(v) OVER (PARTITION BY beat_id ORDER BY pos) END AS d FROM wp
+), en AS (SELECT beat_id, pos, sum(d * d) OVER (PARTITION BY beat_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) / 2 AS e FROM sl
+), tp AS (SELECT *, max(CASE WHEN pos = 31 THEN e END) OVER (PARTITION BY beat_id) AS top FROM en
+), wd AS (
+  SELECT beat_id, CASE WHEN max(top) > 0 THEN 1000 * (coalesce(min(pos) FILTER (WHERE pos BETWEEN 31 AND 43 AND e <= 0.15 * top), 43) - coalesce(max(pos) FILTER (WHERE pos BETWEEN 19 AND 31 AND e <= 0.15 * top), 19)) / 96.0 END AS width
+  FROM tp GROUP BY beat_id
+), f AS (
+  SELECT grp, win.beat_id, beat_idx, abs(w[32]) AS r, width, q.corr AS qc, q.energy AS qe, p.corr AS pc, p.energy AS pe FROM win JOIN wd ON wd.beat_id = win.beat_id JOIN q ON q.beat_id = win.beat_id JOIN p ON p.beat_id = win.beat_id
+), md AS (SELECT grp, quantile_cont(r, 0.5) AS mr, quantile_cont(width, 0.5) AS mw, quantile_cont(qe, 0.5) AS mq, quantile_cont(pe, 0.5) AS mp FROM f GROUP BY grp
+), rel AS (SELECT sensor_id, rr_idx, CASE WHEN local_median > 0 THEN rr_s / local_median END AS rel FROM med)
+SELECT f.grp AS sensor_id, f.beat_idx, round(qc, 6) AS template_corr, round(width, 6) AS qrs_width_ms, round(r, 6) AS r_amplitude, round(CASE WHEN mq > 0 THEN qe / mq ELSE qe END, 6) AS qrs_energy,
+  round(a.rel, 6) AS pre_rr_ratio, round(z.rel, 6) AS post_rr_ratio, round(CASE WHEN mr > 0 THEN r / mr END, 6) AS r_amp_ratio, round(CASE WHEN mw > 0 THEN width / mw END, 6) AS width_ratio,
+  round(CASE WHEN mp > 0 THEN pe / mp ELSE 0 END, 6) AS p_energy_ratio, round(pc, 6) AS p_corr
+FROM f JOIN md ON md.grp = f.grp LEFT JOIN rel a ON a.sensor_id = f.grp AND a.rr_idx = f.beat_idx - 1 LEFT JOIN rel z ON z.sensor_id = f.grp AND z.rr_idx = f.beat_idx"""
+
+
 def rounding(*columns: str) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
 
@@ -153,7 +184,7 @@ ORACLES = {
     "window_quality_stats": f"WITH {STATS} SELECT sensor_id, w, n, {rounding('amplitude', 'flat', 'saturated')} FROM stats",
     "amplitude_instability": f"WITH {INSTABILITY} SELECT sensor_id, w, round(instability, 6) AS instability FROM inst",
     "artifact_windows": f"WITH {ARTEFACTS} SELECT sensor_id, w, round(score, 6) AS score FROM art",
-    "beats_in_artifact": f"WITH {ARTEFACTS} SELECT s.sensor_id, s.i AS sample, coalesce(score >= 0.5, FALSE) AS in_artifact FROM sig s LEFT JOIN art a ON a.sensor_id = s.sensor_id AND a.w = s.i // 30 WHERE s.i % 4 = 0",
+    "beats_in_artifact": f"WITH {ARTEFACTS} SELECT s.sensor_id, s.i AS sample, coalesce(score >= 0.5, FALSE) AS in_artifact FROM sig s LEFT JOIN art a ON a.sensor_id = s.sensor_id AND a.w = s.i // 30",
     "rank_sensors": f"WITH {STATS}, q AS (SELECT sensor_id, quantile_cont(1 - flat, 0.5) AS sqi FROM stats GROUP BY sensor_id) SELECT sensor_id, round(sqi, 6) AS sqi, row_number() OVER (ORDER BY sqi DESC, sensor_id) AS rank FROM q",
     "overlap_window": """WITH c AS (SELECT user_id AS s, user_id % 10 AS record_id, min(epoch_us(ts)) - 1704067200000000 AS a, max(epoch_us(ts)) - 1704067200000000 AS b FROM events GROUP BY user_id)
       SELECT record_id, count(*) AS n_channels, min(a) AS origin_us, max(b) AS end_us, CASE WHEN min(b) > max(a) THEN max(a) ELSE 0 END AS overlap_start, CASE WHEN min(b) > max(a) THEN min(b) ELSE 0 END AS overlap_end FROM c GROUP BY record_id""",
@@ -198,15 +229,22 @@ ORACLES = {
     "feature_ratios": f"""WITH {POINTS}, f AS (SELECT grp, beat_id, max(v) - min(v) AS amp, sum(v * v) FILTER (WHERE pos >= 2 AND pos < 16) AS p, sum(v * v) FILTER (WHERE pos >= 24 AND pos < 40) AS q FROM pts GROUP BY grp, beat_id),
       m AS (SELECT grp, quantile_cont(amp, 0.5) AS a, quantile_cont(p, 0.5) AS b, quantile_cont(q, 0.5) AS c FROM f GROUP BY grp)
       SELECT f.grp AS "group", beat_id, round(amp / nullif(a, 0), 6) AS amp_ratio, round(p / nullif(b, 0), 6) AS p_ratio, round(q / nullif(c, 0), 6) AS q_ratio FROM f JOIN m ON f.grp = m.grp""",
+    "beat_features": f"WITH {FEATURES}",
+    "beat_codes": f"""WITH {BEATS}, m AS (SELECT sensor_id, CASE WHEN event_id % 7 = 3 THEN '+' WHEN event_id % 7 = 5 THEN '~' ELSE symbol END AS symbol FROM beats)
+      SELECT sensor_id, symbol IN ('N', 'L', 'R', 'e', 'j', 'A', 'a', 'J', 'S', 'V', 'E', 'F', '/', 'f', 'Q') AS is_beat, count(*) AS n FROM m GROUP BY ALL""",
+    "histogram_bars": f"WITH {BEATS}, {HISTOGRAM.format(scale=1, bin=10)} SELECT sensor_id, bin, round((bin + 0.5) * 10 / 60, 6) AS centre_min, round(0.86 * 10 / 60, 6) AS width_min, n FROM hist",
+    "channel_clocks": """WITH c AS (SELECT user_id AS sensor_id, user_id % 10 AS record_id, min(epoch_us(ts)) - 1704067200000000 AS us, count(*) AS n, CASE WHEN user_id % 7 = 2 THEN 250.0 ELSE 360.0 END AS fs FROM events GROUP BY user_id),
+      s AS (SELECT *, us + (sensor_id % 5 - 2) * 250000 AS start FROM c), r AS (SELECT record_id, min(start) AS origin, min(fs) = max(fs) AS uniform_rate FROM s GROUP BY record_id)
+      SELECT s.record_id, sensor_id, start, CAST(start + round(n / CAST(fs AS DOUBLE) * 1e6) AS BIGINT) AS "end", round((start - origin) / 1e6, 6) AS elapsed_s, uniform_rate FROM s JOIN r ON s.record_id = r.record_id""",
     "median_imputation": f"WITH {SIGNAL}, m AS (SELECT sensor_id, quantile_cont(x, 0.5) AS m FROM sig GROUP BY sensor_id) SELECT s.sensor_id, i, round(coalesce(x, m, 0), 6) AS x FROM sig s JOIN m ON s.sensor_id = m.sensor_id",
     "beat_windows": f"""WITH {SIGNAL}, c AS (SELECT sensor_id, i, coalesce(x, -1.0) AS x, max(i) OVER (PARTITION BY sensor_id) AS last FROM sig)
       SELECT b.sensor_id, b.i AS sample, round(max(CASE WHEN c.i = b.i - 5 THEN c.x END), 6) AS first, round(max(CASE WHEN c.i = b.i + 2 THEN c.x END), 6) AS last, round(sum(c.x), 6) AS total
-      FROM c b JOIN c ON c.sensor_id = b.sensor_id AND c.i BETWEEN b.i - 5 AND b.i + 2 WHERE b.i % 10 = 3 AND b.i >= 5 AND b.i + 2 <= b.last GROUP BY b.sensor_id, b.i""",
+      FROM c b JOIN c ON c.sensor_id = b.sensor_id AND c.i BETWEEN b.i - 5 AND b.i + 2 WHERE b.i >= 5 AND b.i + 2 <= b.last GROUP BY b.sensor_id, b.i""",
     "moving_integration": f"""WITH {SIGNAL}, f AS (SELECT sensor_id, row_number() OVER (PARTITION BY sensor_id ORDER BY i) - 1 AS i, x FROM sig WHERE x IS NOT NULL),
       s AS (SELECT *, 10 * coalesce((lead(x) OVER o - lag(x) OVER o) / 2, lead(x) OVER o - x, x - lag(x) OVER o) AS slope FROM f WINDOW o AS (PARTITION BY sensor_id ORDER BY i))
       SELECT sensor_id, i, round(slope, 6) AS slope, round(sum(slope * slope) OVER (PARTITION BY sensor_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS integrated FROM s""",
     "refine_extremum": f"""WITH {SIGNAL}, n AS (SELECT p.sensor_id, p.i AS p, s.i, row_number() OVER (PARTITION BY p.sensor_id, p.i ORDER BY abs(s.x) DESC, s.i) AS r FROM sig p JOIN sig s ON s.sensor_id = p.sensor_id AND s.i BETWEEN p.i - 3 AND p.i + 3
-      WHERE p.i % 10 = 5 AND p.x IS NOT NULL AND s.x IS NOT NULL) SELECT DISTINCT sensor_id, i AS sample FROM n WHERE r = 1""",
+      WHERE p.x IS NOT NULL AND s.x IS NOT NULL) SELECT DISTINCT sensor_id, i AS sample FROM n WHERE r = 1""",
     "upload_ingest": """SELECT 'r' || user_id AS record_id, 's' || user_id AS sensor_id, CAST(count(*) AS INT) AS n_samples, CASE WHEN user_id % 5 = 1 THEN 'bad sampling rate' WHEN user_id % 7 = 2 THEN 'bad start time' END AS problem
-      FROM events WHERE user_id < 40 GROUP BY user_id""",
+      FROM events GROUP BY user_id""",
 }

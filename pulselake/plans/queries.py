@@ -118,7 +118,7 @@ def artifact_windows(spark, sf):
 
 def beats_in_artifact(spark, sf):
     windows = quality.artefact_windows(signal(spark, sf), SIGNAL_FS, 3.0)
-    return quality.beats_in_artifact(signal(spark, sf).where("i % 4 = 0").select("sensor_id", F.col("i").alias("sample")), windows, SIGNAL_FS, 3.0)
+    return quality.beats_in_artifact(signal(spark, sf).select("sensor_id", F.col("i").alias("sample")), windows, SIGNAL_FS, 3.0)
 
 
 def rank_sensors(spark, sf):
@@ -278,8 +278,8 @@ def median_imputation(spark, sf):
 
 
 def beat_windows(spark, sf):
-    """Complete windows of 8 samples around every tenth sample."""
-    out = morphology.extract_beats(signal(spark, sf).withColumn("x", F.when(exprs.finite(F.col("x")), F.col("x")).otherwise(-1.0)), signal(spark, sf).where("i % 10 = 3").select("sensor_id", F.col("i").alias("sample")), 5, 3)
+    """Complete windows of 8 samples around every sample."""
+    out = morphology.extract_beats(signal(spark, sf).withColumn("x", F.when(exprs.finite(F.col("x")), F.col("x")).otherwise(-1.0)), signal(spark, sf).select("sensor_id", F.col("i").alias("sample")), 5, 3)
     return out.select("sensor_id", "sample", R(F.get("w", F.lit(0))).alias("first"), R(F.get("w", F.lit(7))).alias("last"), R(F.aggregate("w", F.lit(0.0), lambda s, v: s + v)).alias("total"))
 
 
@@ -296,9 +296,9 @@ def moving_integration(spark, sf):
 
 
 def refine_extremum(spark, sf):
-    """Every tenth sample moved to the largest absolute value within three samples, the first of equals."""
+    """Every sample moved to the largest absolute value within three samples, the first of equals."""
     rows = signal(spark, sf).where(exprs.finite(F.col("x")))
-    peaks = rows.where("i % 10 = 5").select("sensor_id", F.col("i").alias("p"))
+    peaks = rows.select("sensor_id", F.col("i").alias("p"))
     near = peaks.withColumn("i", F.explode(F.sequence(F.col("p") - 3, F.col("p") + 3))).join(rows, ["sensor_id", "i"])
     best = near.groupBy("sensor_id", "p").agg(F.max(F.struct(F.abs("x").alias("a"), (-F.col("i")).alias("m"))).alias("b"))
     return best.select("sensor_id", (-F.col("b.m")).alias("sample")).distinct()
@@ -306,7 +306,7 @@ def refine_extremum(spark, sf):
 
 def upload_ingest(spark, sf):
     """Uploads built from the events, some of them bad, parsed and judged."""
-    rows = signal(spark, sf).where("sensor_id < 40").groupBy("sensor_id").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("s"))
+    rows = signal(spark, sf).groupBy("sensor_id").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("s"))
     values = F.transform("s", lambda v: F.when(F.isnan(v["x"]), F.lit(None).cast("double")).otherwise(v["x"]))
     channel = F.struct(
         F.concat(F.lit("s"), F.col("sensor_id").cast("string")).alias("sensor_id"), F.when(F.col("sensor_id") % 5 == 1, 0.0).otherwise(float(SIGNAL_FS)).alias("fs"), values.alias("samples"),
@@ -347,21 +347,66 @@ def analysis(spark, sf):
     return rounded(analyse(synthetic_ecg(spark, seconds=60), FS))
 
 
-def _features(spark, sf) -> DataFrame:
-    rows = beats(spark, sf).join(rhythm.pre_post_ratio(rr(spark, sf)), ["sensor_id", "beat_idx"], "left")
-    return rows.select("sensor_id", "beat_idx", (F.col("symbol") == "V").cast("int").alias("y"), exprs.aami_class(F.col("symbol")).alias("k"), "pre", "post", F.log1p(F.col("event_id") % 17).alias("f"))
+def _windows(spark, sf) -> DataFrame:
+    """Each beat with a window of 64 samples at 96 Hz, its peak at 31: the vectors of the embeddings in turn."""
+    shapes_of = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("w"))
+    n = shapes_of.agg(F.max("vec_id") + 1).first()[0]
+    return beats(spark, sf).withColumn("vec_id", F.col("event_id") % n).join(shapes_of, "vec_id")
+
+
+def beat_features(spark, sf):
+    """The ten features of every beat."""
+    return rounded(morphology.beat_features(_windows(spark, sf).select("sensor_id", "beat_idx", "w"), rhythm.local_median(rr(spark, sf)), 96, 31))
+
+
+def _labelled_features(spark, sf, label) -> DataFrame:
+    """Kept in memory or on disk, since fitting and predicting read them several times; a lost part is made again."""
+    return _unkept_features(spark, sf, label).persist()
+
+
+def _unkept_features(spark, sf, label) -> DataFrame:
+    return beats(spark, sf).select("sensor_id", "beat_idx", label.alias("y")).join(beat_features(spark, sf), ["sensor_id", "beat_idx"])
 
 
 def ventricular_classifier(spark, sf):
-    rows = _features(spark, sf)
-    train = rows.where("sensor_id % 2 = 0").drop("k")
-    return models.BeatClassifier(["pre", "post", "f"]).fit(train, ["sensor_id"]).predict(rows.where("sensor_id % 2 = 1").drop("k"), ["sensor_id"], 0.5).select("sensor_id", "beat_idx", "y", "y_pred")
+    """Trained on the beats of even sensors, applied to those of odd ones."""
+    rows = _labelled_features(spark, sf, (F.col("symbol") == "V").cast("int")).select("sensor_id", "beat_idx", "y", *morphology.BINARY_FEATURES)
+    model = models.BeatClassifier(list(morphology.BINARY_FEATURES)).fit(rows.where("sensor_id % 2 = 0"), ["sensor_id"])
+    return model.predict(rows.where("sensor_id % 2 = 1"), ["sensor_id"], 0.5).select("sensor_id", "beat_idx", "y", "y_pred")
 
 
 def multiclass_classifier(spark, sf):
-    rows = _features(spark, sf).drop("y").withColumnRenamed("k", "y")
-    train = rows.where("sensor_id % 2 = 0 and y < 4")
-    return models.BeatClassifier(["pre", "post", "f"], {0: 1.0, 1: 8.0, 2: 4.0, 3: 8.0}).fit(train, ["sensor_id"]).predict(rows.where("sensor_id % 2 = 1"), ["sensor_id"]).select("sensor_id", "beat_idx", "y", "y_pred")
+    """As above for four classes; beats of the fifth are not learned."""
+    rows = _labelled_features(spark, sf, exprs.aami_class(F.col("symbol"))).select("sensor_id", "beat_idx", "y", *morphology.MULTICLASS_FEATURES)
+    model = models.BeatClassifier(list(morphology.MULTICLASS_FEATURES), {0: 1.0, 1: 8.0, 2: 4.0, 3: 8.0}).fit(rows.where("sensor_id % 2 = 0 and y < 4"), ["sensor_id"])
+    return model.predict(rows.where("sensor_id % 2 = 1"), ["sensor_id"]).select("sensor_id", "beat_idx", "y", "y_pred")
+
+
+def subject_threshold(spark, sf):
+    """The threshold that out-of-fold scores of whole sensors choose."""
+    rows = _labelled_features(spark, sf, (F.col("symbol") == "V").cast("int")).select("sensor_id", "beat_idx", "y", *morphology.BINARY_FEATURES)
+    return rounded(scoring.best_threshold(models.out_of_fold(models.subject_folds(rows, "sensor_id"), list(morphology.BINARY_FEATURES), ["sensor_id"])))
+
+
+def beat_codes(spark, sf):
+    """Annotations that stand for beats, and those that do not."""
+    marks = beats(spark, sf).select("sensor_id", F.when(F.col("event_id") % 7 == 3, "+").when(F.col("event_id") % 7 == 5, "~").otherwise(F.col("symbol")).alias("symbol"))
+    return marks.groupBy("sensor_id", exprs.is_beat(F.col("symbol")).alias("is_beat")).agg(F.count("*").alias("n"))
+
+
+def histogram_bars(spark, sf):
+    """Centres and widths of the histogram's bars, in minutes."""
+    return rounded(summary.bars(event_histogram(spark, sf)))
+
+
+def channel_clocks(spark, sf):
+    """Corrected start and end of each channel, its offset from the recording's origin, and whether all channels of the
+    recording have one rate: recordings of ten users, clocks that are up to half a second off."""
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("sensor_id"), tables.micros().alias("us"))
+    channels = rows.groupBy("sensor_id").agg(F.min("us").alias("start_us"), F.count("*").alias("n_samples"))
+    rate = F.when(F.col("sensor_id") % 7 == 2, 250.0).otherwise(360.0)
+    channels = channels.select((F.col("sensor_id") % 10).alias("record_id"), "sensor_id", "start_us", "n_samples", rate.alias("fs"), ((F.col("sensor_id") % 5 - 2) * 0.25).alias("clock_offset_s"))
+    return rounded(summary.on_recording_clock(channels))
 
 
 def sensor_overview(spark: SparkSession, sf: str) -> DataFrame:
@@ -380,6 +425,7 @@ QUERIES = {
         welch_quality, overlap_window, channel_slice, rhythm_intervals, rhythm_asof_label, cross_sensor_agreement, ectopic_semi_join, peak_sets, greedy_match, detection_scores, detection_gross,
         bsqi, aami_mapping, lead_positions, classification_score, confusion_matrix, multiclass_scores, gross_aggregate, threshold_selection, event_histogram, hourly_histogram, busiest_bin,
         bin_choice, events_summary, representative_events, summary_json, beat_template, template_correlation, qrs_width, feature_ratios, median_imputation, beat_windows, moving_integration,
-        refine_extremum, upload_ingest, detect_rpeaks, chunked_detection, recovered_beats, filtered_signal, resampled_signal, analysis, ventricular_classifier, multiclass_classifier,
+        refine_extremum, upload_ingest, detect_rpeaks, chunked_detection, recovered_beats, filtered_signal, resampled_signal, analysis, beat_features, ventricular_classifier, multiclass_classifier,
+        subject_threshold, beat_codes, histogram_bars, channel_clocks,
     )
 }

@@ -10,7 +10,7 @@ from pulselake.plans.oracles import ORACLES
 from pulselake.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"ventricular_classifier", "multiclass_classifier", "analysis"}
+SLOW = {"subject_threshold"}  # four fits; tests/test_models.py has its parts
 
 
 def plain(v):
