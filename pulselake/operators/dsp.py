@@ -7,6 +7,8 @@ Ends are extended by odd reflection.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -104,14 +106,34 @@ def preprocess(x, fs, low=0.5, high=40.0, powerline=60.0, baseline="highpass"):
     return zero_phase(notch(x, fs, powerline), fs, lowpass_gain(fs, high, 4))
 
 
+def ratio_of(fs: float, target: float) -> tuple[int, int]:
+    """Whole factors up and down between two rates, which are rounded to whole Hertz."""
+    up, down = max(1, round(target)), max(1, round(fs))
+    shared = math.gcd(up, down)
+    return up // shared, down // shared
+
+
+def polyphase(x: np.ndarray, first: int, at: np.ndarray, up: int, down: int) -> np.ndarray:
+    """Samples ``at`` (numbered at the new rate) of a signal whose part from sample ``first`` on is ``x``, zero elsewhere:
+    a Kaiser-windowed sinc of ten periods to each side, read where the wanted sample lies between the given ones."""
+    wide = max(up, down)
+    half = 10 * wide
+    kernel = np.sinc(np.arange(-half, half + 1) / wide) * np.kaiser(2 * half + 1, 5.0)
+    kernel *= up / kernel.sum()
+    fine = at * down
+    source = -((half - fine) // up)[:, None] + np.arange(2 * half // up + 1)
+    tap = fine[:, None] - source * up + half
+    inside = (tap >= 0) & (tap <= 2 * half) & (source >= first) & (source < first + len(x))
+    taken = np.where(inside, x[np.clip(source - first, 0, len(x) - 1)], 0.0) * kernel[np.clip(tap, 0, 2 * half)]
+    return taken.sum(axis=1)
+
+
 def resample(x: np.ndarray, fs: float, target: float) -> np.ndarray:
-    """``x`` at another rate: band-limited below the lower Nyquist rate, then linear between samples."""
+    """``x`` at another rate, rounded to whole Hertz, as many samples as the ratio of the rates asks for."""
     if fs == target or len(x) < 2:
         return x
-    if target < fs:
-        x = zero_phase(x, fs, lowpass_gain(fs, 0.45 * target, 8))
-    n = int(round(len(x) * target / fs))
-    return np.interp(np.arange(n) * fs / target, np.arange(len(x)), x)
+    up, down = ratio_of(fs, target)
+    return polyphase(x, 0, np.arange(round(len(x) * target / fs)), up, down)
 
 
 def stages(x: np.ndarray, fs: float) -> dict[str, np.ndarray]:
