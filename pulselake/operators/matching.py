@@ -84,10 +84,23 @@ def sensor_agreement(events: DataFrame, keys: list[str], tolerance: int) -> Data
     return counted.groupBy(*keys, "n_sensors").agg(F.count("*").alias("n_events"))
 
 
-def rhythm_intervals(transitions: DataFrame) -> DataFrame:
-    """Transitions ``(sensor_id, sample, label)`` as intervals up to the next one (null: to the end)."""
+def rhythm_transitions(notes: DataFrame) -> DataFrame:
+    """Annotations ``(sensor_id, sample, aux)`` whose note, without null characters and outer spaces, opens with a bracket."""
+    clean = F.trim(F.translate("aux", "\0", ""))
+    return notes.select("sensor_id", "sample", clean.alias("label")).where(F.col("label").startswith("("))
+
+
+def rhythm_intervals(transitions: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Transitions ``(sensor_id, sample, label)`` as intervals up to the next one, the last up to the recording's length, of
+    ``lengths (sensor_id, n_samples)``."""
     order = Window.partitionBy("sensor_id").orderBy("sample", "label")
-    return transitions.select("sensor_id", F.col("sample").alias("start"), F.lead("sample").over(order).alias("end"), "label")
+    rows = transitions.withColumn("next", F.lead("sample").over(order)).join(lengths, "sensor_id")
+    return rows.select("sensor_id", F.col("sample").alias("start"), F.coalesce("next", "n_samples").alias("end"), "label")
+
+
+def rhythm_mask(samples: DataFrame, transitions: DataFrame, label: str) -> DataFrame:
+    """``(sensor_id, sample, inside)``: whether a sample lies in an interval of the label."""
+    return label_as_of(samples, transitions).select("sensor_id", "sample", F.coalesce(F.col("label") == label, F.lit(False)).alias("inside"))
 
 
 def label_as_of(samples: DataFrame, transitions: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ class BeatClassifier:
         self.columns, self.weights, self.c, self.most_iterations = columns, weights, c, most_iterations
         self.model: LogisticRegressionModel | None = None
         self.scale: dict[str, tuple[float, float]] = {}
+        self.threshold: float | None = None  # the operating point that ``predict`` takes where it is given none
 
     def _vectors(self, rows: DataFrame, by: list[str]) -> DataFrame:
         return self._scaled(impute(rows, self.columns, by))
@@ -57,6 +58,7 @@ class BeatClassifier:
         if self.model is None:
             raise RuntimeError("the classifier is not fitted")
         out = self.model.transform(self._vectors(rows, by)).withColumn("probabilities", vector_to_array("probability"))
+        threshold = self.threshold if threshold is None else threshold
         pred = F.col("prediction").cast("int") if threshold is None else (F.get("probabilities", F.lit(1)) >= threshold).cast("int")
         return out.withColumn("y_pred", pred).drop("features", "rawPrediction", "probability", "prediction", *[f"s_{c}" for c in self.columns])
 

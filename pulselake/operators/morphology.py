@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.exprs import finite, ratio
 
 
-def extract_beats(signal: DataFrame, beats: DataFrame, before: int, after: int) -> DataFrame:
-    """Windows ``[sample - before, sample + after)`` of complete beats only. Each sample goes to the slots that its beats
+def extract_beats(signal: DataFrame, beats: DataFrame, before: int, after: int, spare: int = 0) -> DataFrame:
+    """Windows ``[sample - before, sample + after)`` of complete beats only, with ``spare`` more samples after them. Each sample goes to the slots that its beats
     can look into, so the join is an equi-join on (sensor, slot)."""
     size = before + after
     ends = signal.groupBy("sensor_id").agg(F.max("i").alias("last"))
-    inside = beats.join(ends, "sensor_id").where((F.col("sample") - before >= 0) & (F.col("sample") + after - 1 <= F.col("last"))).select("sensor_id", "sample")
+    inside = beats.join(ends, "sensor_id").where((F.col("sample") - before >= 0) & (F.col("sample") + after - 1 + spare <= F.col("last"))).select("sensor_id", "sample")
     slots = inside.withColumn("slot", F.explode(F.sequence(F.floor((F.col("sample") - before) / size), F.floor((F.col("sample") + after - 1) / size))))
     rows = slots.join(signal.withColumn("slot", F.floor(F.col("i") / size)), ["sensor_id", "slot"]).where((F.col("i") >= F.col("sample") - before) & (F.col("i") < F.col("sample") + after))
     packed = rows.groupBy("sensor_id", "sample").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("s"))

@@ -83,6 +83,12 @@ def beats_in_artifact(beats: DataFrame, windows: DataFrame, fs: float, window_s:
     return keyed.join(windows.select("sensor_id", "w", "is_artifact"), ["sensor_id", "w"], "left").select("sensor_id", "sample", F.coalesce("is_artifact", F.lit(False)).alias("in_artifact"))
 
 
+def artefact_mask(signal: DataFrame, windows: DataFrame, fs: float, window_s: float = 10.0) -> DataFrame:
+    """``(sensor_id, i, masked)`` for every sample; samples that no window covers are not masked."""
+    marked = beats_in_artifact(signal.select("sensor_id", F.col("i").alias("sample")), windows, fs, window_s)
+    return marked.select("sensor_id", F.col("sample").alias("i"), F.col("in_artifact").alias("masked"))
+
+
 def band_power_ratio(x: np.ndarray, fs: float, low: float = 0.5, high: float = 40.0) -> float:
     """Share of the power between two frequencies, from averaged periodograms of half-overlapping Hann windows."""
     n = len(x)

@@ -50,3 +50,16 @@ def coverage(found: DataFrame) -> DataFrame:
     return found.groupBy("sensor_id").agg(
         F.sum(length).alias("total"), F.coalesce(F.sum(F.when(F.col("usable"), length)), F.lit(0)).alias("usable"), F.count_if(~F.col("usable")).alias("n_gaps")
     ).withColumn("fraction", F.col("usable") / F.col("total"))
+
+
+def slice_seconds(signal: DataFrame, channels: DataFrame, low_s: float, high_s: float) -> tuple[DataFrame, DataFrame]:
+    """Samples of ``[round(low_s * fs), round(high_s * fs))``, halves to even and clamped to the channel, re-indexed from the
+    slice's start; and the ``channels (sensor_id, fs, n_samples, start_us)`` with start and length of their slice. A channel of
+    which nothing is left is an error."""
+    cut = lambda s: F.least(F.col("n_samples"), F.greatest(F.lit(0), F.bround(s * F.col("fs"), 0).cast("long")))
+    spans = channels.withColumn("a", cut(F.lit(low_s))).withColumn("b", cut(F.lit(high_s)))
+    held = F.assert_true(F.col("b") > F.col("a"), F.lit("the slice is empty"))
+    spans = spans.where(held.isNull())
+    rows = signal.join(spans.select("sensor_id", "a", "b"), "sensor_id").where((F.col("i") >= F.col("a")) & (F.col("i") < F.col("b")))
+    moved = spans.select("sensor_id", "fs", (F.col("b") - F.col("a")).alias("n_samples"), (F.col("start_us") + F.round(F.col("a") / F.col("fs") * 1e6).cast("long")).alias("start_us"))
+    return rows.select("sensor_id", (F.col("i") - F.col("a")).alias("i"), "x"), moved

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio, script_safe
+from .morphology import extract_beats
 
 
 def event_histogram(events: DataFrame, durations: DataFrame, fs: float, bin_s: F.Column | float) -> DataFrame:
@@ -48,7 +49,7 @@ def events_summary(events: DataFrame, beats: DataFrame, hours: DataFrame) -> Dat
 
 
 def evenly_spaced(events: DataFrame, k: int) -> DataFrame:
-    """At most ``k`` events of each sensor, evenly over their order, the first and the last among them."""
+    """At most ``k`` (two or more) events of each sensor, evenly over their order, the first and the last among them."""
     order = Window.partitionBy("sensor_id").orderBy("sample")
     rows = events.withColumn("at", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy("sensor_id")))
     spots = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.floor(j * (F.col("n") - 1) / (k - 1)))
@@ -56,6 +57,40 @@ def evenly_spaced(events: DataFrame, k: int) -> DataFrame:
     return rows.where(picked).select("sensor_id", "sample", "at")
 
 
+def examples_by_bin(signal: DataFrame, events: DataFrame, fs: float, bin_s: float, per_bin: int = 3, before_s: float = 0.4, after_s: float = 0.4, decimals: int = 3) -> DataFrame:
+    """``(sensor_id, bin, t, y)``: at most ``per_bin`` waveforms of each half-open bin's events, evenly over their order; those
+    that reach beyond the signal are left out after the choice."""
+    placed = events.withColumn("bin", F.floor(F.col("sample") / float(fs) / bin_s)).select(F.struct("sensor_id", "bin").alias("sensor_id"), "sample")
+    picked = evenly_spaced(placed, per_bin).select("sensor_id.sensor_id", "sensor_id.bin", "sample")
+    found = extract_beats(signal, picked.select("sensor_id", "sample").distinct(), round(before_s * fs), round(after_s * fs), spare=1)
+    shape = F.transform("w", lambda v: F.round(v, decimals))
+    return picked.join(found, ["sensor_id", "sample"]).select("sensor_id", "bin", F.round(F.col("sample") / float(fs), 2).alias("t"), shape.alias("y"))
+
+
+def representative_beats(signal: DataFrame, events: DataFrame, fs: float, n: int = 5, before_s: float = 0.6, after_s: float = 0.6) -> DataFrame:
+    """``(sensor_id, sample, w)``: complete waveforms of at most ``n`` events of each sensor, evenly over their order."""
+    return extract_beats(signal, evenly_spaced(events, n).select("sensor_id", "sample"), round(before_s * fs), round(after_s * fs))
+
+
+def in_clock_window(peaks: DataFrame, clocks: DataFrame, fs: float, low_s: float, high_s: float) -> DataFrame:
+    """``peaks (sensor_id, sample)`` between two times of the recording's clock, both included; ``clocks`` as of
+    ``on_recording_clock``, a row a channel."""
+    t = F.col("elapsed_s") + F.col("sample") / float(fs)
+    return peaks.join(clocks.select("record_id", "sensor_id", "elapsed_s"), "sensor_id").withColumn("t_s", t).where(F.col("t_s").between(low_s, high_s)).select("record_id", "sensor_id", "sample", "t_s")
+
+
+def recording_overview(channels: DataFrame) -> DataFrame:
+    """One row a recording of ``channels (record_id, ordinal, sensor_id, fs, position, n_beats)``: its primary sensor (the first),
+    beats of all channels, rates, positions by sensor, and a line of text."""
+    out = channels.groupBy("record_id").agg(
+        F.count("*").alias("n_channels"), F.min_by("sensor_id", "ordinal").alias("primary_sensor"), F.sum("n_beats").alias("n_beats"),
+        F.sort_array(F.collect_set("fs")).alias("rates"), F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("sensor_id").cast("string"), "position")))).alias("positions"),
+    )
+    rates = F.array_join(F.transform("rates", lambda r: F.format_string("%.1f", r)), "/")
+    line = F.format_string("recording %s: %d channel(s), %s Hz, %d beats, primary sensor %s", F.col("record_id").cast("string"), "n_channels", rates, "n_beats", F.col("primary_sensor").cast("string"))
+    return out.withColumns({"uniform_rate": F.size("rates") == 1, "line": line})
+
+
 def summary_json(rows: DataFrame) -> DataFrame:
     """One compact JSON text a sensor, safe to stand inside a page's script."""
     return rows.select("sensor_id", script_safe(F.to_json(F.struct(*[c for c in rows.columns]))).alias("json"))

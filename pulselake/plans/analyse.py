@@ -5,23 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import matching, quality, rhythm, segments
-from ..operators.detect import process_long
+from ..functions.exprs import bin_seconds
+from ..operators import detect, matching, models, morphology, quality, rhythm, segments, summary
 
 
-def analyse(signal: DataFrame, fs: float) -> DataFrame:
-    """Coverage, quality, beats, variability, artefacts and rhythm of ``signal (sensor_id, i, x)``."""
-    beats = process_long(signal, fs)
+def beats_of(signal: DataFrame, fs: float) -> tuple[DataFrame, DataFrame]:
+    """``(sensor_id, beat_idx, sample)`` of the detector and ``(sensor_id, sample)`` of the second one, from one pass over the
+    filtered chunks that is kept in memory or on disk, since all that follows reads it; a lost part is made again."""
+    found = detect.detect_by(detect.with_segments(signal, fs), fs, ("adaptive", "slope")).persist()
     order = F.row_number().over(rhythm.Window.partitionBy("sensor_id").orderBy("sample")) - 1
-    beats = beats.withColumn("beat_idx", order.cast("long"))
+    beats = found.where("method = 'adaptive'").select("sensor_id", order.cast("long").alias("beat_idx"), "sample")
+    return beats, found.where("method = 'slope'").select("sensor_id", "sample")
+
+
+def features_of(clean: DataFrame, beats: DataFrame, fs: float) -> DataFrame:
+    """``(sensor_id, beat_idx, sample)`` and the features of every beat with a complete window of the filtered signal."""
+    before = round(morphology.BEFORE_S * fs)
+    windows = morphology.extract_beats(clean, beats, before, round(morphology.AFTER_S * fs)).join(beats, ["sensor_id", "sample"])
+    found = morphology.beat_features(windows.select("sensor_id", "beat_idx", "w"), rhythm.local_median(rhythm.rr_series(beats, fs)), fs, before)
+    return found.join(beats, ["sensor_id", "beat_idx"])
+
+
+def classified(clean: DataFrame, beats: DataFrame, fs: float, model: models.BeatClassifier | None) -> DataFrame:
+    """``(sensor_id, sample)`` of the ventricular beats: those that a model of two classes says so of, or, without one, those
+    between a short interval and a long one."""
+    if model is None:
+        found = rhythm.ectopic_candidates(rhythm.rr_series(beats, fs)).select("sensor_id", (F.col("rr_idx") + 1).alias("beat_idx"))
+        return beats.join(found, ["sensor_id", "beat_idx"], "left_semi").select("sensor_id", "sample")
+    return model.predict(features_of(clean, beats, fs), ["sensor_id"]).where("y_pred = 1").select("sensor_id", "sample")
+
+
+def analyse(signal: DataFrame, fs: float, model: models.BeatClassifier | None = None, n_examples: int = 6) -> DataFrame:
+    """Coverage, quality, beats, variability, artefacts, rhythm and ventricular events of ``signal (sensor_id, i, x)``, with
+    the events' busiest bin and at most ``n_examples`` of their waveforms."""
+    beats, second = beats_of(signal, fs)
     rr = rhythm.rr_series(beats, fs)
-    second = process_long(signal, fs, method="slope")
     n_win = round(10 * fs)
     keyed = [d.select("sensor_id", "sample", F.floor(F.col("sample") / n_win).alias("w")) for d in (beats, second)]
     agreement = matching.bsqi(matching.greedy_match(*keyed, ["sensor_id", "w"], round(0.15 * fs)), ["sensor_id", "w"])
     artefacts = quality.artefact_windows(signal, fs, agreement=agreement)
     inside = quality.beats_in_artifact(beats, artefacts, fs).groupBy("sensor_id").agg(F.count_if("in_artifact").alias("beats_in_artifact"))
-    out = segments.coverage(segments.segments(signal, fs)).select("sensor_id", F.col("fraction").alias("coverage"), "n_gaps")
-    out = out.join(beats.groupBy("sensor_id").agg(F.count("*").alias("n_beats")), "sensor_id", "left").join(rhythm.hrv(rr), "sensor_id", "left")
-    out = out.join(rhythm.af_burden(rhythm.af_windows(beats, fs)).select("sensor_id", F.col("burden").alias("af_burden")), "sensor_id", "left")
-    return out.join(inside, "sensor_id", "left").join(quality.rank_sensors(quality.quality_windows(signal, fs)), "sensor_id", "left")
+    covered = segments.coverage(segments.segments(signal, fs))
+    clean = detect.filter_signal(signal, fs).persist()  # features and examples read it
+    events = classified(clean, beats, fs, model)
+    durations = covered.select("sensor_id", (F.col("total") / float(fs)).alias("duration_s"))
+    hours = covered.select("sensor_id", (F.col("usable") / float(fs) / 3600).alias("hours"))
+    histogram = summary.event_histogram(events, durations, fs, bin_seconds(F.col("duration_s")))
+    busiest = summary.busiest_bin(histogram).select("sensor_id", F.when(F.col("n") > 0, F.col("bin")).alias("busiest_bin"))
+    burden = summary.events_summary(events, beats, hours).select("sensor_id", "n_events", "burden_pct", "per_hour", "is_extrapolated")
+    shapes = summary.representative_beats(clean, events, fs, n_examples)
+    examples = shapes.groupBy("sensor_id").agg(F.sort_array(F.collect_list(F.struct("sample", F.transform("w", lambda v: F.round(v, 4)).alias("w")))).alias("examples"))  # n_examples rows
+    out = covered.select("sensor_id", F.col("fraction").alias("coverage"), "n_gaps")
+    parts = (
+        beats.groupBy("sensor_id").agg(F.count("*").alias("n_beats")), rhythm.hrv(rr), rhythm.af_burden(rhythm.af_windows(beats, fs)).select("sensor_id", F.col("burden").alias("af_burden")),
+        inside, quality.rank_sensors(quality.quality_windows(signal, fs)), burden, busiest, examples,
+    )
+    for part in parts:
+        out = out.join(part, "sensor_id", "left")
+    return out

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from ..operators.protocol import PACED, TEST, TRAIN
+
 BEATS = """beats AS (
   SELECT user_id AS sensor_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS beat_idx, event_id,
     (epoch_us(ts) - 1704067200000000) * 12 // 1000000000 AS sample,
@@ -151,6 +153,29 @@ def rounding(*columns: str) -> str:
     return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
 
 
+def greedy(detected: str, reference: str) -> str:
+    """One detection a step and sensor: it takes the closest reference that is within 540 samples and still free. ``pairs`` has
+    the matched numbers and ``matches`` the samples of both sides, null where nothing fits."""
+    return f"""{BEATS}, det AS (SELECT sensor_id, sample, row_number() OVER (PARTITION BY sensor_id ORDER BY sample) AS k FROM beats WHERE {detected}),
+  ref AS (SELECT sensor_id, sample, row_number() OVER (PARTITION BY sensor_id ORDER BY sample) AS j FROM beats WHERE {reference}),
+  refs AS (SELECT sensor_id, list({{'j': j, 's': sample}} ORDER BY j) AS r FROM ref GROUP BY sensor_id),
+  walk AS (
+    SELECT DISTINCT sensor_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used FROM det
+    UNION ALL
+    SELECT w.sensor_id, d.k, list_append(w.used, coalesce(list_sort(list_transform(list_filter(coalesce(r, []), lambda x: abs(x.s - d.sample) <= 540 AND NOT list_contains(w.used, x.j)), lambda x: {{'a': abs(x.s - d.sample), 'j': x.j}}))[1].j, -1))
+    FROM walk w JOIN det d ON d.sensor_id = w.sensor_id AND d.k = w.k + 1 LEFT JOIN refs ON refs.sensor_id = w.sensor_id
+  ), pairs AS (SELECT sensor_id, k, used[k] AS j FROM walk WHERE k > 0 AND used[k] > 0
+  ), matches AS (
+    SELECT det.sensor_id, det.sample AS det_sample, ref.sample AS ref_sample FROM det LEFT JOIN pairs p ON p.sensor_id = det.sensor_id AND p.k = det.k LEFT JOIN ref ON ref.sensor_id = p.sensor_id AND ref.j = p.j
+    UNION ALL SELECT sensor_id, NULL, sample FROM ref WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE p.sensor_id = ref.sensor_id AND p.j = ref.j))"""
+
+
+NORMAL_AND_EARLY = greedy("symbol = 'N'", "symbol = 'S'")
+SCORES = """sc AS (
+  SELECT sensor_id, count(det_sample - ref_sample) AS tp, count_if(ref_sample IS NULL) AS fp, count_if(det_sample IS NULL) AS fn,
+    avg(abs(det_sample - ref_sample) / 0.36) AS mean_error_ms, stddev_pop(abs(det_sample - ref_sample) / 0.36) AS std_error_ms FROM matches GROUP BY sensor_id)"""
+TRANSFER = f"""{greedy("symbol = 'N'", "symbol IN ('S', 'V')")}, lb AS (SELECT sensor_id, sample, max(CAST(symbol = 'V' AS INT)) AS y FROM beats WHERE symbol IN ('S', 'V') GROUP BY ALL),
+  tr AS (SELECT m.sensor_id, det_sample AS sample, coalesce(y, 0) AS y FROM matches m LEFT JOIN lb ON lb.sensor_id = m.sensor_id AND lb.sample = m.ref_sample WHERE det_sample IS NOT NULL)"""
 HRV_COLUMNS = ("mean_hr", "min_hr", "max_hr", "mean_rr_ms", "sdnn_ms", "rmssd_ms", "pnn50", "cv")
 AF_COLUMNS = ("nrmssd", "entropy", "turning", "score")
 EXCLUDED = "NOT EXISTS (SELECT 1 FROM beats x WHERE x.sensor_id = rr.sensor_id AND x.symbol = 'V' AND x.beat_idx IN (rr.rr_idx, rr.rr_idx + 1))"
@@ -188,8 +213,34 @@ ORACLES = {
     "rank_sensors": f"WITH {STATS}, q AS (SELECT sensor_id, quantile_cont(1 - flat, 0.5) AS sqi FROM stats GROUP BY sensor_id) SELECT sensor_id, round(sqi, 6) AS sqi, row_number() OVER (ORDER BY sqi DESC, sensor_id) AS rank FROM q",
     "overlap_window": """WITH c AS (SELECT user_id AS s, user_id % 10 AS record_id, min(epoch_us(ts)) - 1704067200000000 AS a, max(epoch_us(ts)) - 1704067200000000 AS b FROM events GROUP BY user_id)
       SELECT record_id, count(*) AS n_channels, min(a) AS origin_us, max(b) AS end_us, CASE WHEN min(b) > max(a) THEN max(a) ELSE 0 END AS overlap_start, CASE WHEN min(b) > max(a) THEN min(b) ELSE 0 END AS overlap_end FROM c GROUP BY record_id""",
-    "channel_slice": f"WITH {SIGNAL} SELECT sensor_id, i - 12 AS i, round(x, 6) AS x FROM sig WHERE i >= 12 AND i < 48 AND x IS NOT NULL",
-    "rhythm_intervals": f"""WITH {BEATS} SELECT sensor_id, sample AS start, lead(sample) OVER (PARTITION BY sensor_id ORDER BY sample, symbol) AS "end", symbol AS label FROM beats WHERE symbol IN ('N', 'V')""",
+    "channel_slice": f"WITH {SIGNAL} SELECT sensor_id, i - 12 AS i, round(x, 6) AS x, 1200000 AS start_us FROM sig WHERE i >= 12 AND i < 48 AND x IS NOT NULL",
+    "rhythm_intervals": f"""WITH {BEATS} SELECT sensor_id, sample AS start, coalesce(lead(sample) OVER (PARTITION BY sensor_id ORDER BY sample, symbol), n) AS "end", symbol AS label
+      FROM (SELECT *, max(sample) OVER (PARTITION BY sensor_id) + 1 AS n FROM beats) WHERE symbol IN ('N', 'V')""",
+    "rhythm_mask": f"""WITH {BEATS}, t AS (SELECT sensor_id, sample, max(symbol) AS label FROM beats WHERE symbol IN ('N', 'V') GROUP BY sensor_id, sample)
+      SELECT b.sensor_id, b.sample, coalesce(t.label = 'V', FALSE) AS inside FROM beats b ASOF LEFT JOIN t ON b.sensor_id = t.sensor_id AND b.sample >= t.sample""",
+    "artifact_mask": f"WITH {ARTEFACTS} SELECT s.sensor_id, s.i, coalesce(score >= 0.5, FALSE) AS masked FROM sig s LEFT JOIN art a ON a.sensor_id = s.sensor_id AND a.w = s.i // 30",
+    "greedy_match": f"WITH RECURSIVE {NORMAL_AND_EARLY} SELECT * FROM matches",
+    "detection_scores": f"WITH RECURSIVE {NORMAL_AND_EARLY}, {SCORES} SELECT sensor_id, tp, fp, fn, {rounding('mean_error_ms', 'std_error_ms')} FROM sc",
+    "detection_gross": f"WITH RECURSIVE {NORMAL_AND_EARLY}, {SCORES} SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, round(avg(mean_error_ms), 6) AS mean_error_ms, round(avg(std_error_ms), 6) AS std_error_ms FROM sc",
+    "bsqi": f"WITH RECURSIVE {NORMAL_AND_EARLY} SELECT sensor_id, round(count(det_sample - ref_sample) / count(*), 6) AS bsqi FROM matches GROUP BY sensor_id",
+    "label_transfer": f"WITH RECURSIVE {TRANSFER} SELECT sensor_id, sample, y FROM tr",
+    "missed_beats": f"""WITH RECURSIVE {TRANSFER} SELECT w.sensor_id, CAST(greatest(0, want - coalesce(got, 0)) AS BIGINT) AS n_missed FROM (SELECT sensor_id, count_if(symbol = 'V') AS want FROM beats WHERE symbol IN ('S', 'V') GROUP BY sensor_id) w
+      LEFT JOIN (SELECT sensor_id, sum(y) AS got FROM tr GROUP BY sensor_id) g ON g.sensor_id = w.sensor_id""",
+    "record_sets": f"""WITH {BEATS}, r AS (SELECT sensor_id, CAST(sensor_id + 99 AS VARCHAR) AS record, count(*) AS n_beats FROM beats GROUP BY sensor_id)
+      SELECT sensor_id, record, CASE WHEN list_contains({list(TRAIN)}, record) THEN 'train' WHEN list_contains({list(TEST)}, record) THEN 'test' WHEN list_contains({list(PACED)}, record) THEN 'paced' END AS record_set, n_beats FROM r""",
+    "subject_halves": f"""WITH {BEATS}, o AS (SELECT sensor_id, beat_idx, row_number() OVER (PARTITION BY sensor_id ORDER BY md5('0|' || sensor_id || '|' || beat_idx)) AS r, count(*) OVER (PARTITION BY sensor_id) AS n FROM beats)
+      SELECT sensor_id, beat_idx, r <= n // 2 AS first_half FROM o""",
+    "classifiable_beats": f"WITH {BEATS} SELECT sensor_id, count_if(symbol <> 'Q') AS n_kept, count_if(symbol = 'Q') AS n_dropped FROM beats GROUP BY sensor_id",
+    "bin_examples": f"""WITH {SIGNAL}, f AS (SELECT *, lag(x) OVER o AS a, lead(x) OVER o AS b FROM sig WHERE x IS NOT NULL WINDOW o AS (PARTITION BY sensor_id ORDER BY i)), e AS (
+        SELECT sensor_id, i, i // 20 AS bin, row_number() OVER (PARTITION BY sensor_id, i // 20 ORDER BY i) - 1 AS p, count(*) OVER (PARTITION BY sensor_id, i // 20) AS n FROM f WHERE x > a AND x > b
+      ), k AS (SELECT * FROM e WHERE n <= 3 OR p IN (0, (n - 1) // 2, n - 1)), s AS (SELECT sensor_id, i, round(coalesce(x, -1.0), 3) AS x, max(i) OVER (PARTITION BY sensor_id) AS last FROM sig)
+      SELECT k.sensor_id, k.bin, round(k.i / 10, 2) AS t, round(max(CASE WHEN s.i = k.i - 4 THEN x END), 6) AS first, round(max(CASE WHEN s.i = k.i + 3 THEN x END), 6) AS last, CAST(count(*) AS INT) AS n
+      FROM k JOIN s ON s.sensor_id = k.sensor_id AND s.i BETWEEN k.i - 4 AND k.i + 3 WHERE k.i >= 4 AND k.i + 4 <= s.last GROUP BY k.sensor_id, k.bin, k.i""",
+    "clock_window": f"""WITH {BEATS}, c AS (SELECT DISTINCT sensor_id, sensor_id % 10 AS record_id, (sensor_id % 5 - 2) * 0.25::DOUBLE AS s FROM beats), o AS (SELECT *, s - min(s) OVER (PARTITION BY record_id) AS e FROM c)
+      SELECT record_id, b.sensor_id, sample, round(e + sample / 360.0::DOUBLE, 6) AS t_s FROM beats b JOIN o ON o.sensor_id = b.sensor_id WHERE e + sample / 360.0::DOUBLE BETWEEN 20 AND 40""",
+    "recordings_overview": """WITH c AS (SELECT user_id AS s, user_id % 10 AS record_id, count(*) AS n, CASE WHEN user_id % 7 = 2 THEN '250.0' ELSE '360.0' END AS fs FROM events GROUP BY user_id),
+      r AS (SELECT record_id, count(*) AS n_channels, min(s) AS primary_sensor, CAST(sum(n) AS BIGINT) AS n_beats, min(fs) = max(fs) AS uniform_rate, CASE WHEN min(fs) = max(fs) THEN min(fs) ELSE min(fs) || '/' || max(fs) END AS f FROM c GROUP BY record_id)
+      SELECT record_id, n_channels, primary_sensor, n_beats, uniform_rate, 'recording ' || record_id || ': ' || n_channels || ' channel(s), ' || f || ' Hz, ' || n_beats || ' beats, primary sensor ' || primary_sensor AS line FROM r""",
     "rhythm_asof_label": f"""WITH {BEATS}, t AS (SELECT sensor_id, sample, max(symbol) AS label FROM beats WHERE symbol IN ('N', 'V') GROUP BY sensor_id, sample)
       SELECT b.sensor_id, b.sample, t.label FROM beats b ASOF LEFT JOIN t ON b.sensor_id = t.sensor_id AND b.sample >= t.sample WHERE b.symbol NOT IN ('N', 'V')""",
     "cross_sensor_agreement": f"""WITH {BEATS}, f AS (SELECT sensor_id, min(symbol) AS first FROM beats GROUP BY sensor_id HAVING count(DISTINCT symbol) > 1), k AS (

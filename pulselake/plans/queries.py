@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators import detect, dsp, matching, models, morphology, quality, rhythm, scoring, segments, summary
+from ..operators import detect, matching, models, morphology, protocol, quality, rhythm, scoring, segments, summary
 from ..sources import tables
-from ..sources.tables import FS, SIGNAL_FS, beats, signal, synthetic_ecg, table
+from ..sources.tables import ECG_FS, FS, SIGNAL_FS, beats, ecg, signal, table
 from .analyse import analyse
 
 R = lambda c: F.round(c, 6)
@@ -131,7 +131,7 @@ def welch_quality(spark, sf):
 
 
 def overlap_window(spark, sf):
-    """Recordings of ten users: origin, end, rate uniformity and the stretch that all channels share."""
+    """Recordings of ten users: origin, end and the stretch that all channels share."""
     rows = table(spark, sf, "events").select(F.col("user_id").alias("sensor_id"), tables.micros().alias("us"))
     channels = rows.groupBy("sensor_id").agg(F.min("us").alias("start"), F.max("us").alias("end")).withColumn("record_id", F.col("sensor_id") % 10)
     out = channels.groupBy("record_id").agg(F.count("*").alias("n_channels"), F.min("start").alias("origin_us"), F.max("end").alias("end_us"), F.max("start").alias("a"), F.min("end").alias("b"))
@@ -140,14 +140,15 @@ def overlap_window(spark, sf):
 
 
 def channel_slice(spark, sf):
-    """Samples of seconds [1.25, 4.75), re-indexed from the slice's start."""
-    a, b = F.bround(F.lit(1.25 * SIGNAL_FS), 0).cast("long"), F.bround(F.lit(4.75 * SIGNAL_FS), 0).cast("long")
-    rows = signal(spark, sf).where((F.col("i") >= a) & (F.col("i") < b) & exprs.finite(F.col("x")))
-    return rounded(rows.select("sensor_id", (F.col("i") - a).alias("i"), "x"))
+    """Samples of seconds [1.25, 4.75), re-indexed from the slice's start, for channels that reach into it."""
+    channels = signal(spark, sf).groupBy("sensor_id").agg(F.lit(float(SIGNAL_FS)).alias("fs"), (F.max("i") + 1).alias("n_samples"), F.lit(0).cast("long").alias("start_us"))
+    rows, moved = segments.slice_seconds(signal(spark, sf), channels.where("n_samples > 12"), 1.25, 4.75)
+    return rounded(rows.where(exprs.finite(F.col("x"))).join(moved.select("sensor_id", "start_us"), "sensor_id"))
 
 
 def rhythm_intervals(spark, sf):
-    return matching.rhythm_intervals(beats(spark, sf).where("symbol in ('N', 'V')").select("sensor_id", "sample", F.col("symbol").alias("label")))
+    transitions = beats(spark, sf).where("symbol in ('N', 'V')").select("sensor_id", "sample", F.col("symbol").alias("label"))
+    return matching.rhythm_intervals(transitions, beats(spark, sf).groupBy("sensor_id").agg((F.max("sample") + 1).alias("n_samples")))
 
 
 def rhythm_asof_label(spark, sf):
@@ -317,34 +318,124 @@ def upload_ingest(spark, sf):
     return channels.select("record_id", "sensor_id", "n_samples", "problem")
 
 
+def _one_stretch(spark, sf) -> DataFrame:
+    return ecg(spark, sf).withColumn("segment", F.lit(0))
+
+
 def detect_rpeaks(spark, sf):
-    return detect.detect_beats(synthetic_ecg(spark).withColumn("segment", F.lit(0)), FS)
+    return detect.detect_beats(_one_stretch(spark, sf), ECG_FS)
 
 
 def chunked_detection(spark, sf):
-    return detect.detect_beats(synthetic_ecg(spark, seconds=120).withColumn("segment", F.lit(0)), FS, chunk_s=40.0, overlap_s=5.0)
+    return detect.detect_beats(_one_stretch(spark, sf), ECG_FS, chunk_s=40.0, overlap_s=5.0)
 
 
 def recovered_beats(spark, sf):
-    return detect.detect_beats(synthetic_ecg(spark).withColumn("segment", F.lit(0)), FS, recover_missed=True)
+    return detect.detect_beats(_one_stretch(spark, sf), ECG_FS, recover_missed=True)
+
+
+def detection_accuracy(spark, sf):
+    """Detected beats against the events they were drawn from."""
+    truth = table(spark, sf, "events").select(F.col("user_id").alias("sensor_id"), F.round(tables.micros() / 3e10 * ECG_FS).cast("long").alias("sample"))
+    found = matching.greedy_match(detect.process_long(ecg(spark, sf), ECG_FS), truth, ["sensor_id"], round(0.15 * ECG_FS))
+    return rounded(matching.detection_scores(found, ["sensor_id"], ECG_FS))
 
 
 def filtered_signal(spark, sf):
-    return rounded(detect.filter_signal(synthetic_ecg(spark), FS))
+    return rounded(detect.filter_signal(ecg(spark, sf), ECG_FS))
 
 
 def resampled_signal(spark, sf):
-    def run(pdf):
-        import pandas as pd
+    return rounded(detect.resample_signal(ecg(spark, sf), ECG_FS, 250))
 
-        x = dsp.resample(pdf.sort_values("i")["x"].to_numpy(float), FS, 250)
-        return pd.DataFrame({"sensor_id": pdf["sensor_id"].iloc[0], "i": range(len(x)), "x": x})
 
-    return rounded(synthetic_ecg(spark).groupBy("sensor_id").applyInPandas(run, "sensor_id long, i long, x double"))
+def analysis(spark, sf):
+    return rounded(analyse(ecg(spark, sf), ECG_FS))
 
 
-def analysis(spark, sf):
-    return rounded(analyse(synthetic_ecg(spark, seconds=60), FS))
+def record_sets(spark, sf):
+    """Sensors named as records from 100 on, with the set that each record belongs to."""
+    record = (F.col("sensor_id") + 99).cast("string")
+    named = beats(spark, sf).select("sensor_id", record.alias("record"), protocol.record_set(record).alias("record_set"))
+    return named.groupBy("sensor_id", "record", "record_set").agg(F.count("*").alias("n_beats"))
+
+
+def _reference(spark, sf) -> DataFrame:
+    return beats(spark, sf).where("symbol in ('S', 'V')").select("sensor_id", "sample", (F.col("symbol") == "V").cast("int").alias("y"))
+
+
+def _transferred(spark, sf) -> DataFrame:
+    matches = matching.greedy_match(events_of(spark, sf, "N"), _reference(spark, sf).select("sensor_id", "sample"), ["sensor_id"], 540)
+    return protocol.transfer_labels(matches, _reference(spark, sf), ["sensor_id"])
+
+
+def label_transfer(spark, sf):
+    """Normal beats as detections, labelled by the ectopic beats that they match."""
+    return _transferred(spark, sf)
+
+
+def missed_beats(spark, sf):
+    return protocol.missed(_transferred(spark, sf), _reference(spark, sf), ["sensor_id"])
+
+
+def subject_halves(spark, sf):
+    return protocol.halves(beats(spark, sf).select("sensor_id", "beat_idx"), "sensor_id", "beat_idx")
+
+
+def protocol_study(spark, sf):
+    """Classifiers that have and that have not seen beats of the sensors they are tested on."""
+    rows = _labelled_features(spark, sf, (F.col("symbol") == "V").cast("int")).select("sensor_id", "beat_idx", "y", *morphology.BINARY_FEATURES)
+    parts = rows.where("sensor_id % 2 = 0"), rows.where("sensor_id % 2 = 1")
+    return rounded(protocol.compare_protocols(*parts, list(morphology.BINARY_FEATURES), "sensor_id", "beat_idx"))
+
+
+def classifiable_beats(spark, sf):
+    """Beats of the four classes that are learned, and how many are left out."""
+    rows = beats(spark, sf).select("sensor_id", exprs.aami_class(F.col("symbol")).alias("y"))
+    return rows.groupBy("sensor_id").agg(F.count_if(F.col("y") < 4).alias("n_kept"), F.count_if(F.col("y") == 4).alias("n_dropped"))
+
+
+def _maxima(spark, sf) -> DataFrame:
+    """Samples higher than both neighbours."""
+    x, order = F.col("x"), quality.by_sample()
+    rows = signal(spark, sf).where(exprs.finite(x)).withColumns({"a": F.lag("x").over(order), "b": F.lead("x").over(order)})
+    return rows.where((x > F.col("a")) & (x > F.col("b"))).select("sensor_id", F.col("i").alias("sample"))
+
+
+def bin_examples(spark, sf):
+    """At most three waveforms of the maxima of each two seconds."""
+    shown = signal(spark, sf).withColumn("x", F.when(exprs.finite(F.col("x")), F.col("x")).otherwise(-1.0))
+    out = summary.examples_by_bin(shown, _maxima(spark, sf), SIGNAL_FS, 2.0)
+    return rounded(out.select("sensor_id", "bin", "t", F.get("y", F.lit(0)).alias("first"), F.get("y", F.lit(7)).alias("last"), F.size("y").alias("n")))
+
+
+def artifact_mask(spark, sf):
+    return quality.artefact_mask(signal(spark, sf), quality.artefact_windows(signal(spark, sf), SIGNAL_FS, 3.0), SIGNAL_FS, 3.0)
+
+
+def rhythm_mask(spark, sf):
+    """Whether each beat lies in a stretch that a ventricular beat opens and the next normal one ends."""
+    b = beats(spark, sf)
+    transitions = b.where("symbol in ('N', 'V')").select("sensor_id", "sample", F.col("symbol").alias("label"))
+    return matching.rhythm_mask(b.select("sensor_id", "sample"), transitions, "V")
+
+
+def _channels(spark, sf) -> DataFrame:
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("sensor_id"), tables.micros().alias("us"))
+    channels = rows.groupBy("sensor_id").agg(F.min("us").alias("start_us"), F.count("*").alias("n_samples"))
+    rate = F.when(F.col("sensor_id") % 7 == 2, 250.0).otherwise(360.0)
+    return channels.select((F.col("sensor_id") % 10).alias("record_id"), "sensor_id", "start_us", "n_samples", rate.alias("fs"), ((F.col("sensor_id") % 5 - 2) * 0.25).alias("clock_offset_s"))
+
+
+def clock_window(spark, sf):
+    """Beats between two times of their recording's clock, on which channels start up to a second apart."""
+    channels = _channels(spark, sf).withColumn("start_us", F.lit(0).cast("long"))
+    return rounded(summary.in_clock_window(beats(spark, sf).select("sensor_id", "sample"), summary.on_recording_clock(channels), FS, 20.0, 40.0))
+
+
+def recordings_overview(spark, sf):
+    channels = _channels(spark, sf).select("record_id", F.col("sensor_id").alias("ordinal"), "sensor_id", "fs", F.lit("chest").alias("position"), F.col("n_samples").alias("n_beats"))
+    return summary.recording_overview(channels).select("record_id", "n_channels", "primary_sensor", "n_beats", "uniform_rate", "line")
 
 
 def _windows(spark, sf) -> DataFrame:
@@ -402,11 +493,7 @@ def histogram_bars(spark, sf):
 def channel_clocks(spark, sf):
     """Corrected start and end of each channel, its offset from the recording's origin, and whether all channels of the
     recording have one rate: recordings of ten users, clocks that are up to half a second off."""
-    rows = table(spark, sf, "events").select(F.col("user_id").alias("sensor_id"), tables.micros().alias("us"))
-    channels = rows.groupBy("sensor_id").agg(F.min("us").alias("start_us"), F.count("*").alias("n_samples"))
-    rate = F.when(F.col("sensor_id") % 7 == 2, 250.0).otherwise(360.0)
-    channels = channels.select((F.col("sensor_id") % 10).alias("record_id"), "sensor_id", "start_us", "n_samples", rate.alias("fs"), ((F.col("sensor_id") % 5 - 2) * 0.25).alias("clock_offset_s"))
-    return rounded(summary.on_recording_clock(channels))
+    return rounded(summary.on_recording_clock(_channels(spark, sf)))
 
 
 def sensor_overview(spark: SparkSession, sf: str) -> DataFrame:
@@ -426,6 +513,7 @@ QUERIES = {
         bsqi, aami_mapping, lead_positions, classification_score, confusion_matrix, multiclass_scores, gross_aggregate, threshold_selection, event_histogram, hourly_histogram, busiest_bin,
         bin_choice, events_summary, representative_events, summary_json, beat_template, template_correlation, qrs_width, feature_ratios, median_imputation, beat_windows, moving_integration,
         refine_extremum, upload_ingest, detect_rpeaks, chunked_detection, recovered_beats, filtered_signal, resampled_signal, analysis, beat_features, ventricular_classifier, multiclass_classifier,
-        subject_threshold, beat_codes, histogram_bars, channel_clocks,
+        subject_threshold, beat_codes, histogram_bars, channel_clocks, detection_accuracy, record_sets, label_transfer, missed_beats, subject_halves, protocol_study, classifiable_beats, bin_examples,
+        artifact_mask, rhythm_mask, clock_window, recordings_overview,
     )
 }

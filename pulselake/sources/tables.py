@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 FS = 360
 SIGNAL_FS = 10
+ECG_FS = 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,21 @@ def synthetic_ecg(spark: SparkSession, seconds: int = 30, fs: int = FS, sensors:
     return rows.select("sensor_id", "i", (pulse + ripple).alias("x"))
 
 
+def ecg(spark: SparkSession, sf_dir: str, fs: int = ECG_FS) -> DataFrame:
+    """``(sensor_id, i, x)``: each user's events as beats of a recording (Gaussians of 12 ms) with a small ripple, from time 0 to
+    a second after the last one. Sensors and lengths follow the tables."""
+    t = table(spark, sf_dir, "events").select(F.col("user_id").alias("sensor_id"), (micros() / 3e10).alias("t"))
+    near = t.select("sensor_id", "t", F.explode(F.sequence(F.floor(F.col("t") * fs) - fs // 20, F.floor(F.col("t") * fs) + fs // 20)).alias("i"))
+    away = (F.col("i") / float(fs) - F.col("t")) / 0.012
+    pulses = near.groupBy("sensor_id", "i").agg(F.sum(F.exp(-0.5 * away * away)).alias("pulse"))
+    slot = 600 * fs
+    ends = t.groupBy("sensor_id").agg((F.floor(F.max("t") * fs) + fs).alias("n"))
+    slots = ends.select("sensor_id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / slot))).alias("slot"))
+    samples = slots.select("sensor_id", F.explode(F.sequence(F.col("slot") * slot, F.least(F.col("n"), (F.col("slot") + 1) * slot) - 1)).alias("i"))
+    ripple = 0.02 * F.sin(F.col("i") * 2.399963) + 0.05 * F.sin(F.col("i") * (1.3 / fs))
+    return samples.join(pulses, ["sensor_id", "i"], "left").select("sensor_id", "i", (F.coalesce("pulse", F.lit(0.0)) + ripple).alias("x"))
+
+
 UPLOAD = (
     "record_id string, powerline_hz double, channels array<struct<sensor_id:string, fs:double, samples:array<double>, position:string, "
     "units:string, t_start:string, clock_offset_s:double>>"

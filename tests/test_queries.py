@@ -10,7 +10,7 @@ from pulselake.plans.oracles import ORACLES
 from pulselake.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"subject_threshold"}  # four fits; tests/test_models.py has its parts
+SLOW = {"subject_threshold", "protocol_study"}  # many fits; tests/test_models.py and tests/test_protocol.py have their parts
 
 
 def plain(v):
