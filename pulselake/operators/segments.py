@@ -1,41 +1,72 @@
-"""Usable and unusable stretches of a signal ``(sensor_id, i, x)``: gaps and islands in two passes."""
+"""Usable and unusable stretches of a signal ``(sensor_id, i, x)``: gaps and islands.
+
+Samples are ordered within slots of ten minutes, so a long recording is many tasks; the last sample of a slot is copied to the
+next one for the step between them. Only runs, a few a slot, are ordered over whole sensors. ``i`` counts without holes.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite
 
+#: Blocks of the flatness rule in a slot: ten minutes of blocks of half a second.
+SLOT_BLOCKS = 1200
+
+
+def sample_steps(signal: DataFrame, n_win: int, slot_blocks: int = SLOT_BLOCKS) -> DataFrame:
+    """``signal`` with its ``slot``, ``ok`` (finite) and ``step``, the distance from the sample before; null beside a gap."""
+    size = slot_blocks * n_win
+    home = F.floor(F.col("i") / size)
+    rows = signal.withColumn("slot", F.explode(F.when(F.col("i") % size == size - 1, F.array(home, home + 1)).otherwise(F.array(home))))
+    ok = finite(F.col("x"))
+    before = F.lag("x").over(Window.partitionBy("sensor_id", "slot").orderBy("i"))
+    step = F.when(F.col("i") == 0, F.when(ok, 0.0)).when(ok & finite(before), F.abs(F.col("x") - before))
+    return rows.withColumn("ok", ok).withColumn("step", step).where(home == F.col("slot"))
+
 
-def by_sample() -> WindowSpec:
-    return Window.partitionBy("sensor_id").orderBy("i")
+def median_steps(rows: DataFrame) -> DataFrame:
+    """``(sensor_id, slot, scale)``: each sensor's exact median step, for every slot up to its last. Steps are counted by
+    32nds of an octave, and only those of the one or two bins that hold the middle are ordered."""
+    step = F.when(F.col("i") > 0, F.col("step"))
+    steps = rows.select("sensor_id", step.alias("step")).withColumn("bin", F.when(F.col("step") > 0, F.floor(32 * F.log2("step"))).when(F.col("step") == 0, -(1 << 20)))
+    bins = steps.where(F.col("step").isNotNull()).groupBy("sensor_id", "bin").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("sensor_id")
+    total = F.sum("n").over(whole)
+    bins = bins.withColumn("low", F.floor((total - 1) / 2)).withColumn("high", F.floor(total / 2)).withColumn("before", F.sum("n").over(whole.orderBy("bin")) - F.col("n"))
+    middle = bins.where((F.col("before") <= F.col("high")) & (F.col("before") + F.col("n") > F.col("low"))).drop("n")
+    values = steps.join(middle, ["sensor_id", "bin"]).groupBy("sensor_id", "bin", "before", "low", "high", "step").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("sensor_id", "bin").orderBy("step")) + F.col("before")
+    at = lambda rank: F.max(F.when((F.col("upto") > F.col(rank)) & (F.col("upto") - F.col("n") <= F.col(rank)), F.col("step")))
+    scale = values.withColumn("upto", upto).groupBy("sensor_id").agg(((at("low") + at("high")) / 2).alias("scale"))
+    ends = rows.groupBy("sensor_id").agg(F.max("slot").alias("top"))
+    return ends.join(scale, "sensor_id", "left").select("sensor_id", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("slot"), "scale")
 
 
-def bad_samples(signal: DataFrame, fs: float, window_s: float = 0.5, quiet_share: float = 0.02, least_share: float = 0.9) -> DataFrame:
+def bad_samples(signal: DataFrame, fs: float, window_s: float = 0.5, quiet_share: float = 0.02, least_share: float = 0.9, slot_blocks: int = SLOT_BLOCKS) -> DataFrame:
     """``signal`` with ``ok`` (finite) and ``bad`` (not finite, or in a flat block). A block is flat if more than 90 % of
     it is quiet: its steps are below 2 % of the sensor's median step. Without any step everything is flat."""
     n_win = max(1, round(window_s * fs))
-    ok = finite(F.col("x"))
-    before = F.lag("x").over(by_sample())
-    step = F.when(F.col("i") == 0, F.when(ok, 0.0)).when(ok & finite(before), F.abs(F.col("x") - before))
-    rows = signal.withColumn("ok", ok).withColumn("step", step).withColumn("block", F.floor(F.col("i") / n_win))
-    scale = rows.groupBy("sensor_id").agg(F.percentile(F.when(F.col("i") > 0, F.col("step")), 0.5).alias("scale"))
-    rows = rows.join(scale, "sensor_id")
+    rows = sample_steps(signal, n_win, slot_blocks)
+    rows = rows.join(median_steps(rows), ["sensor_id", "slot"], "left").withColumn("block", F.floor(F.col("i") / n_win))
     quiet = ~F.col("ok") | F.coalesce(F.col("step") < quiet_share * F.col("scale"), ~F.col("ok"))
-    flat = F.avg(quiet.cast("double")).over(Window.partitionBy("sensor_id", "block")) > least_share
+    flat = F.avg(quiet.cast("double")).over(Window.partitionBy("sensor_id", "slot", "block")) > least_share
     return rows.withColumn("bad", ~F.col("ok") | flat | F.coalesce(F.col("scale") <= 0, F.lit(True)))
 
 
-def segments(signal: DataFrame, fs: float, min_dropout_s: float = 1.0) -> DataFrame:
+def segments(signal: DataFrame, fs: float, min_dropout_s: float = 1.0, slot_blocks: int = SLOT_BLOCKS) -> DataFrame:
     """``(sensor_id, start, end, usable, reason)`` with [start, end) in samples. Bad runs shorter than the minimum count
     as usable; equal neighbours are merged."""
-    rows = bad_samples(signal, fs)
-    rows = rows.withColumn("run", F.sum(F.when(F.col("bad").eqNullSafe(F.lag("bad").over(by_sample())), 0).otherwise(1)).over(by_sample()))
-    runs = rows.groupBy("sensor_id", "run", "bad").agg(F.min("i").alias("start"), (F.max("i") + 1).alias("end"), F.bool_or(~F.col("ok")).alias("gap"))
+    rows = bad_samples(signal, fs, slot_blocks=slot_blocks)
+    inside = Window.partitionBy("sensor_id", "slot").orderBy("i")
+    rows = rows.withColumn("run", F.sum(F.when(F.col("bad").eqNullSafe(F.lag("bad").over(inside)), 0).otherwise(1)).over(inside))
+    runs = rows.groupBy("sensor_id", "slot", "run", "bad").agg(F.min("i").alias("start"), (F.max("i") + 1).alias("end"), F.bool_or(~F.col("ok")).alias("gap"))
+    order = Window.partitionBy("sensor_id").orderBy("start")
+    runs = runs.withColumn("part", F.sum(F.when(F.col("bad").eqNullSafe(F.lag("bad").over(order)), 0).otherwise(1)).over(order))
+    runs = runs.groupBy("sensor_id", "part", "bad").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.bool_or("gap").alias("gap"))
     usable = ~F.col("bad") | (F.col("end") - F.col("start") < round(min_dropout_s * fs))
     runs = runs.withColumn("usable", usable).withColumn("reason", F.when(~usable, F.when(F.col("gap"), "nan").otherwise("flatline")))
-    order = Window.partitionBy("sensor_id").orderBy("start")
     same = F.col("usable").eqNullSafe(F.lag("usable").over(order)) & F.col("reason").eqNullSafe(F.lag("reason").over(order))
     runs = runs.withColumn("part", F.sum(F.when(same, 0).otherwise(1)).over(order))
     return runs.groupBy("sensor_id", "part", "usable", "reason").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("part")

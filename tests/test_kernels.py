@@ -110,6 +110,25 @@ def test_gaps_and_flat_stretches(spark):
     assert got[1][:2] == (100, 160)
 
 
+def test_slots_do_not_change_segments(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for sensor in range(4):
+        x = rng.normal(size=900)
+        for _ in range(6):
+            a = int(rng.integers(0, 880))
+            x[a : a + int(rng.integers(1, 70))] = rng.choice([np.nan, 0.25])
+        x[850:] = np.nan
+        rows += [(sensor, i, float(v)) for i, v in enumerate(x)]
+    signal = spark.createDataFrame([*rows, *[(9, i, float("nan")) for i in range(40)], *[(10, i, 1.0) for i in range(40)]], "sensor_id long, i long, x double")
+    whole, parts = (sorted(tuple(r) for r in segments.segments(signal, 20, slot_blocks=n).collect()) for n in (1200, 3))
+    assert len(whole) > 20 and parts == whole
+    steps = segments.sample_steps(signal, 10, 3)
+    got = {(r.sensor_id, r.scale) for r in segments.median_steps(steps).collect()}
+    want = {s: np.nanmedian(np.abs(np.diff([x for k, _, x in rows if k == s]))) for s in range(4)}
+    assert got == {*want.items(), (9, None), (10, 0.0)}
+
+
 def test_uploads_are_judged(spark):
     bodies = [
         '{"record_id":"a","channels":[{"sensor_id":"x","fs":360,"samples":[1,null,3],"t_start":"2026-01-01T12:00:00Z"}]}',
