@@ -11,6 +11,7 @@ from .decontaminate import op10_decontamination
 from .embedding_dedup import OP5_SQL, op5_embedding_dedup
 from .html_extract import op8_html_extract
 from .license_scan import op4_license_scan
+from .merkle_manifest import OP12_SQL, op12_merkle_manifest
 from .minhash_dedup import op9_minhash_dedup
 from .mixing import OP3_SQL, op3_source_mixing
 from .quality import op1_quality_classifier
@@ -21,7 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_chat_format, op3_source_mixing, op4_license_scan, op5_embedding_dedup,
-        op6_substring_dedup, op7_url_filter, op8_html_extract, op9_minhash_dedup, op10_decontamination,
+        op6_substring_dedup, op7_url_filter, op8_html_extract, op9_minhash_dedup, op10_decontamination, op12_merkle_manifest,
     )
 }
-ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_source_mixing": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_url_filter": OP7_SQL}
+ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_source_mixing": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_url_filter": OP7_SQL, "op12_merkle_manifest": OP12_SQL}
