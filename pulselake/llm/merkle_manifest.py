@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, materialize
+from .shared import CRC32, documents, materialize
 
 #: Nodes of the top besides one for each group: some 4 MB of text, and twice that with all levels above.
 MOST_TOP = 1 << 16
@@ -191,10 +191,6 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: crc32 of a column's decimal text, bit by bit, since the dialect has no such function.
-CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], [ascii(c)::BIGINT FOR c IN string_split(CAST({0} AS VARCHAR), '')]),
-    lambda s, b: list_reduce(list_concat([xor(s, b)], [0::BIGINT FOR i IN range(8)]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))))"""
-
 OP12_SQL = f"""
 WITH RECURSIVE f AS (
   SELECT doc_id, lang, n_chars, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,

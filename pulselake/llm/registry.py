@@ -14,6 +14,7 @@ from .license_scan import op4_license_scan
 from .merkle_manifest import OP12_SQL, op12_merkle_manifest
 from .minhash_dedup import op9_minhash_dedup
 from .mixing import OP3_SQL, op3_source_mixing
+from .periodic_runs import OP11_SQL, op11_periodic_runs
 from .quality import op1_quality_classifier
 from .substring_dedup import OP6_SQL, op6_substring_dedup
 from .url_filter import OP7_SQL, op7_url_filter
@@ -22,7 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_chat_format, op3_source_mixing, op4_license_scan, op5_embedding_dedup,
-        op6_substring_dedup, op7_url_filter, op8_html_extract, op9_minhash_dedup, op10_decontamination, op12_merkle_manifest,
+        op6_substring_dedup, op7_url_filter, op8_html_extract, op9_minhash_dedup, op10_decontamination, op11_periodic_runs, op12_merkle_manifest,
     )
 }
-ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_source_mixing": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_url_filter": OP7_SQL, "op12_merkle_manifest": OP12_SQL}
+ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_source_mixing": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_url_filter": OP7_SQL, "op11_periodic_runs": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
