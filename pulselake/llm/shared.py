@@ -37,15 +37,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{where.rstrip('/')}/pulselake-{app}"
 
 
+def new_path(spark: SparkSession) -> str:
+    """A folder in the shared one that nobody has used yet."""
+    path = f"{shared_dir(spark)}/{next(_COUNTER):06d}"
+    if _WRITTEN is not None:
+        _WRITTEN.append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor
     costs nothing that was already written."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{next(_COUNTER):06d}"
+    path = new_path(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
-    if _WRITTEN is not None:
-        _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
