@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .models import BeatClassifier, out_of_fold, subject_folds
+from .kept import kept
+from .models import BeatClassifier, scored_out_of_fold, subject_folds
 from .scoring import best_threshold, binary_score
 
 #: Names of the records to learn from, of those to test on, and of those with a pacemaker, left out of both.
@@ -51,27 +52,25 @@ def halves(rows: DataFrame, subject: str, beat: str, seed: int = 0) -> DataFrame
     return rows.join(counts, [subject, "byte"]).withColumn("first_half", F.col("whole") | (at <= F.col("room"))).drop("digest", "byte", "room", "whole")
 
 
-def choose_threshold(rows: DataFrame, columns: list[str], subject: str, folds: int = 4) -> float:
-    """The threshold with the best sum of F1 over folds of whole subjects, 0.5 where no fold has enough positives."""
-    best = best_threshold(out_of_fold(subject_folds(rows, subject, folds), columns, [subject], folds)).first()
-    return 0.5 if best is None or best.threshold is None else best.threshold
-
-
-def trained(rows: DataFrame, columns: list[str], subject: str, least_subjects: int = 5, without: object = None, threshold: float | None = None) -> BeatClassifier:
-    """A classifier with its operating point, learned from all subjects but ``without``; fewer than ``least_subjects`` are refused."""
+def trained(rows: DataFrame, columns: list[str], subject: str, least_subjects: int = 5, without: object = None, threshold: float | None = None, folds: int = 4) -> BeatClassifier:
+    """A classifier with its operating point, learned from all subjects but ``without``; fewer than ``least_subjects`` are refused.
+    The threshold, where none is given, is the one with the best sum of F1 over folds of whole subjects, 0.5 where no fold has
+    enough positives; the model and those of its folds are fitted in the same passes."""
     rows = rows if without is None else rows.where(F.col(subject) != F.lit(without))
     n = rows.select(subject).distinct().count()
     if n < least_subjects:
         raise ValueError(f"{n} subjects to learn from, {least_subjects} are needed")
-    model = BeatClassifier(columns).fit(rows, [subject])
-    model.threshold = choose_threshold(rows, columns, subject) if threshold is None else threshold
+    rows = subject_folds(rows, subject, folds)
+    model, *others = BeatClassifier(columns).fit_each(rows, [subject], [-1] if threshold is not None else [-1, *range(folds)])
+    best = best_threshold(scored_out_of_fold(rows, others, [subject])).first() if others else None
+    model.threshold = threshold if threshold is not None else 0.5 if best is None or best.threshold is None else best.threshold
     return model
 
 
 def compare_protocols(train: DataFrame, test: DataFrame, columns: list[str], subject: str, beat: str, threshold: float | None = None) -> DataFrame:
     """One row a protocol: ``inter`` has seen no beat of the tested subjects, ``intra`` the first half of them; both are scored on
     the second half, so only that differs."""
-    dealt = halves(test, subject, beat).persist()  # both models read it
+    dealt = kept(halves(test, subject, beat))  # both models read it
     known, held = dealt.where("first_half").drop("first_half"), dealt.where("not first_half").drop("first_half")
     out = None
     for name, rows in (("inter", train), ("intra", train.unionByName(known))):

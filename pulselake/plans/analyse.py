@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bin_seconds
+from ..operators.kept import kept
 from ..operators import detect, matching, models, morphology, quality, rhythm, segments, summary
 
 
 def beats_of(signal: DataFrame, fs: float) -> tuple[DataFrame, DataFrame]:
     """``(sensor_id, beat_idx, sample)`` of the detector and ``(sensor_id, sample)`` of the second one, from one pass over the
-    filtered chunks that is kept in memory or on disk, since all that follows reads it; a lost part is made again."""
-    found = detect.detect_by(detect.with_segments(signal, fs), fs, ("adaptive", "slope")).persist()
+    filtered chunks that is kept in the shared folder, since all that follows reads it."""
+    found = kept(detect.detect_by(detect.with_segments(signal, fs), fs, ("adaptive", "slope")))
     order = F.row_number().over(rhythm.Window.partitionBy("sensor_id").orderBy("sample")) - 1
     beats = found.where("method = 'adaptive'").select("sensor_id", order.cast("long").alias("beat_idx"), "sample")
     return beats, found.where("method = 'slope'").select("sensor_id", "sample")
@@ -46,7 +47,7 @@ def analyse(signal: DataFrame, fs: float, model: models.BeatClassifier | None =
     artefacts = quality.artefact_windows(signal, fs, agreement=agreement)
     inside = quality.beats_in_artifact(beats, artefacts, fs).groupBy("sensor_id").agg(F.count_if("in_artifact").alias("beats_in_artifact"))
     covered = segments.coverage(segments.segments(signal, fs))
-    clean = detect.filter_signal(signal, fs).persist()  # features and examples read it
+    clean = kept(detect.filter_signal(signal, fs))  # features and examples read it
     events = classified(clean, beats, fs, model)
     durations = covered.select("sensor_id", (F.col("total") / float(fs)).alias("duration_s"))
     hours = covered.select("sensor_id", (F.col("usable") / float(fs) / 3600).alias("hours"))

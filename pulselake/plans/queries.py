@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs
+from ..operators.kept import kept
 from ..operators import detect, matching, models, morphology, protocol, quality, rhythm, scoring, segments, summary
 from ..sources import tables
 from ..sources.tables import ECG_FS, FS, SIGNAL_FS, beats, ecg, signal, table
@@ -451,8 +452,8 @@ def beat_features(spark, sf):
 
 
 def _labelled_features(spark, sf, label) -> DataFrame:
-    """Kept in memory or on disk, since fitting and predicting read them several times; a lost part is made again."""
-    return _unkept_features(spark, sf, label).persist()
+    """Kept in the shared folder, since fitting and predicting read them several times."""
+    return kept(_unkept_features(spark, sf, label))
 
 
 def _unkept_features(spark, sf, label) -> DataFrame:

@@ -51,3 +51,56 @@ def test_features_of_equal_beats_and_one_that_differs(spark):
     assert odd.width_ratio > 1.2 and odd.r_amp_ratio == pytest.approx(2, rel=0.01) and odd.qrs_energy > 4 and odd.template_corr < 0.95 and odd.p_energy_ratio < 1
     assert (odd.pre_rr_ratio, odd.post_rr_ratio) == (0.5, 1.5)
     assert got[0].pre_rr_ratio is None and got[11].post_rr_ratio is None
+
+
+def objective_gradient(rows, model, classes):
+    """Gradient of the penalised, weighted loss at a model's coefficients, straight from the definition."""
+    y = np.array([r.y for r in rows])
+    x = np.array([[r.a, r.b] for r in rows])
+    z = np.column_stack([(x - x.mean(axis=0)) / x.std(axis=0), np.ones(len(x))])
+    weight = np.array([len(y) / (len(classes) * (y == k).sum()) for k in classes])[np.searchsorted(classes, y)]
+    score = z @ model.lines.T
+    if len(classes) == 2:
+        off = 1 / (1 + np.exp(-score[:, 0])) - (y == classes[1])
+        return (weight * off) @ z + np.append(model.lines[0, :-1], 0)
+    p = np.exp(score - score.max(axis=1, keepdims=True))
+    off = p / p.sum(axis=1, keepdims=True) - (y[:, None] == np.array(classes))
+    return (weight[:, None] * off).T @ z + np.column_stack([model.lines[:, :-1], np.zeros(len(classes))])
+
+
+@pytest.mark.parametrize("centres", [[(0, 0), (1, 0.5)], [(0, 0), (1, 0), (0, 1)]])
+def test_coefficients_are_the_minimum(spark, centres):
+    rows = clusters(spark, centres).where("y is not null and not isnan(a)")
+    model = models.BeatClassifier(["a", "b"]).fit(rows, ["subject"])
+    assert np.abs(objective_gradient(rows.collect(), model, list(range(len(centres))))).max() < 1e-7
+    again = models.BeatClassifier(["a", "b"]).fit(rows.repartition(7), ["subject"])
+    assert np.abs(again.lines - model.lines).max() < 1e-9
+
+
+def test_folds_fitted_together_equal_models_fitted_alone(spark):
+    rows = models.subject_folds(clusters(spark, [(0, 0), (1, 0.5)]).where("y is not null"), "subject", folds=3)
+    together = models.BeatClassifier(["a", "b"]).fit_each(rows, ["subject"], [-1, 0, 1, 2])
+    for skip, model in zip((-1, 0, 1, 2), together, strict=True):
+        alone = models.BeatClassifier(["a", "b"]).fit(rows.where(F.col("fold") != skip).drop("fold"), ["subject"])
+        assert np.abs(alone.lines - model.lines).max() < 1e-8
+
+
+@pytest.mark.parametrize("centres", [[(0, 0), (4, 0.5)], [(0, 0), (4, 0), (0, 4)]])
+def test_saved_model_predicts_alike_in_a_new_session(spark, centres, tmp_path):
+    rows = clusters(spark, centres)
+    model = models.BeatClassifier(["a", "b"]).fit(rows, ["subject"])
+    model.threshold = 0.3 if len(centres) == 2 else None
+    model.save(spark, f"file://{tmp_path}/model")
+    other = spark.newSession()
+    loaded = models.BeatClassifier.load(other, f"file://{tmp_path}/model")
+    assert loaded.threshold == model.threshold and loaded.classes == model.classes
+    key = lambda r: repr(r)
+    got = sorted((tuple(r) for r in loaded.predict(rows, ["subject"]).drop("a", "b").collect()), key=key)
+    assert got == sorted((tuple(r) for r in model.predict(rows, ["subject"]).drop("a", "b").collect()), key=key)
+
+
+def test_one_class_is_certain_and_no_rows_are_refused(spark):
+    rows = clusters(spark, [(0, 0), (4, 0.5)]).where("y is not null")
+    first, second = models.BeatClassifier(["a", "b"]).fit_each(rows.withColumn("fold", F.col("y")), ["subject"], [0, 1])
+    assert rows.select(F.get(first.probabilities(), F.lit(1)).alias("p")).agg(F.min("p")).first()[0] > 0.999
+    assert rows.where("not isnan(a)").select(F.get(second.probabilities(), F.lit(1)).alias("p")).agg(F.max("p")).first()[0] < 0.001

@@ -10,7 +10,6 @@ from pulselake.plans.oracles import ORACLES
 from pulselake.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"subject_threshold", "protocol_study"}  # many fits; tests/test_models.py and tests/test_protocol.py have their parts
 
 
 def plain(v):
@@ -41,7 +40,7 @@ def test_oracle(spark, sql, name):
     assert rows == sorted(repr([plain(r[i]) for i in at]) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows(spark, name):
     df = QUERIES[name](spark, SF)
     assert df.columns and df.count() >= 0
