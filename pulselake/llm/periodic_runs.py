@@ -151,20 +151,22 @@ def periodic_runs(docs: DataFrame, text: str = "text", least: int = 6, exponent:
     return short.unionByName(known.mapInArrow(_collapse(at, keep, names), schema))
 
 
-def repeated_text(text: Column, h: Column) -> Column:
-    """The text whose words from ``g % n`` on repeat the next ``1 + (n - g % n) // (3 + g % 8)`` of them, for ``g = h // 10``."""
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    n, g = F.size(words), F.floor(h / 10)
+def with_repeats(docs: DataFrame, h: Column) -> DataFrame:
+    """``docs (doc_id, text)``; where ``h % 10`` is 0, the n words from ``g % n`` on repeat the next ``1 + (n - g % n) // (3 + g % 8)`` of
+    them, for ``g = h // 10``. Words and texts are generated, so that no later expression makes them anew."""
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.inline(F.array(F.struct(words.alias("words")))))
+    n, g = F.size("words"), F.col("g")
     a = (g % n).cast("int")
     p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    times = F.ceil((n - a) / p).cast("int")
-    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), times)), F.lit(1), n - a)
-    return F.when(n > 0, F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")).otherwise("")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    text = F.when(n > 0, F.array_join(F.concat(F.slice("words", F.lit(1), a), tail), " ")).otherwise(F.col("text"))
+    return rows.select("doc_id", F.inline(F.array(F.struct(text.alias("text")))))
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    docs = documents(spark, sf_dir).select("doc_id", F.when(h % 10 == 0, repeated_text(F.col("text"), h)).otherwise(F.col("text")).alias("text"))
+    docs = with_repeats(documents(spark, sf_dir).select("doc_id", "text"), h)
     found = periodic_runs(docs)
     best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda b, r: F.when(r["length"] * b["period"] > b["length"] * r["period"], r).otherwise(b))
     line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
@@ -179,7 +181,8 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: lags with such a place are compared in full.
 OP11_SQL = rf"""
 WITH h AS (
-  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w, {CRC32.format("doc_id")} AS h FROM documents
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w, {CRC32.format("doc_id")} AS h FROM documents
 ), g AS (
   SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, h // 10 AS g FROM h
 ), d AS (

@@ -76,8 +76,9 @@ def test_repeated_text_matches_its_rule(spark):
     a = g % 37
     p = 1 + (37 - a) // (3 + g % 8)
     want = " ".join(words[i] if i < a else words[a + (i - a) % p] for i in range(37))
-    row = spark.createDataFrame([(" ".join(words),), ("",), (None,)], "t string").select(periodic_runs.repeated_text(F.col("t"), F.lit(h)).alias("r")).collect()
-    assert [r.r for r in row] == [want, "", ""]
+    rows = spark.createDataFrame([(1, " ".join(words), h), (2, " ", h), (3, None, h), (4, "a b", h + 1), (5, "a b", None)], "doc_id long, text string, h long")
+    got = periodic_runs.with_repeats(rows.select("doc_id", "text", "h"), F.col("h")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, want), (2, " "), (3, None), (4, "a b"), (5, "a b")]
 
 
 # --- Merkle manifest ------------------------------------------------------------------------------
