@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, small_batches
+from .shared import materialize, new_path, small_batches
 
 #: The names of a record line's fields in the two versions, and what a revisit of an equal payload is called.
 ARC_FIELDS = {
@@ -307,7 +307,7 @@ def op13_warc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html", when.alias("when"))
     second = F.coalesce(F.pmod("page_id", F.lit(2)) == 1, F.lit(False))
     folder = convert(spark, [write_arc(pages.where(~second), 1), write_arc(pages.where(second), 2)])
-    found = records(spark, folder)
+    found = materialize(records(spark, folder))
     targets = found.where("record_type = 'response'").select(F.col("record").alias("refers"), F.col("page_id").alias("refers_to"))
     revisits = found.where("record_type = 'revisit'").join(targets, "refers", "left")
     return found.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisits).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
