@@ -228,14 +228,22 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text").where("doc_id is not null")
 
 
+def _each_once(rows: DataFrame) -> DataFrame:
+    """One row a (doc_id, text_id). Only rows that are repeated travel with their texts; which those are is a written table, so
+    that its size is known where the joins are planned."""
+    repeated = materialize(rows.groupBy("doc_id", "text_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_id"))
+    alone = rows.join(repeated, ["doc_id", "text_id"], "left_anti")
+    return alone.unionByName(rows.join(repeated, ["doc_id", "text_id"], "left_semi").groupBy("doc_id", "text_id").agg(F.first("text").alias("text")))
+
+
 def repeated_windows(docs: DataFrame, window: int = 50, hot: int = 1 << 16) -> DataFrame:
     """``(doc_id, text_id, ranges)``: stretches ``(first, n)`` of windows that a smaller document has too."""
-    rows = identified(docs)
+    rows = _each_once(identified(docs))
     found = materialize(rows.mapInArrow(_anchor_rows(window), "anchor long, doc_id long, text_id long, first int, n int"))
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n").alias("windows")).where("low < high")
     hits = found.join(materialize(shared.select("anchor", "windows")), "anchor")
     parts = F.ceil(F.col("windows") / hot)
-    part = F.xxhash64("anchor", F.pmod(F.xxhash64("doc_id"), parts))
+    part = F.xxhash64("anchor", F.pmod(F.xxhash64("doc_id", F.floor(F.col("first") / hot)), parts))  # a text that repeats itself is many parts too
     hits = hits.select("doc_id", "text_id", F.struct("first", "n", part.alias("part"), (F.col("windows") > hot).alias("hot")).alias("r"))
     hits = hits.groupBy("doc_id", "text_id").agg(F.collect_list("r").alias("ranges"))
     equal = rows.select("doc_id", "text_id", F.hash("text").alias("h"), F.length("text").alias("n"))
