@@ -8,10 +8,10 @@ and with each prefix of its path of a length that occurs among the keys of the i
 
 The longest fitting rule decides; without one, the host is looked up among the blocked hosts.
 
-Lists are tables. If their keys fit into ``shard_bytes`` (16 MB), the index is one file that every task holds, and nothing
-is shuffled. Larger lists are cut into shards by digest, each an array of its own of about that size: the distinct
-candidates of all URLs are dealt to the shards, each task maps the shards it meets one after the other, and the few
-candidates that are stored go back to their URLs. Both ways probe and confirm alike.
+Lists are tables. ``shards`` says how many arrays their keys make; it is the caller's choice, and an array of more than
+``MOST_BYTES`` is an error that names the number needed. One array is a file that every task holds, and nothing is shuffled.
+Of several, cut by digest, each task maps those it meets one after the other: the distinct candidates of all URLs are dealt to
+them, and the few candidates that are stored go back to their URLs. Both ways probe and confirm alike.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and is
 allowed; repeated rows and rows with a null page_id are judged alike and all returned; a rule that is listed twice, or with
@@ -41,6 +41,8 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 #: Hosts whose pages are blocked where no rule fits.
 BLOCKED_HOSTS = tuple(f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
 SEED = 71
+#: Bytes of one digest array.
+MOST_BYTES = 16 << 20
 
 
 def _digest(key: str) -> int:
@@ -142,21 +144,23 @@ def _table(spark: SparkSession, rows, schema: str) -> DataFrame:
     return rows if isinstance(rows, DataFrame) else spark.createDataFrame(list(rows), schema)
 
 
-def judge_urls(pages: DataFrame, rules=RULES, blocked=BLOCKED_HOSTS, shard_bytes: int = 16 << 20) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, blocked=BLOCKED_HOSTS, shards: int = 1) -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` for each row of ``pages (page_id, url)``. Lists are tables ``rules (host,
     path, verdict)`` and ``blocked (host)``, or short Python lists of the same."""
     spark = pages.sparkSession
     rules = _table(spark, rules, "host string, path string, verdict string")
     blocked = _table(spark, blocked if isinstance(blocked, DataFrame) else [(h,) for h in blocked], "host string")
-    keys = materialize(_keys(rules, blocked))
+    keys = _keys(rules, blocked)
     size = keys.agg(F.coalesce(F.sum(F.octet_length("key") + F.octet_length("rule") + 32), F.lit(0))).first()[0]
+    if size > shards * MOST_BYTES:
+        raise ValueError(f"lists of {size} bytes need {-(-size // MOST_BYTES)} shards")
     lengths = [r.n for r in rules.select(F.length("path").alias("n")).where("n is not null").distinct().orderBy(F.desc("n")).collect()]  # a URL's path has no more prefixes
-    if size > shard_bytes:
-        return judge_by_shards(pages, keys, lengths, -(-size // shard_bytes))
+    if shards > 1:
+        return judge_by_shards(pages, materialize(keys), lengths, shards)
     folder = tempfile.mkdtemp(prefix="urls-")
     atexit.register(shutil.rmtree, folder, True)
     path = os.path.join(folder, f"{os.path.basename(folder)}.idx")
-    write_index([tuple(r) for r in keys.collect()], path)  # at most ``shard_bytes``
+    write_index([tuple(r) for r in keys.collect()], path)  # at most ``MOST_BYTES``
     spark.sparkContext.addFile(path)  # Spark serves it to every executor's own folder, replacements included
     return split_urls(pages).mapInArrow(_judge(os.path.basename(path), lengths), "page_id long, host string, path string, rule string, verdict string")
 
