@@ -161,8 +161,11 @@ def tree_recall(percent: int, trees: int, depth: int, second: float) -> float:
 
 
 def trees_for(percent: int, recall: float, depth: int, second: float) -> int:
-    """The smallest even number of trees with that recall, and 200 where none has it."""
-    return next((t for t in range(2, 200, 2) if tree_recall(percent, t, depth, second) >= recall), 200)
+    """The smallest even number of trees with that recall; where 200 do not have it, no number in reach does, and that is an error."""
+    found = next((t for t in range(2, 202, 2) if tree_recall(percent, t, depth, second) >= recall), None)
+    if found is None:
+        raise ValueError(f"no 200 trees find pairs of similarity {percent} % with a chance of {recall}")
+    return found
 
 
 def _partners(least: int, column: str = "minima", kind: type = np.uint16, positions: int = POSITIONS, more: tuple[str, ...] = ()):
@@ -405,3 +408,27 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, i + 1, i + 3), ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(0, CASE WHEN len(words) = 0 THEN 0 ELSE greatest(len(words) - 2, 1) END)) AS i FROM w)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), t AS (
+  SELECT doc_id, hash(shingle) AS h, n FROM s JOIN n USING (doc_id)
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r(id, c) AS (
+  SELECT doc_id, doc_id FROM w UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id
+), c AS (
+  SELECT id, min(c) AS component_id FROM r GROUP BY id
+)
+SELECT c.id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.id = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.id
+"""

@@ -12,7 +12,7 @@ from .embedding_dedup import OP5_SQL, op5_embedding_dedup
 from .html_extract import op8_html_extract
 from .license_scan import op4_license_scan
 from .merkle_manifest import OP12_SQL, op12_merkle_manifest
-from .minhash_dedup import op9_minhash_dedup
+from .minhash_dedup import OP9_SQL, op9_minhash_dedup
 from .mixing import OP3_SQL, op3_source_mixing
 from .periodic_runs import OP11_SQL, op11_periodic_runs
 from .quality import op1_quality_classifier
@@ -28,5 +28,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op13_warc_convert,
     )
 }
-ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_source_mixing": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_url_filter": OP7_SQL, "op11_periodic_runs": OP11_SQL, "op12_merkle_manifest": OP12_SQL,
+ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_source_mixing": OP3_SQL, "op5_embedding_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op7_url_filter": OP7_SQL, "op9_minhash_dedup": OP9_SQL, "op11_periodic_runs": OP11_SQL, "op12_merkle_manifest": OP12_SQL,
     "op13_warc_convert": OP13_SQL}
