@@ -9,7 +9,9 @@ exactly by a banded dynamic programme with free ends in the text. k is 10 % of m
 so that the bound stays at least one.
 
 The benchmark is small beside the corpus: its items go to the tasks in blocks of at most ``block_chars``
-characters (documented bound), one pass over the texts for each block. Nothing is shuffled.
+characters (documented bound), one pass over the texts for each block. Nothing is shuffled. Alignment takes as many regions
+at a time as about a million characters and costs hold, so its memory follows the longest item alone: some 25 bytes for each
+character of it. Its time for an item of m characters is that of m * 0.4 m cells, unless the costs of a region pass the budget earlier.
 
 A benchmark of B characters is one pass over the texts for each 4 MB of it: a thousand items of a few hundred characters
 are one pass, 4 GB would be a thousand.
@@ -22,8 +24,11 @@ empty results.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,11 +120,23 @@ class Benchmark:
             open_key, open_count = key[~done], count[~done]
             a = b
 
-    def align(self, rows: list[np.ndarray], regions: np.ndarray, at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
-        """Smallest edit distance of each region's item within its band and where it ends in the text."""
+    def _together(self, item: np.ndarray, places: int):
+        """Regions in order of their items' lengths, as many at a time as hold about ``places`` characters and costs."""
+        order = np.argsort(self.size[item], kind="stable")
+        wide = (2 * self.size + 8 * self.budget)[item[order]]
+        a = 0
+        while a < len(order):
+            b = a + 1
+            while b < len(order) and (b + 1 - a) * wide[b] <= places:
+                b += 1
+            yield order[a:b]
+            a = b
+
+    def align(self, rows: list[np.ndarray], regions: np.ndarray, places: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """Smallest edit distance of each region's item within its band and where it ends in the text. A region whose costs are
+        all beyond the budget is given up, with a distance beyond it: costs never fall from one character to the next."""
         distance, ends = np.zeros(regions.shape[1], np.int64), np.zeros(regions.shape[1], np.int64)
-        order = np.argsort(self.size[regions[1]], kind="stable")
-        for part in (order[i : i + at_once] for i in range(0, len(order), at_once)):
+        for part in self._together(regions[1], places):
             row, item, band = regions[:, part]
             size, budget = self.size[item], self.budget[item]
             low = (band - 1) * (budget + 1) - int(self.size.max()) - budget  # lowest diagonal
@@ -136,6 +153,13 @@ class Benchmark:
             step = np.arange(width, dtype=np.int32)
             cost = np.zeros((len(part), width), np.int32)
             for i in range(longest):
+                if i % 64 == 63:
+                    alive = cost.min(axis=1) <= budget
+                    if not alive.all():
+                        distance[part[~alive & (size > i)]] = 1 << 40
+                        part, size, budget, low, text, want, cost = (x[alive] for x in (part, size, budget, low, text, want, cost))
+                        if not len(part):
+                            break
                 new = cost + (text[:, i : i + width] != want[:, i : i + 1])
                 new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
                 cost = np.minimum.accumulate(new - step, axis=1) + step
@@ -160,13 +184,15 @@ class Benchmark:
         return [(r, self.ids[i], d, e) for (r, i), (d, e) in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[int, str]]]:
-    """The items in blocks of about ``block_chars`` characters, collected block by block."""
+def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[Broadcast]:
+    """The items in blocks of about ``block_chars`` characters, one after the other: the driver holds one block at a time and
+    tasks fetch the blocks from each other."""
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = int(total // block_chars) + 1
-    out = (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).orderBy("item_id", "text").collect() for b in range(n))
-    return [[(r.item_id, r.text) for r in rows] for rows in out]
+    for b in range(n):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).orderBy("item_id", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in rows])
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_chars: int = 4 << 20) -> DataFrame:
@@ -175,7 +201,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1,
 
     def scan(items):
         def run(batches):
-            known = Benchmark(items, rate)
+            known = Benchmark(items.value, rate)
             for batch in small_batches(batches):
                 ids = batch.column(0).to_pylist()
                 found = known.hits(batch.column(1).to_pylist())
@@ -199,7 +225,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1
 
     def keep(items):
         def run(batches):
-            known = Benchmark(items, rate)
+            known = Benchmark(items.value, rate)
             for batch in small_batches(batches):
                 clean = np.ones(batch.num_rows, bool)
                 clean[[r for r, *_ in known.hits(batch.column(at).to_pylist())]] = False
