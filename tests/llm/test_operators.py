@@ -260,7 +260,7 @@ def test_urls(spark, monkeypatch):
     urls = [None, "nothing", "http://A.Example.ORG/es/x", "https://example.org/en/123?q", "https://sub.x.org/", "http://x.com/fr/1", "http://x.com/de/", "http://www.cheap-pills.example.net/en/", "ftp://x.com", "http://notexample.org/es/", "x://y://z/w#f"]
     frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     one = sorted(map(tuple, url_filter.judge_urls(frame).collect()))
-    assert one == sorted(map(tuple, url_filter.judge_urls(frame, shard_bytes=200).collect()))
+    assert one == sorted(map(tuple, url_filter.judge_urls(frame, shards=5).collect()))
     rules = spark.createDataFrame([*url_filter.RULES, ("org", "/", "allow"), (None, "/", "block")], "host string, path string, verdict string")
     hosts = spark.createDataFrame([(h,) for h in (*url_filter.BLOCKED_HOSTS, None)], "host string")
     for size in (200, 1 << 20):
@@ -278,7 +278,7 @@ def test_urls(spark, monkeypatch):
 
     assert one == sorted((i, *judged(u)) for i, u in enumerate(urls))
     repeated = spark.createDataFrame([(1, urls[2])] * 3 + [(None, urls[2]), (None, None)], "page_id long, url string")
-    assert sorted(r.verdict for r in url_filter.judge_urls(repeated, shard_bytes=200).collect()) == ["allow", *["block"] * 4]
+    assert sorted(r.verdict for r in url_filter.judge_urls(repeated, shards=5).collect()) == ["allow", *["block"] * 4]
     verdict = {r[0]: (r[3], r[4]) for r in one}
     assert verdict[0] == (None, "allow") and verdict[2] == ("example.org/es/", "block") and verdict[3] == ("example.org/en/1", "block")
     assert verdict[4] == ("org/", "allow") and verdict[6] == ("com/de/", "block") and verdict[7] == (None, "block") and verdict[9] == ("org/", "allow")
@@ -501,3 +501,43 @@ def test_pipeline_keeps_its_columns_and_reruns_agree(spark):
     one, two = ([tuple(r) for r in corpus_pipeline.run(spark, sf).collect()] for _ in range(2))
     assert sorted(map(repr, one)) == sorted(map(repr, two)) and one
     assert corpus_pipeline.run(spark, sf).columns == spark.read.parquet(f"{sf}/documents.parquet").columns
+
+
+def test_repeated_rows_of_one_document_stay_linear(spark):
+    passage = prose(80, 41)
+    one, two = f"{prose(30, 42)} {passage}", f"{passage} {prose(30, 43)}"
+    frame = spark.createDataFrame([(1, one)] + [(2, two)] * 1000 + [(3, passage)] * 3, "doc_id long, text string").repartition(8)
+    found = substring_dedup.repeated_windows(frame).collect()
+    assert sorted((r.doc_id, sorted((x["first"], x["n"]) for x in r.ranges)) for r in found if r.doc_id == 2)[0][1] is not None
+    assert max(len(r.ranges) for r in found) <= 30 and len(found) <= 3
+    got = substring_dedup.remove_repeats(frame).groupBy("doc_id", "text").count().collect()
+    assert {(r.doc_id, r.text, r["count"]) for r in got} == {(1, one, 1), (2, prose(30, 43), 1000), (3, "", 3)}
+
+
+def test_periodic_documents_in_salted_parts(spark):
+    loop = " ".join([prose(40, 51)] * 60)
+    frame = spark.createDataFrame([(1, loop), (2, loop + " " + prose(20, 52)), (3, prose(20, 53) + " " + loop)], "doc_id long, text string")
+    whole = {r.doc_id: r.text for r in substring_dedup.remove_repeats(frame).collect()}
+    parts = {r.doc_id: r.text for r in substring_dedup.remove_repeats(frame, hot=64).collect()}
+    assert whole == parts and whole[1] == loop and len(whole[2].split()) < 80
+
+
+def test_recall_out_of_reach_is_an_error():
+    with pytest.raises(ValueError, match="trees"):
+        minhash_dedup.trees_for(20, 0.999999, 3, 0.1)
+
+
+def test_lists_beyond_one_array_ask_for_shards(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MOST_BYTES", 200)
+    with pytest.raises(ValueError, match="shards"):
+        url_filter.judge_urls(spark.createDataFrame([(1, "http://a.b/")], "page_id long, url string"))
+
+
+def test_very_long_benchmark_item(spark):
+    item = prose(16_000, 61)
+    assert len(item) > 70_000
+    edited = " ".join("x" if i % 40 == 7 else w for i, w in enumerate(item.split()))
+    frame = spark.createDataFrame([(1, f"{prose(50, 62)} {edited} {prose(50, 63)}"), (2, prose(3000, 64)), (3, prose(16_000, 61)[: 30_000])], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item), (10, prose(30, 65))], "item_id long, text string")
+    (hit,) = decontaminate.find_contaminated(frame, bench).collect()
+    assert (hit.doc_id, hit.item_id) == (1, 9) and 300 < hit.distance < 3000
