@@ -91,7 +91,7 @@ def running_median(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def odd(n: float) -> int:
-    n = max(3, int(round(n)))
+    n = max(3, int(n))
     return n + 1 - n % 2
 
 

@@ -6,20 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite, ratio
+from . import blocks
 
 
-def extract_beats(signal: DataFrame, beats: DataFrame, before: int, after: int, spare: int = 0) -> DataFrame:
-    """Windows ``[sample - before, sample + after)`` of complete beats only, with ``spare`` more samples after them. Each sample goes to the slots that its beats
-    can look into, so the join is an equi-join on (sensor, slot)."""
+def extract_beats(signal: DataFrame, beats: DataFrame, before: int, after: int) -> DataFrame:
+    """Windows ``[sample - before, sample + after)`` of complete beats only: the signal has to go on for one sample after the
+    window. Each sample goes to the slots that its beats can look into, so the join is an equi-join on (sensor, slot)."""
     size = before + after
     ends = signal.groupBy("sensor_id").agg(F.max("i").alias("last"))
-    inside = beats.join(ends, "sensor_id").where((F.col("sample") - before >= 0) & (F.col("sample") + after - 1 + spare <= F.col("last"))).select("sensor_id", "sample")
+    inside = beats.join(ends, "sensor_id").where((F.col("sample") - before >= 0) & (F.col("sample") + after <= F.col("last"))).select("sensor_id", "sample")
     slots = inside.withColumn("slot", F.explode(F.sequence(F.floor((F.col("sample") - before) / size), F.floor((F.col("sample") + after - 1) / size))))
     rows = slots.join(signal.withColumn("slot", F.floor(F.col("i") / size)), ["sensor_id", "slot"]).where((F.col("i") >= F.col("sample") - before) & (F.col("i") < F.col("sample") + after))
     packed = rows.groupBy("sensor_id", "sample").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("s"))
     return packed.select("sensor_id", "sample", F.transform("s", lambda v: v["x"]).alias("w"))
 
 
+def windows_in_blocks(packed: DataFrame, beats: DataFrame, fs: float, before: int, after: int) -> DataFrame:
+    """The same for packed blocks: the beats of a block are cut out of its array, which carries the head of the next one."""
+    size = blocks.size_of(fs)
+    start = F.col("sample") - before
+    inside = beats.join(blocks.lengths(packed, fs), "sensor_id").where((start >= 0) & (F.col("sample") + after < F.col("n")))
+    own = inside.groupBy("sensor_id", F.floor(start / size).alias("block")).agg(F.collect_set("sample").alias("samples"))  # those of ten minutes
+    cut = F.transform("samples", lambda p: F.struct(p.alias("sample"), F.slice("x", (p - before - F.col("block") * size + 1).cast("int"), before + after).alias("w")))
+    return blocks.with_next(packed, before + after).join(own, ["sensor_id", "block"]).select("sensor_id", F.inline(cut))
+
+
 def pearson(a: Column, b: Column) -> Column:
     """Correlation of two arrays of equal length, 0 where one of them does not vary."""
     # sums first: nothing within a lambda depends on a whole array, so each array is walked a fixed number of times

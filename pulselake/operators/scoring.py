@@ -47,4 +47,4 @@ def best_threshold(rows: DataFrame, low: float = 0.30, step: float = 0.02, count
     f1 = F.coalesce(2.0 * tp / F.nullif(taken + F.col("all_pos"), F.lit(0)), F.lit(0.0))
     sums = grid.select("g", f1.alias("f1")).groupBy("g").agg(F.sum("f1").alias("f1"))
     best = sums.agg(F.max(F.struct("f1", (-F.col("g")).alias("g"))).alias("b"))
-    return best.select((low + step * -F.col("b.g")).alias("threshold"), F.col("b.f1").alias("f1"))
+    return best.select((low + step * -F.col("b.g")).alias("threshold"), F.col("b.f1").alias("f1_sum"))

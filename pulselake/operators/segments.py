@@ -6,10 +6,13 @@ next one for the step between them. Only runs, a few a slot, are ordered over wh
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite
+from .blocks import arrays
 
 #: Blocks of the flatness rule in a slot: ten minutes of blocks of half a second.
 SLOT_BLOCKS = 1200
@@ -62,6 +65,11 @@ def segments(signal: DataFrame, fs: float, min_dropout_s: float = 1.0, slot_bloc
     inside = Window.partitionBy("sensor_id", "slot").orderBy("i")
     rows = rows.withColumn("run", F.sum(F.when(F.col("bad").eqNullSafe(F.lag("bad").over(inside)), 0).otherwise(1)).over(inside))
     runs = rows.groupBy("sensor_id", "slot", "run", "bad").agg(F.min("i").alias("start"), (F.max("i") + 1).alias("end"), F.bool_or(~F.col("ok")).alias("gap"))
+    return _merged(runs, fs, min_dropout_s)
+
+
+def _merged(runs: DataFrame, fs: float, min_dropout_s: float) -> DataFrame:
+    """Segments of the runs ``(sensor_id, bad, start, end, gap)``: a few a slot, ordered over whole sensors."""
     order = Window.partitionBy("sensor_id").orderBy("start")
     runs = runs.withColumn("part", F.sum(F.when(F.col("bad").eqNullSafe(F.lag("bad").over(order)), 0).otherwise(1)).over(order))
     runs = runs.groupBy("sensor_id", "part", "bad").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.bool_or("gap").alias("gap"))
@@ -72,6 +80,101 @@ def segments(signal: DataFrame, fs: float, min_dropout_s: float = 1.0, slot_bloc
     return runs.groupBy("sensor_id", "part", "usable", "reason").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("part")
 
 
+def _block_steps(x: np.ndarray, before: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Which samples are finite, and each sample's distance from the one before it; NaN beside a gap, 0 for a sensor's first."""
+    ok = np.isfinite(x)
+    with np.errstate(invalid="ignore"):
+        step = np.abs(np.diff(x, prepend=np.nan if before is None else before))
+    step[~np.isfinite(step)] = np.nan
+    if before is None and len(x) and ok[0]:
+        step[0] = 0.0
+    return ok, step
+
+
+def _bins(step: np.ndarray) -> np.ndarray:
+    """32nds of an octave, and one for zero."""
+    with np.errstate(divide="ignore"):
+        return np.where(step > 0, np.floor(32 * np.log2(step)), -(1 << 20)).astype(np.int64)
+
+
+def _counted(values: bool):
+    """Steps of each block by bin, or, of the bins from ``low`` to ``high``, by value."""
+
+    def run(batches):
+        for batch in batches:
+            block = batch.column(1).to_pylist()
+            edges = list(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)) if values else None
+            for row, x in enumerate(arrays(batch.column(2))):
+                _, step = _block_steps(x, batch.column(3)[row].as_py())
+                step = step[1:] if block[row] == 0 else step  # a sensor's first sample has none
+                step = step[~np.isnan(step)]
+                keys = _bins(step)
+                if values:
+                    step = step[(keys >= edges[row][0]) & (keys <= edges[row][1])]
+                found, n = np.unique(step if values else keys, return_counts=True)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(found), row))), pa.array(found), pa.array(n)], names=["sensor_id", "key", "n"])
+
+    return run
+
+
+def _middle(counted: DataFrame, order: str, total: DataFrame | None = None) -> DataFrame:
+    """The rows of ``(sensor_id, key, n)`` that hold the two middle ranks of each sensor's steps, counting ``before`` of ``total``."""
+    whole = Window.partitionBy("sensor_id")
+    rows = counted.groupBy("sensor_id", "key").agg(F.sum("n").alias("n"))
+    if total is None:
+        n, before = F.sum("n").over(whole), F.lit(0)
+        rows = rows.withColumn("low", F.floor((n - 1) / 2)).withColumn("high", F.floor(n / 2)).withColumn("before", before)
+    else:
+        rows = rows.join(total, "sensor_id")
+    upto = F.sum("n").over(whole.orderBy(order)) + F.col("before")
+    rows = rows.withColumn("upto", upto)
+    return rows.where((F.col("upto") - F.col("n") <= F.col("high")) & (F.col("upto") > F.col("low")))
+
+
+def _block_runs(n_win: int, size: int, quiet_share: float, least_share: float):
+    """Stretches of good and of bad samples of each block; a block of half a second is flat if more than 90 % of it is quiet."""
+
+    def run(batches):
+        for batch in batches:
+            block, scale = batch.column(1).to_pylist(), batch.column(4).to_pylist()
+            for row, x in enumerate(arrays(batch.column(2))):
+                ok, step = _block_steps(x, batch.column(3)[row].as_py())
+                if scale[row] is None or not scale[row] > 0:
+                    bad = np.ones(len(x), bool)  # without any step everything is flat
+                else:
+                    with np.errstate(invalid="ignore"):
+                        quiet = ~ok | (step < quiet_share * scale[row])
+                    start = np.arange(0, len(x), n_win)
+                    flat = np.add.reduceat(quiet, start) / np.diff(np.append(start, len(x))) > least_share
+                    bad = ~ok | np.repeat(flat, n_win)[: len(x)]
+                at = np.flatnonzero(np.append(True, bad[1:] != bad[:-1]))
+                gap = np.logical_or.reduceat(~ok, at)
+                first = block[row] * size
+                columns = [pa.array(bad[at]), pa.array(first + at), pa.array(first + np.append(at[1:], len(x))), pa.array(gap)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(at), row))), *columns], names=["sensor_id", "bad", "start", "end", "gap"])
+
+    return run
+
+
+def segments_of(packed: DataFrame, fs: float, min_dropout_s: float = 1.0, window_s: float = 0.5, quiet_share: float = 0.02, least_share: float = 0.9, windows: int = SLOT_BLOCKS) -> DataFrame:
+    """The same as ``segments`` for packed blocks: three passes over their arrays, of which the first counts steps by bin, the second
+    those of the bins that hold the median by value, and the third finds runs. Only counts and runs are shuffled, and each block's
+    last sample, which the next block's first step needs."""
+    kind, n_win, size = packed.schema["sensor_id"].dataType.simpleString(), max(1, round(window_s * fs)), windows * max(1, round(0.5 * fs))
+    last = packed.select("sensor_id", (F.col("block") + 1).alias("block"), F.element_at("x", -1).alias("before"))
+    rows = packed.select("sensor_id", "block", "x").join(last, ["sensor_id", "block"], "left")
+    counts = rows.mapInArrow(_counted(False), f"sensor_id {kind}, key long, n long")
+    bins = _middle(counts, "key").groupBy("sensor_id").agg(F.min("key").alias("from"), F.max("key").alias("to"), F.min(F.col("upto") - F.col("n")).alias("before"), F.min("low").alias("low"), F.max("high").alias("high"))
+    chosen = rows.join(bins.select("sensor_id", "from", "to"), "sensor_id").select("sensor_id", "block", "x", "before", "from", "to")
+    values = _middle(chosen.mapInArrow(_counted(True), f"sensor_id {kind}, key double, n long"), "key", bins.select("sensor_id", "before", "low", "high"))
+    holds = lambda rank: F.max(F.when((F.col("upto") > F.col(rank)) & (F.col("upto") - F.col("n") <= F.col(rank)), F.col("key")))
+    scale = values.groupBy("sensor_id").agg(((holds("low") + holds("high")) / 2).alias("scale"))
+    known = rows.join(scale, "sensor_id", "left").select("sensor_id", "block", "x", "before", "scale")
+    runs = known.mapInArrow(_block_runs(n_win, size, quiet_share, least_share), f"sensor_id {kind}, bad boolean, start long, end long, gap boolean")
+    return _merged(runs, fs, min_dropout_s)
+
+
 def usable_segments(found: DataFrame, fs: float, min_duration_s: float = 10.0) -> DataFrame:
     return found.where(F.col("usable") & (F.col("end") - F.col("start") >= round(min_duration_s * fs)))
 

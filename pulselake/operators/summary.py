@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio, script_safe
-from .morphology import extract_beats
+from .morphology import extract_beats, windows_in_blocks
 
 
 def event_histogram(events: DataFrame, durations: DataFrame, fs: float, bin_s: F.Column | float) -> DataFrame:
@@ -62,14 +62,15 @@ def examples_by_bin(signal: DataFrame, events: DataFrame, fs: float, bin_s: floa
     that reach beyond the signal are left out after the choice."""
     placed = events.withColumn("bin", F.floor(F.col("sample") / float(fs) / bin_s)).select(F.struct("sensor_id", "bin").alias("sensor_id"), "sample")
     picked = evenly_spaced(placed, per_bin).select("sensor_id.sensor_id", "sensor_id.bin", "sample")
-    found = extract_beats(signal, picked.select("sensor_id", "sample").distinct(), round(before_s * fs), round(after_s * fs), spare=1)
+    found = extract_beats(signal, picked.select("sensor_id", "sample").distinct(), round(before_s * fs), round(after_s * fs))
     shape = F.transform("w", lambda v: F.round(v, decimals))
     return picked.join(found, ["sensor_id", "sample"]).select("sensor_id", "bin", F.round(F.col("sample") / float(fs), 2).alias("t"), shape.alias("y"))
 
 
-def representative_beats(signal: DataFrame, events: DataFrame, fs: float, n: int = 5, before_s: float = 0.6, after_s: float = 0.6) -> DataFrame:
-    """``(sensor_id, sample, w)``: complete waveforms of at most ``n`` events of each sensor, evenly over their order."""
-    return extract_beats(signal, evenly_spaced(events, n).select("sensor_id", "sample"), round(before_s * fs), round(after_s * fs))
+def representative_beats(packed: DataFrame, events: DataFrame, fs: float, n: int = 5, before_s: float = 0.6, after_s: float = 0.6) -> DataFrame:
+    """``(sensor_id, sample, w)``: complete waveforms, out of packed blocks, of at most ``n`` events of each sensor, evenly over their
+    order; those that reach beyond the signal are left out after the choice."""
+    return windows_in_blocks(packed, evenly_spaced(events, n).select("sensor_id", "sample"), fs, round(before_s * fs), round(after_s * fs))
 
 
 def in_clock_window(peaks: DataFrame, clocks: DataFrame, fs: float, low_s: float, high_s: float) -> DataFrame:

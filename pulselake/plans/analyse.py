@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import bin_seconds
 from ..operators.kept import kept
-from ..operators import detect, matching, models, morphology, quality, rhythm, segments, summary
+from ..operators import blocks, detect, matching, models, morphology, quality, rhythm, segments, summary
 
 
-def beats_of(signal: DataFrame, fs: float) -> tuple[DataFrame, DataFrame]:
+def beats_of(packed: DataFrame, fs: float) -> tuple[DataFrame, DataFrame]:
     """``(sensor_id, beat_idx, sample)`` of the detector and ``(sensor_id, sample)`` of the second one, from one pass over the
     filtered chunks that is kept in the shared folder, since all that follows reads it."""
-    found = kept(detect.detect_by(detect.with_segments(signal, fs), fs, ("adaptive", "slope")))
+    found = kept(detect.detect_in_blocks(packed, detect.usable(packed, fs), fs, ("adaptive", "slope")))
     order = F.row_number().over(rhythm.Window.partitionBy("sensor_id").orderBy("sample")) - 1
     beats = found.where("method = 'adaptive'").select("sensor_id", order.cast("long").alias("beat_idx"), "sample")
     return beats, found.where("method = 'slope'").select("sensor_id", "sample")
@@ -22,7 +22,7 @@ def beats_of(signal: DataFrame, fs: float) -> tuple[DataFrame, DataFrame]:
 def features_of(clean: DataFrame, beats: DataFrame, fs: float) -> DataFrame:
     """``(sensor_id, beat_idx, sample)`` and the features of every beat with a complete window of the filtered signal."""
     before = round(morphology.BEFORE_S * fs)
-    windows = morphology.extract_beats(clean, beats, before, round(morphology.AFTER_S * fs)).join(beats, ["sensor_id", "sample"])
+    windows = morphology.windows_in_blocks(clean, beats, fs, before, round(morphology.AFTER_S * fs)).join(beats, ["sensor_id", "sample"])
     found = morphology.beat_features(windows.select("sensor_id", "beat_idx", "w"), rhythm.local_median(rhythm.rr_series(beats, fs)), fs, before)
     return found.join(beats, ["sensor_id", "beat_idx"])
 
@@ -37,17 +37,24 @@ def classified(clean: DataFrame, beats: DataFrame, fs: float, model: models.Beat
 
 
 def analyse(signal: DataFrame, fs: float, model: models.BeatClassifier | None = None, n_examples: int = 6) -> DataFrame:
-    """Coverage, quality, beats, variability, artefacts, rhythm and ventricular events of ``signal (sensor_id, i, x)``, with
-    the events' busiest bin and at most ``n_examples`` of their waveforms."""
-    beats, second = beats_of(signal, fs)
+    """``analyse_blocks`` of ``signal (sensor_id, i, x)``, a row a sample."""
+    return analyse_blocks(blocks.pack(signal, fs), fs, model, n_examples)
+
+
+def analyse_blocks(packed: DataFrame, fs: float, model: models.BeatClassifier | None = None, n_examples: int = 6) -> DataFrame:
+    """Coverage, quality, beats, variability, artefacts, rhythm and ventricular events of packed blocks, with the events' busiest
+    bin and at most ``n_examples`` of their waveforms. Without a ``model`` of beats, ventricular ones are told by their intervals."""
+    packed = kept(packed)
+    signal = blocks.unpack(packed, fs)  # the windows of quality and artefacts are a row a sample
+    beats, second = beats_of(packed, fs)
     rr = rhythm.rr_series(beats, fs)
     n_win = round(10 * fs)
     keyed = [d.select("sensor_id", "sample", F.floor(F.col("sample") / n_win).alias("w")) for d in (beats, second)]
     agreement = matching.bsqi(matching.greedy_match(*keyed, ["sensor_id", "w"], round(0.15 * fs)), ["sensor_id", "w"])
     artefacts = quality.artefact_windows(signal, fs, agreement=agreement)
     inside = quality.beats_in_artifact(beats, artefacts, fs).groupBy("sensor_id").agg(F.count_if("in_artifact").alias("beats_in_artifact"))
-    covered = segments.coverage(segments.segments(signal, fs))
-    clean = kept(detect.filter_signal(signal, fs))  # features and examples read it
+    covered = segments.coverage(segments.segments_of(packed, fs))
+    clean = kept(detect.filter_blocks(packed, detect.usable(packed, fs), fs))  # features and examples read it
     events = classified(clean, beats, fs, model)
     durations = covered.select("sensor_id", (F.col("total") / float(fs)).alias("duration_s"))
     hours = covered.select("sensor_id", (F.col("usable") / float(fs) / 3600).alias("hours"))

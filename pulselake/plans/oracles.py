@@ -261,7 +261,7 @@ ORACLES = {
     "gross_aggregate": f"WITH {BEATS} SELECT sensor_id, count(*) AS n_beats, count_if(symbol = 'V') AS n_ectopic FROM beats GROUP BY ROLLUP (sensor_id)",
     "threshold_selection": f"""WITH {BEATS}, r AS (SELECT sensor_id % 4 AS fold, symbol = 'V' AS y, event_id % 101 AS s FROM beats), g AS (SELECT range AS g FROM range(33)), f AS (
       SELECT g, fold, count_if(y AND s >= 30 + 2 * g) AS tp, count_if(s >= 30 + 2 * g) AS taken, count_if(y) AS pos FROM r, g GROUP BY g, fold HAVING count_if(y) >= 5), q AS (
-      SELECT g, sum(coalesce(2 * tp / nullif(taken + pos, 0), 0)) AS f1 FROM f GROUP BY g) SELECT round(0.3 + 0.02 * g, 6)::DOUBLE AS threshold, round(f1, 6) AS f1 FROM q ORDER BY q.f1 DESC, g LIMIT 1""",
+      SELECT g, sum(coalesce(2 * tp / nullif(taken + pos, 0), 0)) AS f1 FROM f GROUP BY g) SELECT round(0.3 + 0.02 * g, 6)::DOUBLE AS threshold, round(f1, 6) AS f1_sum FROM q ORDER BY q.f1 DESC, g LIMIT 1""",
     "event_histogram": f"WITH {BEATS}, {HISTOGRAM.format(scale=1, bin=10)} SELECT * FROM hist",
     "hourly_histogram": f"WITH {BEATS}, {HISTOGRAM.format(scale=100, bin=3600)} SELECT * FROM hist",
     "busiest_bin": f"WITH {BEATS}, {HISTOGRAM.format(scale=1, bin=10)} SELECT sensor_id, max_by(bin, n * 1000000 + bin) AS bin, max(n) AS n FROM hist GROUP BY sensor_id",
@@ -290,7 +290,7 @@ ORACLES = {
     "median_imputation": f"WITH {SIGNAL}, m AS (SELECT sensor_id, quantile_cont(x, 0.5) AS m FROM sig GROUP BY sensor_id) SELECT s.sensor_id, i, round(coalesce(x, m, 0), 6) AS x FROM sig s JOIN m ON s.sensor_id = m.sensor_id",
     "beat_windows": f"""WITH {SIGNAL}, c AS (SELECT sensor_id, i, coalesce(x, -1.0) AS x, max(i) OVER (PARTITION BY sensor_id) AS last FROM sig)
       SELECT b.sensor_id, b.i AS sample, round(max(CASE WHEN c.i = b.i - 5 THEN c.x END), 6) AS first, round(max(CASE WHEN c.i = b.i + 2 THEN c.x END), 6) AS last, round(sum(c.x), 6) AS total
-      FROM c b JOIN c ON c.sensor_id = b.sensor_id AND c.i BETWEEN b.i - 5 AND b.i + 2 WHERE b.i >= 5 AND b.i + 2 <= b.last GROUP BY b.sensor_id, b.i""",
+      FROM c b JOIN c ON c.sensor_id = b.sensor_id AND c.i BETWEEN b.i - 5 AND b.i + 2 WHERE b.i >= 5 AND b.i + 3 < b.last + 1 GROUP BY b.sensor_id, b.i""",
     "moving_integration": f"""WITH {SIGNAL}, f AS (SELECT sensor_id, row_number() OVER (PARTITION BY sensor_id ORDER BY i) - 1 AS i, x FROM sig WHERE x IS NOT NULL),
       s AS (SELECT *, 10 * coalesce((lead(x) OVER o - lag(x) OVER o) / 2, lead(x) OVER o - x, x - lag(x) OVER o) AS slope FROM f WINDOW o AS (PARTITION BY sensor_id ORDER BY i))
       SELECT sensor_id, i, round(slope, 6) AS slope, round(sum(slope * slope) OVER (PARTITION BY sensor_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5, 6) AS integrated FROM s""",

@@ -9,8 +9,8 @@ from ..functions import exprs
 from ..operators.kept import kept
 from ..operators import detect, matching, models, morphology, protocol, quality, rhythm, scoring, segments, summary
 from ..sources import tables
-from ..sources.tables import ECG_FS, FS, SIGNAL_FS, beats, ecg, signal, table
-from .analyse import analyse
+from ..sources.tables import ECG_FS, FS, SIGNAL_FS, beats, ecg_blocks, signal, table
+from .analyse import analyse_blocks
 
 R = lambda c: F.round(c, 6)
 
@@ -319,39 +319,50 @@ def upload_ingest(spark, sf):
     return channels.select("record_id", "sensor_id", "n_samples", "problem")
 
 
-def _one_stretch(spark, sf) -> DataFrame:
-    return ecg(spark, sf).withColumn("segment", F.lit(0))
+def _found(spark, sf, **how) -> DataFrame:
+    packed = ecg_blocks(spark, sf)
+    return detect.detect_in_blocks(packed, detect.whole(packed, ECG_FS), ECG_FS, **how).select("sensor_id", "sample")
 
 
 def detect_rpeaks(spark, sf):
-    return detect.detect_beats(_one_stretch(spark, sf), ECG_FS)
+    return _found(spark, sf)
 
 
 def chunked_detection(spark, sf):
-    return detect.detect_beats(_one_stretch(spark, sf), ECG_FS, chunk_s=40.0, overlap_s=5.0)
+    return _found(spark, sf, chunk_s=40.0, overlap_s=5.0)
 
 
 def recovered_beats(spark, sf):
-    return detect.detect_beats(_one_stretch(spark, sf), ECG_FS, recover_missed=True)
+    return _found(spark, sf, recover_missed=True)
 
 
 def detection_accuracy(spark, sf):
     """Detected beats against the events they were drawn from."""
     truth = table(spark, sf, "events").select(F.col("user_id").alias("sensor_id"), F.round(tables.micros() / 3e10 * ECG_FS).cast("long").alias("sample"))
-    found = matching.greedy_match(detect.process_long(ecg(spark, sf), ECG_FS), truth, ["sensor_id"], round(0.15 * ECG_FS))
+    found = matching.greedy_match(detect.process_blocks(ecg_blocks(spark, sf), ECG_FS), truth, ["sensor_id"], round(0.15 * ECG_FS))
     return rounded(matching.detection_scores(found, ["sensor_id"], ECG_FS))
 
 
 def filtered_signal(spark, sf):
-    return rounded(detect.filter_signal(ecg(spark, sf), ECG_FS))
+    """Packed blocks of the filtered signal, each with its sum and its largest sample."""
+    packed = ecg_blocks(spark, sf)
+    clean = detect.filter_blocks(packed, detect.usable(packed, ECG_FS), ECG_FS)
+    return _block_summary(clean)
 
 
 def resampled_signal(spark, sf):
-    return rounded(detect.resample_signal(ecg(spark, sf), ECG_FS, 250))
+    """Packed blocks of the signal at 250 Hz, as above."""
+    return _block_summary(detect.resample_blocks(ecg_blocks(spark, sf), ECG_FS, 250))
+
+
+def _block_summary(packed: DataFrame) -> DataFrame:
+    good = F.filter("x", lambda v: ~F.isnan(v))
+    total = F.aggregate(good, F.lit(0.0), lambda s, v: s + F.abs(v))
+    return rounded(packed.select("sensor_id", "block", F.size("x").alias("n"), F.size(good).alias("n_usable"), total.alias("total"), F.array_max(good).alias("highest")))
 
 
 def analysis(spark, sf):
-    return rounded(analyse(ecg(spark, sf), ECG_FS))
+    return rounded(analyse_blocks(ecg_blocks(spark, sf), ECG_FS))
 
 
 def record_sets(spark, sf):
