@@ -8,6 +8,7 @@ Ends are extended by odd reflection.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 
 import numpy as np
 
@@ -85,9 +86,18 @@ def notch(x, fs, hz=60.0, q=30.0, harmonics=1):
 
 
 def running_median(x: np.ndarray, size: int) -> np.ndarray:
-    """Median of ``size`` (odd) samples around each, zeros beyond the ends."""
+    """Median of ``size`` (odd) samples around each, zeros beyond the ends. The window is kept in order: a step takes one
+    sample out and puts one in, both found by bisection."""
     half = size // 2
-    return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(x, half), size), axis=1)
+    values = np.pad(np.asarray(x, float), half).tolist()
+    window = sorted(values[:size])
+    out = np.empty(len(x))
+    for i in range(len(x)):
+        out[i] = window[half]
+        if i + size < len(values):
+            del window[bisect_left(window, values[i])]
+            insort(window, values[i + size])
+    return out
 
 
 def odd(n: float) -> int:

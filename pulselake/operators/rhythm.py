@@ -6,6 +6,10 @@ share one exchange and one sort.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -124,17 +128,60 @@ def af_episodes(windows: DataFrame, window_s: float = 30.0, least_s: float = 30.
     return runs.where(F.col("end_s") - F.col("start_s") >= least_s).select("sensor_id", "start_s", "end_s", "n_windows")
 
 
-def dedupe_peaks(peaks: DataFrame, refractory: int) -> DataFrame:
-    """Per sensor, peaks in order; one closer than ``refractory`` to the last kept one goes. A gap of the refractory time
-    ends a run, whose last kept peak no later one is compared with, so runs are folded one by one."""
-    order = Window.partitionBy("sensor_id").orderBy("sample")
-    apart = F.coalesce(F.col("sample") - F.lag("sample").over(order) >= refractory, F.lit(True))
-    peaks = peaks.select("sensor_id", "sample", F.sum(apart.cast("long")).over(order).alias("run"))
-    kept = F.aggregate(
-        F.array_sort(F.collect_set("sample")), F.array().cast("array<bigint>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= refractory), F.concat(acc, F.array(x))).otherwise(acc),
-    )
-    return peaks.groupBy("sensor_id", "run").agg(kept.alias("k")).select("sensor_id", F.explode("k").alias("sample"))
+def _kept(samples: list[int], last: int | None, refractory: int) -> list[int]:
+    """Of ordered samples those that stay after a kept one at ``last``: each jump goes to the first that is far enough."""
+    out, at = [], 0 if last is None else bisect_left(samples, last + refractory)
+    while at < len(samples):
+        out.append(samples[at])
+        at = bisect_left(samples, samples[at] + refractory, at + 1)
+    return out
+
+
+def dedupe_peaks(peaks: DataFrame, refractory: int, slot: int = 1 << 18) -> DataFrame:
+    """Per sensor, peaks in order; one closer than ``refractory`` to the last kept one goes. A sensor is cut into slots, and each slot
+    is a function: from the peak that was kept last before it to the one kept last in it, given for the few peaks that are near
+    enough to matter. Only these functions are composed in order, over a sensor's slots; then each slot, its own task if
+    need be, is gone through once, from where the one before left it."""
+    slot = max(slot, refractory, 1)
+    kind = peaks.schema["sensor_id"].dataType.simpleString()
+    rows = peaks.groupBy("sensor_id", F.floor(F.col("sample") / slot).alias("slot")).agg(F.array_sort(F.collect_set(F.col("sample").cast("long"))).alias("samples"))
+    tails = rows.select("sensor_id", "slot", F.filter("samples", lambda x: (F.col("slot") + 1) * slot - x < refractory).alias("tail")).withColumn("slot", F.col("slot") + 1)
+    rows = rows.join(tails, ["sensor_id", "slot"], "left").select("sensor_id", "slot", "samples", F.coalesce("tail", F.array().cast("array<bigint>")).alias("tail"))
+
+    def ends(batches):
+        for batch in batches:
+            keys, values = [], []
+            for samples, tail in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                keys.append([None, *tail])
+                values.append([(_kept(samples, last, refractory) or [last])[-1] for last in keys[-1]])
+            steps = [[{"after": k, "last": v} for k, v in zip(*pair, strict=True)] for pair in zip(keys, values, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(steps, pa.list_(pa.struct([("after", pa.int64()), ("last", pa.int64())])))], names=["sensor_id", "slot", "steps"])
+
+    step = rows.mapInArrow(ends, f"sensor_id {kind}, slot long, steps array<struct<after:bigint,last:bigint>>")
+
+    def compose(batches):
+        for batch in batches:
+            for row, slots in enumerate(batch.column(1).to_pylist()):
+                last, out = None, []
+                for s in slots:
+                    known = {x["after"]: x["last"] for x in s["steps"]}
+                    last = known.get(last, known[None])  # what was kept last does not matter if it is no peak near this slot
+                    out.append((s["slot"] + 1, last))
+                at, before = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(out), row))), pa.array(at, pa.int64()), pa.array(before, pa.int64())], names=["sensor_id", "slot", "before"])
+
+    functions = step.groupBy("sensor_id").agg(F.sort_array(F.collect_list(F.struct("slot", "steps"))).alias("slots"))  # a few numbers a slot
+    before = functions.mapInArrow(compose, f"sensor_id {kind}, slot long, before long")
+    rows = rows.join(before, ["sensor_id", "slot"], "left").select("sensor_id", "samples", "before")
+
+    def run(batches):
+        for batch in batches:
+            kept = [_kept(s, last, refractory) for s, last in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            n = [len(k) for k in kept]
+            sensor = batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            yield pa.RecordBatch.from_arrays([sensor, pa.array([x for k in kept for x in k], pa.int64())], names=["sensor_id", "sample"])
+
+    return rows.mapInArrow(run, f"sensor_id {kind}, sample long")
 
 
 def thin(rows: DataFrame, order: Column, most: int) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulselake.operators import blocks, detect, dsp, matching, morphology, segments
+from pulselake.operators import blocks, detect, dsp, matching, morphology, rhythm, segments
 from pulselake.sources.tables import ecg, ecg_blocks, synthetic_ecg
 
 FS = 50
@@ -118,3 +118,44 @@ def test_beats_over_a_seam_are_found_once(spark):
     found = sorted(r["sample"] for r in detect.process_long(signal, FS).collect())
     truth = np.arange(1, 1300) * FS
     assert len(matching.greedy_pairs(np.array(found, float), truth.astype(float), 3)) >= 0.99 * len(truth) and len(found) <= 1.01 * len(truth)
+
+
+def test_suppression_equals_the_sequential_rule():
+    rng = np.random.default_rng(8)
+    for case in range(60):
+        at = np.sort(rng.choice(400, rng.integers(0, 120), replace=False)).astype(np.int64)
+        height = rng.integers(0, 6 if case % 2 else 1000, len(at)).astype(float)
+        if case % 5 == 0:
+            height = np.arange(len(at), dtype=float)  # a rising chain: every round settles one
+        distance = int(rng.integers(1, 25))
+        kept = []
+        for k in sorted(range(len(at)), key=lambda k: (-height[k], at[k])):
+            if all(abs(at[k] - at[j]) >= distance for j in kept):
+                kept.append(k)
+        assert detect.apart(at, height, distance).tolist() == at[sorted(kept)].tolist()
+
+
+@pytest.mark.parametrize("slot", [1 << 18, 64, 20])
+def test_deduplication_of_an_unbroken_chain(spark, slot):
+    rng = np.random.default_rng(5)
+    chain = np.cumsum(rng.integers(1, 15, 3000))
+    peaks = {1: chain.tolist(), 2: [5], 3: [0, 0, 19, 20, 39, 1000, 1010, 1020, 1021], 4: (np.cumsum(rng.integers(1, 60, 500)) + 10_000).tolist()}
+    frame = spark.createDataFrame([(s, int(p)) for s, v in peaks.items() for p in v], "sensor_id long, sample long")
+    got = {s: [] for s in peaks}
+    for r in rhythm.dedupe_peaks(frame, 20, slot).collect():
+        got[r.sensor_id].append(r["sample"])
+    for s, v in peaks.items():
+        want = []
+        for p in sorted(v):
+            if not want or p - want[-1] >= 20:
+                want.append(p)
+        assert sorted(got[s]) == want
+    assert rhythm.dedupe_peaks(frame.where("false"), 20).count() == 0
+
+
+def test_running_median_equals_sorted_windows():
+    rng = np.random.default_rng(6)
+    for n, size in ((0, 3), (1, 5), (4, 9), (200, 21), (500, 73)):
+        x = rng.integers(-5, 5, n) + rng.normal(size=n) * (size % 2 == 1 and n > 300)
+        wide = np.concatenate([np.zeros(size // 2), x, np.zeros(size // 2)])
+        assert dsp.running_median(x, size).tolist() == [sorted(wide[i : i + size])[size // 2] for i in range(n)]
