@@ -45,13 +45,13 @@ def analyse_blocks(packed: DataFrame, fs: float, model: models.BeatClassifier |
     """Coverage, quality, beats, variability, artefacts, rhythm and ventricular events of packed blocks, with the events' busiest
     bin and at most ``n_examples`` of their waveforms. Without a ``model`` of beats, ventricular ones are told by their intervals."""
     packed = kept(packed)
-    signal = blocks.unpack(packed, fs)  # the windows of quality and artefacts are a row a sample
+    windows = kept(quality.windows_in_blocks(packed, fs))
     beats, second = beats_of(packed, fs)
     rr = rhythm.rr_series(beats, fs)
     n_win = round(10 * fs)
     keyed = [d.select("sensor_id", "sample", F.floor(F.col("sample") / n_win).alias("w")) for d in (beats, second)]
     agreement = matching.bsqi(matching.greedy_match(*keyed, ["sensor_id", "w"], round(0.15 * fs)), ["sensor_id", "w"])
-    artefacts = quality.artefact_windows(signal, fs, agreement=agreement)
+    artefacts = quality.artefacts_in_blocks(packed, fs, agreement=agreement, windows=windows)
     inside = quality.beats_in_artifact(beats, artefacts, fs).groupBy("sensor_id").agg(F.count_if("in_artifact").alias("beats_in_artifact"))
     covered = segments.coverage(segments.segments_of(packed, fs))
     clean = kept(detect.filter_blocks(packed, detect.usable(packed, fs), fs))  # features and examples read it
@@ -66,7 +66,7 @@ def analyse_blocks(packed: DataFrame, fs: float, model: models.BeatClassifier |
     out = covered.select("sensor_id", F.col("fraction").alias("coverage"), "n_gaps")
     parts = (
         beats.groupBy("sensor_id").agg(F.count("*").alias("n_beats")), rhythm.hrv(rr), rhythm.af_burden(rhythm.af_windows(beats, fs)).select("sensor_id", F.col("burden").alias("af_burden")),
-        inside, quality.rank_sensors(quality.quality_windows(signal, fs)), burden, busiest, examples,
+        inside, quality.rank_sensors(quality.quality_in_blocks(packed, fs, windows=windows)), burden, busiest, examples,
     )
     for part in parts:
         out = out.join(part, "sensor_id", "left")

@@ -207,6 +207,36 @@ ORACLES = {
       round(coalesce(sum("end" - start) FILTER (WHERE usable), 0) / sum("end" - start), 6) AS fraction FROM seg GROUP BY sensor_id""",
     "kurtosis_windows": f"WITH {windowed(20)} SELECT sensor_id, w, round({KURT}, 6) AS kurtosis FROM win GROUP BY sensor_id, w",
     "window_quality_stats": f"WITH {STATS} SELECT sensor_id, w, n, {rounding('amplitude', 'flat', 'saturated')} FROM stats",
+    # a window of at most 64 samples is one segment: its spectrum by a table of cosines and sines
+    "welch_quality": f"""WITH {STATS.replace("// 20", "// 30").replace(">= 10", ">= 15")}, v AS (
+      SELECT sensor_id, i // 30 AS w, x, row_number() OVER o - 1 AS j, count(*) OVER (PARTITION BY sensor_id, i // 30) AS n, avg(x) OVER (PARTITION BY sensor_id, i // 30) AS m
+      FROM sig WHERE x IS NOT NULL WINDOW o AS (PARTITION BY sensor_id, i // 30 ORDER BY i)
+    ), twiddle AS (
+      SELECT n, k, j, cos(2 * pi() * j * k / n) AS c, sin(2 * pi() * j * k / n) AS s, 0.5 - 0.5 * cos(2 * pi() * j / n) AS hann
+      FROM range(16, 31) a(n), range(0, 16) b(k), range(0, 30) d(j) WHERE k <= n // 2 AND j < n
+    ), spectrum AS (
+      SELECT sensor_id, w, n, k, k * 10.0 / n AS f, (sum((x - m) * hann * c) ** 2 + sum((x - m) * hann * s) ** 2) * CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END AS p
+      FROM v JOIN twiddle USING (n, j) GROUP BY sensor_id, w, n, k
+    ), areas AS (
+      SELECT sensor_id, w, f, (p + lead(p) OVER o) / 2 * (lead(f) OVER o - f) AS area, f >= 0.5 AND lead(f) OVER o <= 40 AS inside FROM spectrum WINDOW o AS (PARTITION BY sensor_id, w ORDER BY k)
+    ), power AS (
+      SELECT sensor_id, w, least(1, coalesce(sum(area) FILTER (WHERE inside), 0) / nullif(sum(area), 0)) AS power FROM areas GROUP BY sensor_id, w
+    ), q AS (
+      SELECT sensor_id, w, n, amplitude, flat, saturated, coalesce(power, 0) AS power FROM stats LEFT JOIN power USING (sensor_id, w)
+    ), r AS (
+      SELECT *, greatest(0, least(1, CASE WHEN amplitude > 0 THEN power * (1 - flat) * (1 - least(1, 5 * saturated)) ELSE 0 END)) AS sqi FROM q
+    ) SELECT sensor_id, w, n, {rounding('amplitude', 'flat', 'saturated', 'power', 'sqi')}, sqi >= 0.5 AS is_usable FROM r""",
+    "dominant_peaks": f"""WITH {SIGNAL}, m AS (
+      SELECT sensor_id, i, x FROM (SELECT *, lag(x) OVER o AS a, lead(x) OVER o AS b FROM sig WHERE x IS NOT NULL WINDOW o AS (PARTITION BY sensor_id ORDER BY i)) WHERE x > a AND x > b
+    ), o AS (
+      SELECT sensor_id, list(i ORDER BY x DESC, i) AS c FROM m GROUP BY sensor_id
+    ), k AS (
+      SELECT sensor_id, unnest(list_reduce(list_prepend([]::BIGINT[], list_transform(c, lambda v: [v])),
+        lambda kept, v: CASE WHEN len(list_filter(kept, lambda p: abs(p - v[1]) < 5)) > 0 THEN kept ELSE list_concat(kept, v) END)) AS i FROM o
+    ) SELECT sensor_id, i AS sample, round(x, 6) AS height FROM k JOIN m USING (sensor_id, i)""",
+    "baseline_removal": f"""WITH {SIGNAL}, z AS (SELECT sensor_id, i, coalesce(x, 0.0) AS x FROM sig), a AS (
+      SELECT sensor_id, i, x, list_sort([lag(x, 1, 0.0) OVER o, x, lead(x, 1, 0.0) OVER o])[2] AS m FROM z WINDOW o AS (PARTITION BY sensor_id ORDER BY i)
+    ) SELECT sensor_id, i, round(x - list_sort([{", ".join(f"{w}(m, {d}, 0.0) OVER o" for w in ("lag", "lead") for d in (1, 2, 3))}, m])[4], 6) AS x FROM a WINDOW o AS (PARTITION BY sensor_id ORDER BY i)""",
     "amplitude_instability": f"WITH {INSTABILITY} SELECT sensor_id, w, round(instability, 6) AS instability FROM inst",
     "artifact_windows": f"WITH {ARTEFACTS} SELECT sensor_id, w, round(score, 6) AS score FROM art",
     "beats_in_artifact": f"WITH {ARTEFACTS} SELECT s.sensor_id, s.i AS sample, coalesce(score >= 0.5, FALSE) AS in_artifact FROM sig s LEFT JOIN art a ON a.sensor_id = s.sensor_id AND a.w = s.i // 30",

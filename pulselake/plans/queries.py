@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..operators.kept import kept
-from ..operators import detect, matching, models, morphology, protocol, quality, rhythm, scoring, segments, summary
+from ..operators import detect, matching, models, morphology, peaks, protocol, quality, rhythm, scoring, segments, summary
 from ..sources import tables
 from ..sources.tables import ECG_FS, FS, SIGNAL_FS, beats, ecg_blocks, signal, table
 from .analyse import analyse_blocks
@@ -300,8 +300,7 @@ def moving_integration(spark, sf):
 def refine_extremum(spark, sf):
     """Every sample moved to the largest absolute value within three samples, the first of equals."""
     rows = signal(spark, sf).where(exprs.finite(F.col("x")))
-    peaks = rows.select("sensor_id", F.col("i").alias("p"))
-    near = peaks.withColumn("i", F.explode(F.sequence(F.col("p") - 3, F.col("p") + 3))).join(rows, ["sensor_id", "i"])
+    near = rows.select("sensor_id", F.col("i").alias("p")).withColumn("i", F.explode(F.sequence(F.col("p") - 3, F.col("p") + 3))).join(rows, ["sensor_id", "i"])
     best = near.groupBy("sensor_id", "p").agg(F.max(F.struct(F.abs("x").alias("a"), (-F.col("i")).alias("m"))).alias("b"))
     return best.select("sensor_id", (-F.col("b.m")).alias("sample")).distinct()
 
@@ -414,6 +413,18 @@ def _maxima(spark, sf) -> DataFrame:
     return rows.where((x > F.col("a")) & (x > F.col("b"))).select("sensor_id", F.col("i").alias("sample"))
 
 
+def dominant_peaks(spark, sf):
+    """Of the maxima those that stay if the highest goes first and none may be within half a second of a kept one."""
+    high = _maxima(spark, sf).join(signal(spark, sf).withColumnRenamed("i", "sample"), ["sensor_id", "sample"])
+    return rounded(peaks.dominant(high.select("sensor_id", "sample", F.col("x").alias("height")), 5))
+
+
+def baseline_removal(spark, sf):
+    """The signal less two running medians, of 200 and 600 ms, with zeros beyond its ends; gaps count as zero."""
+    rows = signal(spark, sf).withColumn("x", F.when(exprs.finite(F.col("x")), F.col("x")).otherwise(0.0))
+    return rounded(detect.baseline_removed(rows, SIGNAL_FS))
+
+
 def bin_examples(spark, sf):
     """At most three waveforms of the maxima of each two seconds."""
     shown = signal(spark, sf).withColumn("x", F.when(exprs.finite(F.col("x")), F.col("x")).otherwise(-1.0))
@@ -526,6 +537,6 @@ QUERIES = {
         bin_choice, events_summary, representative_events, summary_json, beat_template, template_correlation, qrs_width, feature_ratios, median_imputation, beat_windows, moving_integration,
         refine_extremum, upload_ingest, detect_rpeaks, chunked_detection, recovered_beats, filtered_signal, resampled_signal, analysis, beat_features, ventricular_classifier, multiclass_classifier,
         subject_threshold, beat_codes, histogram_bars, channel_clocks, detection_accuracy, record_sets, label_transfer, missed_beats, subject_halves, protocol_study, classifiable_beats, bin_examples,
-        artifact_mask, rhythm_mask, clock_window, recordings_overview,
+        artifact_mask, rhythm_mask, clock_window, recordings_overview, dominant_peaks, baseline_removal,
     )
 }

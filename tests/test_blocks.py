@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulselake.operators import blocks, detect, dsp, matching, morphology, rhythm, segments
+from pulselake.operators import blocks, detect, dsp, matching, morphology, quality, rhythm, segments
 from pulselake.sources.tables import ecg, ecg_blocks, synthetic_ecg
 
 FS = 50
@@ -159,3 +159,18 @@ def test_running_median_equals_sorted_windows():
         x = rng.integers(-5, 5, n) + rng.normal(size=n) * (size % 2 == 1 and n > 300)
         wide = np.concatenate([np.zeros(size // 2), x, np.zeros(size // 2)])
         assert dsp.running_median(x, size).tolist() == [sorted(wide[i : i + size])[size // 2] for i in range(n)]
+
+
+def test_window_quality_of_blocks_equals_that_of_rows(spark):
+    _, signal = noisy(spark, 1300)
+    packed = blocks.pack(signal, FS)
+    near = lambda a, b: a == b or (a is not None and b is not None and abs(a - b) <= 1e-6 * max(1, abs(a)))
+    for window_s in (10.0, 7.0):
+        pairs = (
+            (quality.artefact_windows(signal, FS, window_s), quality.artefacts_in_blocks(packed, FS, window_s), ("kurtosis", "instability", "score", "is_artifact")),
+            (quality.quality_windows(signal, FS, window_s), quality.quality_in_blocks(packed, FS, window_s), ("n", "amplitude", "flat", "saturated", "power", "sqi", "is_usable")),
+        )
+        for rows, arrays, columns in pairs:
+            want, got = ({(r.sensor_id, r.w): [r[c] for c in columns] for r in d.collect()} for d in (rows, arrays))
+            assert set(want) == set(got) and len(want) > 120
+            assert [k for k in want if not all(map(near, map(float, want[k]), map(float, got[k])))] == []
