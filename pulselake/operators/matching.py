@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,21 +34,27 @@ def blocks(detected: DataFrame, reference: DataFrame, keys: list[str], tolerance
 
 
 def greedy_match(detected: DataFrame, reference: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
-    """``(keys, det_sample, ref_sample)``: matched pairs, and each side alone where nothing fits."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in detected.select(*keys).schema) + ", det_sample long, ref_sample long"
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = (np.sort(rows.loc[rows["is_det"] == side, "sample"].to_numpy()) for side in (True, False))
-        pairs = greedy_pairs(a, b, tolerance)
-        rows = [(int(a[i]), int(b[j])) for i, j in pairs]
-        rows += [(int(a[i]), None) for i in sorted({*range(len(a))} - {i for i, _ in pairs})]
-        rows += [(None, int(b[j])) for j in sorted({*range(len(b))} - {j for _, j in pairs})]
-        out = pd.DataFrame(rows, columns=["det_sample", "ref_sample"]).astype("Int64")
-        for n, name in reversed(list(enumerate(keys))):
-            out.insert(0, name, key[n])
-        return out
-
-    return blocks(detected, reference, keys, tolerance).groupBy(*keys, F.floor(F.col("block") / 512)).applyInPandas(run, schema)
+    """``(keys, det_sample, ref_sample)``: matched pairs, and each side alone where nothing fits. The events of some hundred blocks
+    travel as two arrays a row."""
+    side = lambda is_det: F.array_sort(F.collect_list(F.when(F.col("is_det") == is_det, F.col("sample"))))
+    rows = blocks(detected, reference, keys, tolerance).groupBy(*keys, F.floor(F.col("block") / 512).alias("part")).agg(side(True).alias("det"), side(False).alias("ref"))
+    rows = rows.select(F.struct(*keys).alias("key"), "det", "ref")
+    pair = pa.list_(pa.struct([("det_sample", pa.int64()), ("ref_sample", pa.int64())]))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for det, ref in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                pairs = dict(greedy_pairs(np.array(det, np.int64), np.array(ref, np.int64), tolerance))
+                used = set(pairs.values())
+                own = [(d, ref[pairs[i]] if i in pairs else None) for i, d in enumerate(det)]
+                own += [(None, r) for j, r in enumerate(ref) if j not in used]
+                out.append([{"det_sample": d, "ref_sample": r} for d, r in own])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pair)], names=["key", "pairs"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    found = rows.mapInArrow(run, f"key {kind}, pairs array<struct<det_sample:bigint,ref_sample:bigint>>")
+    return found.select(*[F.col(f"key.{k}") for k in keys], F.inline("pairs"))
 
 
 def detection_scores(matches: DataFrame, keys: list[str], fs: float) -> DataFrame:

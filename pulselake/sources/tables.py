@@ -84,6 +84,8 @@ def ecg_blocks(spark: SparkSession, sf_dir: str, fs: int = ECG_FS) -> DataFrame:
     touched = F.array_distinct(F.array(F.floor((at - reach) / size), F.floor((at + reach) / size)))
     beats_of = t.select("sensor_id", "t", F.explode(touched).alias("block")).groupBy("sensor_id", "block").agg(F.sort_array(F.collect_list("t")).alias("beats"))
     rows = every.join(beats_of, ["sensor_id", "block"], "left").select("sensor_id", "block", "n", F.coalesce("beats", F.array().cast("array<double>")).alias("beats"))
+    # a few bytes here become a long array each, so the rows must not be put together by their bytes
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sensor_id", "block")
 
     def run(batches):
         for batch in batches:
