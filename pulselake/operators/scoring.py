@@ -48,3 +48,19 @@ def best_threshold(rows: DataFrame, low: float = 0.30, step: float = 0.02, count
     sums = grid.select("g", f1.alias("f1")).groupBy("g").agg(F.sum("f1").alias("f1"))
     best = sums.agg(F.max(F.struct("f1", (-F.col("g")).alias("g"))).alias("b"))
     return best.select((low + step * -F.col("b.g")).alias("threshold"), F.col("b.f1").alias("f1_sum"))
+
+
+def score_lines(scores_of: DataFrame, key: str) -> DataFrame:
+    """``(key, line)``: counts and percentages of ``detection_scores`` as a line of text; what is undefined is a dash."""
+    share = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.2f%%", F.bround(100 * F.col(c), 2))).otherwise("-")
+    rows = scores_of.select(key, "tp", "fp", "fn", "mean_error_ms", *scores(F.col("tp"), F.col("fp"), F.col("fn")))
+    error = F.when(F.col("mean_error_ms").isNotNull(), F.format_string("%.1f", F.bround("mean_error_ms", 1))).otherwise("-")
+    text = F.concat_ws(" ", F.format_string("%s: tp %d fp %d fn %d", F.col(key).cast("string"), "tp", "fp", "fn"), F.lit("se"), share("se"), F.lit("ppv"), share("ppv"), F.lit("f1"), share("f1"), F.lit("ms"), error)
+    return rows.select(key, text.alias("line"))
+
+
+def confusion_lines(cells: DataFrame) -> DataFrame:
+    """``(y_true, line)``: a line of text for each class that occurs in the truth, predicted classes from left to right."""
+    rows = cells.groupBy("y_true").agg(F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("y_pred", "n"))).alias("c"))  # 25 cells
+    name = F.get(F.array(*[F.lit(c) for c in CLASS_NAMES]), F.col("y_true"))
+    return rows.where("total > 0").select("y_true", F.concat(F.rpad(name, 4, " "), F.array_join(F.transform("c", lambda x: F.lpad(x["n"].cast("string"), 8, " ")), "")).alias("line"))

@@ -80,7 +80,7 @@ def _merged(runs: DataFrame, fs: float, min_dropout_s: float) -> DataFrame:
     return runs.groupBy("sensor_id", "part", "usable", "reason").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("part")
 
 
-def _block_steps(x: np.ndarray, before: float | None) -> tuple[np.ndarray, np.ndarray]:
+def block_steps(x: np.ndarray, before: float | None) -> tuple[np.ndarray, np.ndarray]:
     """Which samples are finite, and each sample's distance from the one before it; NaN beside a gap, 0 for a sensor's first."""
     ok = np.isfinite(x)
     with np.errstate(invalid="ignore"):
@@ -105,7 +105,7 @@ def _counted(values: bool):
             block = batch.column(1).to_pylist()
             edges = list(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)) if values else None
             for row, x in enumerate(arrays(batch.column(2))):
-                _, step = _block_steps(x, batch.column(3)[row].as_py())
+                _, step = block_steps(x, batch.column(3)[row].as_py())
                 step = step[1:] if block[row] == 0 else step  # a sensor's first sample has none
                 step = step[~np.isnan(step)]
                 keys = _bins(step)
@@ -132,6 +132,17 @@ def _middle(counted: DataFrame, order: str, total: DataFrame | None = None) -> D
     return rows.where((F.col("upto") - F.col("n") <= F.col("high")) & (F.col("upto") > F.col("low")))
 
 
+def bad_places(ok: np.ndarray, step: np.ndarray, scale: float | None, n_win: int, quiet_share: float = 0.02, least_share: float = 0.9) -> np.ndarray:
+    """Which samples are not finite or in a flat window of ``n_win``; without any step everything is flat."""
+    if scale is None or not scale > 0:
+        return np.ones(len(ok), bool)
+    with np.errstate(invalid="ignore"):
+        quiet = ~ok | (step < quiet_share * scale)
+    start = np.arange(0, len(ok), n_win)
+    flat = np.add.reduceat(quiet, start) / np.diff(np.append(start, len(ok))) > least_share
+    return ~ok | np.repeat(flat, n_win)[: len(ok)]
+
+
 def _block_runs(n_win: int, size: int, quiet_share: float, least_share: float):
     """Stretches of good and of bad samples of each block; a block of half a second is flat if more than 90 % of it is quiet."""
 
@@ -139,15 +150,8 @@ def _block_runs(n_win: int, size: int, quiet_share: float, least_share: float):
         for batch in batches:
             block, scale = batch.column(1).to_pylist(), batch.column(4).to_pylist()
             for row, x in enumerate(arrays(batch.column(2))):
-                ok, step = _block_steps(x, batch.column(3)[row].as_py())
-                if scale[row] is None or not scale[row] > 0:
-                    bad = np.ones(len(x), bool)  # without any step everything is flat
-                else:
-                    with np.errstate(invalid="ignore"):
-                        quiet = ~ok | (step < quiet_share * scale[row])
-                    start = np.arange(0, len(x), n_win)
-                    flat = np.add.reduceat(quiet, start) / np.diff(np.append(start, len(x))) > least_share
-                    bad = ~ok | np.repeat(flat, n_win)[: len(x)]
+                ok, step = block_steps(x, batch.column(3)[row].as_py())
+                bad = bad_places(ok, step, scale[row], n_win, quiet_share, least_share)
                 at = np.flatnonzero(np.append(True, bad[1:] != bad[:-1]))
                 gap = np.logical_or.reduceat(~ok, at)
                 first = block[row] * size

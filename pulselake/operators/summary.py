@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio, script_safe
+from . import blocks
 from .morphology import extract_beats, windows_in_blocks
 
 
@@ -95,3 +96,27 @@ def recording_overview(channels: DataFrame) -> DataFrame:
 def summary_json(rows: DataFrame) -> DataFrame:
     """One compact JSON text a sensor, safe to stand inside a page's script."""
     return rows.select("sensor_id", script_safe(F.to_json(F.struct(*[c for c in rows.columns]))).alias("json"))
+
+
+def result_tree(results: DataFrame, channels: DataFrame) -> DataFrame:
+    """``(record_id, n_channels, duration_s, channels)``: the ``results`` of an analysis, a row a sensor, nested as an array of one
+    struct a channel in the order of ``channels (record_id, sensor_id, ordinal, position, duration_s)``. A channel without a result
+    has one of nulls; the recording is as long as its longest channel."""
+    rows = channels.join(results, "sensor_id", "left")
+    inner = [c for c in rows.columns if c not in ("record_id", "ordinal")]
+    out = rows.groupBy("record_id").agg(F.count("*").alias("n_channels"), F.max("duration_s").alias("duration_s"), F.sort_array(F.collect_list(F.struct("ordinal", F.struct(*inner).alias("channel")))).alias("c"))
+    return out.select("record_id", "n_channels", "duration_s", F.transform("c", lambda x: x["channel"]).alias("channels"))
+
+
+def samples_in_clock_window(packed: DataFrame, clocks: DataFrame, fs: float, low_s: float, high_s: float) -> DataFrame:
+    """``(record_id, sensor_id, start, x)``: the samples of packed blocks between two times of the recording's clock, both included,
+    as one array a block and channel; only blocks that reach into the window are read on. ``clocks`` as of ``on_recording_clock``."""
+    size = blocks.size_of(fs)
+    first = F.greatest(F.lit(0), F.ceil((low_s - F.col("elapsed_s")) * fs - 1e-6)).cast("long")
+    last = F.floor((high_s - F.col("elapsed_s")) * fs + 1e-6).cast("long")
+    spans = clocks.select("record_id", "sensor_id", first.alias("first"), last.alias("last")).where("first <= last")
+    spans = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / size), F.floor(F.col("last") / size))))
+    rows = packed.join(spans, ["sensor_id", "block"])
+    a, b = F.greatest(F.col("first"), F.col("block") * size), F.least(F.col("last") + 1, F.col("block") * size + F.size("x"))
+    rows = rows.where(a < b)
+    return rows.select("record_id", "sensor_id", a.alias("start"), F.slice("x", (a - F.col("block") * size + 1).cast("int"), (b - a).cast("int")).alias("x"))

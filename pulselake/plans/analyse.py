@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import bin_seconds
 from ..operators.kept import kept
-from ..operators import blocks, detect, matching, models, morphology, quality, rhythm, segments, summary
+from ..operators import blocks, detect, matching, models, morphology, protocol, quality, rhythm, segments, summary
 
 
 def beats_of(packed: DataFrame, fs: float) -> tuple[DataFrame, DataFrame]:
@@ -27,13 +27,30 @@ def features_of(clean: DataFrame, beats: DataFrame, fs: float) -> DataFrame:
     return found.join(beats, ["sensor_id", "beat_idx"])
 
 
+def labelled_beats(packed: DataFrame, reference: DataFrame, fs: float, detected: bool = True, tolerance_s: float = 0.15) -> tuple[DataFrame, DataFrame]:
+    """Beats to learn from: ``(sensor_id, beat_idx, sample, y)`` and the features, of the beats of packed blocks that the detector
+    finds, labelled by the ``reference (sensor_id, sample, y)`` beats that they match, or of the reference beats themselves; and
+    ``(sensor_id, n_missed)``, the positive reference beats that no detection carries. Beats without a complete window are left out."""
+    usable = detect.usable(packed, fs)
+    if detected:
+        found = detect.detect_in_blocks(packed, usable, fs).select("sensor_id", "sample")
+        matches = matching.greedy_match(found, reference.select("sensor_id", "sample"), ["sensor_id"], round(tolerance_s * fs))
+        beats = kept(protocol.transfer_labels(matches, reference, ["sensor_id"]))
+    else:
+        beats = reference.groupBy("sensor_id", "sample").agg(F.max("y").alias("y"))
+    order = F.row_number().over(rhythm.Window.partitionBy("sensor_id").orderBy("sample")) - 1
+    numbered = beats.select("sensor_id", order.cast("long").alias("beat_idx"), "sample")
+    rows = features_of(detect.filter_blocks(packed, usable, fs), numbered, fs).join(beats, ["sensor_id", "sample"])
+    return rows, protocol.missed(beats, reference, ["sensor_id"])
+
+
 def classified(clean: DataFrame, beats: DataFrame, fs: float, model: models.BeatClassifier | None) -> DataFrame:
-    """``(sensor_id, sample)`` of the ventricular beats: those that a model of two classes says so of, or, without one, those
-    between a short interval and a long one."""
+    """``(sensor_id, beat_idx, sample)`` of the ventricular beats: those that a model of two classes says so of, or, without one,
+    those between a short interval and a long one."""
     if model is None:
         found = rhythm.ectopic_candidates(rhythm.rr_series(beats, fs)).select("sensor_id", (F.col("rr_idx") + 1).alias("beat_idx"))
-        return beats.join(found, ["sensor_id", "beat_idx"], "left_semi").select("sensor_id", "sample")
-    return model.predict(features_of(clean, beats, fs), ["sensor_id"]).where("y_pred = 1").select("sensor_id", "sample")
+        return beats.join(found, ["sensor_id", "beat_idx"], "left_semi").select("sensor_id", "beat_idx", "sample")
+    return model.predict(features_of(clean, beats, fs), ["sensor_id"]).where("y_pred = 1").select("sensor_id", "beat_idx", "sample")
 
 
 def analyse(signal: DataFrame, fs: float, model: models.BeatClassifier | None = None, n_examples: int = 6) -> DataFrame:
@@ -43,7 +60,8 @@ def analyse(signal: DataFrame, fs: float, model: models.BeatClassifier | None =
 
 def analyse_blocks(packed: DataFrame, fs: float, model: models.BeatClassifier | None = None, n_examples: int = 6) -> DataFrame:
     """Coverage, quality, beats, variability, artefacts, rhythm and ventricular events of packed blocks, with the events' busiest
-    bin and at most ``n_examples`` of their waveforms. Without a ``model`` of beats, ventricular ones are told by their intervals."""
+    bin and at most ``n_examples`` of their waveforms. Without a ``model`` of beats, ventricular ones are told by their intervals.
+    Rhythm is judged without ventricular beats, whose irregularity would look like fibrillation."""
     packed = kept(packed)
     windows = kept(quality.windows_in_blocks(packed, fs))
     beats, second = beats_of(packed, fs)
@@ -55,7 +73,9 @@ def analyse_blocks(packed: DataFrame, fs: float, model: models.BeatClassifier |
     inside = quality.beats_in_artifact(beats, artefacts, fs).groupBy("sensor_id").agg(F.count_if("in_artifact").alias("beats_in_artifact"))
     covered = segments.coverage(segments.segments_of(packed, fs))
     clean = kept(detect.filter_blocks(packed, detect.usable(packed, fs), fs))  # features and examples read it
-    events = classified(clean, beats, fs, model)
+    events = kept(classified(clean, beats, fs, model))
+    irregular = rhythm.af_windows(beats, fs, excluded=events.select("sensor_id", "beat_idx"))
+    episodes = rhythm.af_episodes(irregular).groupBy("sensor_id").agg(F.sort_array(F.collect_list(F.struct("start_s", "end_s"))).alias("af_episodes"))  # runs of windows
     durations = covered.select("sensor_id", (F.col("total") / float(fs)).alias("duration_s"))
     hours = covered.select("sensor_id", (F.col("usable") / float(fs) / 3600).alias("hours"))
     histogram = summary.event_histogram(events, durations, fs, bin_seconds(F.col("duration_s")))
@@ -65,7 +85,7 @@ def analyse_blocks(packed: DataFrame, fs: float, model: models.BeatClassifier |
     examples = shapes.groupBy("sensor_id").agg(F.sort_array(F.collect_list(F.struct("sample", F.transform("w", lambda v: F.round(v, 4)).alias("w")))).alias("examples"))  # n_examples rows
     out = covered.select("sensor_id", F.col("fraction").alias("coverage"), "n_gaps")
     parts = (
-        beats.groupBy("sensor_id").agg(F.count("*").alias("n_beats")), rhythm.hrv(rr), rhythm.af_burden(rhythm.af_windows(beats, fs)).select("sensor_id", F.col("burden").alias("af_burden")),
+        beats.groupBy("sensor_id").agg(F.count("*").alias("n_beats")), rhythm.hrv(rr), rhythm.af_burden(irregular).select("sensor_id", F.col("burden").alias("af_burden")), episodes,
         inside, quality.rank_sensors(quality.quality_in_blocks(packed, fs, windows=windows)), burden, busiest, examples,
     )
     for part in parts:

@@ -234,6 +234,20 @@ ORACLES = {
       SELECT sensor_id, unnest(list_reduce(list_prepend([]::BIGINT[], list_transform(c, lambda v: [v])),
         lambda kept, v: CASE WHEN len(list_filter(kept, lambda p: abs(p - v[1]) < 5)) > 0 THEN kept ELSE list_concat(kept, v) END)) AS i FROM o
     ) SELECT sensor_id, i AS sample, round(x, 6) AS height FROM k JOIN m USING (sensor_id, i)""",
+    "result_tree": f"""WITH {af()}, {HRV}, b AS (SELECT sensor_id, count(*) AS n_windows FROM af GROUP BY sensor_id),
+      v AS (SELECT sensor_id, count_if(symbol = 'V') AS n_events, max(sample) / 360.0 AS d FROM beats GROUP BY sensor_id)
+      SELECT v.sensor_id % 10 AS record_id, count(*) AS n_channels, round(max(d), 6) AS duration_s, min(v.sensor_id) AS first_sensor, arg_min(round_even(mean_hr, 1), v.sensor_id) AS first_hr,
+        CAST(coalesce(sum(n_valid), 0) AS BIGINT) AS n_valid, CAST(coalesce(sum(n_windows), 0) AS BIGINT) AS n_windows, CAST(sum(n_events) AS BIGINT) AS n_events, string_agg(v.sensor_id, ',' ORDER BY v.sensor_id) AS sensors
+      FROM v LEFT JOIN hrv USING (sensor_id) LEFT JOIN b USING (sensor_id) GROUP BY v.sensor_id % 10""",
+    "clock_window_samples": f"""WITH {SIGNAL}, c AS (SELECT DISTINCT sensor_id, sensor_id % 10 AS record_id, (sensor_id % 5 - 2) * 0.25::DOUBLE AS s FROM sig), o AS (SELECT *, s - min(s) OVER (PARTITION BY record_id) AS e FROM c)
+      SELECT record_id, sensor_id, min(i) AS start, CAST(count(*) AS INT) AS n, CAST(count(x) AS INT) AS n_finite, round(coalesce(sum(x), 0), 6) AS total
+      FROM sig JOIN o USING (sensor_id) WHERE e + i / 10.0::DOUBLE BETWEEN 1.25 AND 4.75 GROUP BY record_id, sensor_id""",
+    "score_table": f"""WITH RECURSIVE {NORMAL_AND_EARLY}, {SCORES}, p AS (
+      SELECT *, 100.0::DOUBLE * tp / nullif(tp + fn, 0) AS se, 100.0::DOUBLE * tp / nullif(tp + fp, 0) AS ppv, 100.0::DOUBLE * (2 * tp) / nullif(2 * tp + fp + fn, 0) AS f1 FROM sc)
+      SELECT sensor_id, format('{{}}: tp {{}} fp {{}} fn {{}} se {{}} ppv {{}} f1 {{}} ms {{}}', sensor_id, tp, fp, fn, {", ".join(f"coalesce(printf('%.2f%%', round_even({c}, 2)), '-')" for c in ("se", "ppv", "f1"))},
+        coalesce(printf('%.1f', round_even(mean_error_ms, 1)), '-')) AS line FROM p""",
+    "confusion_table": f"""WITH {LABELLED}, c AS (SELECT t.r AS t, p.r AS p, (SELECT count(*) FROM lab WHERE y_true = t.r AND y_pred = p.r) AS n FROM range(5) t(r), range(5) p(r))
+      SELECT CAST(t AS INT) AS y_true, rpad(['N', 'S', 'V', 'F', 'Q'][t + 1], 4, ' ') || string_agg(lpad(CAST(n AS VARCHAR), 8, ' '), '' ORDER BY p) AS line FROM c GROUP BY t HAVING sum(n) > 0""",
     "baseline_removal": f"""WITH {SIGNAL}, z AS (SELECT sensor_id, i, coalesce(x, 0.0) AS x FROM sig), a AS (
       SELECT sensor_id, i, x, list_sort([lag(x, 1, 0.0) OVER o, x, lead(x, 1, 0.0) OVER o])[2] AS m FROM z WINDOW o AS (PARTITION BY sensor_id ORDER BY i)
     ) SELECT sensor_id, i, round(x - list_sort([{", ".join(f"{w}(m, {d}, 0.0) OVER o" for w in ("lag", "lead") for d in (1, 2, 3))}, m])[4], 6) AS x FROM a WINDOW o AS (PARTITION BY sensor_id ORDER BY i)""",

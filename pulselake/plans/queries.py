@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..operators.kept import kept
-from ..operators import detect, matching, models, morphology, peaks, protocol, quality, rhythm, scoring, segments, summary
+from ..operators import blocks, detect, matching, models, morphology, peaks, protocol, quality, rhythm, scoring, segments, summary
 from ..sources import tables
-from ..sources.tables import ECG_FS, FS, SIGNAL_FS, beats, ecg_blocks, signal, table
-from .analyse import analyse_blocks
+from ..sources.tables import ECG_FS, FS, SIGNAL_FS, beats, beats_at, ecg_blocks, signal, table
+from .analyse import analyse_blocks, labelled_beats
 
 R = lambda c: F.round(c, 6)
 
@@ -425,6 +425,56 @@ def baseline_removal(spark, sf):
     return rounded(detect.baseline_removed(rows, SIGNAL_FS))
 
 
+def result_tree(spark, sf):
+    """Variability, rhythm and ventricular events of every sensor, nested by recording; what a reader of the tree adds up."""
+    hours = durations(spark, sf).select("sensor_id", (F.col("duration_s") / 3600).alias("hours"))
+    results = rhythm.hrv(rr(spark, sf)).select("sensor_id", F.struct("n_valid", F.bround("mean_hr", 1).alias("mean_hr")).alias("variability"))
+    results = results.join(rhythm.af_burden(rhythm.af_windows(beats(spark, sf), FS)).select("sensor_id", F.struct("n_windows", R("burden").alias("burden")).alias("rhythm")), "sensor_id", "full")
+    results = results.join(summary.events_summary(events_of(spark, sf, "V"), beats(spark, sf), hours).select("sensor_id", F.struct("n_events", R("burden_pct").alias("burden_pct")).alias("events")), "sensor_id", "full")
+    channels = _channels(spark, sf).join(durations(spark, sf), "sensor_id").select("record_id", "sensor_id", F.col("sensor_id").alias("ordinal"), F.lit("chest").alias("position"), "duration_s")
+    tree = summary.result_tree(results, channels)
+    total = lambda f: F.aggregate("channels", F.lit(0).cast("long"), lambda a, c: a + F.coalesce(f(c), F.lit(0)))
+    first = F.get("channels", F.lit(0))
+    out = tree.select(
+        "record_id", "n_channels", "duration_s", first["sensor_id"].alias("first_sensor"), first["variability"]["mean_hr"].alias("first_hr"), total(lambda c: c["variability"]["n_valid"]).alias("n_valid"),
+        total(lambda c: c["rhythm"]["n_windows"]).alias("n_windows"), total(lambda c: c["events"]["n_events"]).alias("n_events"), F.array_join(F.transform("channels", lambda c: c["sensor_id"].cast("string")), ",").alias("sensors"),
+    )
+    return rounded(out)
+
+
+def clock_window_samples(spark, sf):
+    """Samples between two times of their recording's clock, on which channels start up to a second apart."""
+    channels = _channels(spark, sf).withColumn("start_us", F.lit(0).cast("long")).withColumn("fs", F.lit(float(SIGNAL_FS)))
+    cut = summary.samples_in_clock_window(blocks.pack(signal(spark, sf), SIGNAL_FS), summary.on_recording_clock(channels), SIGNAL_FS, 1.25, 4.75)
+    good = F.filter("x", lambda v: ~F.isnan(v))
+    return rounded(cut.select("record_id", "sensor_id", "start", F.size("x").alias("n"), F.size(good).alias("n_finite"), F.aggregate(good, F.lit(0.0), lambda a, v: a + v).alias("total")))
+
+
+def score_table(spark, sf):
+    """Scores of every sensor as a line of text."""
+    return scoring.score_lines(matching.detection_scores(greedy_match(spark, sf), ["sensor_id"], FS), "sensor_id")
+
+
+def confusion_table(spark, sf):
+    return scoring.confusion_lines(scoring.confusion(labelled(spark, sf)))
+
+
+def labelled_detections(spark, sf):
+    """Detected beats of the drawn signals with the labels of the events that they match, and their features."""
+    reference = beats_at(spark, sf, ECG_FS).select("sensor_id", "sample", (F.col("symbol") == "V").cast("int").alias("y"))
+    rows, _ = labelled_beats(kept(ecg_blocks(spark, sf)), reference, ECG_FS)
+    return rounded(rows.select("sensor_id", "beat_idx", "sample", "y", *morphology.FEATURES))
+
+
+def analysis_with_model(spark, sf):
+    """The analysis of odd sensors with a classifier that has learned from the detected beats of even ones."""
+    packed = kept(ecg_blocks(spark, sf))
+    reference = beats_at(spark, sf, ECG_FS).select("sensor_id", "sample", (F.col("symbol") == "V").cast("int").alias("y"))
+    rows, _ = labelled_beats(packed.where("sensor_id % 2 = 0"), reference.where("sensor_id % 2 = 0"), ECG_FS)
+    model = protocol.trained(kept(rows), list(morphology.BINARY_FEATURES), "sensor_id")
+    return rounded(analyse_blocks(packed.where("sensor_id % 2 = 1"), ECG_FS, model))
+
+
 def bin_examples(spark, sf):
     """At most three waveforms of the maxima of each two seconds."""
     shown = signal(spark, sf).withColumn("x", F.when(exprs.finite(F.col("x")), F.col("x")).otherwise(-1.0))
@@ -537,6 +587,7 @@ QUERIES = {
         bin_choice, events_summary, representative_events, summary_json, beat_template, template_correlation, qrs_width, feature_ratios, median_imputation, beat_windows, moving_integration,
         refine_extremum, upload_ingest, detect_rpeaks, chunked_detection, recovered_beats, filtered_signal, resampled_signal, analysis, beat_features, ventricular_classifier, multiclass_classifier,
         subject_threshold, beat_codes, histogram_bars, channel_clocks, detection_accuracy, record_sets, label_transfer, missed_beats, subject_halves, protocol_study, classifiable_beats, bin_examples,
-        artifact_mask, rhythm_mask, clock_window, recordings_overview, dominant_peaks, baseline_removal,
+        artifact_mask, rhythm_mask, clock_window, recordings_overview, dominant_peaks, baseline_removal, result_tree,
+        clock_window_samples, score_table, confusion_table, labelled_detections, analysis_with_model,
     )
 }

@@ -35,6 +35,12 @@ def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sensor_id", (F.row_number().over(order) - 1).cast("long").alias("beat_idx"), F.expr("us * 12 div 1000000000").alias("sample"), symbol.alias("symbol"), "event_id")
 
 
+def beats_at(spark: SparkSession, sf_dir: str, fs: int) -> DataFrame:
+    """``(sensor_id, sample, symbol)`` of the same beats on the time of ``ecg`` signals at ``fs``."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("sensor_id"), F.round(micros() / 3e10 * fs).cast("long").alias("at"))
+    return rows.join(beats(spark, sf_dir).select("event_id", "symbol"), "event_id").select("sensor_id", F.col("at").alias("sample"), "symbol")
+
+
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(sensor_id, i, x)``: each user's values as samples at 10 Hz, with a flat stretch in every third sensor and a
     gap of NaN in every second."""

@@ -1,9 +1,12 @@
-"""The live detector: any cut into packets gives the same beats, also over micro-batches and a restart."""
+"""Live detection and dropouts: any cut into packets gives the same result, also over micro-batches and a restart."""
+
+import datetime as dt
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from pulselake.operators import matching
+from pulselake.operators import matching, segments
+from pulselake.streaming.dropouts import SEGMENTS, Session, dropout_sessions
 from pulselake.streaming.live import Live, live_beats
 
 FS = 100
@@ -91,3 +94,46 @@ def test_stream_with_a_restart_equals_one_pass(spark, tmp_path):
     got = spark.read.parquet(f"file://{tmp_path}/out")
     assert {(r.sensor_id, r["sample"]) for r in got.collect()} == want and got.count() == len(want)
     assert got.groupBy("sensor_id").agg(F.count("*")).count() == 3
+
+
+def damaged(n, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, 1, n)
+    x[300:520] = 0.4
+    x[900:905] = 0.1
+    x[1200:1260] = np.nan
+    x[1262:1266] = np.nan
+    x[1500:1800] = np.nan
+    x[1650:1700] = 2.0
+    x[n - 40 :] = x[n - 40]
+    return x
+
+
+def test_dropout_sessions_equal_segments(spark, tmp_path):
+    fs, signals = 20, {s: damaged(2000 + 7 * s, s) for s in range(3)}
+    frame = spark.createDataFrame([(s, i, float(v)) for s, x in signals.items() for i, v in enumerate(x)], "sensor_id long, i long, x double")
+    want = sorted(tuple(r) for r in segments.segments(frame, fs).select("sensor_id", "start", "end", "usable", "reason").collect())
+    scale = {r.sensor_id: r.scale for r in segments.median_steps(segments.sample_steps(frame, 10)).collect()}
+    rng = np.random.default_rng(1)
+    for s, x in signals.items():
+        session, out, at = Session(fs), [], 0
+        while at < len(x):
+            n = int(rng.integers(1, 90))
+            session = Session(fs).resume(session.state())
+            out += session.push(at, x[at : at + n], scale[s])
+            at += n
+        assert [(s, *r) for r in out + session.close(scale[s])] == [w for w in want if w[0] == s]
+    zero = dt.datetime(2026, 1, 1)
+    packets = [(s, a, x[a : a + 60].tolist(), zero + dt.timedelta(seconds=a / fs), scale[s]) for s, x in signals.items() for a in range(0, len(x), 60)]
+    late = (9, 0, [0.0] * 60, zero - dt.timedelta(hours=1), 1.0)  # far behind the watermark
+    last = (8, 0, [0.0] * 60, zero + dt.timedelta(hours=1), 1.0)  # moves it, so that the others end
+    schema, folder = "sensor_id long, start long, x array<double>, event_time timestamp, scale double", tmp_path / "in"
+    parts = [[p for p in packets if p[1] // 700 == k] for k in range(3)] + [[late], [last], [last]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"file://{folder}/{k:03d}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"file://{folder}")
+    query = dropout_sessions(stream, fs).writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/cp").outputMode("append").start()
+    query.processAllAvailable()
+    query.stop()
+    got = sorted((tuple(r) for r in spark.read.schema(SEGMENTS).parquet(f"file://{tmp_path}/out").collect()), key=lambda r: r[:2])
+    assert got == want
