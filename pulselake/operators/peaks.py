@@ -33,3 +33,21 @@ def dominant(peaks: DataFrame, distance: int, slot: int = 1 << 16) -> DataFrame:
         close = _dealt(marked, distance, slot).withColumn("close", F.max("stays").over(near))
         left = kept(close.where("home and not close").select("sensor_id", "sample", "height"))
     return out
+
+
+def strongest_of_close(peaks: DataFrame, distance: int) -> DataFrame:
+    """The peaks in one pass over each sensor: of one that is closer than ``distance`` to the last kept one and that one the higher
+    stays, the earlier of equals. A gap of the distance ends a run that later peaks cannot touch, so runs are folded one by one."""
+    order = Window.partitionBy("sensor_id").orderBy("sample")
+    each = peaks.groupBy("sensor_id", "sample").agg(F.max("height").alias("height"))
+    opens = F.coalesce(F.col("sample") - F.lag("sample").over(order) >= distance, F.lit(True))
+    runs = each.withColumn("run", F.sum(opens.cast("long")).over(order)).groupBy("sensor_id", "run").agg(F.array_sort(F.collect_list(F.struct("sample", "height"))).alias("own"))
+
+    def step(kept_so_far, peak):
+        last = F.element_at(kept_so_far, -1)
+        close = peak["sample"] - last["sample"] < distance
+        before = F.slice(kept_so_far, 1, F.size(kept_so_far) - 1)
+        return F.when(~close, F.concat(kept_so_far, F.array(peak))).when(peak["height"] > last["height"], F.concat(before, F.array(peak))).otherwise(kept_so_far)
+
+    kept_of = F.aggregate(F.slice("own", 2, F.size("own")), F.slice("own", 1, 1), step)
+    return runs.select("sensor_id", F.inline(kept_of))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import finite
 from .blocks import arrays
+from .kept import kept
 
 #: Blocks of the flatness rule in a slot: ten minutes of blocks of half a second.
 SLOT_BLOCKS = 1200
@@ -167,7 +168,7 @@ def segments_of(packed: DataFrame, fs: float, min_dropout_s: float = 1.0, window
     last sample, which the next block's first step needs."""
     kind, n_win, size = packed.schema["sensor_id"].dataType.simpleString(), max(1, round(window_s * fs)), windows * max(1, round(0.5 * fs))
     last = packed.select("sensor_id", (F.col("block") + 1).alias("block"), F.element_at("x", -1).alias("before"))
-    rows = packed.select("sensor_id", "block", "x").join(last, ["sensor_id", "block"], "left")
+    rows = kept(packed.select("sensor_id", "block", "x").join(last, ["sensor_id", "block"], "left"))  # three passes read it
     counts = rows.mapInArrow(_counted(False), f"sensor_id {kind}, key long, n long")
     bins = _middle(counts, "key").groupBy("sensor_id").agg(F.min("key").alias("from"), F.max("key").alias("to"), F.min(F.col("upto") - F.col("n")).alias("before"), F.min("low").alias("low"), F.max("high").alias("high"))
     chosen = rows.join(bins.select("sensor_id", "from", "to"), "sensor_id").select("sensor_id", "block", "x", "before", "from", "to")

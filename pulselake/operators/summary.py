@@ -81,6 +81,14 @@ def in_clock_window(peaks: DataFrame, clocks: DataFrame, fs: float, low_s: float
     return peaks.join(clocks.select("record_id", "sensor_id", "elapsed_s"), "sensor_id").withColumn("t_s", t).where(F.col("t_s").between(low_s, high_s)).select("record_id", "sensor_id", "sample", "t_s")
 
 
+def channel_of(channels: DataFrame, sensor_id: object = None, position: str | None = None) -> DataFrame:
+    """The channel of each recording with that id, or the first one at that position; recordings without one have no row."""
+    same = F.lit(True) if sensor_id is None else F.col("sensor_id") == F.lit(sensor_id)
+    same = same if position is None else same & (F.col("position") == position)
+    first = F.row_number().over(Window.partitionBy("record_id").orderBy("ordinal"))  # some channels a recording
+    return channels.where(same).withColumn("at", first).where("at = 1").drop("at")
+
+
 def recording_overview(channels: DataFrame) -> DataFrame:
     """One row a recording of ``channels (record_id, ordinal, sensor_id, fs, position, n_beats)``: its primary sensor (the first),
     beats of all channels, rates, positions by sensor, and a line of text."""

@@ -234,6 +234,15 @@ ORACLES = {
       SELECT sensor_id, unnest(list_reduce(list_prepend([]::BIGINT[], list_transform(c, lambda v: [v])),
         lambda kept, v: CASE WHEN len(list_filter(kept, lambda p: abs(p - v[1]) < 5)) > 0 THEN kept ELSE list_concat(kept, v) END)) AS i FROM o
     ) SELECT sensor_id, i AS sample, round(x, 6) AS height FROM k JOIN m USING (sensor_id, i)""",
+    "refractory_pass": f"""WITH {SIGNAL}, m AS (
+      SELECT sensor_id, i, x FROM (SELECT *, lag(x) OVER o AS a, lead(x) OVER o AS b FROM sig WHERE x IS NOT NULL WINDOW o AS (PARTITION BY sensor_id ORDER BY i)) WHERE x > a AND x > b
+    ), o AS (
+      SELECT sensor_id, list([{{'i': i, 'x': x}}] ORDER BY i) AS c FROM m GROUP BY sensor_id
+    ), k AS (
+      SELECT sensor_id, unnest(list_reduce(c, lambda kept, p: CASE WHEN p[1].i - kept[-1].i >= 5 THEN list_concat(kept, p) WHEN p[1].x > kept[-1].x THEN list_concat(kept[:-2], p) ELSE kept END)) AS p FROM o
+    ) SELECT sensor_id, p.i AS sample, round(p.x, 6) AS height FROM k""",
+    "channel_lookup": """WITH c AS (SELECT user_id AS sensor_id, user_id % 10 AS record_id, count(*) AS n_samples FROM events WHERE user_id % 4 = 1 GROUP BY user_id)
+      SELECT record_id, min(sensor_id) AS sensor_id, arg_min(n_samples, sensor_id) AS n_samples FROM c GROUP BY record_id""",
     "result_tree": f"""WITH {af()}, {HRV}, b AS (SELECT sensor_id, count(*) AS n_windows FROM af GROUP BY sensor_id),
       v AS (SELECT sensor_id, count_if(symbol = 'V') AS n_events, max(sample) / 360.0 AS d FROM beats GROUP BY sensor_id)
       SELECT v.sensor_id % 10 AS record_id, count(*) AS n_channels, round(max(d), 6) AS duration_s, min(v.sensor_id) AS first_sensor, arg_min(round_even(mean_hr, 1), v.sensor_id) AS first_hr,

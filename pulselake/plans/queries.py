@@ -319,7 +319,7 @@ def upload_ingest(spark, sf):
 
 
 def _found(spark, sf, **how) -> DataFrame:
-    packed = ecg_blocks(spark, sf)
+    packed = kept(ecg_blocks(spark, sf))  # its lengths, its blocks and their heads are read one by one
     return detect.detect_in_blocks(packed, detect.whole(packed, ECG_FS), ECG_FS, **how).select("sensor_id", "sample")
 
 
@@ -338,20 +338,20 @@ def recovered_beats(spark, sf):
 def detection_accuracy(spark, sf):
     """Detected beats against the events they were drawn from."""
     truth = table(spark, sf, "events").select(F.col("user_id").alias("sensor_id"), F.round(tables.micros() / 3e10 * ECG_FS).cast("long").alias("sample"))
-    found = matching.greedy_match(detect.process_blocks(ecg_blocks(spark, sf), ECG_FS), truth, ["sensor_id"], round(0.15 * ECG_FS))
+    found = matching.greedy_match(detect.process_blocks(kept(ecg_blocks(spark, sf)), ECG_FS), truth, ["sensor_id"], round(0.15 * ECG_FS))
     return rounded(matching.detection_scores(found, ["sensor_id"], ECG_FS))
 
 
 def filtered_signal(spark, sf):
     """Packed blocks of the filtered signal, each with its sum and its largest sample."""
-    packed = ecg_blocks(spark, sf)
+    packed = kept(ecg_blocks(spark, sf))
     clean = detect.filter_blocks(packed, detect.usable(packed, ECG_FS), ECG_FS)
     return _block_summary(clean)
 
 
 def resampled_signal(spark, sf):
     """Packed blocks of the signal at 250 Hz, as above."""
-    return _block_summary(detect.resample_blocks(ecg_blocks(spark, sf), ECG_FS, 250))
+    return _block_summary(detect.resample_blocks(kept(ecg_blocks(spark, sf)), ECG_FS, 250))
 
 
 def _block_summary(packed: DataFrame) -> DataFrame:
@@ -419,6 +419,18 @@ def dominant_peaks(spark, sf):
     return rounded(peaks.dominant(high.select("sensor_id", "sample", F.col("x").alias("height")), 5))
 
 
+def refractory_pass(spark, sf):
+    """Of maxima closer than half a second to the last kept one the higher, in one pass over each sensor."""
+    high = _maxima(spark, sf).join(signal(spark, sf).withColumnRenamed("i", "sample"), ["sensor_id", "sample"])
+    return rounded(peaks.strongest_of_close(high.select("sensor_id", "sample", F.col("x").alias("height")), 5))
+
+
+def channel_lookup(spark, sf):
+    """The first channel at the wrist of each recording."""
+    channels = _channels(spark, sf).select("record_id", "sensor_id", F.col("sensor_id").alias("ordinal"), F.when(F.col("sensor_id") % 4 == 1, "wrist").otherwise("chest").alias("position"), "n_samples")
+    return summary.channel_of(channels, position="wrist").select("record_id", "sensor_id", "n_samples")
+
+
 def baseline_removal(spark, sf):
     """The signal less two running medians, of 200 and 600 ms, with zeros beyond its ends; gaps count as zero."""
     rows = signal(spark, sf).withColumn("x", F.when(exprs.finite(F.col("x")), F.col("x")).otherwise(0.0))
@@ -587,7 +599,7 @@ QUERIES = {
         bin_choice, events_summary, representative_events, summary_json, beat_template, template_correlation, qrs_width, feature_ratios, median_imputation, beat_windows, moving_integration,
         refine_extremum, upload_ingest, detect_rpeaks, chunked_detection, recovered_beats, filtered_signal, resampled_signal, analysis, beat_features, ventricular_classifier, multiclass_classifier,
         subject_threshold, beat_codes, histogram_bars, channel_clocks, detection_accuracy, record_sets, label_transfer, missed_beats, subject_halves, protocol_study, classifiable_beats, bin_examples,
-        artifact_mask, rhythm_mask, clock_window, recordings_overview, dominant_peaks, baseline_removal, result_tree,
+        artifact_mask, rhythm_mask, clock_window, recordings_overview, dominant_peaks, refractory_pass, channel_lookup, baseline_removal, result_tree,
         clock_window_samples, score_table, confusion_table, labelled_detections, analysis_with_model,
     )
 }
