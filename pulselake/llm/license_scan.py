@@ -122,7 +122,7 @@ def load(templates: dict[str, str], containment: float, miss: float) -> list[Gro
 
 
 def _scan(templates: dict[str, str], containment: float, miss: float):
-    schema = pa.schema([("doc_id", pa.int64()), ("template", pa.int32()), ("first_word", pa.int64()), ("share", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_id", pa.int64()), ("template", pa.int32()), ("first_word", pa.int64()), ("share", pa.float64())])
 
     def run(batches):
         groups = load(templates, containment, miss)
@@ -165,7 +165,7 @@ def _scan(templates: dict[str, str], containment: float, miss: float):
                         out.append((row[window], which, at, share))
                 if out:
                     r, t, w, s = zip(*out, strict=True)
-                    yield slices({"doc_id": batch.column(0).take(pa.array(r)), "template": t, "first_word": w, "share": s}, schema)
+                    yield slices({"doc_id": batch.column(0).take(pa.array(r)), "text_id": batch.column(2).take(pa.array(r)), "template": t, "first_word": w, "share": s}, schema)
 
     return run
 
@@ -173,9 +173,10 @@ def _scan(templates: dict[str, str], containment: float, miss: float):
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8, miss: float = 0.001) -> DataFrame:
     """``(doc_id, license, first_word, n_places, containment)`` of ``docs (doc_id, text)``."""
     templates = TEMPLATES if templates is None else templates
-    hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(templates, containment, miss), "doc_id long, template int, first_word long, share double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_id"))
+    hits = rows.mapInArrow(_scan(templates, containment, miss), "doc_id long, text_id long, template int, first_word long, share double")
     names = F.array(*[F.lit(n) for n in templates])
-    hits = hits.groupBy("doc_id", "template").agg(F.min("first_word").alias("first_word"), F.countDistinct("first_word").alias("n_places"), F.max("share").alias("containment"))
+    hits = hits.groupBy("doc_id", "template").agg(F.min("first_word").alias("first_word"), F.countDistinct("text_id", "first_word").alias("n_places"), F.max("share").alias("containment"))
     return hits.select("doc_id", F.get(names, F.col("template")).alias("license"), "first_word", "n_places", "containment")
 
 

@@ -541,3 +541,10 @@ def test_very_long_benchmark_item(spark):
     bench = spark.createDataFrame([(9, item), (10, prose(30, 65))], "item_id long, text string")
     (hit,) = decontaminate.find_contaminated(frame, bench).collect()
     assert (hit.doc_id, hit.item_id) == (1, 9) and 300 < hit.distance < 3000
+
+
+def test_two_texts_under_one_id_are_two_places(spark):
+    notice = license_scan.TEMPLATES[next(iter(license_scan.TEMPLATES))]
+    rows = [(None, f"alpha {notice}"), (None, f"beta {notice}"), (None, f"beta {notice}"), (1, f"gamma {notice}")]
+    got = {r.doc_id: r.n_places for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).where("containment = 1").groupBy("doc_id").agg(F.max("n_places").alias("n_places")).collect()}
+    assert got == {None: 2, 1: 1}
