@@ -3,6 +3,7 @@ fingerprints of whole Arrow batches, and connected components of a link table.""
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import itertools
 import tempfile
@@ -22,6 +23,7 @@ CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], [ascii(
 
 _COUNTER = itertools.count()
 _OWN: dict[str, str] = {}
+_SEEN: set[str] = set()
 _WRITTEN: list[str] | None = None
 
 
@@ -33,8 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        where = _OWN.setdefault(app, tempfile.mkdtemp(prefix="pulselake-"))
-    return f"{where.rstrip('/')}/pulselake-{app}"
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="pulselake-")
+    folder = f"{(where or _OWN[app]).rstrip('/')}/pulselake-{app}"
+    if folder not in _SEEN:
+        _SEEN.add(folder)
+        atexit.register(_forget, spark, folder)
+    return folder
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    """Results are lazy and read these tables, so they stay as long as the program runs and its session lives."""
+    if spark.sparkContext._jsc is not None:
+        _delete(spark, folder)
 
 
 def new_path(spark: SparkSession) -> str:
