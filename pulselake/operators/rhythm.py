@@ -111,6 +111,7 @@ def af_windows(beats: DataFrame, fs: float, window_s: float = 30.0, excluded: Da
     windows = windows.select(
         "sensor_id", "w", "n_rr", (F.sqrt(F.col("dd") / F.col("nd")) / (F.col("s") / F.col("n_rr"))).alias("nrmssd"), entropy.alias("entropy"), ratio(F.col("turns"), F.col("nt")).alias("turning")
     )
+    # fixed values: weights and bounds of the three measures
     score = 0.45 * unit((F.col("nrmssd") - 0.05) / 0.20) + 0.30 * unit((F.col("entropy") - 0.55) / 0.35) + 0.25 * unit((F.col("turning") - 0.40) / 0.25)
     return windows.withColumn("score", score).withColumn("is_af", F.col("score") >= 0.5)
 

@@ -300,7 +300,7 @@ ORACLES = {
       SELECT a.sensor_id, a.event_id, 1 + count(DISTINCT o.symbol) AS n_sensors FROM beats a JOIN f ON a.sensor_id = f.sensor_id AND a.symbol = f.first
       LEFT JOIN beats o ON o.sensor_id = a.sensor_id AND o.symbol <> f.first AND abs(o.sample - a.sample) <= 540 GROUP BY a.sensor_id, a.event_id) SELECT sensor_id, n_sensors, count(*) AS n_events FROM k GROUP BY ALL""",
     "ectopic_semi_join": f"WITH {BEATS} SELECT sensor_id, count(*) AS n FROM beats b WHERE EXISTS (SELECT 1 FROM beats v WHERE v.symbol = 'V' AND v.sensor_id = b.sensor_id AND v.sample = b.sample) GROUP BY sensor_id",
-    "peak_sets": f"""WITH {BEATS}, a AS (SELECT sensor_id, sample FROM beats WHERE event_id % 2 = 0), b AS (SELECT sensor_id, sample FROM beats WHERE event_id % 3 = 0)
+    "peak_sets": f"""WITH {BEATS}, a AS (SELECT sensor_id, sample FROM beats WHERE symbol IN ('N', 'V')), b AS (SELECT sensor_id, sample FROM beats WHERE symbol IN ('S', 'V'))
       SELECT sensor_id, count(*) AS n, 'union' AS op FROM (SELECT * FROM a UNION SELECT * FROM b) GROUP BY sensor_id UNION ALL
       SELECT sensor_id, count(*), 'except' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) GROUP BY sensor_id UNION ALL SELECT sensor_id, count(*), 'intersect' FROM (SELECT * FROM a INTERSECT SELECT * FROM b) GROUP BY sensor_id""",
     "aami_mapping": f"WITH {BEATS} SELECT symbol, {CLASS} AS class_id, count(*) AS n FROM beats GROUP BY symbol",

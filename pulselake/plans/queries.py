@@ -169,9 +169,9 @@ def ectopic_semi_join(spark, sf):
 
 
 def peak_sets(spark, sf):
-    """Union, difference and intersection of two detectors' peaks (events of even ids, and of ids divisible by 3)."""
+    """Union, difference and intersection of two annotators' beats: one marks normal and ventricular ones, the other ectopic ones."""
     b = beats(spark, sf)
-    one, two = b.where("event_id % 2 = 0").select("sensor_id", "sample"), b.where("event_id % 3 = 0").select("sensor_id", "sample")
+    one, two = b.where("symbol in ('N', 'V')").select("sensor_id", "sample"), b.where("symbol in ('S', 'V')").select("sensor_id", "sample")
     parts = [d.groupBy("sensor_id").agg(F.count("*").alias("n")).withColumn("op", F.lit(n)) for n, d in (("union", one.union(two).distinct()), ("except", one.subtract(two)), ("intersect", one.intersect(two)))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
