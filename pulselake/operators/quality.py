@@ -4,7 +4,6 @@ from __future__ import annotations
 
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -183,41 +182,34 @@ def _features(x: np.ndarray, fs: float, n_sub: int) -> list[tuple]:
     return out
 
 
-def windows_in_blocks(packed: DataFrame, fs: float, window_s: float = 10.0, sub_s: float = 1.0) -> DataFrame:
+def windows_in_blocks(packed: blocks.Blocks, fs: float, window_s: float = 10.0, sub_s: float = 1.0) -> DataFrame:
     """``(sensor_id, WINDOWS)`` of packed blocks: everything that is asked of a window, from one look at its samples. A window
     belongs to the block in which it starts, which carries the head of the next one."""
     size, n_win, n_sub = blocks.size_of(fs), max(1, round(window_s * fs)), max(1, round(sub_s * fs))
-    rows = blocks.with_next(packed, n_win).select("sensor_id", "block", "x")
-    names = ["sensor_id", *(f.strip().split(" ")[0] for f in WINDOWS.split(","))]
-
-    def run(batches):
-        for batch in batches:
-            block = batch.column(1).to_pylist()
-            for row, x in enumerate(blocks.arrays(batch.column(2))):
-                begin = block[row] * size
-                first = -(-begin // n_win)
-                past = max(first, -(-(begin + min(size, len(x))) // n_win))
-                if past == first:
-                    continue
-                at = first * n_win - begin
-                full = min(past - first, (len(x) - at) // n_win)
-                found = _features(x[at : at + full * n_win].reshape(full, n_win), fs, n_sub) if full else []
-                if full < past - first:
-                    found += _features(x[at + full * n_win :][None, :], fs, n_sub)
-                columns = zip(*[(first + k, *f) for k, f in enumerate(found)], strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(found), row))), *map(pa.array, columns)], names=names)
-
-    kind = packed.schema["sensor_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"sensor_id {kind}, {WINDOWS}").withColumn("half", F.lit(n_win // 2))
-
-
-def artefacts_in_blocks(packed: DataFrame, fs: float, window_s: float = 10.0, agreement: DataFrame | None = None, windows: DataFrame | None = None) -> DataFrame:
+    names = [f.strip().split(" ")[0] for f in WINDOWS.split(",")]
+
+    def work(block, own, begin, x):
+        first = -(-begin // n_win)
+        past = max(first, -(-(begin + min(size, len(x))) // n_win))
+        if past == first:
+            return
+        at = first * n_win - begin
+        full = min(past - first, (len(x) - at) // n_win)
+        found = _features(x[at : at + full * n_win].reshape(full, n_win), fs, n_sub) if full else []
+        if full < past - first:
+            found += _features(x[at + full * n_win :][None, :], fs, n_sub)
+        yield dict(zip(names, zip(*[(first + k, *f) for k, f in enumerate(found)], strict=True), strict=True))
+
+    return blocks.read(packed, fs, 0, n_win, work, WINDOWS).withColumn("half", F.lit(n_win // 2))
+
+
+def artefacts_in_blocks(packed: blocks.Blocks, fs: float, window_s: float = 10.0, agreement: DataFrame | None = None, windows: DataFrame | None = None) -> DataFrame:
     """``artefact_windows`` of packed blocks, or of their ``windows`` where these are known."""
     rows = windows_in_blocks(packed, fs, window_s) if windows is None else windows
     return artefact_scores(rows.where("n >= half").select("sensor_id", "w", "kurtosis", "instability"), agreement)
 
 
-def quality_in_blocks(packed: DataFrame, fs: float, window_s: float = 10.0, windows: DataFrame | None = None) -> DataFrame:
+def quality_in_blocks(packed: blocks.Blocks, fs: float, window_s: float = 10.0, windows: DataFrame | None = None) -> DataFrame:
     """``quality_windows`` of packed blocks, as above."""
     rows = windows_in_blocks(packed, fs, window_s) if windows is None else windows
     rows = rows.where("n_finite >= half and n_finite > 0").select("sensor_id", "w", F.col("n_finite").alias("n"), "amplitude", "flat", "saturated", "power")

@@ -6,13 +6,14 @@ next one for the step between them. Only runs, a few a slot, are ordered over wh
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite
-from .blocks import arrays
+from .blocks import Blocks, read, source_of
 from .kept import kept
 
 #: Blocks of the flatness rule in a slot: ten minutes of blocks of half a second.
@@ -98,25 +99,24 @@ def _bins(step: np.ndarray) -> np.ndarray:
         return np.where(step > 0, np.floor(32 * np.log2(step)), -(1 << 20)).astype(np.int64)
 
 
-def _counted(values: bool):
+def _steps_in(block: int, own: int, first: int, x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``block_steps`` of a block's samples, which the one ahead of them may precede."""
+    ahead = block * size - first
+    return block_steps(x[ahead:], float(x[0]) if ahead else None)
+
+
+def _counted(size: int, values: bool):
     """Steps of each block by bin, or, of the bins from ``low`` to ``high``, by value."""
 
-    def run(batches):
-        for batch in batches:
-            block = batch.column(1).to_pylist()
-            edges = list(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)) if values else None
-            for row, x in enumerate(arrays(batch.column(2))):
-                _, step = block_steps(x, batch.column(3)[row].as_py())
-                step = step[1:] if block[row] == 0 else step  # a sensor's first sample has none
-                step = step[~np.isnan(step)]
-                keys = _bins(step)
-                if values:
-                    step = step[(keys >= edges[row][0]) & (keys <= edges[row][1])]
-                found, n = np.unique(step if values else keys, return_counts=True)
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(found), row))), pa.array(found), pa.array(n)], names=["sensor_id", "key", "n"])
+    def work(block, own, first, x, low=None, high=None):
+        _, step = _steps_in(block, own, first, x, size)
+        step = step[1:] if block == 0 else step  # a sensor's first sample has none
+        step = step[~np.isnan(step)]
+        keys = _bins(step)
+        found, n = np.unique(step[(keys >= low) & (keys <= high)] if values else keys, return_counts=True)
+        yield {"key": found, "n": n}
 
-    return run
+    return work
 
 
 def _middle(counted: DataFrame, order: str, total: DataFrame | None = None) -> DataFrame:
@@ -127,7 +127,7 @@ def _middle(counted: DataFrame, order: str, total: DataFrame | None = None) -> D
         n, before = F.sum("n").over(whole), F.lit(0)
         rows = rows.withColumn("low", F.floor((n - 1) / 2)).withColumn("high", F.floor(n / 2)).withColumn("before", before)
     else:
-        rows = rows.join(total, "sensor_id")
+        rows = rows.join(total.hint("merge"), "sensor_id")
     upto = F.sum("n").over(whole.orderBy(order)) + F.col("before")
     rows = rows.withColumn("upto", upto)
     return rows.where((F.col("upto") - F.col("n") <= F.col("high")) & (F.col("upto") > F.col("low")))
@@ -147,36 +147,32 @@ def bad_places(ok: np.ndarray, step: np.ndarray, scale: float | None, n_win: int
 def _block_runs(n_win: int, size: int, quiet_share: float, least_share: float):
     """Stretches of good and of bad samples of each block; a block of half a second is flat if more than 90 % of it is quiet."""
 
-    def run(batches):
-        for batch in batches:
-            block, scale = batch.column(1).to_pylist(), batch.column(4).to_pylist()
-            for row, x in enumerate(arrays(batch.column(2))):
-                ok, step = block_steps(x, batch.column(3)[row].as_py())
-                bad = bad_places(ok, step, scale[row], n_win, quiet_share, least_share)
-                at = np.flatnonzero(np.append(True, bad[1:] != bad[:-1]))
-                gap = np.logical_or.reduceat(~ok, at)
-                first = block[row] * size
-                columns = [pa.array(bad[at]), pa.array(first + at), pa.array(first + np.append(at[1:], len(x))), pa.array(gap)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(at), row))), *columns], names=["sensor_id", "bad", "start", "end", "gap"])
+    def work(block, own, first, x, scale):
+        ok, step = _steps_in(block, own, first, x, size)
+        bad = bad_places(ok, step, scale, n_win, quiet_share, least_share)
+        at = np.flatnonzero(np.append(True, bad[1:] != bad[:-1]))
+        begin = block * size
+        yield {"bad": bad[at], "start": begin + at, "end": begin + np.append(at[1:], len(ok)), "gap": np.logical_or.reduceat(~ok, at)}
 
-    return run
+    return work
 
 
-def segments_of(packed: DataFrame, fs: float, min_dropout_s: float = 1.0, window_s: float = 0.5, quiet_share: float = 0.02, least_share: float = 0.9, windows: int = SLOT_BLOCKS) -> DataFrame:
+def segments_of(packed: Blocks, fs: float, min_dropout_s: float = 1.0, window_s: float = 0.5, quiet_share: float = 0.02, least_share: float = 0.9, windows: int = SLOT_BLOCKS) -> DataFrame:
     """The same as ``segments`` for packed blocks: three passes over their arrays, of which the first counts steps by bin, the second
-    those of the bins that hold the median by value, and the third finds runs. Only counts and runs are shuffled, and each block's
+    those of the bins that hold the median by value, and the third finds runs. Only counts and runs are shuffled, and each stored block's
     last sample, which the next block's first step needs."""
-    kind, n_win, size = packed.schema["sensor_id"].dataType.simpleString(), max(1, round(window_s * fs)), windows * max(1, round(0.5 * fs))
-    last = packed.select("sensor_id", (F.col("block") + 1).alias("block"), F.element_at("x", -1).alias("before"))
-    rows = kept(packed.select("sensor_id", "block", "x").join(last, ["sensor_id", "block"], "left"))  # three passes read it
-    counts = rows.mapInArrow(_counted(False), f"sensor_id {kind}, key long, n long")
-    bins = _middle(counts, "key").groupBy("sensor_id").agg(F.min("key").alias("from"), F.max("key").alias("to"), F.min(F.col("upto") - F.col("n")).alias("before"), F.min("low").alias("low"), F.max("high").alias("high"))
-    chosen = rows.join(bins.select("sensor_id", "from", "to"), "sensor_id").select("sensor_id", "block", "x", "before", "from", "to")
-    values = _middle(chosen.mapInArrow(_counted(True), f"sensor_id {kind}, key double, n long"), "key", bins.select("sensor_id", "before", "low", "high"))
+    n_win, size = max(1, round(window_s * fs)), windows * max(1, round(0.5 * fs))
+    source = source_of(packed, fs, windows)
+    if source.stored:
+        rows = kept(source.rows(1, 0))  # three passes read it
+        source = replace(source, rows=lambda before, after: rows)
+    look = lambda work, schema, *known: read(source, fs, 1, 0, work, schema, *known, windows=windows)
+    counts = look(_counted(size, False), "key long, n long")
+    bins = kept(_middle(counts, "key").groupBy("sensor_id").agg(F.min("key").alias("from"), F.max("key").alias("to"), F.min(F.col("upto") - F.col("n")).alias("before"), F.min("low").alias("low"), F.max("high").alias("high")))
+    values = _middle(look(_counted(size, True), "key double, n long", bins.select("sensor_id", "from", "to"), ("from", "to")), "key", bins.select("sensor_id", "before", "low", "high"))
     holds = lambda rank: F.max(F.when((F.col("upto") > F.col(rank)) & (F.col("upto") - F.col("n") <= F.col(rank)), F.col("key")))
     scale = values.groupBy("sensor_id").agg(((holds("low") + holds("high")) / 2).alias("scale"))
-    known = rows.join(scale, "sensor_id", "left").select("sensor_id", "block", "x", "before", "scale")
-    runs = known.mapInArrow(_block_runs(n_win, size, quiet_share, least_share), f"sensor_id {kind}, bad boolean, start long, end long, gap boolean")
+    runs = look(_block_runs(n_win, size, quiet_share, least_share), "bad boolean, start long, end long, gap boolean", scale, ("scale",), ("sensor_id",), "left")
     return _merged(runs, fs, min_dropout_s)
 
 

@@ -68,7 +68,7 @@ def examples_by_bin(signal: DataFrame, events: DataFrame, fs: float, bin_s: floa
     return picked.join(found, ["sensor_id", "sample"]).select("sensor_id", "bin", F.round(F.col("sample") / float(fs), 2).alias("t"), shape.alias("y"))
 
 
-def representative_beats(packed: DataFrame, events: DataFrame, fs: float, n: int = 5, before_s: float = 0.6, after_s: float = 0.6) -> DataFrame:
+def representative_beats(packed: blocks.Blocks, events: DataFrame, fs: float, n: int = 5, before_s: float = 0.6, after_s: float = 0.6) -> DataFrame:
     """``(sensor_id, sample, w)``: complete waveforms, out of packed blocks, of at most ``n`` events of each sensor, evenly over their
     order; those that reach beyond the signal are left out after the choice."""
     return windows_in_blocks(packed, evenly_spaced(events, n).select("sensor_id", "sample"), fs, round(before_s * fs), round(after_s * fs))
@@ -124,7 +124,7 @@ def samples_in_clock_window(packed: DataFrame, clocks: DataFrame, fs: float, low
     last = F.floor((high_s - F.col("elapsed_s")) * fs + 1e-6).cast("long")
     spans = clocks.select("record_id", "sensor_id", first.alias("first"), last.alias("last")).where("first <= last")
     spans = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / size), F.floor(F.col("last") / size))))
-    rows = packed.join(spans, ["sensor_id", "block"])
+    rows = packed.join(spans.hint("merge"), ["sensor_id", "block"])
     a, b = F.greatest(F.col("first"), F.col("block") * size), F.least(F.col("last") + 1, F.col("block") * size + F.size("x"))
     rows = rows.where(a < b)
     return rows.select("record_id", "sensor_id", a.alias("start"), F.slice("x", (a - F.col("block") * size + 1).cast("int"), (b - a).cast("int")).alias("x"))

@@ -10,16 +10,16 @@ from ..operators.kept import kept
 from ..operators import blocks, detect, matching, models, morphology, protocol, quality, rhythm, segments, summary
 
 
-def beats_of(packed: DataFrame, fs: float) -> tuple[DataFrame, DataFrame]:
+def beats_of(packed: blocks.Blocks, usable: DataFrame, fs: float) -> tuple[DataFrame, DataFrame]:
     """``(sensor_id, beat_idx, sample)`` of the detector and ``(sensor_id, sample)`` of the second one, from one pass over the
-    filtered chunks that is kept in the shared folder, since all that follows reads it."""
-    found = kept(detect.detect_in_blocks(packed, detect.usable(packed, fs), fs, ("adaptive", "slope")))
+    filtered chunks of the ``usable`` stretches that is kept in the shared folder, since all that follows reads it."""
+    found = kept(detect.detect_in_blocks(packed, usable, fs, ("adaptive", "slope")))
     order = F.row_number().over(rhythm.Window.partitionBy("sensor_id").orderBy("sample")) - 1
     beats = found.where("method = 'adaptive'").select("sensor_id", order.cast("long").alias("beat_idx"), "sample")
     return beats, found.where("method = 'slope'").select("sensor_id", "sample")
 
 
-def features_of(clean: DataFrame, beats: DataFrame, fs: float) -> DataFrame:
+def features_of(clean: blocks.Blocks, beats: DataFrame, fs: float) -> DataFrame:
     """``(sensor_id, beat_idx, sample)`` and the features of every beat with a complete window of the filtered signal."""
     before = round(morphology.BEFORE_S * fs)
     windows = morphology.windows_in_blocks(clean, beats, fs, before, round(morphology.AFTER_S * fs)).join(beats, ["sensor_id", "sample"])
@@ -27,11 +27,11 @@ def features_of(clean: DataFrame, beats: DataFrame, fs: float) -> DataFrame:
     return found.join(beats, ["sensor_id", "beat_idx"])
 
 
-def labelled_beats(packed: DataFrame, reference: DataFrame, fs: float, detected: bool = True, tolerance_s: float = 0.15) -> tuple[DataFrame, DataFrame]:
+def labelled_beats(packed: blocks.Blocks, reference: DataFrame, fs: float, detected: bool = True, tolerance_s: float = 0.15) -> tuple[DataFrame, DataFrame]:
     """Beats to learn from: ``(sensor_id, beat_idx, sample, y)`` and the features, of the beats of packed blocks that the detector
     finds, labelled by the ``reference (sensor_id, sample, y)`` beats that they match, or of the reference beats themselves; and
     ``(sensor_id, n_missed)``, the positive reference beats that no detection carries. Beats without a complete window are left out."""
-    usable = detect.usable(packed, fs)
+    usable = kept(detect.usable(packed, fs))
     if detected:
         found = detect.detect_in_blocks(packed, usable, fs).select("sensor_id", "sample")
         matches = matching.greedy_match(found, reference.select("sensor_id", "sample"), ["sensor_id"], round(tolerance_s * fs))
@@ -44,7 +44,7 @@ def labelled_beats(packed: DataFrame, reference: DataFrame, fs: float, detected:
     return rows, protocol.missed(beats, reference, ["sensor_id"])
 
 
-def classified(clean: DataFrame, beats: DataFrame, fs: float, model: models.BeatClassifier | None) -> DataFrame:
+def classified(clean: blocks.Blocks, beats: DataFrame, fs: float, model: models.BeatClassifier | None) -> DataFrame:
     """``(sensor_id, beat_idx, sample)`` of the ventricular beats: those that a model of two classes says so of, or, without one,
     those between a short interval and a long one."""
     if model is None:
@@ -58,21 +58,24 @@ def analyse(signal: DataFrame, fs: float, model: models.BeatClassifier | None =
     return analyse_blocks(blocks.pack(signal, fs), fs, model, n_examples)
 
 
-def analyse_blocks(packed: DataFrame, fs: float, model: models.BeatClassifier | None = None, n_examples: int = 6) -> DataFrame:
+def analyse_blocks(packed: blocks.Blocks, fs: float, model: models.BeatClassifier | None = None, n_examples: int = 6) -> DataFrame:
     """Coverage, quality, beats, variability, artefacts, rhythm and ventricular events of packed blocks, with the events' busiest
     bin and at most ``n_examples`` of their waveforms. Without a ``model`` of beats, ventricular ones are told by their intervals.
     Rhythm is judged without ventricular beats, whose irregularity would look like fibrillation."""
-    packed = kept(packed)
+    packed = packed if isinstance(packed, blocks.Source) else kept(packed)
     windows = kept(quality.windows_in_blocks(packed, fs))
-    beats, second = beats_of(packed, fs)
+    found = kept(segments.segments_of(packed, fs))
+    usable = segments.usable_segments(found, fs, 1.0).select("sensor_id", "start", "end")
+    beats, second = beats_of(packed, usable, fs)
     rr = rhythm.rr_series(beats, fs)
     n_win = round(10 * fs)
     keyed = [d.select("sensor_id", "sample", F.floor(F.col("sample") / n_win).alias("w")) for d in (beats, second)]
     agreement = matching.bsqi(matching.greedy_match(*keyed, ["sensor_id", "w"], round(0.15 * fs)), ["sensor_id", "w"])
     artefacts = quality.artefacts_in_blocks(packed, fs, agreement=agreement, windows=windows)
     inside = quality.beats_in_artifact(beats, artefacts, fs).groupBy("sensor_id").agg(F.count_if("in_artifact").alias("beats_in_artifact"))
-    covered = segments.coverage(segments.segments_of(packed, fs))
-    clean = kept(detect.filter_blocks(packed, detect.usable(packed, fs), fs))  # features and examples read it
+    covered = segments.coverage(found)
+    clean = detect.filter_blocks(packed, usable, fs)  # features and examples read it
+    clean = clean if isinstance(clean, blocks.Source) else kept(clean)
     events = kept(classified(clean, beats, fs, model))
     irregular = rhythm.af_windows(beats, fs, excluded=events.select("sensor_id", "beat_idx"))
     episodes = rhythm.af_episodes(irregular).groupBy("sensor_id").agg(F.sort_array(F.collect_list(F.struct("start_s", "end_s"))).alias("af_episodes"))  # runs of windows

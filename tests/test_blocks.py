@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulselake.operators import blocks, detect, dsp, matching, morphology, quality, rhythm, segments
-from pulselake.sources.tables import ecg, ecg_blocks, synthetic_ecg
+from pulselake.sources.tables import ecg, ecg_blocks, ecg_source, synthetic_ecg
 
 FS = 50
 
@@ -174,3 +174,39 @@ def test_window_quality_of_blocks_equals_that_of_rows(spark):
             want, got = ({(r.sensor_id, r.w): [r[c] for c in columns] for r in d.collect()} for d in (rows, arrays))
             assert set(want) == set(got) and len(want) > 120
             assert [k for k in want if not all(map(near, map(float, want[k]), map(float, got[k])))] == []
+
+
+def events_at(spark, path, seconds):
+    """A folder with ``events`` of one user, at these seconds of its recording."""
+    rows = spark.createDataFrame([(k, 7, s) for k, s in enumerate(seconds)], "event_id long, user_id long, s double")
+    ts = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, s * 30000)")
+    rows.select("event_id", "user_id", ts.alias("ts")).write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_blocks_made_where_they_are_read_give_what_stored_ones_give(spark, tmp_path):
+    """Three blocks: seams within and between them, beats on both sides of an edge, a silent stretch."""
+    fs, sf = 50, events_at(spark, tmp_path, [s + 0.03 * (s % 7) for s in range(1, 1500) if not 900 < s < 960] + [599.99])
+    source, stored = ecg_source(spark, sf, fs), ecg_blocks(spark, sf, fs)
+    assert isinstance(source, blocks.Source) and stored.count() == 3
+    assert sorted(map(tuple, segments.segments_of(source, fs).collect())) == sorted(map(tuple, segments.segments_of(stored, fs).collect()))
+    spans = spark.createDataFrame([(7, 0, 640 * fs), (7, 650 * fs, 1490 * fs)], "sensor_id long, start long, end long")
+    found = [sorted(map(tuple, detect.detect_in_blocks(b, spans, fs).collect())) for b in (source, stored)]
+    assert found[0] == found[1] and len(found[0]) > 1000
+    clean = detect.filter_blocks(source, spans, fs), detect.filter_blocks(stored, spans, fs)
+    x = [{r.block: np.array(r.x) for r in blocks.packed_of(c, fs).collect()} for c in clean]
+    assert sorted(x[0]) == sorted(x[1]) == [0, 1, 2] and all(np.array_equal(x[0][k], x[1][k], equal_nan=True) for k in x[0])
+    beats = spark.createDataFrame([(7, s * fs) for s in (1, 599, 600, 601, 1200, 1489)], "sensor_id long, sample long")
+    cut = [sorted((r["sample"], tuple(r.w)) for r in morphology.windows_in_blocks(c, beats, fs, 10, 15).collect()) for c in clean]
+    assert cut[0] == cut[1] and len(cut[0]) == 6
+    again = [sorted((r.block, tuple(r.x)) for r in d.collect()) for d in (detect.resampled_block_by_block(source, fs, 120), detect.resample_blocks(stored, fs, 120))]
+    assert again[0] == again[1]
+
+
+def test_arrays_of_samples_are_neither_broadcast_nor_written(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    stored = blocks.pack(synthetic_ecg(spark, seconds=30, fs=FS, sensors=2), FS)
+    assert "Broadcast" not in plan(blocks.with_next(stored, 10)) + plan(segments.segments_of(stored, FS).where("usable"))
+    source = ecg_source(spark, "/root/testdata/sf0.001")
+    text = plan(blocks.packed_of(source, 100))
+    assert text.index("MapInArrow") < text.index("Exchange")  # every shuffle is below, of what the samples are made from
