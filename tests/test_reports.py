@@ -95,3 +95,11 @@ def test_score_lines_meet_ties_as_their_sql_does(spark):
     found = spark.createDataFrame([r for r in rows if r[1] is not None or r[2] is not None], "r string, det_sample long, ref_sample long")
     assert "se 14.38% " in scoring.score_lines(matching.detection_scores(found, ["r"], 360), "r").first().line
     assert scoring.score_lines(matching.detection_scores(found.where("det_sample <> ref_sample").coalesce(1), ["r"], 360), "r").first().line.endswith(" ms 943.8")
+
+
+def test_widths_of_a_batch_are_those_of_the_expression(spark):
+    """Odd windows too: none, short ones, level ones, with nulls and NaN."""
+    odd = [None, [], [1.0] * 64, [float("nan")] * 64, [0.0, None, 1.0, float("nan")] * 16, [float(k % 5) for k in range(20)]]
+    rows = [(0, k, w) for k, w in enumerate([*odd[:1], *odd[2:]] + [list(map(float, np.sin(np.arange(64) * (0.1 + 0.01 * k)) * (np.arange(64) % (k + 2) > 0))) for k in range(40)])]
+    both = morphology.with_width(spark.createDataFrame(rows, "group int, beat_id int, w array<double>"), 96, 31, 12, 2).withColumn("v", morphology.width_of(96, 31, 12, 2)("w"))
+    assert both.count() == len(rows) and both.where("not (v <=> width_s)").count() == 0 and both.where("v > 0").count() > 10
