@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import ratio
+
 
 def greedy_pairs(detected: np.ndarray, reference: np.ndarray, tolerance: float) -> list[tuple[int, int]]:
     """Each detection in order takes the closest reference that is still free and within the tolerance, the earlier of
@@ -58,10 +60,12 @@ def greedy_match(detected: DataFrame, reference: DataFrame, keys: list[str], tol
 
 
 def detection_scores(matches: DataFrame, keys: list[str], fs: float) -> DataFrame:
-    error = F.abs(F.col("det_sample") - F.col("ref_sample")) / (fs / 1000.0)  # divided, not multiplied by the inverse: an error less a row
+    """Counts and errors of ``greedy_match``. The mean error is a sum of whole samples divided once, so it is the nearest double to the
+    exact mean in every order of the rows, and ties of a later rounding are met."""
+    samples = F.abs(F.col("det_sample") - F.col("ref_sample"))
     return matches.groupBy(*keys).agg(
-        F.count(error).alias("tp"), F.count_if(F.col("ref_sample").isNull()).alias("fp"), F.count_if(F.col("det_sample").isNull()).alias("fn"),
-        F.avg(error).alias("mean_error_ms"), F.stddev_pop(error).alias("std_error_ms"),
+        F.count(samples).alias("tp"), F.count_if(F.col("ref_sample").isNull()).alias("fp"), F.count_if(F.col("det_sample").isNull()).alias("fn"),
+        ratio(1000.0 * F.sum(samples), fs * F.count(samples)).alias("mean_error_ms"), F.stddev_pop(samples / (fs / 1000.0)).alias("std_error_ms"),
     )
 
 

@@ -1,5 +1,7 @@
 """Labelled sets over detected beats, analyses with a trained model, result trees, and windows of samples."""
 
+from itertools import permutations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +105,15 @@ def test_widths_of_a_batch_are_those_of_the_expression(spark):
     rows = [(0, k, w) for k, w in enumerate([*odd[:1], *odd[2:]] + [list(map(float, np.sin(np.arange(64) * (0.1 + 0.01 * k)) * (np.arange(64) % (k + 2) > 0))) for k in range(40)])]
     both = morphology.with_width(spark.createDataFrame(rows, "group int, beat_id int, w array<double>"), 96, 31, 12, 2).withColumn("v", morphology.width_of(96, 31, 12, 2)("w"))
     assert both.count() == len(rows) and both.where("not (v <=> width_s)").count() == 0 and both.where("v > 0").count() > 10
+
+
+def test_mean_error_is_exact_in_every_order_of_rows(spark):
+    """Errors of sensors of the tables, whose means are 756.25, 818.75 and 881.25 ms; sums of rounded quotients fall beside these ties."""
+    orders = [(e, "756.2") for e in permutations((100, 435, 197, 357))] + [(e, "818.8") for e in permutations((503, 276, 221, 179))] + [((122, 166, 352, 268, 374, 471, 535, 250), "881.2")]
+    rows = [(k, i * 1000, i * 1000 + e) for k, (errors, _) in enumerate(orders) for i, e in enumerate(errors)]
+    for n in (1, 7):
+        found = spark.createDataFrame(rows, "r int, det_sample long, ref_sample long").coalesce(1).repartition(n)
+        got = dict(scoring.score_lines(matching.detection_scores(found, ["r"], 360), "r").collect())
+        assert [got[k].split(" ms ")[1] for k in range(len(orders))] == [ms for _, ms in orders]
+    alone = matching.detection_scores(spark.createDataFrame([("a", 5, None), ("a", None, 7)], "r string, det_sample long, ref_sample long"), ["r"], 360.0).first()
+    assert (alone.tp, alone.fp, alone.fn, alone.mean_error_ms) == (0, 1, 1, None)
