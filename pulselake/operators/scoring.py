@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import CLASS_NAMES, ratio, scores
+from ..functions.exprs import CLASS_NAMES, ratio, round_even, scores
 
 
 def binary_score(rows: DataFrame) -> DataFrame:
@@ -52,11 +52,11 @@ def best_threshold(rows: DataFrame, low: float = 0.30, step: float = 0.02, count
 
 def score_lines(scores_of: DataFrame, key: str) -> DataFrame:
     """``(key, line)``: counts and percentages of ``detection_scores`` as a line of text; what is undefined is a dash."""
-    share = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.2f%%", F.bround(c, 2))).otherwise("-")
+    share = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.2f%%", round_even(F.col(c), 2))).otherwise("-")
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    percent = lambda part, whole, name: ratio(100.0 * part, whole).alias(name)  # noqa: E731  one division, so a tie of the rounding is met exactly
+    percent = lambda part, whole, name: ratio(100.0 * part, whole).alias(name)  # noqa: E731  one division, as in the SQL
     rows = scores_of.select(key, "tp", "fp", "fn", "mean_error_ms", percent(tp, tp + fn, "se"), percent(tp, tp + fp, "ppv"), percent(2 * tp, 2 * tp + fp + fn, "f1"))
-    error = F.when(F.col("mean_error_ms").isNotNull(), F.format_string("%.1f", F.bround("mean_error_ms", 1))).otherwise("-")
+    error = F.when(F.col("mean_error_ms").isNotNull(), F.format_string("%.1f", round_even(F.col("mean_error_ms"), 1))).otherwise("-")
     text = F.concat_ws(" ", F.format_string("%s: tp %d fp %d fn %d", F.col(key).cast("string"), "tp", "fp", "fn"), F.lit("se"), share("se"), F.lit("ppv"), share("ppv"), F.lit("f1"), share("f1"), F.lit("ms"), error)
     return rows.select(key, text.alias("line"))
 

@@ -2,12 +2,15 @@
 
 from itertools import permutations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pulselake.functions import exprs
 from pulselake.operators import blocks, matching, models, morphology, protocol, scoring, summary
 from pulselake.plans.analyse import analyse_blocks, labelled_beats
+from pulselake.plans.oracles import ORACLES
 
 FS = 100
 
@@ -117,3 +120,17 @@ def test_mean_error_is_exact_in_every_order_of_rows(spark):
         assert [got[k].split(" ms ")[1] for k in range(len(orders))] == [ms for _, ms in orders]
     alone = matching.detection_scores(spark.createDataFrame([("a", 5, None), ("a", None, 7)], "r string, det_sample long, ref_sample long"), ["r"], 360.0).first()
     assert (alone.tp, alone.fp, alone.fn, alone.mean_error_ms) == (0, 1, 1, None)
+
+
+def test_percentages_of_long_recordings_round_as_in_their_sql(spark):
+    """An hour or more of beats: percentages of 4 000 and its multiples lie on decimal ties that no double meets (0.575, 1.225)."""
+    counts = [(k * 10_000 + tp, tp, k * 4000 - tp, k * 4000 - tp, tp * 0.05) for k in (1, 2) for tp in range(0, k * 4000 + 1, k)]
+    got = dict(scoring.score_lines(spark.createDataFrame(counts, "sensor_id long, tp long, fp long, fn long, mean_error_ms double"), "sensor_id").collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE sc AS SELECT k * 10000 + tp AS sensor_id, tp, k * 4000 - tp AS fp, k * 4000 - tp AS fn, tp * 0.05::DOUBLE AS mean_error_ms FROM range(1, 3) a(k), range(0, 8001) b(tp) WHERE tp % k = 0 AND tp <= k * 4000")
+    want = dict(con.execute("WITH p AS (" + ORACLES["score_table"].rsplit(" p AS (", 1)[1]).fetchall())
+    assert len(want) == 8002 and {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
+    near = [float(v) for n in range(400) for t in ((10 * n + 5) / 100, (10 * n + 5) / 1000) for v in (np.nextafter(t, 0), t, np.nextafter(t, 9e9))]
+    rounded = spark.createDataFrame([(v,) for v in near], "x double").select("x", exprs.round_even(F.col("x"), 1), exprs.round_even(F.col("x"), 2)).collect()
+    con.execute("CREATE TABLE near AS SELECT unnest(?) AS x", [near])
+    assert sorted(map(tuple, rounded)) == sorted(con.execute("SELECT x, round_even(x, 1), round_even(x, 2) FROM near").fetchall())
