@@ -19,10 +19,21 @@ def beats_of(packed: blocks.Blocks, usable: DataFrame, fs: float) -> tuple[DataF
     return beats, found.where("method = 'slope'").select("sensor_id", "sample")
 
 
-def features_of(clean: blocks.Blocks, beats: DataFrame, fs: float) -> DataFrame:
-    """``(sensor_id, beat_idx, sample)`` and the features of every beat with a complete window of the filtered signal."""
-    before = round(morphology.BEFORE_S * fs)
-    windows = morphology.windows_in_blocks(clean, beats, fs, before, round(morphology.AFTER_S * fs)).join(beats, ["sensor_id", "sample"])
+def features_of(clean: blocks.Blocks, beats: DataFrame, fs: float, longest: int = morphology.LONGEST_HELD) -> DataFrame:
+    """``beats (sensor_id, beat_idx, sample, whole numbers)`` with the features of every beat with a complete window of the filtered signal. Windows of
+    stored blocks, and of sensors too long for one task, are rows; others stay in the task that makes them."""
+    before, after = round(morphology.BEFORE_S * fs), round(morphology.AFTER_S * fs)
+    if isinstance(clean, blocks.Source):
+        long = kept(blocks.lengths(clean, fs).where(F.col("n") > longest).select("sensor_id"))
+        if long.isEmpty():
+            return morphology.features_in_blocks(clean, beats, fs, before, after)
+        short = morphology.features_in_blocks(clean, beats.join(long, "sensor_id", "left_anti"), fs, before, after)
+        return short.unionByName(_features_by_row(clean, beats.join(long, "sensor_id", "left_semi"), fs, before, after))
+    return _features_by_row(clean, beats, fs, before, after)
+
+
+def _features_by_row(clean: blocks.Blocks, beats: DataFrame, fs: float, before: int, after: int) -> DataFrame:
+    windows = morphology.windows_in_blocks(clean, beats, fs, before, after).join(beats.select("sensor_id", "beat_idx", "sample"), ["sensor_id", "sample"])
     found = morphology.beat_features(windows.select("sensor_id", "beat_idx", "w"), rhythm.local_median(rhythm.rr_series(beats, fs)), fs, before)
     return found.join(beats, ["sensor_id", "beat_idx"])
 
@@ -39,8 +50,7 @@ def labelled_beats(packed: blocks.Blocks, reference: DataFrame, fs: float, detec
     else:
         beats = reference.groupBy("sensor_id", "sample").agg(F.max("y").alias("y"))
     order = F.row_number().over(rhythm.Window.partitionBy("sensor_id").orderBy("sample")) - 1
-    numbered = beats.select("sensor_id", order.cast("long").alias("beat_idx"), "sample")
-    rows = features_of(detect.filter_blocks(packed, usable, fs), numbered, fs).join(beats, ["sensor_id", "sample"])
+    rows = features_of(detect.filter_blocks(packed, usable, fs), beats.select("sensor_id", order.cast("long").alias("beat_idx"), "sample", "y"), fs)
     return rows, protocol.missed(beats, reference, ["sensor_id"])
 
 

@@ -5,12 +5,15 @@ from itertools import permutations
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulselake.functions import exprs
-from pulselake.operators import blocks, matching, models, morphology, protocol, scoring, summary
-from pulselake.plans.analyse import analyse_blocks, labelled_beats
+from pulselake.operators import blocks, detect, matching, models, morphology, protocol, scoring, summary
+from pulselake.operators.kept import kept
+from pulselake.plans.analyse import analyse_blocks, features_of, labelled_beats
 from pulselake.plans.oracles import ORACLES
+from pulselake.sources import tables
 
 FS = 100
 
@@ -134,3 +137,35 @@ def test_percentages_of_long_recordings_round_as_in_their_sql(spark):
     rounded = spark.createDataFrame([(v,) for v in near], "x double").select("x", exprs.round_even(F.col("x"), 1), exprs.round_even(F.col("x"), 2)).collect()
     con.execute("CREATE TABLE near AS SELECT unnest(?) AS x", [near])
     assert sorted(map(tuple, rounded)) == sorted(con.execute("SELECT x, round_even(x, 1), round_even(x, 2) FROM near").fetchall())
+
+
+def test_features_stay_in_the_task_that_makes_the_windows(spark):
+    """Every digit is that of windows that are rows, over blocks, gaps, beats at the ends, odd sensors, and sensors too long for one task; no window is shuffled."""
+    rng, rows, places = np.random.default_rng(5), [], []
+    for s, n in ((1, 150_000), (2, 70_000), (3, 60_000), (4, 900), (5, 400)):
+        x = rng.normal(0, 0.05, n) + np.sin(np.arange(n) / 9)
+        own = np.unique(np.concatenate([np.cumsum(rng.integers(25, 160, n // 90)), [10, n - 36, n - 35, n - 1]]))
+        own = own[own < n]
+        if s == 2:
+            x[30_000:30_500] = np.nan
+            x[60_001] = np.nan
+        x[own] += 1.5 if s != 3 else np.nan
+        x = np.zeros(n) if s == 4 else x
+        rows += [(s, k, x[k * 60_000 : (k + 1) * 60_000].tolist()) for k in range(-(-n // 60_000))]
+        places += [(s, k, int(p), k % 2) for k, p in enumerate(own if s != 5 else own[:1])]
+    packed = blocks.source_of(spark.createDataFrame(rows, "sensor_id int, block long, x array<double>"), FS)
+    beats = spark.createDataFrame(places, "sensor_id int, beat_idx long, sample long, y int")
+    columns = ["sensor_id", "beat_idx", "sample", "y", *morphology.FEATURES]
+    got = [features_of(packed, beats, FS, *longest) for longest in ((), (0,), (100_000,))]
+    assert all(sorted(d.dtypes) == sorted(got[0].dtypes) for d in got)
+    held, by_row, both = (sorted(map(repr, d.select(*columns).collect())) for d in got)
+    assert len(held) > 2500 and any("nan" in r for r in held) and held == by_row == both
+
+    shuffled = lambda: (spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(), spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite())[1]
+    source = tables.ecg_source(spark, "/root/testdata/sf0.001")
+    stretches = detect.whole(source, FS)
+    known = tables.beats_at(spark, "/root/testdata/sf0.001", FS).select("sensor_id", "sample").distinct()
+    numbered = kept(known.withColumn("beat_idx", F.row_number().over(Window.partitionBy("sensor_id").orderBy("sample")).cast("long") - 1))
+    before = shuffled()
+    n = len(features_of(detect.filter_blocks(source, stretches, FS), numbered, FS).collect())
+    assert n > 900 and shuffled() - before < 250 * n  # a window is 536 bytes
