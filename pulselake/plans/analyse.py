@@ -60,7 +60,8 @@ def classified(clean: blocks.Blocks, beats: DataFrame, fs: float, model: models.
     if model is None:
         found = rhythm.ectopic_candidates(rhythm.rr_series(beats, fs)).select("sensor_id", (F.col("rr_idx") + 1).alias("beat_idx"))
         return beats.join(found, ["sensor_id", "beat_idx"], "left_semi").select("sensor_id", "beat_idx", "sample")
-    return model.predict(features_of(clean, beats, fs), ["sensor_id"]).where("y_pred = 1").select("sensor_id", "beat_idx", "sample")
+    rows = kept(features_of(clean, beats, fs).select("sensor_id", "beat_idx", "sample", *model.columns))  # the medians of missing values read it too
+    return model.predict(rows, ["sensor_id"]).where("y_pred = 1").select("sensor_id", "beat_idx", "sample")
 
 
 def analyse(signal: DataFrame, fs: float, model: models.BeatClassifier | None = None, n_examples: int = 6) -> DataFrame:

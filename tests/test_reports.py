@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pulselake.functions import exprs
 from pulselake.operators import blocks, detect, matching, models, morphology, protocol, scoring, summary
 from pulselake.operators.kept import kept
-from pulselake.plans.analyse import analyse_blocks, features_of, labelled_beats
+from pulselake.plans.analyse import analyse_blocks, classified, features_of, labelled_beats
 from pulselake.plans.oracles import ORACLES
 from pulselake.sources import tables
 
@@ -169,3 +169,18 @@ def test_features_stay_in_the_task_that_makes_the_windows(spark):
     before = shuffled()
     n = len(features_of(detect.filter_blocks(source, stretches, FS), numbered, FS).collect())
     assert n > 900 and shuffled() - before < 250 * n  # a window is 536 bytes
+
+
+def test_a_model_reads_features_of_the_tables_without_shuffling_windows(spark):
+    shuffled = lambda: (spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(), spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite())[1]
+    source = tables.ecg_source(spark, "/root/testdata/sf0.001")
+    stretches = detect.whole(source, FS)
+    known = tables.beats_at(spark, "/root/testdata/sf0.001", FS).select("sensor_id", "sample").distinct()
+    numbered = kept(known.withColumn("beat_idx", F.row_number().over(Window.partitionBy("sensor_id").orderBy("sample")).cast("long") - 1))
+    model = models.BeatClassifier(list(morphology.BINARY_FEATURES))
+    model.classes, model.mean, model.deviation, model.lines, model.threshold = [0, 1], np.zeros(4), np.ones(4), np.array([[0.0, 0.0, 1.0, 0.0, -1.0]]), 0.5
+    before = shuffled()
+    found = classified(detect.filter_blocks(source, stretches, FS), numbered, FS, model).collect()
+    assert 100 < len(found) < 900 and shuffled() - before < 350 * numbered.count()
+    beats = {(r.sensor_id, r.beat_idx, r["sample"]) for r in numbered.collect()}
+    assert len({tuple(r) for r in found} & beats) == len(found)
