refine_extremum: a window over slots instead of a join of seven rows a sample

Symptom: shuffled bytes grow faster than events (0.2 MB at sf0.01, 14.7 at sf0.1, 262 at 16 times that, 1141 at 60 times); power 1.87 for the first step, 1.06 from sf0.1 to 60 times. CPU seconds (0.13, 1.3, 18.3, 77.0) grow with power 1.0, but most of them go to rows that only the join needs.
Evidence: event log, local[6], 12 partitions (48 at 60 times): each sample is exploded to seven rows, joined back on sensor and sample, grouped and made distinct, 6 exchanges. At sf0.01 the join is a broadcast, from sf0.1 on (100 000 events) a sort-merge join that reads 710 000 rows. At 60 times its sides are 391 of the 1141 MB shuffled, what it hands to the aggregate and the distinct 626, the input's own exchange 124; its stage takes 32 of 77 CPU seconds.
Fix: samples are dealt to slots of 1024 that overlap by six, one exchange by sensor and slot, then one window of three samples to each side; the distinct needs no exchange, as a sample is only reported by its own slot. Null sensors are left out by a filter, as the join did. The slots are dealt out by repartition on purpose: a window over whole sensors saves that exchange, but a sensor with a fifth of the rows is then sorted a second time in one task (117 MB at 16 times and 60 partitions, 60 MB before the change, 52 MB now).
Effect: at 1 GB of input CPU 462 -> 277 s, shuffle 1.09 -> 0.21 GB, spill 0.00 -> 0.00 GB, read 0.09 -> 0.09 GB, longest task 12 -> 6 s, most memory of a task 587 -> 122 MB; at 6 GB of input CPU 1348 -> 646 s, shuffle 7.07 -> 1.28 GB, spill 0.03 -> 0.00 GB, read 0.62 -> 0.62 GB, longest task 20 -> 18 s, most memory of a task 973 -> 537 MB; with hot keys, at 1 GB of input CPU 510 -> 260 s, shuffle 1.05 -> 0.20 GB, spill 0.00 -> 0.00 GB, read 0.09 -> 0.09 GB, longest task 16 -> 8 s, most memory of a task 587 -> 168 MB.

@@ -35,6 +35,17 @@ def dominant(peaks: DataFrame, distance: int, slot: int = 1 << 16) -> DataFrame:
     return out
 
 
+def largest_near(samples: DataFrame, reach: int, slot: int = 1 << 10) -> DataFrame:
+    """``(sensor_id, sample)``: where the samples go that each move to the largest height within ``reach``, the first of equals. Slots
+    overlap by twice the reach, since a sample is chosen from ``reach`` beyond its slot by what looks as far again. Slots are dealt out
+    before the window sorts them: Spark would take the rows as a sensor's task made them, and a long sensor would be one sort."""
+    slot = max(slot, 2 * reach + 1)
+    near = Window.partitionBy("sensor_id", "slot").orderBy("sample").rangeBetween(-reach, reach)
+    top = F.max(F.struct("height", (-F.col("sample")).alias("first"))).over(near)
+    moved = _dealt(samples, 2 * reach + 1, slot).repartition("sensor_id", "slot").select("sensor_id", "slot", (-top["first"]).alias("sample"))
+    return moved.where(F.floor(F.col("sample") / slot) == F.col("slot")).distinct().select("sensor_id", "sample")
+
+
 def strongest_of_close(peaks: DataFrame, distance: int) -> DataFrame:
     """The peaks in one pass over each sensor: of one that is closer than ``distance`` to the last kept one and that one the higher
     stays, the earlier of equals. A gap of the distance ends a run that later peaks cannot touch, so runs are folded one by one."""

@@ -299,10 +299,8 @@ def moving_integration(spark, sf):
 
 def refine_extremum(spark, sf):
     """Every sample moved to the largest absolute value within three samples, the first of equals."""
-    rows = signal(spark, sf).where(exprs.finite(F.col("x")))
-    near = rows.select("sensor_id", F.col("i").alias("p")).withColumn("i", F.explode(F.sequence(F.col("p") - 3, F.col("p") + 3))).join(rows, ["sensor_id", "i"])
-    best = near.groupBy("sensor_id", "p").agg(F.max(F.struct(F.abs("x").alias("a"), (-F.col("i")).alias("m"))).alias("b"))
-    return best.select("sensor_id", (-F.col("b.m")).alias("sample")).distinct()
+    rows = signal(spark, sf).where(exprs.finite(F.col("x"))).where("sensor_id is not null")
+    return peaks.largest_near(rows.select("sensor_id", F.col("i").alias("sample"), F.abs("x").alias("height")), 3)
 
 
 def upload_ingest(spark, sf):
